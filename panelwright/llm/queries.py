@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .packing import pack, pieces
+from .quality_rules import quality_rules
+from .simhash import groups
 from .token_counts import count_tokens
 
 
@@ -16,9 +18,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(table(spark, sf_dir, "documents")).drop("fp")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op8_best_two_fit)}
+    return {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op8_best_two_fit, op10_simhash)}
