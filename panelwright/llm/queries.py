@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
+from .decontaminate import find_items
 from .packing import pack, pieces
 from .quality_rules import quality_rules
 from .simhash import groups
 from .token_counts import count_tokens
+from .url_filter import judge
+from .warc import read_warc, with_revisits, write_warc
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +21,29 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+#: (host, path, verdict)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_warc(with_revisits(table(spark, sf_dir, "pages")), scratch(spark, "warc"))
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(.*)>', 1) as long)")
+    return read_warc(spark, files).select(number("record_id").alias("page_id"), F.col("content_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -31,4 +53,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op8_best_two_fit, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_quality_rules, op5_decontamination, op7_warc, op8_best_two_fit, op10_simhash)}
