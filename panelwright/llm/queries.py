@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 from .decontaminate import find_items
+from .line_dedup import report
 from .packing import pack, pieces
 from .quality_rules import quality_rules
 from .simhash import groups
@@ -30,6 +31,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -53,4 +58,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_quality_rules, op5_decontamination, op7_warc, op8_best_two_fit, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_line_dedup, op4_quality_rules, op5_decontamination, op7_warc, op8_best_two_fit, op10_simhash)}
