@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_fm, toxicity
 from .common import scratch, table
 from .decontaminate import find_items
 from .line_dedup import report
@@ -43,6 +44,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _scored(how, spark: SparkSession, sf_dir: str, label: str, folds: int, fold: int) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), quality_fm.held_out("doc_id", folds, fold)
+    fitted = how.fit(docs, table(spark, sf_dir, "labels"), label=label, keep=~out)
+    return how.score(docs, fitted).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(quality_fm, spark, sf_dir, "quality", 5, 0)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_warc(with_revisits(table(spark, sf_dir, "pages")), scratch(spark, "warc"))
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(.*)>', 1) as long)")
@@ -53,9 +64,13 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(toxicity, spark, sf_dir, "toxic", 4, 2)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents")).drop("fp")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_line_dedup, op4_quality_rules, op5_decontamination, op7_warc, op8_best_two_fit, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_line_dedup, op4_quality_rules, op5_decontamination, op6_quality_fm, op7_warc, op8_best_two_fit, op9_toxicity, op10_simhash)}
