@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import compare_queries, feature_queries, operator_queries
+
+ALL = [*operator_queries.QUERIES, *feature_queries.QUERIES, *compare_queries.QUERIES]
+
 
 def queries() -> dict:
-    return {}
+    return {q.name: q.run for q in ALL}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {q.name: sql for q in ALL if (sql := q.oracle())}
