@@ -158,7 +158,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     """(t, y) of at most `sample` labelled rows that `keep` holds for, chosen by a hash of the key."""
     some = labels.filter((F.lit(True) if keep is None else keep) & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("of"), F.col(label).cast("double").alias("y"))
     chosen = some.orderBy(F.xxhash64("of"), "of", "y").limit(sample)
-    return docs.join(F.broadcast(chosen), docs[key] == F.col("of")).select(F.coalesce(F.col(text), F.lit("")).alias("t"), "y", F.xxhash64("of", text).alias("order"))
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return texts.join(F.broadcast(chosen), F.col("k") == F.col("of")).select("t", "y", F.xxhash64("of", "t").alias("order"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", keep=None, sample: int = SAMPLE) -> Machine:

@@ -220,8 +220,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """docs without the rows whose group has a smaller key; rows that repeat the kept key and text stay one."""
+    """docs without the rows whose group has a smaller key; of rows equal in key and text one stays, null keys all do."""
     kept = groups(docs, key, text, shingle, radius)
     gone = unused(docs, "gone_key")
     out = kept.filter(F.col(key) > F.col("component_id")).select(F.col(key).alias(gone)).distinct()
-    return docs.join(out, docs[key] == out[gone], "left_anti").dropDuplicates([key])
+    left = docs.join(out, docs[key] == out[gone], "left_anti")
+    twice = kept.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
+    return left if twice.isEmpty() else left.dropDuplicates([key, text])
