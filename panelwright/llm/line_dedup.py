@@ -4,8 +4,9 @@ A line takes part if it holds anything but white space. Its id is the XXH64 of i
 node. Signatures are made where documents are read, once a task for equal lines; bands of 4 minima each give keys,
 and lines that share a key are candidates: at a similarity of 0.8 a pair is one with probability 0.995. A key's lines
 are streamed in order: every line is a candidate with the key's first, never all with all. Every candidate's
-similarity is computed from the lines' own shingle sets. Lines that are unlike their key's first line are compared
-with the key's other lines of another component in a second round, so no link between candidates is lost.
+similarity is computed from the lines' own shingle sets. Where a key's lines are then not one component, they are
+compared with each other across components inside tasks, which return as many links as join components: no link between
+candidates is lost, and none is made that joins nothing.
 Of each component the line of the smallest (key, line number) stays, in that place; all others go.
 """
 
@@ -20,13 +21,17 @@ from .common import staged, unused
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 10, 4, 0.8
+TILE, BITS = 2048, 2048
 BROADCAST_IDS = 1_000_000
 BLANK = " \t\n\x0b\x0c\r"
 _PARAMETERS = np.random.default_rng(20240613).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """BANDS keys of each line; lines have SHINGLE characters at least."""
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all shingles, and where each line's begin; lines have SHINGLE characters at least.
+
+    A line has as many hashes as characters, but for the last one: those of its last places repeat its first.
+    """
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     h = np.zeros(len(codes) - SHINGLE + 1, np.uint32)
@@ -41,6 +46,12 @@ def band_keys(lines: list[str]) -> np.ndarray:
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(13)
+    return h, starts
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """BANDS keys of each line; lines have SHINGLE characters at least."""
+    h, starts = shingle_hashes(lines)
     keys, step = np.empty((len(lines), BANDS), np.uint64), np.empty_like(h)
     for band in range(BANDS):
         key = np.full(len(lines), band + 1, np.uint64)
@@ -144,16 +155,72 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     few = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda df: df)
     lines = staged(_occurrences(docs, key, text).select("id", "line").join(few(ids), "id", "left_semi").dropDuplicates(["id"]), "lines")
     good = _verified(first, lines)
-    unlike = staged(stars.join(good, (stars["head"] == good["a"]) & (stars["id"] == good["b"]), "left_anti").select("key", "id"), "unlike")
-    if unlike.isEmpty():
-        return components(good)
     roots = staged(components(good), "roots")
-    met = stars.select("key", F.col("id").alias("o")).join(unlike, "key").filter(F.col("o") != F.col("id"))
-    pairs = met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    apart = pairs.filter(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
-    return components(good.unionByName(_verified(apart, lines)))
+    return components(good.unionByName(staged(_rest(stars, roots, lines), "rest")))
+
+
+def _rest(stars: DataFrame, roots: DataFrame, lines: DataFrame) -> DataFrame:
+    """Links between lines of one key that are of different components so far.
+
+    A key's lines go to one task, or, beyond TILE of them, tile by tile to a task for every two tiles.
+    """
+    members = stars.select("key", "id").unionByName(stars.select("key", F.col("head").alias("id"))).distinct()
+    led = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    apart = led.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    met = led.join(apart, "key").join(lines, "id").withColumn("t", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    dealt = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(F.xxhash64("key", F.least("t", "o"), F.greatest("t", "o")).alias("shard"), "id", "root", "line")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_cross, "a long, b long")
+
+
+def _cross(batches):
+    """Links between the lines of each shard; rows come sorted by shard."""
+    now, rows = None, []
+
+    def links():
+        pairs = _links_across(rows) if len({r[1] for r in rows}) > 1 else []
+        return pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "id", "root", "line")), strict=True):
+            if shard != now:
+                if (out := links()).num_rows:
+                    yield out
+                now, rows = shard, []
+            rows.append(row)
+    if (out := links()).num_rows:
+        yield out
+
+
+def _links_across(rows: list) -> list[tuple[int, int]]:
+    """Similar lines that join components. rows: (id, root, line).
+
+    Two lines' shingles are first compared as sets of BITS hashes: those differ in no more places than the lines differ
+    in shingles, and lines of J = 0.8 differ in a ninth of their shingles taken together at most. What passes is
+    compared exactly, unless it has been joined by then.
+    """
+    ids, lines = [r[0] for r in rows], [r[2] for r in rows]
+    at = {r: i for i, r in enumerate(dict.fromkeys(r[1] for r in rows))}
+    label = np.array([at[r[1]] for r in rows])
+    sizes = np.array([len(x) - SHINGLE + 1 for x in lines])
+    bits = np.zeros((len(rows), BITS), bool)
+    h, starts = shingle_hashes(lines)
+    of = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(h))))
+    bits[of, h & np.uint32(BITS - 1)] = True
+    packed = np.packbits(bits, axis=1).view(np.uint64)
+    out, sets = [], {}
+    most = (1 - SIMILARITY) / (1 + SIMILARITY)
+    for i in range(len(rows) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if len(j):
+            j = j[np.bitwise_count(packed[j] ^ packed[i]).sum(axis=1) <= most * (sizes[i] + sizes[j]) + 1e-9]
+        for k in j.tolist():
+            if label[k] != label[i]:
+                x, y = (sets.setdefault(n, _set(lines[n], SHINGLE)) for n in (i, k))
+                same = len(x & y)
+                if same >= SIMILARITY * (len(x) + len(y) - same):
+                    out.append((ids[i], ids[k]))
+                    label[label == label[k]] = label[i]
+    return out
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
