@@ -21,7 +21,7 @@ from .common import staged, unused
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 10, 4, 0.8
-TILE, BITS = 2048, 2048
+TILE, BITS, COARSE = 2048, 2048, 256
 BROADCAST_IDS = 1_000_000
 BLANK = " \t\n\x0b\x0c\r"
 _PARAMETERS = np.random.default_rng(20240613).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -155,15 +155,17 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     few = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda df: df)
     lines = staged(_occurrences(docs, key, text).select("id", "line").join(few(ids), "id", "left_semi").dropDuplicates(["id"]), "lines")
     good = _verified(first, lines)
-    roots = staged(components(good), "roots")
-    return components(good.unionByName(staged(_rest(stars, roots, lines), "rest")))
+    return components(good.unionByName(staged(_rest(stars, good, lines), "rest")))
 
 
-def _rest(stars: DataFrame, roots: DataFrame, lines: DataFrame) -> DataFrame:
-    """Links between lines of one key that are of different components so far.
+def _rest(stars: DataFrame, good: DataFrame, lines: DataFrame) -> DataFrame:
+    """Links between lines of one key that are not known to be joined: that do not lead to one line in two steps.
 
     A key's lines go to one task, or, beyond TILE of them, tile by tile to a task for every two tiles.
     """
+    one = staged(good.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "led")  # a line to its smallest
+    two = one.select(F.col("node").alias("root"), F.col("root").alias("further"))
+    roots = one.join(two, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
     members = stars.select("key", "id").unionByName(stars.select("key", F.col("head").alias("id"))).distinct()
     led = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     apart = led.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
@@ -207,12 +209,14 @@ def _links_across(rows: list) -> list[tuple[int, int]]:
     of = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(h))))
     bits[of, h & np.uint32(BITS - 1)] = True
     packed = np.packbits(bits, axis=1).view(np.uint64)
+    coarse = np.packbits(bits.reshape(len(rows), -1, COARSE).any(axis=1), axis=1).view(np.uint64)  # the same with fewer places
     out, sets = [], {}
     most = (1 - SIMILARITY) / (1 + SIMILARITY)
     for i in range(len(rows) - 1):
-        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        differ = np.bitwise_count(coarse[i + 1 :] ^ coarse[i]).sum(axis=1, dtype=np.int32)
+        j = i + 1 + np.flatnonzero((differ <= most * (sizes[i] + sizes[i + 1 :]) + 1e-9) & (label[i + 1 :] != label[i]))
         if len(j):
-            j = j[np.bitwise_count(packed[j] ^ packed[i]).sum(axis=1) <= most * (sizes[i] + sizes[j]) + 1e-9]
+            j = j[np.bitwise_count(packed[j] ^ packed[i]).sum(axis=1, dtype=np.int32) <= most * (sizes[i] + sizes[j]) + 1e-9]
         for k in j.tolist():
             if label[k] != label[i]:
                 x, y = (sets.setdefault(n, _set(lines[n], SHINGLE)) for n in (i, k))
