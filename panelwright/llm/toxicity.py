@@ -7,14 +7,15 @@ happens to have weighs little.
 A word's continuation count is the number of different words before it in a document, summed over documents, and a
 bigram counts once a document: one that repeats itself adds little, and the counts are plain sums.
 
-Counts cover all labelled training rows. The models keep the expressions (words, bigrams and stems) that toxic training rows
-have twice or more, at most `expressions` of each kind by count, so they have a bound and are broadcast; every other
-word has the same probability in both models, that of rare words. A document's evidence is the log-likelihood
+Counts cover all expressions (words, bigrams and stems) of all labelled training rows. They are a table in the shared
+folder, one row an expression, that grows with the input. To score, rows are dealt to chunks by a hash, the different expressions of
+each chunk are joined to the table by shuffle, and each chunk meets what was found for it: no task holds more than a
+chunk's counts, and a word that every text has is one row a chunk. A document's evidence is the log-likelihood
 ratio divided by its length, and the same over its most toxic window and its few most toxic words. A logistic regression,
 fitted to a bounded sample of training rows that were not counted, makes the score of them.
 
 Edge cases: null and empty texts are scored by the evidence of no word; equal rows each count and each get a row;
-without toxic training rows there are no expressions and all scores are alike; an empty table gives an empty
+without rows of both classes scores follow the calibration's share alone where all evidence is alike; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -27,7 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXPRESSIONS, SAMPLE, DISCOUNT = 1 << 18, 8_000, 0.75
+from .common import staged
+
+SAMPLE, DISCOUNT = 8_000, 0.75
+#: Rows of a chunk on average, and characters whose expressions a task counts at a time.
+CHUNK, PART = 256, 8_000_000
 BROADCAST_LABELS = 2_000_000
 #: Weights, in counts, of a word's backoff to its stem, of a stem's to what both classes share, of a bigram's to its word.
 SHARED, STEMS, BACKOFF = 4.0, 4.0, 1000.0
@@ -73,129 +78,82 @@ def _mixed(left: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _MIX
 
 
-def _seen(batches):
-    """(kind, h, n): in how many toxic documents words (0), bigrams (1) and stems (2) are."""
-    for b in batches:
-        for s in range(0, b.num_rows, 512):
-            hs = [_hashes.of(t) for t in b.column("t").slice(s, 512).to_pylist()]
-            for kind, parts in enumerate(([np.unique(h) for h, _ in hs], [np.unique(_pairs(h)) for h, _ in hs], [np.unique(x) for _, x in hs])):
-                u, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
-                yield pa.record_batch([pa.array(np.full(len(u), kind, np.int32)), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "h", "n"])
+#: Under this hash the table has the sums of all bigrams, each once a document.
+ALL = 0
+
 
+def _own(h: np.ndarray, x: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """A text's own counts, (hashes, n) of its bigrams, continuations of words and of stems, and as left neighbours."""
+    p, at = np.unique(_pairs(h), return_index=True)  # each bigram once a document
+    parts = [(p, np.ones(len(p), np.int64)), np.unique(h[at], return_counts=True), np.unique(x[at], return_counts=True)]
+    return (np.concatenate([u for u, _ in parts]), np.concatenate([n for _, n in parts])), np.unique(h[at[at > 0] - 1], return_counts=True)
 
-#: Counts of the models, each bigram once a document: of a bigram; of a word's continuations; of a word as left
-#: neighbour; of a stem's continuations; and under index 0 of all words' continuations.
-BIGRAM, CONTINUED, LEFT, STEMMED, ALL = range(5)
 
+def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    u, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]), return_inverse=True)
+    return u, np.bincount(back, np.concatenate([np.zeros(0), *(n for _, n in parts)]), len(u)).astype(np.int64)
 
-def _find(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Index of each hash, or -1."""
-    if not len(sorted_hashes):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)
-    return np.where(sorted_hashes[at] == h, at, -1)
 
+def _parts(sizes: np.ndarray):
+    """Slices (start, length) of some characters each."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        upto = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART, "right")))
+        yield start, upto - start
+        start = upto
 
-def _counted(batches, words: np.ndarray, bigrams: np.ndarray, stems: np.ndarray):
-    """(kind, i, toxic, n) summed over some documents at a time."""
+
+def _counted(batches):
+    """(toxic, h, n, l) summed over some documents at a time; l counts words as left neighbours."""
     for b in batches:
-        for s in range(0, b.num_rows, 512):
-            part = b.slice(s, 512)
-            toxic = part.column("y").to_numpy()
+        toxic, texts = b.column("y").to_numpy(), b.column("t")
+        for start, length in _parts(np.array([len(t.as_py()) for t in texts], np.int64)):
             for c in (0, 1):
-                sums = {k: [] for k in range(5)}
-                for t in part.column("t").filter(pa.array(toxic == c)).to_pylist():
-                    h, x = _hashes.of(t)
-                    p = _pairs(h)
-                    w = _find(words, h)
-                    different = np.unique(p, return_index=True)[1]  # each bigram once a document
-                    left = np.concatenate([[-1], w[:-1]]) if len(w) else w
-                    for k, i in ((BIGRAM, _find(bigrams, p[different])), (CONTINUED, w[different]), (LEFT, left[different]), (STEMMED, _find(stems, x[different]))):
-                        sums[k].append(i[i >= 0])
-                    sums[ALL].append(np.zeros(len(different), np.int64))
-                for k, parts in sums.items():
-                    u, n = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
-                    yield pa.record_batch([pa.array(np.full(len(u), k, np.int32)), pa.array(u.astype(np.int32)), pa.array(np.full(len(u), c, np.int32)), pa.array(n.astype(np.int64))], ["kind", "i", "toxic", "n"])
-
-
-class _Known:
-    """Hash and places in the models of each word met, so that a word is looked up once."""
-
-    def __init__(self, words: np.ndarray, stems: np.ndarray, limit: int = 500_000):
-        self.words, self.stems, self.limit = words, stems, limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids, self.table = {}, [np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)]
-
-    def of(self, text: str) -> tuple[np.ndarray, ...]:
-        """Numbers, hashes, places among words and among stems of a text's words."""
-        found = WORDS.findall(text.lower())
-        try:
-            at = [self.ids[w] for w in found]
-        except KeyError:
-            import xxhash
-
-            if len(self.ids) > self.limit:
-                self.clear()
-            new, n = [w for w in dict.fromkeys(found) if w not in self.ids], len(self.ids)
-            while n + len(new) > len(self.table[0]):
-                self.table = [np.concatenate([t, np.zeros_like(t)]) for t in self.table]
-            h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 9) for w in new], np.uint64)
-            x = np.array([xxhash.xxh64_intdigest(w[:STEM].encode("utf-8", "replace"), 10) for w in new], np.uint64)
-            for t, v in zip(self.table, (h, _find(self.words, h), _find(self.stems, x)), strict=True):
-                t[n : n + len(new)] = v
-            self.ids.update(zip(new, range(n, n + len(new)), strict=True))
-            at = [self.ids[w] for w in found]
-        at = np.array(at, np.int64)
-        return (at, *(t[at] for t in self.table))
+                own = [_own(*_hashes.of(t)) for t in texts.slice(start, length).filter(pa.array(toxic[start : start + length] == c)).to_pylist()]
+                if own:
+                    u, n = _sums([o for o, _ in own])
+                    v, l = _sums([o for _, o in own])
+                    left = np.zeros(len(u), np.int64)
+                    left[np.searchsorted(u, v)] = l  # a left neighbour is a word after another or after the start
+                    bigrams = sum(int(n.sum()) for (_, n), _ in own) // 3  # bigrams, continuations of words and of stems
+                    yield pa.record_batch([pa.array(np.full(len(u) + 1, c, np.int32)), pa.array(np.append(u, np.uint64(ALL)).view(np.int64)), pa.array(np.append(n, bigrams)), pa.array(np.append(left, 0))], ["toxic", "h", "n", "l"])
 
 
 class Models:
-    """Both classes' models over the expressions kept."""
-
-    def __init__(self, words: np.ndarray, bigrams: np.ndarray, stems: np.ndarray, counts: np.ndarray, discount: float = DISCOUNT):
-        """counts: rows (kind, i, toxic, n)."""
-        self.words, self.bigrams, self.stems, self.d = words, bigrams, stems, discount
-        sizes = {BIGRAM: len(bigrams), CONTINUED: len(words), LEFT: len(words), STEMMED: len(stems), ALL: 1}
-        c = {k: np.zeros((2, n)) for k, n in sizes.items()}
-        for kind in range(5):
-            at = counts[:, 0] == kind
-            np.add.at(c[kind], (counts[at, 2], counts[at, 1]), counts[at, 3])
-        self.c, self.known = c, None
-        self.share = np.maximum(c[ALL][:, 0], 1.0) / np.maximum(c[ALL][:, 0], 1.0).sum()
-        # By stem, the share of each class relative to its size, drawn towards 1.
-        self.stem = (c[STEMMED] + STEMS * self.share[:, None]) / (c[STEMMED].sum(axis=0) + STEMS) / self.share[:, None]
+    """Both classes' models over some expressions. counts: for each hash n and l of class 0, then of class 1."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, totals, discount: float = DISCOUNT):
+        self.h, at = np.unique(hashes, return_index=True)
+        # The last row is that of expressions without counts.
+        self.c = np.concatenate([counts[at].astype(float), np.zeros((1, 4))])
+        self.totals, self.d = np.array(totals, float), discount
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, at, -1)
 
     def ratios(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood ratio of each word, toxic against ordinary, and a number for each word that equal words share."""
-        if self.known is None:
-            self.known = _Known(self.words, self.stems)
-        ids, h, w, stem = self.known.of(text)
-        out = np.zeros(len(h))
-        at = np.flatnonzero((w >= 0) | (stem >= 0))
-        if not len(at):
-            return out, ids
-        left = np.concatenate([[-1], w[:-1]])[at]
-        w, stem = w[at], stem[at]
-        b = np.full(len(at), -1)
-        pairs = np.flatnonzero((w >= 0) & (left >= 0))
-        before = np.concatenate([[np.uint64(1)], h[:-1]])[at[pairs]]
-        b[pairs] = _find(self.bigrams, _mixed(before, h[at[pairs]]))
-        get = lambda a, i, none=0.0: np.where(i >= 0, a[np.maximum(i, 0)], none) if len(a) else np.full(len(i), none)
-        k = np.stack([get(self.c[CONTINUED][cls], w) for cls in (0, 1)])
+        """Log-likelihood ratio of each word, toxic against ordinary, and the words' hashes."""
+        h, x = _hashes.of(text)
+        if not len(h):
+            return np.zeros(0), h
+        p, all_ = _pairs(h), self.totals
+        w, back = np.unique(h, return_inverse=True)
+        at = self._find(w)[back]
+        k, stem, two = self.c[at][:, ::2].T, self.c[self._find(x)][:, ::2].T, self.c[self._find(p)][:, ::2].T
+        n = np.concatenate([np.zeros((1, 2)), self.c[at[:-1]][:, 1::2]]).T  # nothing is to the left of the first word
+        share = np.maximum(all_, 1.0) / np.maximum(all_, 1.0).sum()
+        # By stem, the share of each class relative to its size, drawn towards 1.
+        stem = (stem + STEMS * share[:, None]) / (stem.sum(axis=0) + STEMS) / share[:, None]
         # What both classes' discounts free of a word, and some more, goes back to both by their stem's shares.
-        shared = np.minimum(k, self.d).sum(axis=0) + SHARED
-        log = []
-        for cls in (0, 1):
-            p = np.maximum(k[cls] - self.d, 0) / self.share[cls] + shared * get(self.stem[cls], stem, 1.0)
-            n = get(self.c[LEFT][cls], left)
-            first = np.maximum(np.where(n > 0, get(self.c[BIGRAM][cls], b), 0) - self.d, 0)
-            total = self.c[ALL].sum() + 1
-            # What is not kept of the neighbour's bigrams belongs to the backoff.
-            log.append(np.log((first + (n - first + BACKOFF) * p / total) / (n + BACKOFF)))
-        out[at] = log[1] - log[0]
-        return out, ids
+        shared, total = np.minimum(k, self.d).sum(axis=0) + SHARED, all_.sum() + 1
+        q = np.maximum(k - self.d, 0) / share[:, None] + shared * stem
+        first = np.maximum(np.where(n > 0, two, 0) - self.d, 0)
+        # What the discount frees of the neighbour's bigrams belongs to the backoff.
+        log = np.log((first + (n - first + BACKOFF) * q / total) / (n + BACKOFF))
+        return log[1] - log[0], h
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Of each text: the ratio by length, that of its most toxic window, and the mean ratios of its few most toxic words."""
@@ -231,44 +189,63 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip(self._z(x) @ self.b, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", keep=None, expressions: int = EXPRESSIONS, sample: int = SAMPLE) -> tuple[Models, Calibration]:
-    """Counts over all labelled rows that `keep` holds for, but one in five, from which the calibration is sampled."""
+def _expressions(batches):
+    """(chunk, h): the different expressions of each chunk's texts in a batch."""
+    for b in batches:
+        chunk = b.column("chunk").to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1) if len(order) else ():
+            parts = [np.zeros(0, np.uint64)]
+            for t in b.column("t").take(pa.array(at)).to_pylist():
+                h, x = _hashes.of(t)
+                parts += [np.unique(np.concatenate([h, x, _pairs(h)]))]
+            u = np.unique(np.concatenate(parts))
+            yield pa.record_batch([pa.array(np.full(len(u), chunk[at[0]], np.int32)), pa.array(u.view(np.int64))], ["chunk", "h"])
+
+
+def _by_chunk(rows: DataFrame, n: int, counts: DataFrame, totals: list[int], work, schema: str) -> DataFrame:
+    """work(models, rows) for each chunk of the n rows (t and others), with models that have the counts of its expressions."""
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, -(-n // CHUNK)))).cast("int"))
+    found = dealt.select("chunk", "t").mapInArrow(_expressions, "chunk int, h long").join(counts, "h").select("chunk", "h", "n0", "l0", "n1", "l1")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = np.stack([right.column(x).to_numpy() for x in ("n0", "l0", "n1", "l1")], axis=1)
+        return work(Models(right.column("h").to_numpy().view(np.uint64), c, totals), left)
+
+    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(meet, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", keep=None, sample: int = SAMPLE) -> tuple[DataFrame, list[int], Calibration]:
+    """Counts of all expressions (h, n0, l0, n1, l1) over all labelled rows that `keep` holds for but one in five, their sums, and the calibration."""
     from .quality_fm import labelled_sample
 
-    spark = docs.sparkSession
     keep = F.lit(True) if keep is None else keep
     aside = F.pmod(F.xxhash64(F.lit("aside"), F.col(key)), F.lit(5)) == 0
     own = labels.filter(keep & ~aside & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("of"), F.col(label).cast("int").alias("y"))
     if own.count() <= BROADCAST_LABELS:
         own = F.broadcast(own)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(own, F.col("k") == F.col("of")).select("t", "y")
-    seen = rows.filter("y = 1").select("t").mapInArrow(_seen, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).filter("n >= 2").persist()
-    kept = [np.sort(seen.filter(F.col("kind") == k).orderBy(F.desc("n"), "h").limit(expressions).toArrow().column("h").to_numpy().view(np.uint64)) for k in (0, 1, 2)]
-    seen.unpersist()
-    shared = spark.sparkContext.broadcast(kept)  # three times `expressions` longs at most
-    sums = rows.mapInArrow(lambda batches: _counted(batches, *shared.value), "kind int, i int, toxic int, n long").groupBy("kind", "i", "toxic").agg(F.sum("n").alias("n")).toArrow()
-    models = Models(*kept, np.stack([sums.column(c).to_numpy().astype(np.int64) for c in ("kind", "i", "toxic", "n")], axis=1))
-    shared_models = spark.sparkContext.broadcast(models)
-    held = labelled_sample(docs, labels, key, text, label, keep & aside, sample)
+    of = lambda c, n: F.sum(F.when(F.col("toxic") == c, F.col(n)).otherwise(0))
+    counts = staged(rows.mapInArrow(_counted, "toxic int, h long, n long, l long").groupBy("h").agg(of(0, "n").alias("n0"), of(0, "l").alias("l0"), of(1, "n").alias("n1"), of(1, "l").alias("l1")), "expressions")
+    sums = counts.filter(F.col("h") == ALL).first()
+    totals = [sums["n0"], sums["n1"]] if sums else [0, 0]
 
-    def evidence(batches):
-        for b in batches:
-            x = shared_models.value.evidence(b.column("t").to_pylist())
-            yield pa.record_batch([b.column("order"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["order", "y", "x"])
+    def evidence(models: Models, part: pa.Table) -> pa.Table:
+        x = models.evidence(part.column("t").to_pylist())
+        return pa.table({"order": part.column("order"), "y": part.column("y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    got = held.mapInArrow(evidence, "order long, y double, x array<double>").toArrow().sort_by("order")
+    held = labelled_sample(docs, labels, key, text, label, keep & aside, sample)
+    got = _by_chunk(held, sample, counts, totals, evidence, "order long, y double, x array<double>").toArrow().sort_by("order")
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, EVIDENCE)
-    return models, Calibration(x, got.column("y").to_numpy())
+    return counts, totals, Calibration(x, got.column("y").to_numpy())
 
 
-def score(docs: DataFrame, fitted: tuple[Models, Calibration], key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, fitted: tuple[DataFrame, list[int], Calibration], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row."""
-    kind, shared = docs.schema[key].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(fitted)
+    kind, (counts, totals, calibration) = docs.schema[key].dataType.simpleString(), fitted
 
-    def work(batches):
-        models, calibration = shared.value
-        for b in batches:
-            scores = [calibration.scores(models.evidence(b.column("t").slice(s, 256).to_pylist())) for s in range(0, b.num_rows, 256)]
-            yield pa.record_batch([b.column("k"), pa.array(np.concatenate(scores or [np.zeros(0)]))], ["k", "score"])
+    def work(models: Models, part: pa.Table) -> pa.Table:
+        return pa.table({"k": part.column("k"), "score": pa.array(calibration.scores(models.evidence(part.column("t").to_pylist())))})
 
-    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(work, f"k {kind}, score double").withColumnRenamed("k", key)
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return _by_chunk(rows, docs.count(), counts, totals, work, f"k {kind}, score double").withColumnRenamed("k", key)

@@ -279,6 +279,28 @@ def test_models_of_odd_rows(spark, odd):
             assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_toxicity_counts_every_expression(spark):
+    texts = [f"common only{i} tail{i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    aside = {r[0] for r in df.filter("pmod(xxhash64('aside', doc_id), 5) = 0").select("doc_id").collect()}
+    counts, totals, _ = toxicity.fit(df, labels)
+    got = {r["h"] & (2**64 - 1): (r["n0"], r["l0"], r["n1"], r["l1"]) for r in counts.collect()}
+    want = Counter()
+    for i, t in enumerate(texts):
+        if i in aside:
+            continue
+        h, x = toxicity._hashes.of(t)
+        for a, b in zip(toxicity._pairs(h).tolist(), range(3), strict=True):
+            want[a, 2 * (i % 2)] += 1
+            want[int(h[b]), 2 * (i % 2)] += 1
+            want[int(x[b]), 2 * (i % 2)] += 1
+            want[0, 2 * (i % 2)] += 1
+            if b:
+                want[int(h[b - 1]), 2 * (i % 2) + 1] += 1
+    assert got == {h: tuple(want[h, c] for c in range(4)) for h, _ in want} and sum(totals) == 3 * (40 - len(aside))
+
+
 def test_linear_time_identity():
     m = quality_fm.Machine()
     m.v = np.random.default_rng(1).normal(size=m.v.shape)
