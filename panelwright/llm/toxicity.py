@@ -12,7 +12,7 @@ folder, one row an expression, that grows with the input. To score, rows are dea
 each chunk are joined to the table by shuffle, and each chunk meets what was found for it: no task holds more than a
 chunk's counts, and a word that every text has is one row a chunk. A document's evidence is the log-likelihood
 ratio divided by its length, and the same over its most toxic window and its few most toxic words. A logistic regression,
-fitted to a bounded sample of training rows that were not counted, makes the score of them.
+fitted to a bounded sample of training rows, each without its own counts, makes the score of them.
 
 Edge cases: null and empty texts are scored by the evidence of no word; equal rows each count and each get a row;
 without rows of both classes scores follow the calibration's share alone where all evidence is alike; an empty table gives an empty
@@ -134,16 +134,26 @@ class Models:
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         return np.where(self.h[at] == h, at, -1)
 
-    def ratios(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood ratio of each word, toxic against ordinary, and the words' hashes."""
+    def ratios(self, text: str, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood ratio of each word, toxic against ordinary, and the words' hashes; without the counts that the text itself adds to class `own`."""
         h, x = _hashes.of(text)
         if not len(h):
             return np.zeros(0), h
-        p, all_ = _pairs(h), self.totals
+        p, all_ = _pairs(h), self.totals.copy()
         w, back = np.unique(h, return_inverse=True)
         at = self._find(w)[back]
         k, stem, two = self.c[at][:, ::2].T, self.c[self._find(x)][:, ::2].T, self.c[self._find(p)][:, ::2].T
         n = np.concatenate([np.zeros((1, 2)), self.c[at[:-1]][:, 1::2]]).T  # nothing is to the left of the first word
+        k, stem, two, n = k.copy(), stem.copy(), two.copy(), n.copy()
+        if own is not None:
+            (u, c), (v, l) = _own(h, x)
+            u, c = _sums([(u, c)])
+            k[own] -= c[np.searchsorted(u, h)]
+            stem[own] -= c[np.searchsorted(u, x)]
+            two[own] -= 1
+            all_[own] -= len(np.unique(p))
+            if len(v):
+                n[own, 1:] -= l[np.searchsorted(v, h[:-1])]
         share = np.maximum(all_, 1.0) / np.maximum(all_, 1.0).sum()
         # By stem, the share of each class relative to its size, drawn towards 1.
         stem = (stem + STEMS * share[:, None]) / (stem.sum(axis=0) + STEMS) / share[:, None]
@@ -155,11 +165,11 @@ class Models:
         log = np.log((first + (n - first + BACKOFF) * q / total) / (n + BACKOFF))
         return log[1] - log[0], h
 
-    def evidence(self, texts: list[str]) -> np.ndarray:
+    def evidence(self, texts: list[str], own: list[int] | None = None) -> np.ndarray:
         """Of each text: the ratio by length, that of its most toxic window, and the mean ratios of its few most toxic words."""
         out = np.zeros((len(texts), EVIDENCE))
         for j, t in enumerate(texts):
-            r, ids = self.ratios(t)
+            r, ids = self.ratios(t, None if own is None else own[j])
             if len(r):
                 sums, m = np.concatenate([[0], np.cumsum(r)]), min(WINDOW, len(r))
                 top = np.zeros(TOP)
@@ -216,12 +226,11 @@ def _by_chunk(rows: DataFrame, n: int, counts: DataFrame, totals: list[int], wor
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", keep=None, sample: int = SAMPLE) -> tuple[DataFrame, list[int], Calibration]:
-    """Counts of all expressions (h, n0, l0, n1, l1) over all labelled rows that `keep` holds for but one in five, their sums, and the calibration."""
+    """Counts of all expressions (h, n0, l0, n1, l1) over all labelled rows that `keep` holds for, their sums, and the calibration."""
     from .quality_fm import labelled_sample
 
     keep = F.lit(True) if keep is None else keep
-    aside = F.pmod(F.xxhash64(F.lit("aside"), F.col(key)), F.lit(5)) == 0
-    own = labels.filter(keep & ~aside & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("of"), F.col(label).cast("int").alias("y"))
+    own = labels.filter(keep & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("of"), F.col(label).cast("int").alias("y"))
     if own.count() <= BROADCAST_LABELS:
         own = F.broadcast(own)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(own, F.col("k") == F.col("of")).select("t", "y")
@@ -231,10 +240,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     totals = [sums["n0"], sums["n1"]] if sums else [0, 0]
 
     def evidence(models: Models, part: pa.Table) -> pa.Table:
-        x = models.evidence(part.column("t").to_pylist())
+        x = models.evidence(part.column("t").to_pylist(), [int(y) for y in part.column("y").to_pylist()])
         return pa.table({"order": part.column("order"), "y": part.column("y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    held = labelled_sample(docs, labels, key, text, label, keep & aside, sample)
+    held = labelled_sample(docs, labels, key, text, label, keep, sample)
     got = _by_chunk(held, sample, counts, totals, evidence, "order long, y double, x array<double>").toArrow().sort_by("order")
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, EVIDENCE)
     return counts, totals, Calibration(x, got.column("y").to_numpy())

@@ -279,17 +279,14 @@ def test_models_of_odd_rows(spark, odd):
             assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
 
 
-def test_toxicity_counts_every_expression(spark):
+def test_toxicity_counts_every_expression_of_every_training_row(spark):
     texts = [f"common only{i} tail{i}" for i in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
-    aside = {r[0] for r in df.filter("pmod(xxhash64('aside', doc_id), 5) = 0").select("doc_id").collect()}
     counts, totals, _ = toxicity.fit(df, labels)
     got = {r["h"] & (2**64 - 1): (r["n0"], r["l0"], r["n1"], r["l1"]) for r in counts.collect()}
     want = Counter()
     for i, t in enumerate(texts):
-        if i in aside:
-            continue
         h, x = toxicity._hashes.of(t)
         for a, b in zip(toxicity._pairs(h).tolist(), range(3), strict=True):
             want[a, 2 * (i % 2)] += 1
@@ -298,7 +295,21 @@ def test_toxicity_counts_every_expression(spark):
             want[0, 2 * (i % 2)] += 1
             if b:
                 want[int(h[b - 1]), 2 * (i % 2) + 1] += 1
-    assert got == {h: tuple(want[h, c] for c in range(4)) for h, _ in want} and sum(totals) == 3 * (40 - len(aside))
+    assert got == {h: tuple(want[h, c] for c in range(4)) for h, _ in want} and totals == [60, 60]
+
+
+def test_toxicity_calibrates_a_row_without_its_own_counts(spark):
+    texts = ["a b a b c", "b c d", "a b e", "x y"]
+    df, labels = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [(0, 1), (1, 0), (2, 1), (3, 0)]
+
+    def models(some):
+        counts, totals, _ = toxicity.fit(df, spark.createDataFrame(some, "doc_id long, toxic int"))
+        rows = counts.collect()
+        return toxicity.Models(np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([[r[c] for c in ("n0", "l0", "n1", "l1")] for r in rows]), totals)
+
+    whole = models(labels)
+    for i, y in labels:
+        assert whole.ratios(texts[i], y)[0] == pytest.approx(models([r for r in labels if r[0] != i]).ratios(texts[i])[0])
 
 
 def test_linear_time_identity():
