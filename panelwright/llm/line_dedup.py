@@ -27,31 +27,31 @@ BLANK = " \t\n\x0b\x0c\r"
 _PARAMETERS = np.random.default_rng(20240613).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all shingles, and where each line's begin; lines have SHINGLE characters at least.
+def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all shingles, and where each line's begin; lines have `size` characters at least.
 
     A line has as many hashes as characters, but for the last one: those of its last places repeat its first.
     """
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = np.zeros(len(codes) - SHINGLE + 1, np.uint32)
-    for i in range(SHINGLE):
+    h = np.zeros(len(codes) - size + 1, np.uint32)
+    for i in range(size):
         h *= np.uint32(0x01000193)
-        h ^= codes[i : len(codes) - SHINGLE + 1 + i] * np.uint32(0x9E3779B1)
+        h ^= codes[i : len(codes) - size + 1 + i] * np.uint32(0x9E3779B1)
     # A line's last places begin shingles that reach into the next one: they take the line's first hash.
     starts = np.cumsum(sizes) - sizes
-    tail = (np.arange(1, SHINGLE)[None, :] + (starts + sizes - SHINGLE)[:, None]).ravel()
+    tail = (np.arange(1, size)[None, :] + (starts + sizes - size)[:, None]).ravel()
     inside = tail < len(h)
-    h[tail[inside]] = np.repeat(h[starts], SHINGLE - 1)[inside]
+    h[tail[inside]] = np.repeat(h[starts], size - 1)[inside]
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(13)
     return h, starts
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """BANDS keys of each line; lines have SHINGLE characters at least."""
-    h, starts = shingle_hashes(lines)
+def band_keys(lines: list[str], size: int = SHINGLE) -> np.ndarray:
+    """BANDS keys of each line; lines have `size` characters at least."""
+    h, starts = shingle_hashes(lines, size)
     keys, step = np.empty((len(lines), BANDS), np.uint64), np.empty_like(h)
     for band in range(BANDS):
         key = np.full(len(lines), band + 1, np.uint64)
@@ -63,20 +63,20 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return keys
 
 
-def _band_rows(batches):
+def _band_rows(batches, shingle: int = SHINGLE):
     import xxhash
 
     seen: set = set()  # saves work and rows for equal lines; what it forgets only costs them
 
     def rows(lines, ids):
-        keys = band_keys(lines)
+        keys = band_keys(lines, shingle)
         return pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.array(ids, np.uint64).view(np.int64), BANDS))], ["key", "id"])
 
     for b in batches:
         lines, ids, size = [], [], 0
         for t in b.column("t"):
             for line in t.as_py().split("\n"):
-                if len(line) >= SHINGLE and line.strip(BLANK):
+                if len(line) >= shingle and line.strip(BLANK):
                     i = xxhash.xxh64_intdigest(line.encode(), 42)
                     if i not in seen:
                         seen.add(i)
@@ -118,7 +118,7 @@ def _set(line: str, size: int) -> set:
     return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(a, b) of the pairs whose lines are similar."""
 
     def alike(batches):
@@ -126,9 +126,9 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             ok, was, x = [], None, set()
             for i, s, t in zip(b.column("a").to_pylist(), b.column("s"), b.column("t"), strict=True):
                 if i != was:
-                    was, x = i, _set(s.as_py(), SHINGLE)
+                    was, x = i, _set(s.as_py(), size)
                 t = t.as_py()
-                y = _set(t, SHINGLE) if len(t) - SHINGLE + 1 >= SIMILARITY * len(x) else set()  # else too short
+                y = _set(t, size) if len(t) - size + 1 >= SIMILARITY * len(x) else set()  # else too short
                 same = len(x & y)
                 ok.append(same >= SIMILARITY * (len(x) + len(y) - same))
             mask = pa.array(ok, pa.bool_())
@@ -145,20 +145,20 @@ def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.filter(F.col("line").rlike("[^ \\t-\\r]")).withColumn("id", F.xxhash64("line"))
 
 
-def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, root): the component of every line id that is similar to another."""
+def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(node, root): the component of every line id that is similar to another by shingles of `size` characters."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    bands = texts.mapInArrow(_band_rows, "key long, id long").repartition("key").sortWithinPartitions("key", "id")
+    bands = texts.mapInArrow(lambda batches: _band_rows(batches, size), "key long, id long").repartition("key").sortWithinPartitions("key", "id")
     stars = staged(bands.mapInArrow(_stars, "key long, head long, id long"), "stars")
     first = staged(stars.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "first")
     ids = staged(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     few = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda df: df)
     lines = staged(_occurrences(docs, key, text).select("id", "line").join(few(ids), "id", "left_semi").dropDuplicates(["id"]), "lines")
-    good = _verified(first, lines)
-    return components(good.unionByName(staged(_rest(stars, good, lines), "rest")))
+    good = _verified(first, lines, size)
+    return components(good.unionByName(staged(_rest(stars, good, lines, size), "rest")))
 
 
-def _rest(stars: DataFrame, good: DataFrame, lines: DataFrame) -> DataFrame:
+def _rest(stars: DataFrame, good: DataFrame, lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Links between lines of one key that are not known to be joined: that do not lead to one line in two steps.
 
     A key's lines go to one task, or, beyond TILE of them, tile by tile to a task for every two tiles.
@@ -171,15 +171,15 @@ def _rest(stars: DataFrame, good: DataFrame, lines: DataFrame) -> DataFrame:
     apart = led.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     met = led.join(apart, "key").join(lines, "id").withColumn("t", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
     dealt = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(F.xxhash64("key", F.least("t", "o"), F.greatest("t", "o")).alias("shard"), "id", "root", "line")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_cross, "a long, b long")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _cross(batches, size), "a long, b long")
 
 
-def _cross(batches):
+def _cross(batches, size: int = SHINGLE):
     """Links between the lines of each shard; rows come sorted by shard."""
     now, rows = None, []
 
     def links():
-        pairs = _links_across(rows) if len({r[1] for r in rows}) > 1 else []
+        pairs = _links_across(rows, size) if len({r[1] for r in rows}) > 1 else []
         return pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
     for batch in batches:
@@ -193,7 +193,7 @@ def _cross(batches):
         yield out
 
 
-def _links_across(rows: list) -> list[tuple[int, int]]:
+def _links_across(rows: list, size: int = SHINGLE) -> list[tuple[int, int]]:
     """Similar lines that join components. rows: (id, root, line).
 
     Two lines' shingles are first compared as sets of BITS hashes: those differ in no more places than the lines differ
@@ -203,9 +203,9 @@ def _links_across(rows: list) -> list[tuple[int, int]]:
     ids, lines = [r[0] for r in rows], [r[2] for r in rows]
     at = {r: i for i, r in enumerate(dict.fromkeys(r[1] for r in rows))}
     label = np.array([at[r[1]] for r in rows])
-    sizes = np.array([len(x) - SHINGLE + 1 for x in lines])
+    sizes = np.array([len(x) - size + 1 for x in lines])
     bits = np.zeros((len(rows), BITS), bool)
-    h, starts = shingle_hashes(lines)
+    h, starts = shingle_hashes(lines, size)
     of = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(h))))
     bits[of, h & np.uint32(BITS - 1)] = True
     packed = np.packbits(bits, axis=1).view(np.uint64)
@@ -219,7 +219,7 @@ def _links_across(rows: list) -> list[tuple[int, int]]:
             j = j[np.bitwise_count(packed[j] ^ packed[i]).sum(axis=1, dtype=np.int32) <= most * (sizes[i] + sizes[j]) + 1e-9]
         for k in j.tolist():
             if label[k] != label[i]:
-                x, y = (sets.setdefault(n, _set(lines[n], SHINGLE)) for n in (i, k))
+                x, y = (sets.setdefault(n, _set(lines[n], size)) for n in (i, k))
                 same = len(x & y)
                 if same >= SIMILARITY * (len(x) + len(y) - same):
                     out.append((ids[i], ids[k]))

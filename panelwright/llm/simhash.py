@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, unused
 from .components import components, forest
+from .line_dedup import similar_lines
 
 CROWD = 4096
 LEAF = 512
@@ -219,9 +220,49 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     return base.join(ids, base["fp"] == ids["of"]).select(base[key], base["fp"], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """docs without the rows whose group has a smaller key; of rows equal in key and text one stays, null keys all do."""
-    kept = groups(docs, key, text, shingle, radius)
+class _Letters(dict):
+    """A character for each word, by 20 bits of its hash."""
+
+    def __missing__(self, word: bytes) -> str:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = c = chr(0x10000 + (xxhash.xxh64_intdigest(word, 11) & 0xFFFFF))
+        return c
+
+
+_letters = _Letters()
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """(key, component_id) of every row: component_id is the smallest key that links reach. Texts are linked whose word shingles have a Jaccard similarity of 0.8 or more.
+
+    Texts at 0.8 differ in some ten of 64 SimHash bits, and often more, for which no number of blocks is selective:
+    candidates share a MinHash band instead, and all that could join components are compared shingle by shingle. With a
+    character for each word a text is a line, so line dedup's bands and comparisons serve. Two different words have one
+    character with a probability of 2^-20.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def lettered(batches):
+        for b in batches:
+            lines = ["".join(map(_letters.__getitem__, t.as_py().lower().split())) for t in b.column("t").cast(pa.large_binary())]
+            yield pa.record_batch([b.column("k"), pa.array(lines, pa.string())], ["k", "t"])
+
+    base = staged(docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(lettered, f"k {kind}, t string"), "lettered")
+    roots = staged(similar_lines(base, "k", "t", shingle), "roots")
+    ids = base.select("k", F.xxhash64("t").alias("id"))
+    least = ids.groupBy("id").agg(F.min("k").alias("least")).join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    least = staged(least, "led")
+    heads = least.groupBy("root").agg(F.min("least").alias("head"))
+    led = least.join(heads, "root").select(F.col("id").alias("of"), F.col("head").alias("component_id"))
+    return ids.join(led, F.col("id") == F.col("of")).select(F.col("k").alias(key), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """docs without the rows whose group of near copies has a smaller key; of rows equal in key and text one stays, null keys all do."""
+    kept = staged(near_copies(docs, key, text, shingle), "near_copies")
     gone = unused(docs, "gone_key")
     out = kept.filter(F.col(key) > F.col("component_id")).select(F.col(key).alias(gone)).distinct()
     left = docs.join(out, docs[key] == out[gone], "left_anti")

@@ -443,6 +443,22 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] or 0) for r in simhash.one_of_each(df).collect()) == [0, 1, 9]
 
 
+def test_one_of_each_takes_near_copies_from_a_similarity_of_08(spark):
+    rng, rows, pairs = np.random.default_rng(4), [], {}
+    for n, changed in ((500, 4), (240, 2), (100, 1), (200, 3), (200, 6), (200, 9), (12, 3)):
+        for _ in range(12):
+            one = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+            two = list(one)
+            for i in rng.choice(n, changed, replace=False):
+                two[i] = f"v{rng.integers(0, 10**6)}"
+            x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, two))
+            pairs[len(rows), len(rows) + 1] = len(x & y) / len(x | y)
+            rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two).upper())]
+    stay = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert any(0.8 <= s < 0.9 for s in pairs.values()) and any(0.6 < s < 0.8 for s in pairs.values())
+    assert all(a in stay for a, _ in pairs) and all((b in stay) == (s < 0.8) for (_, b), s in pairs.items())
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(500, 500), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
