@@ -119,10 +119,25 @@ def best_alignment(p: DataFrame, by: str, candidate: str, value: str) -> DataFra
     return c.groupBy(by).agg(F.min(candidate).alias(candidate), F.first("best").alias(value))
 
 
-def agreement_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+def pooled_ranks(df: DataFrame, col: str, values: int = 100_000) -> DataFrame:
+    """(col, rank): the average rank of each value among all rows. Values are dealt by range, about `values` to a task."""
+    counts = df.groupBy(col).agg(F.count("*").alias("n"))
+    k = counts.count() // values + 1
+    bounds = counts.approxQuantile(col, [i / k for i in range(1, k)], 0.2 / k) if k > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(col))) if bounds else F.lit(0)
+    dealt = counts.withColumn("part", part)
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    offsets = dealt.groupBy("part").agg(F.sum("n").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("part").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return placed.join(F.broadcast(offsets), "part").select(col, (F.col("offset") + F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def agreement_matrix(df: DataFrame, cols: list[str], values: int = 100_000) -> DataFrame:
     """(a, b, corr) of average ranks for every two columns, in one aggregation over rows that have all."""
-    full = df.dropna(subset=cols).withColumn("_all", F.lit(0))
-    ranked = full.select(*(average_rank(c, ["_all"]).alias(c) for c in cols))
+    ranked = df.dropna(subset=cols).select(*(F.col(c).cast("double").alias(c) for c in cols))
+    for c, ranks in [(c, pooled_ranks(ranked, c, values)) for c in cols]:
+        ranked = ranked.join(ranks.withColumnRenamed(c, "_v"), F.col(c) == F.col("_v")).withColumn(c, F.col("rank")).drop("_v", "rank")
     two = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     one = ranked.agg(*(correlation(a, b).alias(f"{a}|{b}") for a, b in two))
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in two))).alias("_kv")).select("_kv.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import scalar as s
 from panelwright.operators import compare, crosssection, links, panel, regression, windows
+from panelwright.plans import compare_queries
 
 
 @pytest.fixture(scope="module")
@@ -176,3 +177,17 @@ def test_correlation_of_a_constant_is_null(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 1.0), ("b", 2.0, 2.0)], "char string, x double, y double")
     got = {r["char"]: r["rho"] for r in compare.spearman(df, ["char"]).collect()}
     assert got["a"] is None and got["b"] == pytest.approx(1.0)
+
+
+def test_agreement_matrix_ranks_all_rows_over_many_tasks(spark):
+    rng = np.random.default_rng(7)
+    p = pd.DataFrame({"permno": range(900), "m": [23980 + i % 20 for i in range(900)], "a": np.round(rng.normal(size=900), 1), "c": rng.normal(size=900)}).assign(b=0.0)
+    q = p[["permno", "m"]].assign(a2=p["a"] + np.round(rng.normal(size=900), 2), c2=-p["c"] + rng.normal(size=900))
+    views, cols = {"panel_a": spark.createDataFrame(p), "panel_b": spark.createDataFrame(q)}, ["a", "c", "a2", "c2"]
+    want = p.merge(q, on=["permno", "m"])[cols].rank().corr()
+    query = next(x for x in compare_queries.QUERIES if x.name == "agreement_matrix")
+    for got in (query.build(views.__getitem__), compare.agreement_matrix(views["panel_a"].join(views["panel_b"], ["permno", "m"]), cols, values=50)):
+        rows = got.collect()
+        assert len(rows) == 10 and all(r["corr"] == pytest.approx(want.loc[r["a"], r["b"]]) for r in rows)
+    ranks = {r["c"]: r["rank"] for r in compare.pooled_ranks(views["panel_a"], "c", 50).collect()}
+    assert ranks == dict(zip(p["c"], p["c"].rank(), strict=True))
