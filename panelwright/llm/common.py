@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share, or that of setCheckpointDir().
+
+    Where neither is set, a temporary folder serves a master that is this machine alone; elsewhere it is an error.
+    """
     kept = spark.conf.get("spark.checkpoint.dir", None)
     if kept:
         return kept.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+        import tempfile
+
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -62,3 +71,12 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def slices(texts: pa.Array, size: int = 4_000_000):
+    """(start, length) of runs of texts of some bytes each, one text at least."""
+    ends, start = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while start < len(ends):
+        upto = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        yield start, upto - start
+        start = upto

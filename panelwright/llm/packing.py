@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import slices, staged
 from .tokens import Ids, memo
 
 PART = 20_000  # pieces packed together
@@ -30,19 +30,20 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, separator: int = 0
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches):
-        known, end = memo(Ids, tokenizer, False), int(separator).to_bytes(4, "little")
+        known, end = memo(Ids, tokenizer), int(separator).to_bytes(4, "little")
         for b in batches:
-            rows, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(b.column("t")):
-                data = known.packed(t.as_py()) + end
-                n = len(data) // 4
-                for k, at in enumerate(range(0, n, size)):
-                    rows.append(i)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(min(size, n - at))
-                    crc.append(zlib.crc32(data[4 * at : 4 * (at + size)]))
-            yield pa.record_batch([b.column("k").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["k", "piece", "start", "length", "ids_crc32"])
+            for first, some in slices(b.column("t")):
+                rows, piece, start, length, crc = [], [], [], [], []
+                for i, data in enumerate(known.batch(b.column("t").slice(first, some)), first):
+                    n = len(data) // 4 + 1
+                    for k, at in enumerate(range(0, n, size)):
+                        rows.append(i)
+                        piece.append(k)
+                        start.append(at)
+                        length.append(min(size, n - at))
+                        own = zlib.crc32(data[4 * at : 4 * (at + size)])
+                        crc.append(own if at + size < n else zlib.crc32(end, own))
+                yield pa.record_batch([b.column("k").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["k", "piece", "start", "length", "ids_crc32"])
 
     base = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     return base.mapInArrow(cut, f"k {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("k", key)

@@ -32,7 +32,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     short = base.filter(F.length("t") <= chunk).select("k", F.octet_length("t").cast("long").alias("n_bytes"), "t")
 
     def count(batches):
-        known = memo(Counts, tokenizer, True)
+        known = memo(Counts, tokenizer)
         for b in batches:
             yield pa.record_batch([b.column("k"), b.column("n_bytes"), pa.array([known.count(t.as_py()) for t in b.column("t")], pa.int64())], ["k", "n_bytes", "n_tokens"])
 

@@ -9,15 +9,26 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .flat import DIGIT, LETTER, SPACE, Rows, hashes, joined, kinds
 
 #: White space and format characters on which libraries may disagree; the texts that hold them are encoded whole.
-UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+UNSURE_CLASS = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+UNSURE = re.compile("[" + UNSURE_CLASS + "]")
+#: Letters beyond ASCII that stay letters when they are normalised and lower-cased: fixed values.
+LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0391-\u03a1\u03b1-\u03c1\u03c4-\u03c9\u0410-\u044f\u4e00-\u9fa5\uac00-\ud7a3"
 #: A word with the one space before it, or white space as a byte-level pre-tokenizer cuts it.
 SPACED = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 LONG_PIECE = 200
+_KINDS = kinds()
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones themselves, the others numbered from 256.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip(sorted(set(range(256)) - set(_PLAIN)), range(256, 512)))  # noqa: B905
 
 
 def load(path: str):
@@ -42,9 +53,7 @@ class Memo:
     def pieces(self, text: str) -> list[str] | None:
         if UNSURE.search(text) or any(a in text for a in self.added):
             return None
-        if self.spaced:
-            return SPACED.findall(text)
-        return (text.lower() if text.isascii() else text).split()  # this tokenizer lower-cases
+        return SPACED.findall(text)
 
     def learn(self, new: list[str]) -> dict:
         """Encodes new pieces many at a time: joined so that none touches another, and told apart by offsets."""
@@ -96,6 +105,9 @@ class Memo:
 
 
 class Counts(Memo):
+    def __init__(self, path: str, limit: int = 800_000):
+        super().__init__(path, True, limit)
+
     def values(self, ids, sizes, new):
         return dict(zip(new, sizes.tolist(), strict=True))
 
@@ -109,28 +121,87 @@ class Counts(Memo):
 
 
 class Ids(Memo):
-    """ids as little-endian unsigned 32-bit integers."""
+    """ids of a lower-casing tokenizer that cuts texts into runs of letters, single digits, runs of other signs, and the
+    English endings after an apostrophe. Runs are found and looked up by array operations, each encoded once.
+    """
+
+    def __init__(self, path: str, limit: int = 1_500_000):
+        super().__init__(path, False, limit)
+        self.odd = "[^\\x00-\\x08\t\n\r\\x0e-\\x1b -\\x7f" + LETTERS + "]|" + "|".join(map(re.escape, self.added))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows, self.flat = Rows(), np.zeros(0, np.uint32)
+        self.sizes = np.zeros(0, np.int64)
 
     def values(self, ids, sizes, new):
-        data = ids.astype("<u4").tobytes()
-        ends = (np.cumsum(sizes) * 4).tolist()
-        return {p: data[e - 4 * s : e] for p, e, s in zip(new, ends, sizes.tolist(), strict=True)}
+        ends = np.cumsum(sizes).tolist()
+        return {p: ids[e - s : e].tolist() for p, e, s in zip(new, ends, sizes.tolist(), strict=True)}
 
-    def of_tokens(self, tokens, end):
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]) + (self.ends[end] if end else b"")
+    def learn(self, new):
+        """Runs of letters are one pre-token, so the model alone encodes them; others go through the whole tokenizer."""
+        tokenize, out, signs = self.model.tokenize, {}, []
+        for p in new:
+            if p[0].isalpha():
+                out[p] = [t.id for t in tokenize(p if p.isascii() else p.lower().encode().decode("latin-1").translate(_BYTES))]
+            else:
+                signs.append(p)
+        return out | (super().learn(signs) if signs else {})
 
-    def packed(self, text: str) -> bytes:
-        if (pieces := self.pieces(text)) is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(self.look_up(pieces))
+    def of_tokens(self, tokens, end):
+        return [t.id for t in tokens] + (self.ends[end] if end else [])
+
+    def runs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All bytes, where runs begin and end, and how many runs precede each text."""
+        data, at = joined(texts)
+        kind = _KINDS[data]
+        kind[-8:] = SPACE
+        new = kind != SPACE
+        new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        mark = np.flatnonzero(data[:-1] == 39)
+        mark = mark[new[mark] & (kind[mark + 1] == LETTER)]  # an ending, or a sign before letters: encoded together
+        new[mark + 1] = False
+        first = at[:-1][at[:-1] < at[1:]]
+        new[first] = kind[first] != SPACE
+        a = np.flatnonzero(new)
+        last = kind != SPACE
+        last[:-1] &= new[1:] | (kind[1:] == SPACE)
+        return data, a, np.flatnonzero(last) + 1, np.searchsorted(a, at)
+
+    def batch(self, texts: pa.Array) -> list[memoryview]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        odd = pc.match_substring_regex(texts, self.odd)
+        data, a, b, upto = self.runs(pc.ascii_lower(pc.if_else(odd, "", texts)))
+        h = hashes(data, a, b)
+        if len(self.rows) > self.limit:
+            self._clear()
+        row = self.rows.of(h)
+        if (gone := np.flatnonzero(row < 0)).size:
+            fresh, where = np.unique(h[gone], return_index=True)
+            where = gone[where]
+            strings = [data[i:j].tobytes().decode() for i, j in zip(a[where].tolist(), b[where].tolist(), strict=True)]
+            got = self.learn(strings)
+            lists = [got[s] for s in strings]
+            self.rows.add(fresh)
+            self.sizes = np.append(self.sizes, np.fromiter(map(len, lists), np.int64, len(lists)))
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(lists), np.uint32))
+            row = self.rows.of(h)
+        size, ends = self.sizes[row], np.cumsum(self.sizes)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat((ends - self.sizes)[row] - begin[:-1], size) + np.arange(begin[-1])]
+        view, places = memoryview(ids.astype("<u4")).cast("B"), (begin[upto] * 4).tolist()
+        out = [view[i:j] for i, j in zip(places[:-1], places[1:], strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = memoryview(np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")).cast("B")
+        return out
 
 
 _memos: dict = {}
 
 
-def memo(kind: type, path: str, spaced: bool):
+def memo(kind: type, path: str):
     """One memo for a worker process, so that tasks that follow each other share it."""
-    key = (kind, path, spaced)
+    key = (kind, path)
     if key not in _memos:
-        _memos[key] = kind(path, spaced)
+        _memos[key] = kind(path)
     return _memos[key]
