@@ -32,6 +32,25 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def runs(texts: pa.Array, kind_of: np.ndarray, glue=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, where runs of one kind begin and end, and how many runs precede each text and the end.
+
+    A digit is a run of its own. glue(data, kind, new) may take back places where a run would begin.
+    """
+    data, at = joined(texts)
+    kind = kind_of[data]
+    kind[-8:] = SPACE
+    new = kind != SPACE
+    new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    if glue:
+        glue(data, kind, new)
+    first = at[:-1][at[:-1] < at[1:]]
+    new[first] = kind[first] != SPACE
+    a, last = np.flatnonzero(new), kind != SPACE
+    last[:-1] &= new[1:] | (kind[1:] == SPACE)
+    return data, a, np.flatnonzero(last) + 1, np.searchsorted(a, at)
+
+
 def hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of the bytes [a, b) of each word, eight bytes at a time."""
     import xxhash

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .flat import DIGIT, LETTER, SPACE, Rows, hashes, joined, kinds
+from .flat import LETTER, Rows, hashes, kinds, runs
 
 #: White space and format characters on which libraries may disagree; the texts that hold them are encoded whole.
 UNSURE_CLASS = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
@@ -120,6 +120,12 @@ class Counts(Memo):
         return sum(self.look_up(pieces))
 
 
+def _with_endings(data: np.ndarray, kind: np.ndarray, new: np.ndarray) -> None:
+    """An apostrophe and the letters after it are one run: an English ending, or a sign and letters that fare alike."""
+    mark = np.flatnonzero(data[:-1] == 39)
+    new[mark[new[mark] & (kind[mark + 1] == LETTER)] + 1] = False
+
+
 class Ids(Memo):
     """ids of a lower-casing tokenizer that cuts texts into runs of letters, single digits, runs of other signs, and the
     English endings after an apostrophe. Runs are found and looked up by array operations, each encoded once.
@@ -151,27 +157,10 @@ class Ids(Memo):
     def of_tokens(self, tokens, end):
         return [t.id for t in tokens] + (self.ends[end] if end else [])
 
-    def runs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All bytes, where runs begin and end, and how many runs precede each text."""
-        data, at = joined(texts)
-        kind = _KINDS[data]
-        kind[-8:] = SPACE
-        new = kind != SPACE
-        new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
-        mark = np.flatnonzero(data[:-1] == 39)
-        mark = mark[new[mark] & (kind[mark + 1] == LETTER)]  # an ending, or a sign before letters: encoded together
-        new[mark + 1] = False
-        first = at[:-1][at[:-1] < at[1:]]
-        new[first] = kind[first] != SPACE
-        a = np.flatnonzero(new)
-        last = kind != SPACE
-        last[:-1] &= new[1:] | (kind[1:] == SPACE)
-        return data, a, np.flatnonzero(last) + 1, np.searchsorted(a, at)
-
     def batch(self, texts: pa.Array) -> list[memoryview]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         odd = pc.match_substring_regex(texts, self.odd)
-        data, a, b, upto = self.runs(pc.ascii_lower(pc.if_else(odd, "", texts)))
+        data, a, b, upto = runs(pc.ascii_lower(pc.if_else(odd, "", texts)), _KINDS, _with_endings)
         h = hashes(data, a, b)
         if len(self.rows) > self.limit:
             self._clear()

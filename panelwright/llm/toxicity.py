@@ -1,186 +1,190 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Two models, of toxic and of ordinary documents, give each word a probability after its left neighbour. Bigram counts
-are discounted; what the discount frees goes to continuation counts of the word, what those free goes to those of its stem (its
-first letters), and these are drawn towards counts that both classes share, so a rare expression that only one class
-happens to have weighs little.
-A word's continuation count is the number of different words before it in a document, summed over documents, and a
-bigram counts once a document: one that repeats itself adds little, and the counts are plain sums.
-
-Counts cover all expressions (words, bigrams and stems) of all labelled training rows. They are a table in the shared
-folder, one row an expression, that grows with the input. To score, rows are dealt to chunks by a hash, the different expressions of
-each chunk are joined to the table by shuffle, and each chunk meets what was found for it: no task holds more than a
-chunk's counts, and a word that every text has is one row a chunk. A document's evidence is the log-likelihood
-ratio divided by its length, and the same over its most toxic window and its few most toxic words. A logistic regression,
-fitted to a bounded sample of training rows, each without its own counts, makes the score of them.
+"""Toxicity by class-conditional Kneser-Ney models of the characters of words.
+
+Two models, of toxic and of ordinary documents, give each character of a word (and its end) a probability after the
+characters before it, four at most. Longest runs, and those from a word's beginning, have their counts in each
+class's training texts; a shorter run has the number of different characters that the class has seen before it, its
+continuation count. Counts are discounted, and what the discount frees of a context, in proportion to the number of different
+characters seen after it, goes to the next shorter run. From pairs down the counts are those of both classes
+together, so where neither class knows a rare expression's longer runs both give it the same probability.
+
+Counts cover all runs of all words of all labelled training rows but for the calibration sample's; they are rows of a
+table that grows with the input, and so are the models: a run's log ratio of the two probabilities, a context's log
+ratio of the two weights of backing off. A word's log-likelihood ratio is the sum over its characters. To score, each
+different word of a batch is looked up once, in the models as arrays if their rows are at most `broadcast`, else in a
+join of the different words' runs with the table, after which documents meet their words' ratios chunk by chunk.
+
+A document's evidence is its log-likelihood ratio divided by its length in characters, the same in its most toxic
+window of words, and of its few most toxic words. A logistic regression over these, fitted to a bounded sample of
+training rows that are kept out of the counts, makes the score.
 
 Edge cases: null and empty texts are scored by the evidence of no word; equal rows each count and each get a row;
-without rows of both classes scores follow the calibration's share alone where all evidence is alike; an empty table gives an empty
-result; other columns are ignored.
+without rows of both classes the ratios are what one model against nothing gives and the score is the calibration's
+share, 0.5 without any row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import slices, staged
+from .flat import DIGIT, LETTER, SIGN, SPACE, Rows, hashes, kinds, runs
 
-SAMPLE, DISCOUNT = 8_000, 0.75
-#: Rows of a chunk on average, and characters whose expressions a task counts at a time.
-CHUNK, PART = 256, 8_000_000
-BROADCAST_LABELS = 2_000_000
-#: Weights, in counts, of a word's backoff to its stem, of a stem's to what both classes share, of a bigram's to its word.
-SHARED, STEMS, BACKOFF = 4.0, 4.0, 1000.0
-TOP, WINDOW, STEM = 4, 8, 5
+#: Rows that calibrate, the share of training rows that they are taken from, and what counts lose to shorter runs.
+SAMPLE, SHARE, DISCOUNT = 2_000, 5, 0.75
+#: Characters of the longest run, bits of a character, and the longest run that both classes count together.
+ORDER, BITS, SHARED = 5, 12, 2
+BROADCAST_LABELS, BROADCAST_RUNS, CHUNK = 2_000_000, 4_000_000, 1024
+TOP, WINDOW = 4, 8
 EVIDENCE = 2 + TOP
-WORDS = re.compile(r"[^\W_]+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Hashes:
-    def __init__(self, limit: int = 500_000):
-        self.limit, self.known, self.stems = limit, {}, {}
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit hashes of a text's words and of their stems."""
-        words, known, stems = WORDS.findall(text.lower()), self.known, self.stems
-        try:
-            h = [known[w] for w in words]
-        except KeyError:
-            import xxhash
-
-            if len(known) > self.limit:
-                known, stems = self.known, self.stems = {}, {}
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 9)
-                    stems[w] = xxhash.xxh64_intdigest(w[:STEM].encode("utf-8", "replace"), 10)
-            h = [known[w] for w in words]
-        return np.array(h, np.uint64), np.array([stems[w] for w in words], np.uint64)
-
+START, END = 1, 2
+_LETTERS = kinds()
+_LETTERS[_LETTERS == DIGIT], _LETTERS[_LETTERS == SIGN] = LETTER, SPACE
 
-_hashes = Hashes()
 
+def mask(k: int) -> int:
+    return (1 << (BITS * k)) - 1
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    """Hashes of a text's bigrams; the first word comes after a start mark."""
-    left = np.concatenate([[np.uint64(1)], h[:-1]]) if len(h) else h
-    return _mixed(left, h)
 
+class Words:
+    """The words of texts (runs of letters and digits, lower-cased): which one of the different ones stands at each place."""
 
-def _mixed(left: np.ndarray, h: np.ndarray) -> np.ndarray:
-    x = (left * _MIX) ^ (h + (left >> np.uint64(31)))
-    return (x ^ (x >> np.uint64(29))) * _MIX
+    def __init__(self, texts: pa.Array):
+        self.data, self.a, self.b, self.upto = runs(pc.utf8_lower(texts), _LETTERS)
+        self.hashes, first, self.which = np.unique(hashes(self.data, self.a, self.b), return_index=True, return_inverse=True)
+        self.a1, self.b1 = self.a[first], self.b[first]
 
+    def strings(self) -> list[str]:
+        return [self.data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(self.a1.tolist(), self.b1.tolist(), strict=True)]
 
-#: Under this hash the table has the sums of all bigrams, each once a document.
-ALL = 0
 
+def characters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every character of every word, and of its end: the run that ends there, that run's length, and which word it is.
 
-def _own(h: np.ndarray, x: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """A text's own counts, (hashes, n) of its bigrams, continuations of words and of stems, and as left neighbours."""
-    p, at = np.unique(_pairs(h), return_index=True)  # each bigram once a document
-    parts = [(p, np.ones(len(p), np.int64)), np.unique(h[at], return_counts=True), np.unique(x[at], return_counts=True)]
-    return (np.concatenate([u for u, _ in parts]), np.concatenate([n for _, n in parts])), np.unique(h[at[at > 0] - 1], return_counts=True)
-
-
-def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    u, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]), return_inverse=True)
-    return u, np.bincount(back, np.concatenate([np.zeros(0), *(n for _, n in parts)]), len(u)).astype(np.int64)
-
-
-def _parts(sizes: np.ndarray):
-    """Slices (start, length) of some characters each."""
-    ends, start = np.cumsum(sizes), 0
-    while start < len(sizes):
-        upto = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART, "right")))
-        yield start, upto - start
-        start = upto
+    A run is a number with BITS bits a character, the last one lowest. Digits are one character, and characters beyond
+    the first 2^BITS share codes.
+    """
+    text = np.frombuffer("".join(f"{chr(START)}{w}{chr(END)}" for w in words).encode("utf-32-le", "replace"), np.uint32)
+    code = np.where(text < 1 << BITS, text, 3 + text % ((1 << BITS) - 3)).astype(np.int64)
+    code[(text >= 48) & (text < 58)] = 48
+    word = np.cumsum(text == START) - 1
+    inside = np.arange(len(text)) - np.flatnonzero(text == START)[word] if len(text) else np.zeros(0, np.int64)
+    run = code.copy()
+    for j in range(1, ORDER):
+        run[j:] |= np.where(inside[j:] >= j, code[:-j] << (BITS * j), 0)
+    at = text != START
+    return run[at], np.minimum(inside[at] + 1, ORDER), word[at]
 
 
 def _counted(batches):
-    """(toxic, h, n, l) summed over some documents at a time; l counts words as left neighbours."""
-    for b in batches:
-        toxic, texts = b.column("y").to_numpy(), b.column("t")
-        for start, length in _parts(np.array([len(t.as_py()) for t in texts], np.int64)):
-            for c in (0, 1):
-                own = [_own(*_hashes.of(t)) for t in texts.slice(start, length).filter(pa.array(toxic[start : start + length] == c)).to_pylist()]
-                if own:
-                    u, n = _sums([o for o, _ in own])
-                    v, l = _sums([o for _, o in own])
-                    left = np.zeros(len(u), np.int64)
-                    left[np.searchsorted(u, v)] = l  # a left neighbour is a word after another or after the start
-                    bigrams = sum(int(n.sum()) for (_, n), _ in own) // 3  # bigrams, continuations of words and of stems
-                    yield pa.record_batch([pa.array(np.full(len(u) + 1, c, np.int32)), pa.array(np.append(u, np.uint64(ALL)).view(np.int64)), pa.array(np.append(n, bigrams)), pa.array(np.append(left, 0))], ["toxic", "h", "n", "l"])
-
-
-class Models:
-    """Both classes' models over some expressions. counts: for each hash n and l of class 0, then of class 1."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, totals, discount: float = DISCOUNT):
-        self.h, at = np.unique(hashes, return_index=True)
-        # The last row is that of expressions without counts.
-        self.c = np.concatenate([counts[at].astype(float), np.zeros((1, 4))])
-        self.totals, self.d = np.array(totals, float), discount
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.h):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, at, -1)
-
-    def ratios(self, text: str, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood ratio of each word, toxic against ordinary, and the words' hashes; without the counts that the text itself adds to class `own`."""
-        h, x = _hashes.of(text)
-        if not len(h):
-            return np.zeros(0), h
-        p, all_ = _pairs(h), self.totals.copy()
-        w, back = np.unique(h, return_inverse=True)
-        at = self._find(w)[back]
-        k, stem, two = self.c[at][:, ::2].T, self.c[self._find(x)][:, ::2].T, self.c[self._find(p)][:, ::2].T
-        n = np.concatenate([np.zeros((1, 2)), self.c[at[:-1]][:, 1::2]]).T  # nothing is to the left of the first word
-        k, stem, two, n = k.copy(), stem.copy(), two.copy(), n.copy()
-        if own is not None:
-            (u, c), (v, l) = _own(h, x)
-            u, c = _sums([(u, c)])
-            k[own] -= c[np.searchsorted(u, h)]
-            stem[own] -= c[np.searchsorted(u, x)]
-            two[own] -= 1
-            all_[own] -= len(np.unique(p))
-            if len(v):
-                n[own, 1:] -= l[np.searchsorted(v, h[:-1])]
-        share = np.maximum(all_, 1.0) / np.maximum(all_, 1.0).sum()
-        # By stem, the share of each class relative to its size, drawn towards 1.
-        stem = (stem + STEMS * share[:, None]) / (stem.sum(axis=0) + STEMS) / share[:, None]
-        # What both classes' discounts free of a word, and some more, goes back to both by their stem's shares.
-        shared, total = np.minimum(k, self.d).sum(axis=0) + SHARED, all_.sum() + 1
-        q = np.maximum(k - self.d, 0) / share[:, None] + shared * stem
-        first = np.maximum(np.where(n > 0, two, 0) - self.d, 0)
-        # What the discount frees of the neighbour's bigrams belongs to the backoff.
-        log = np.log((first + (n - first + BACKOFF) * q / total) / (n + BACKOFF))
-        return log[1] - log[0], h
-
-    def evidence(self, texts: list[str], own: list[int] | None = None) -> np.ndarray:
-        """Of each text: the ratio by length, that of its most toxic window, and the mean ratios of its few most toxic words."""
-        out = np.zeros((len(texts), EVIDENCE))
-        for j, t in enumerate(texts):
-            r, ids = self.ratios(t, None if own is None else own[j])
-            if len(r):
-                sums, m = np.concatenate([[0], np.cumsum(r)]), min(WINDOW, len(r))
-                top = np.zeros(TOP)
-                best = np.sort(r[np.unique(ids, return_index=True)[1]])[::-1][:TOP]
-                top[: len(best)] = best
-                out[j] = [r.mean(), (sums[m:] - sums[:-m]).max() / WINDOW, *np.cumsum(np.maximum(top, 0)) / np.arange(1, TOP + 1)]
-        return out
+    """(run, n0, n1): how often each class has each longest run, summed over some texts at a time."""
+    for batch in batches:
+        texts, toxic = batch.column("t"), batch.column("y").to_numpy()
+        for first, some in slices(texts, 16_000_000):
+            words = Words(texts.slice(first, some))
+            y = np.repeat(toxic[first : first + some], np.diff(words.upto)) == 1
+            n = len(words.hashes)
+            run, _, word = characters(words.strings())
+            u, back = np.unique(run, return_inverse=True)
+            by_class = [np.bincount(back, np.bincount(words.which[y == c], minlength=n)[word], len(u)).astype(np.int64) for c in (False, True)]
+            yield pa.record_batch([pa.array(u), *map(pa.array, by_class)], ["run", "n0", "n1"])
+
+
+def _levels(counts: DataFrame) -> dict[int, DataFrame]:
+    """Runs by length with counts n0, n1 of the classes and ns of both: of longest runs and those from a word's beginning as met, of others by continuation."""
+    length = reduce(lambda a, k: F.when(F.col("run") > mask(k), k + 1).otherwise(a), range(1, ORDER), F.lit(1))
+    top = staged(counts.groupBy("run").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumn("length", length), "runs")
+    of = lambda k: top.filter(F.col("length") == k).select("run", "n0", "n1", (F.col("n0") + F.col("n1")).alias("ns"))
+    levels = {ORDER: of(ORDER)}
+    for k in range(ORDER - 1, 0, -1):
+        seen = levels[k + 1].groupBy(F.col("run").bitwiseAND(F.lit(mask(k))).alias("run"))
+        levels[k] = staged(seen.agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"), F.count("*").alias("ns")).unionByName(of(k)), f"runs{k}")
+    return levels
+
+
+def models(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """(run, lr, bw): of runs longer than SHARED log(toxic / ordinary probability) of the last character after the others; of contexts log(toxic / ordinary weight) of backing off."""
+    levels, context = _levels(counts), F.shiftright("run", BITS)
+    one = levels[1]
+    below = one.join(F.broadcast(one.agg(F.sum("ns").alias("all"))), how="cross").select("run", (F.col("ns") / F.col("all")).alias("p0"), (F.col("ns") / F.col("all")).alias("p1"))
+    found, weights = [], []
+    for k in range(2, ORDER + 1):
+        n = ("ns", "ns") if k <= SHARED else ("n0", "n1")
+        sums = levels[k].groupBy(context.alias("context")).agg(*(f.alias(f"{name}{c}") for c in (0, 1) for name, f in (("a", F.sum(n[c])), ("m", F.count_if(F.col(n[c]) > 0)))))
+        weight = lambda c: F.when(F.col(f"a{c}") > 0, discount * F.col(f"m{c}") / F.col(f"a{c}")).otherwise(1.0)
+        sums = sums.select("context", "a0", "a1", weight(0).alias("w0"), weight(1).alias("w1"))
+        p = lambda c: F.when(F.col(f"a{c}") > 0, F.greatest(F.col(n[c]) - discount, F.lit(0.0)) / F.col(f"a{c}")).otherwise(0.0) + F.col(f"w{c}") * F.col(f"p{c}")  # noqa: B023, E731
+        met = levels[k].withColumns({"context": context, "rest": F.col("run").bitwiseAND(F.lit(mask(k - 1)))})
+        met = met.join(sums, "context").join(below.select(F.col("run").alias("rest"), "p0", "p1"), "rest")
+        below = staged(met.select("run", p(0).alias("p0"), p(1).alias("p1")), f"model{k}")
+        if k > SHARED:
+            found.append(below.select("run", F.ln(F.col("p1") / F.col("p0")).alias("lr"), F.lit(None).cast("double").alias("bw")))
+            weights.append(sums.select(F.col("context").alias("run"), F.lit(None).cast("double").alias("lr"), F.ln(F.col("w1") / F.col("w0")).alias("bw")))
+    rows = reduce(DataFrame.unionByName, [*found, *weights])
+    return staged(rows.groupBy("run").agg(F.max("lr").alias("lr"), F.max("bw").alias("bw")), "models")
+
+
+class Ratios:
+    """Both models as arrays over runs."""
+
+    def __init__(self, run: np.ndarray, lr: np.ndarray, bw: np.ndarray):
+        self.rows = Rows()
+        self.rows.add(run.astype(np.uint64))
+        # The last row is that of runs that no class has seen.
+        self.lr, self.bw = np.append(lr, np.nan), np.nan_to_num(np.append(bw, 0.0))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The log-likelihood ratio of each word."""
+        run, length, word = characters(words)
+        out, left = np.zeros(len(run)), np.arange(len(run))
+        for k in range(ORDER, SHARED, -1):
+            at = left[length[left] >= k]
+            key = run[at] & mask(k)
+            lr = self.lr[self.rows.of(key.astype(np.uint64))]
+            known = ~np.isnan(lr)
+            out[at[known]] += lr[known]
+            out[at[~known]] += self.bw[self.rows.of((key[~known] >> BITS).astype(np.uint64))]
+            left = np.concatenate([at[~known], left[length[left] < k]])
+        return np.bincount(word, out, len(words))
+
+
+def evidence(words: Words, ratio: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each text: the ratio by length, that of its most toxic window, and the mean ratios of its few most toxic words; ratio and sizes are of the different words."""
+    upto, texts = words.upto, len(words.upto) - 1
+    out, n = np.zeros((texts, EVIDENCE)), np.diff(upto)
+    r = ratio[words.which]
+    sums, lengths = np.concatenate([[0.0], np.cumsum(r)]), np.concatenate([[0], np.cumsum(sizes[words.which])])
+    some = np.flatnonzero(n)
+    out[some, 0] = (sums[upto[some + 1]] - sums[upto[some]]) / (lengths[upto[some + 1]] - lengths[upto[some]])
+    out[some, 1] = (sums[upto[some + 1]] - sums[upto[some]]) / WINDOW
+    wide = np.flatnonzero(n >= WINDOW)
+    if len(wide):
+        windows = sums[WINDOW:] - sums[:-WINDOW]
+        ends = np.stack([upto[wide], upto[wide + 1] - WINDOW + 1], axis=1).ravel()
+        if ends[-1] == len(windows):
+            ends = ends[:-1]
+        out[wide, 1] = np.maximum.reduceat(windows, ends)[::2] / WINDOW
+    at = np.flatnonzero(r > 0)
+    text = np.repeat(np.arange(texts), n)[at]
+    pair = np.unique(text * len(ratio) + words.which[at]) if len(at) else np.zeros(0, np.int64)
+    text, r = pair // max(1, len(ratio)), ratio[pair % max(1, len(ratio))]
+    order = np.lexsort([-r, text])
+    text, r = text[order], r[order]
+    place = np.arange(len(text)) - np.searchsorted(text, text)
+    best = np.zeros((texts, TOP))
+    best[text[place < TOP], place[place < TOP]] = r[place < TOP]
+    out[:, 2:] = np.cumsum(best, axis=1) / np.arange(1, TOP + 1)
+    return out
 
 
 class Calibration:
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-2):
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3):
         self.mean, self.scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (0.0, 1.0)
         z = self._z(x)
         self.b = np.zeros(z.shape[1])
@@ -199,62 +203,109 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip(self._z(x) @ self.b, -30, 30)))
 
 
-def _expressions(batches):
-    """(chunk, h): the different expressions of each chunk's texts in a batch."""
-    for b in batches:
-        chunk = b.column("chunk").to_numpy()
-        order = np.argsort(chunk, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1) if len(order) else ():
-            parts = [np.zeros(0, np.uint64)]
-            for t in b.column("t").take(pa.array(at)).to_pylist():
-                h, x = _hashes.of(t)
-                parts += [np.unique(np.concatenate([h, x, _pairs(h)]))]
-            u = np.unique(np.concatenate(parts))
-            yield pa.record_batch([pa.array(np.full(len(u), chunk[at[0]], np.int32)), pa.array(u.view(np.int64))], ["chunk", "h"])
-
-
-def _by_chunk(rows: DataFrame, n: int, counts: DataFrame, totals: list[int], work, schema: str) -> DataFrame:
-    """work(models, rows) for each chunk of the n rows (t and others), with models that have the counts of its expressions."""
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, -(-n // CHUNK)))).cast("int"))
-    found = dealt.select("chunk", "t").mapInArrow(_expressions, "chunk int, h long").join(counts, "h").select("chunk", "h", "n0", "l0", "n1", "l1")
+@dataclass
+class Fitted:
+    table: DataFrame  # run, lr, bw
+    calibration: Calibration | None
+    broadcast: int
+
+    def evidence(self, rows: DataFrame, key: str, kind: str) -> DataFrame:
+        """(key, x): the evidence of every row of rows (key, t)."""
+        few = self.table.limit(self.broadcast + 1).count() <= self.broadcast
+        return _by_arrays(rows, self.table, key, kind) if few else _by_join(rows, self.table, key, kind)
+
+
+def _rows_of(key: pa.Array, x: np.ndarray, name: str) -> pa.RecordBatch:
+    return pa.record_batch([key, pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), EVIDENCE).cast(pa.list_(pa.float64()))], [name, "x"])
+
+
+def _by_arrays(rows: DataFrame, table: DataFrame, key: str, kind: str) -> DataFrame:
+    got = table.select("run", F.col("lr").cast("float"), F.col("bw").cast("float")).toArrow()
+    column = lambda c: got.column(c).to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast((column("run"), column("lr"), column("bw")))  # at most 16 bytes times `broadcast`
+
+    def work(batches):
+        ratios = Ratios(*shared.value)
+        for b in batches:
+            for first, some in slices(b.column("t")):
+                words = Words(b.column("t").slice(first, some))
+                yield _rows_of(b.column(key).slice(first, some), evidence(words, ratios.of(words.strings()), words.b1 - words.a1 + 1), key)
+
+    return rows.mapInArrow(work, f"`{key}` {kind}, x array<double>")
+
+
+def _by_join(rows: DataFrame, table: DataFrame, key: str, kind: str) -> DataFrame:
+    """As _by_arrays(), for models of any size."""
+
+    def told(batches):
+        for b in batches:
+            for first, some in slices(b.column("t")):
+                words = Words(b.column("t").slice(first, some))
+                yield pa.record_batch([pa.array(words.hashes.view(np.int64)), pa.array(words.strings())], ["h", "word"])
+
+    def needed(batches):
+        for b in batches:
+            run, length, word = characters(b.column("word").to_pylist())
+            h = b.column("h").to_numpy()
+            for k in range(ORDER, SHARED, -1):
+                at = np.flatnonzero(length >= k)
+                one = run[at] & mask(k)
+                yield pa.record_batch([pa.array(h[word[at]]), pa.array(at), pa.array(np.full(len(at), k, np.int32)), pa.array(one), pa.array(one >> BITS)], ["h", "place", "k", "one", "context"])
+
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, -(-rows.count() // CHUNK)))).cast("int"))
+    words = rows.mapInArrow(told, "h long, word string").dropDuplicates(["h"])
+    asked = words.repartition("h").mapInArrow(needed, "h long, place long, k int, one long, context long")
+    lr, bw = table.select(F.col("run").alias("one"), "lr").dropna(), table.select(F.col("run").alias("context"), "bw").dropna()
+    met = asked.join(lr, "one", "left").join(bw, "context", "left")
+    # From the longest run down: the first one known ends the sum, and each that is not adds its context's weight.
+    known = F.aggregate(F.reverse(F.array_sort("steps")), F.struct(F.lit(0.0).alias("r"), F.lit(False).alias("done")), lambda a, s: F.struct(F.when(a["done"], a["r"]).otherwise(a["r"] + F.coalesce(s["lr"], s["bw"], F.lit(0.0))).alias("r"), (a["done"] | s["lr"].isNotNull()).alias("done")))
+    ratio = met.groupBy("h", "place").agg(F.collect_list(F.struct("k", "lr", "bw")).alias("steps")).groupBy("h").agg(F.sum(known["r"]).alias("r"))
+    in_chunk = dealt.select("chunk", "t").mapInArrow(_chunk_words, "chunk int, h long").distinct().join(ratio, "h").select("chunk", "h", "r")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = np.stack([right.column(x).to_numpy() for x in ("n0", "l0", "n1", "l1")], axis=1)
-        return work(Models(right.column("h").to_numpy().view(np.uint64), c, totals), left)
+        words, known = Words(left.column("t").combine_chunks() if left.num_rows else pa.array([], pa.string())), Rows()
+        known.add(right.column("h").to_numpy().view(np.uint64))
+        r = np.append(right.column("r").to_numpy(), 0.0)[known.of(words.hashes)]
+        return pa.Table.from_batches([_rows_of(left.column(key).combine_chunks(), evidence(words, r, words.b1 - words.a1 + 1), key)])
 
-    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(meet, schema)
+    return dealt.groupBy("chunk").cogroup(in_chunk.groupBy("chunk")).applyInArrow(meet, f"`{key}` {kind}, x array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", keep=None, sample: int = SAMPLE) -> tuple[DataFrame, list[int], Calibration]:
-    """Counts of all expressions (h, n0, l0, n1, l1) over all labelled rows that `keep` holds for, their sums, and the calibration."""
-    from .quality_fm import labelled_sample
+def _chunk_words(batches):
+    for b in batches:
+        for first, some in slices(b.column("t")):
+            words = Words(b.column("t").slice(first, some))
+            chunk = np.repeat(b.column("chunk").to_numpy()[first : first + some], np.diff(words.upto)).astype(np.int64)
+            pair = np.unique(chunk * len(words.hashes) + words.which) if len(chunk) else np.zeros(0, np.int64)
+            n = max(1, len(words.hashes))
+            yield pa.record_batch([pa.array((pair // n).astype(np.int32)), pa.array(words.hashes[pair % n].view(np.int64))], ["chunk", "h"])
+
 
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", keep=None, sample: int = SAMPLE, broadcast: int = BROADCAST_RUNS) -> Fitted:
+    """Models over all labelled rows that `keep` holds for but the sample, which calibrates: of every fifth row, by a hash of the key, at most `sample`."""
     keep = F.lit(True) if keep is None else keep
     own = labels.filter(keep & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("of"), F.col(label).cast("int").alias("y"))
-    if own.count() <= BROADCAST_LABELS:
-        own = F.broadcast(own)
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(own, F.col("k") == F.col("of")).select("t", "y")
-    of = lambda c, n: F.sum(F.when(F.col("toxic") == c, F.col(n)).otherwise(0))
-    counts = staged(rows.mapInArrow(_counted, "toxic int, h long, n long, l long").groupBy("h").agg(of(0, "n").alias("n0"), of(0, "l").alias("l0"), of(1, "n").alias("n1"), of(1, "l").alias("l1")), "expressions")
-    sums = counts.filter(F.col("h") == ALL).first()
-    totals = [sums["n0"], sums["n1"]] if sums else [0, 0]
-
-    def evidence(models: Models, part: pa.Table) -> pa.Table:
-        x = models.evidence(part.column("t").to_pylist(), [int(y) for y in part.column("y").to_pylist()])
-        return pa.table({"order": part.column("order"), "y": part.column("y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
-
-    held = labelled_sample(docs, labels, key, text, label, keep, sample)
-    got = _by_chunk(held, sample, counts, totals, evidence, "order long, y double, x array<double>").toArrow().sort_by("order")
+    h = F.xxhash64(F.lit(17), "of")
+    chosen = staged(own.filter(F.pmod(h, F.lit(SHARE)) == 0).orderBy(h, "of").limit(sample), "calibration")
+    rest = own.join(F.broadcast(chosen.select("of")), "of", "left_anti")
+    hint = F.broadcast if own.count() <= BROADCAST_LABELS else (lambda df: df)
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    counts = rows.join(hint(rest), F.col("k") == F.col("of")).select("t", "y").mapInArrow(_counted, "run long, n0 long, n1 long")
+    fitted = Fitted(models(counts), None, broadcast)
+    held = rows.join(F.broadcast(chosen), F.col("k") == F.col("of")).select("t", F.concat_ws(" ", F.xxhash64("of", "t"), "y").alias("of"))
+    got = fitted.evidence(held, "of", "string").select("of", F.substring_index("of", " ", -1).cast("int").alias("y"), "x").toArrow().sort_by("of")
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, EVIDENCE)
-    return counts, totals, Calibration(x, got.column("y").to_numpy())
+    fitted.calibration = Calibration(x, got.column("y").to_numpy().astype(float))
+    return fitted
 
 
-def score(docs: DataFrame, fitted: tuple[DataFrame, list[int], Calibration], key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row."""
-    kind, (counts, totals, calibration) = docs.schema[key].dataType.simpleString(), fitted
+    kind, calibration = docs.schema[key].dataType.simpleString(), fitted.calibration
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
-    def work(models: Models, part: pa.Table) -> pa.Table:
-        return pa.table({"k": part.column("k"), "score": pa.array(calibration.scores(models.evidence(part.column("t").to_pylist())))})
+    def scored(batches):
+        for b in batches:
+            yield pa.record_batch([b.column("k"), pa.array(calibration.scores(b.column("x").flatten().to_numpy().reshape(-1, EVIDENCE)))], ["k", "score"])
 
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return _by_chunk(rows, docs.count(), counts, totals, work, f"k {kind}, score double").withColumnRenamed("k", key)
+    return fitted.evidence(rows, "k", kind).mapInArrow(scored, f"k {kind}, score double").withColumnRenamed("k", key)

@@ -280,37 +280,98 @@ def test_models_of_odd_rows(spark, odd):
             assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
 
 
-def test_toxicity_counts_every_expression_of_every_training_row(spark):
-    texts = [f"common only{i} tail{i}" for i in range(40)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
-    counts, totals, _ = toxicity.fit(df, labels)
-    got = {r["h"] & (2**64 - 1): (r["n0"], r["l0"], r["n1"], r["l1"]) for r in counts.collect()}
-    want = Counter()
-    for i, t in enumerate(texts):
-        h, x = toxicity._hashes.of(t)
-        for a, b in zip(toxicity._pairs(h).tolist(), range(3), strict=True):
-            want[a, 2 * (i % 2)] += 1
-            want[int(h[b]), 2 * (i % 2)] += 1
-            want[int(x[b]), 2 * (i % 2)] += 1
-            want[0, 2 * (i % 2)] += 1
-            if b:
-                want[int(h[b - 1]), 2 * (i % 2) + 1] += 1
-    assert got == {h: tuple(want[h, c] for c in range(4)) for h, _ in want} and totals == [60, 60]
-
-
-def test_toxicity_calibrates_a_row_without_its_own_counts(spark):
-    texts = ["a b a b c", "b c d", "a b e", "x y"]
-    df, labels = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [(0, 1), (1, 0), (2, 1), (3, 0)]
-
-    def models(some):
-        counts, totals, _ = toxicity.fit(df, spark.createDataFrame(some, "doc_id long, toxic int"))
-        rows = counts.collect()
-        return toxicity.Models(np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([[r[c] for c in ("n0", "l0", "n1", "l1")] for r in rows]), totals)
-
-    whole = models(labels)
-    for i, y in labels:
-        assert whole.ratios(texts[i], y)[0] == pytest.approx(models([r for r in labels if r[0] != i]).ratios(texts[i])[0])
+def brute_ratio(counted, word):
+    """log(toxic / ordinary) of a word under interpolated Kneser-Ney; counted: the words of each class."""
+    five, one, many = toxicity.ORDER, toxicity.DISCOUNT, toxicity.SHARED
+    raw = [Counter(), Counter()]
+    for c in (0, 1):
+        for w in counted[c]:
+            w = f"^{w}$"
+            raw[c].update(w[max(0, i - five + 1) : i + 1] for i in range(1, len(w)))
+    levels = {five: [{g: n for g, n in raw[c].items() if len(g) == five} for c in (0, 1)]}
+    for k in range(five - 1, 0, -1):
+        levels[k] = [Counter(g[1:] for g, n in levels[k + 1][c].items() if n) + Counter({g: n for g, n in raw[c].items() if len(g) == k}) for c in (0, 1)]
+    both = {}
+    for k in range(many, 0, -1):
+        longer = [g for c in (0, 1) for g in levels[k + 1][c]] if k == many else list(both[k + 1])
+        both[k] = Counter(g[1:] for g in set(longer)) + Counter({g: raw[0][g] + raw[1][g] for g in {*raw[0], *raw[1]} if len(g) == k})
+
+    def p(c, k, g):
+        if k == 1:
+            return both[1][g] / sum(both[1].values())
+        table = both[k] if k <= many else levels[k][c]
+        after = [n for h, n in table.items() if h[:-1] == g[:-1] and n]
+        below = p(c, k - 1, g[1:])
+        return (max(table.get(g, 0) - one, 0) + one * len(after) * below) / sum(after) if after else below
+
+    w, out = f"^{word}$", 0.0
+    for i in range(1, len(w)):
+        g = w[max(0, i - five + 1) : i + 1]
+        if len(g) > many and p(0, many, g[-many:]):
+            out += np.log(p(1, len(g), g) / p(0, len(g), g))
+    return out
+
+
+TOXIC_WORDS = ["vile", "vilest", "vain", "avile", "plain", "plane", "planet", "very"]
+
+
+def labelled_texts(spark, n=60):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(TOXIC_WORDS[:5] if i % 2 else TOXIC_WORDS[3:], 6)) for i in range(n)]
+    labels = [(i, i % 2) for i in range(n)]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_is_kneser_ney(spark):
+    texts, df, labels = labelled_texts(spark)
+    for sample in (0, 5):
+        fitted = toxicity.fit(df, labels, sample=sample)
+        chosen = [r[0] for r in labels.filter("pmod(xxhash64(17, doc_id), 5) = 0").orderBy(F.xxhash64(F.lit(17), "doc_id")).limit(sample).collect()]
+        assert len(chosen) == sample
+        counted = [[w for i, t in enumerate(texts) if i % 2 == c and i not in chosen for w in t.split()] for c in (0, 1)]
+        rows = fitted.table.toPandas()
+        words = [*TOXIC_WORDS, "vilely", "villain", "plan", "xvile"]
+        got = toxicity.Ratios(rows["run"].to_numpy(), rows["lr"].to_numpy(float), rows["bw"].to_numpy(float)).of(words)
+        assert got == pytest.approx([brute_ratio(counted, w) for w in words])
+
+
+def test_toxicity_by_arrays_and_by_join_agree(spark):
+    texts, df, labels = labelled_texts(spark)
+    odd = df.unionByName(spark.createDataFrame([(90, None), (91, ""), (92, "Vile, VILEST 12 34-planet: " * 5), (92, "x"), (None, "vile")], "doc_id long, text string"))
+    both = [toxicity.fit(df, labels, broadcast=n) for n in (10_000, 0)]
+    got = [sorted(((str(r["doc_id"]), r["score"]) for r in toxicity.score(odd, f).collect())) for f in both]
+    assert [k for k, _ in got[0]] == [k for k, _ in got[1]] and len(got[0]) == 65
+    assert [s for _, s in got[0]] == pytest.approx([s for _, s in got[1]], rel=1e-4)
+
+
+def test_evidence_against_a_loop():
+    texts = ["", "vile plain", "plain vile vile " + "plane very " * 9 + "vile", "very"]
+    words = toxicity.Words(pa.array(texts))
+    worth = {"vile": 2.0, "plain": -1.0, "plane": 0.5, "very": -0.25}
+    ratio, sizes = np.array([worth[w] for w in words.strings()]), np.array([len(w) + 1 for w in words.strings()])
+    for t, got in zip(texts, toxicity.evidence(words, ratio, sizes), strict=True):
+        w = t.split()
+        r, n = [worth[x] for x in w], sum(len(x) + 1 for x in w)
+        windows = [sum(r[i : i + 8]) for i in range(max(1, len(r) - 7))]
+        best = (sorted({worth[x] for x in w if worth[x] > 0}, reverse=True) + [0.0] * 4)[:4]
+        assert got == pytest.approx([sum(r) / n if n else 0.0, max(windows) / 8, *np.cumsum(best) / [1, 2, 3, 4]])
+
+
+def test_factorisation_machine_against_all_pairs(spark, docs):
+    labels = spark.read.parquet(f"{sf_dir()}/labels.parquet")
+    machine = quality_fm.fit(docs, labels)
+    some = docs.limit(15)
+    got = {r["doc_id"]: r["score"] for r in quality_fm.score(some, machine).collect()}
+    for r in some.collect():
+        words = (r["text"] or "").lower().split()
+        counts = Counter(zlib.crc32(w.encode()) & ((1 << quality_fm.BITS) - 1) for w in words)
+        norm = np.sqrt(sum((1 + np.log(c)) ** 2 for c in counts.values())) if counts else 1.0
+        x = {b: (1 + np.log(c)) / norm for b, c in counts.items()}
+        z = (np.array(quality_fm.Inputs.statistics(r["text"] or "", words, len(counts))) - machine.mean) / machine.scale
+        x |= {machine.words + i: v / 2 for i, v in enumerate(np.clip(z, -4, 4))}
+        margin, at = machine.bias + sum(machine.w[i] * v for i, v in x.items()), list(x)
+        margin += sum((machine.v[a] @ machine.v[b]) * x[a] * x[b] for n, a in enumerate(at) for b in at[:n])
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-margin)))
 
 
 def test_linear_time_identity():
