@@ -112,7 +112,8 @@ def models(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     """(run, lr, bw): of runs longer than SHARED log(toxic / ordinary probability) of the last character after the others; of contexts log(toxic / ordinary weight) of backing off."""
     levels, context = _levels(counts), F.shiftright("run", BITS)
     one = levels[1]
-    below = one.join(F.broadcast(one.agg(F.sum("ns").alias("all"))), how="cross").select("run", (F.col("ns") / F.col("all")).alias("p0"), (F.col("ns") / F.col("all")).alias("p1"))
+    share = F.col("ns") / F.lit(one.agg(F.sum("ns")).first()[0] or 1)
+    below = one.select("run", share.alias("p0"), share.alias("p1"))
     found, weights = [], []
     for k in range(2, ORDER + 1):
         n = ("ns", "ns") if k <= SHARED else ("n0", "n1")
