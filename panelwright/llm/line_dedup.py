@@ -1,12 +1,14 @@
 """Fuzzy line dedup: MinHash signatures of character shingles, banding, exact Jaccard, distributed union-find.
 
-A line takes part if it holds anything but white space. Its id is the XXH64 of its bytes, so equal lines are one
-node. Signatures are made where documents are read, once a task for equal lines; bands of 4 minima each give keys,
-and lines that share a key are candidates: at a similarity of 0.8 a pair is one with probability 0.995. A key's lines
-are streamed in order: every line is a candidate with the key's first, never all with all. Every candidate's
-similarity is computed from the lines' own shingle sets. Where a key's lines are then not one component, they are
-compared with each other across components inside tasks, which return as many links as join components: no link between
-candidates is lost, and none is made that joins nothing.
+Lines of a shingle's length or more take part in this if they hold anything but white space; shorter ones, which are
+like another only if they equal it, are deduplicated as they are. A line's id is the XXH64 of its bytes, and lines are equal if a second hash agrees too.
+Signatures are made where documents are read, once a task for equal lines; bands of 4 minima each give keys, and lines
+that share a key are candidates: at a similarity of 0.8 a pair is one with probability 0.995. Lines that share a key
+within a batch are led to the batch's first one before anything is shuffled, and these first ones to the key's first:
+a key that a third of all lines have is a row a batch. Every such pair's similarity is computed from the lines' own
+shingle sets. Where a key's lines are then not one component, those outside its largest one are compared with all
+others inside tasks, tile by tile, which return as many links as join components: no link between candidates is lost, and none is made
+that joins nothing.
 Of each component the line of the smallest (key, line number) stays, in that place; all others go.
 """
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, unused
@@ -22,7 +24,7 @@ from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 10, 4, 0.8
 TILE, BITS, COARSE = 2048, 2048, 256
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS, SALTS = 1_000_000, 32
 BLANK = " \t\n\x0b\x0c\r"
 _PARAMETERS = np.random.default_rng(20240613).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -64,16 +66,21 @@ def band_keys(lines: list[str], size: int = SHINGLE) -> np.ndarray:
 
 
 def _band_rows(batches, shingle: int = SHINGLE):
+    """(key, head, id): the band keys of different lines; head is the first line of the key among some lines at a time."""
     import xxhash
 
     seen: set = set()  # saves work and rows for equal lines; what it forgets only costs them
 
     def rows(lines, ids):
-        keys = band_keys(lines, shingle)
-        return pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.array(ids, np.uint64).view(np.int64), BANDS))], ["key", "id"])
-
+        keys, ids = band_keys(lines, shingle).ravel().view(np.int64), np.repeat(np.array(ids, np.uint64).view(np.int64), BANDS)
+        order = np.lexsort([ids, keys])
+        keys, ids = keys[order], ids[order]
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        heads = np.repeat(ids[start], np.diff(np.append(start, len(ids))))
+        return pa.record_batch([pa.array(keys), pa.array(heads), pa.array(ids)], ["key", "head", "id"])
+
+    lines, ids, size = [], [], 0
     for b in batches:
-        lines, ids, size = [], [], 0
         for t in b.column("t"):
             for line in t.as_py().split("\n"):
                 if len(line) >= shingle and line.strip(BLANK):
@@ -83,27 +90,30 @@ def _band_rows(batches, shingle: int = SHINGLE):
                         lines.append(line)
                         ids.append(i)
                         size += len(line)
-            if size > 400_000:
+            if size > 2_000_000:
                 yield rows(lines, ids)
                 lines, ids, size = [], [], 0
             if len(seen) > 500_000:
                 seen = set()
-        if lines:
-            yield rows(lines, ids)
+    if lines:
+        yield rows(lines, ids)
 
 
 def _stars(batches):
-    """(key, head, id) of every id that is not its key's first; rows come sorted by key and id."""
-    last_key = last_id = head = None
+    """(key, head, id) of every id that is not its key's first: as it comes, or of heads with the key's; rows come sorted by key and id."""
+    last_key = last_id = first = None
     for b in batches:
-        if not b.num_rows:
+        apart = b.column("head").to_numpy() != b.column("id").to_numpy()
+        if apart.any():
+            yield b.filter(pa.array(apart))
+        key, ids = b.column("key").to_numpy()[~apart], b.column("id").to_numpy()[~apart]
+        if not len(key):
             continue
-        key, ids = b.column("key").to_numpy(), b.column("id").to_numpy()
         new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
         again = np.concatenate([[not new[0] and ids[0] == last_id], (ids[1:] == ids[:-1]) & ~new[1:]])
         at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        heads = np.where(at >= 0, ids[np.maximum(at, 0)], np.int64(0) if head is None else head)
-        last_key, last_id, head = key[-1], ids[-1], heads[-1]
+        heads = np.where(at >= 0, ids[np.maximum(at, 0)], np.int64(0) if first is None else first)
+        last_key, last_id, first = key[-1], ids[-1], heads[-1]
         out = ~new & ~again & (ids != heads)
         if out.any():
             yield pa.record_batch([pa.array(key[out]), pa.array(heads[out]), pa.array(ids[out])], ["key", "head", "id"])
@@ -118,59 +128,104 @@ def _set(line: str, size: int) -> set:
     return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
 
 
+def _bits(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's shingles as a set of BITS hashes, and of fewer ones: two such sets differ in no more places than the lines in shingles."""
+    bits = np.zeros((len(lines), BITS), bool)
+    h, starts = shingle_hashes(lines, size)
+    of = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(h))))
+    bits[of, h & np.uint32(BITS - 1)] = True
+    return np.packbits(bits, axis=1).view(np.uint64), np.packbits(bits.reshape(len(lines), -1, COARSE).any(axis=1), axis=1).view(np.uint64)
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32)
+
+
+def _similar(x: set, y: set) -> bool:
+    same = len(x & y)
+    return same >= SIMILARITY * (len(x) + len(y) - same)
+
+
+#: Of two similar lines, the share of both lines' shingles in which they differ at most.
+MOST = (1 - SIMILARITY) / (1 + SIMILARITY)
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(a, b) of the pairs whose lines are similar."""
+    """(a, b) of the pairs whose lines are similar. What passes as sets of hashed shingles is compared exactly."""
 
     def alike(batches):
-        for b in batches:
-            ok, was, x = [], None, set()
-            for i, s, t in zip(b.column("a").to_pylist(), b.column("s"), b.column("t"), strict=True):
-                if i != was:
-                    was, x = i, _set(s.as_py(), size)
-                t = t.as_py()
-                y = _set(t, size) if len(t) - size + 1 >= SIMILARITY * len(x) else set()  # else too short
-                same = len(x & y)
-                ok.append(same >= SIMILARITY * (len(x) + len(y) - same))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.record_batch([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                b = whole.slice(start, 2048)
+                ids, at = np.unique(np.concatenate([b.column("a").to_numpy(), b.column("b").to_numpy()]), return_index=True)
+                i, j = (np.searchsorted(ids, b.column(c).to_numpy()) for c in ("a", "b"))
+                texts = pa.concat_arrays([b.column("s"), b.column("t")]).take(pa.array(at)).to_pylist()
+                lengths = np.fromiter(map(len, texts), np.int64, len(texts)) - size + 1
+                bits, _ = _bits(texts, size)
+                ok = _differ(bits[i], bits[j]) <= MOST * (lengths[i] + lengths[j]) + 1e-9
+                sets: dict = {}
+                for n in np.flatnonzero(ok).tolist():
+                    x, y = (sets[k] if k in sets else sets.setdefault(k, _set(texts[k], size)) for k in (i[n], j[n]))
+                    ok[n] = _similar(x, y)
+                mask = pa.array(ok)
+                yield pa.record_batch([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
     with_a = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("s")), "a")
     both = with_a.join(lines.select(F.col("id").alias("b"), F.col("line").alias("t")), "b")
     return staged(both.select("a", "b", "s", "t").mapInArrow(alike, "a long, b long"), "alike")
 
 
-def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, n, line, id) of every line with a word; n counts all lines from 0."""
-    lines = docs.select(F.col(key).alias("k"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("n", "line"))
-    return lines.filter(F.col("line").rlike("[^ \\t-\\r]")).withColumn("id", F.xxhash64("line"))
+def _lines(text: str) -> Column:
+    """All lines of a text; null has one that is empty."""
+    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+
+
+def _ids(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, ids): of each row the ids and second hashes of its lines, null for those without a word."""
+    return docs.select(F.col(key).alias("k"), F.transform(_lines(text), lambda x: F.when(x.rlike("[^ \\t-\\r]"), F.struct(F.xxhash64(x).alias("id"), F.hash(x).alias("h")))).alias("ids"))
 
 
 def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(node, root): the component of every line id that is similar to another by shingles of `size` characters."""
+    """(node, h, root): the component of every line id that is similar to another by shingles of `size` characters, and the line's second hash."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    bands = texts.mapInArrow(lambda batches: _band_rows(batches, size), "key long, id long").repartition("key").sortWithinPartitions("key", "id")
-    stars = staged(bands.mapInArrow(_stars, "key long, head long, id long"), "stars")
+    banded = texts.mapInArrow(lambda batches: _band_rows(batches, size), "key long, head long, id long")
+    dealt = banded.repartition(F.when(F.col("id") == F.col("head"), F.col("key")).otherwise(F.xxhash64("key", "id"))).sortWithinPartitions("key", "id")
+    stars = staged(dealt.mapInArrow(_stars, "key long, head long, id long"), "stars")
     first = staged(stars.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "first")
     ids = staged(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     few = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda df: df)
-    lines = staged(_occurrences(docs, key, text).select("id", "line").join(few(ids), "id", "left_semi").dropDuplicates(["id"]), "lines")
+    every = docs.select(F.explode(_lines(text)).alias("line")).select(F.xxhash64("line").alias("id"), F.hash("line").alias("h"), "line")
+    # Should two lines have one id, the one with the smaller second hash stands for it.
+    lines = staged(every.join(few(ids), "id", "left_semi").groupBy("id").agg(F.min_by("line", "h").alias("line"), F.min("h").alias("h")), "lines")
     good = _verified(first, lines, size)
-    return components(good.unionByName(staged(_rest(stars, good, lines, size), "rest")))
+    roots = components(good.unionByName(staged(_rest(stars, good, lines, size), "rest")))
+    return roots.join(lines.select(F.col("id").alias("node"), "h"), "node")
 
 
 def _rest(stars: DataFrame, good: DataFrame, lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Links between lines of one key that are not known to be joined: that do not lead to one line in two steps.
 
-    A key's lines go to one task, or, beyond TILE of them, tile by tile to a task for every two tiles.
+    Of a key's lines those outside its largest group are dealt to `others` tiles, the largest group to `mains`; every
+    two tiles but two of the largest group meet in a task. Of keys with the same lines one is enough.
     """
     one = staged(good.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "led")  # a line to its smallest
     two = one.select(F.col("node").alias("root"), F.col("root").alias("further"))
     roots = one.join(two, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
     members = stars.select("key", "id").unionByName(stars.select("key", F.col("head").alias("id"))).distinct()
-    led = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    apart = led.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    met = led.join(apart, "key").join(lines, "id").withColumn("t", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
-    dealt = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(F.xxhash64("key", F.least("t", "o"), F.greatest("t", "o")).alias("shard"), "id", "root", "line")
+    led = staged(members.join(roots, members["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root")), "members")
+    sizes = led.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum(F.col("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), F.count("*").alias("groups")).filter("groups > 1")
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
+    apart = keys.groupBy("n", "s", "x").agg(F.min(F.struct("key", "largest")).alias("one")).select("one.key", "one.largest.root", tiles(F.col("one.largest.n")).alias("mains"), tiles(F.col("n") - F.col("one.largest.n")).alias("others")).withColumnRenamed("root", "main")
+    met = led.join(apart, "key").join(lines, "id")
+    inside = F.col("root") == F.col("main")
+    tile = F.pmod(F.xxhash64("id"), F.when(inside, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    meet = lambda kind, i, j: F.xxhash64(F.col("key"), F.lit(kind), i, j)
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    with_others = F.transform(upto("others"), lambda j: meet(0, F.col("tile"), j))
+    with_mains = F.transform(upto("mains"), lambda i: meet(0, i, F.col("tile")))
+    among = F.transform(F.filter(upto("others"), lambda j: j != F.col("tile")), lambda j: meet(1, F.least("tile", j), F.greatest("tile", j)))
+    dealt = met.withColumn("tile", tile).select(F.explode(F.when(inside, with_others).otherwise(F.concat(with_mains, among))).alias("shard"), "id", "root", "line")
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _cross(batches, size), "a long, b long")
 
 
@@ -196,57 +251,61 @@ def _cross(batches, size: int = SHINGLE):
 def _links_across(rows: list, size: int = SHINGLE) -> list[tuple[int, int]]:
     """Similar lines that join components. rows: (id, root, line).
 
-    Two lines' shingles are first compared as sets of BITS hashes: those differ in no more places than the lines differ
-    in shingles, and lines of J = 0.8 differ in a ninth of their shingles taken together at most. What passes is
-    compared exactly, unless it has been joined by then.
+    Lines of the largest group need no comparison among themselves. Sets of hashed shingles are compared first; what
+    passes is compared exactly, unless it has been joined by then.
     """
-    ids, lines = [r[0] for r in rows], [r[2] for r in rows]
-    at = {r: i for i, r in enumerate(dict.fromkeys(r[1] for r in rows))}
-    label = np.array([at[r[1]] for r in rows])
+    label = np.unique([r[1] for r in rows], return_inverse=True)[1]
+    largest = np.bincount(label).argmax()
+    order = np.argsort(label == largest, kind="stable")  # the largest group last
+    ids, lines, label = [rows[i][0] for i in order], [rows[i][2] for i in order], label[order]
     sizes = np.array([len(x) - size + 1 for x in lines])
-    bits = np.zeros((len(rows), BITS), bool)
-    h, starts = shingle_hashes(lines, size)
-    of = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(h))))
-    bits[of, h & np.uint32(BITS - 1)] = True
-    packed = np.packbits(bits, axis=1).view(np.uint64)
-    coarse = np.packbits(bits.reshape(len(rows), -1, COARSE).any(axis=1), axis=1).view(np.uint64)  # the same with fewer places
+    packed, coarse = _bits(lines, size)
     out, sets = [], {}
-    most = (1 - SIMILARITY) / (1 + SIMILARITY)
-    for i in range(len(rows) - 1):
-        differ = np.bitwise_count(coarse[i + 1 :] ^ coarse[i]).sum(axis=1, dtype=np.int32)
-        j = i + 1 + np.flatnonzero((differ <= most * (sizes[i] + sizes[i + 1 :]) + 1e-9) & (label[i + 1 :] != label[i]))
+    for i in range(int((label != largest).sum())):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        j = j[_differ(coarse[j], coarse[i]) <= MOST * (sizes[i] + sizes[j]) + 1e-9]
         if len(j):
-            j = j[np.bitwise_count(packed[j] ^ packed[i]).sum(axis=1, dtype=np.int32) <= most * (sizes[i] + sizes[j]) + 1e-9]
+            j = j[_differ(packed[j], packed[i]) <= MOST * (sizes[i] + sizes[j]) + 1e-9]
         for k in j.tolist():
             if label[k] != label[i]:
-                x, y = (sets.setdefault(n, _set(lines[n], size)) for n in (i, k))
-                same = len(x & y)
-                if same >= SIMILARITY * (len(x) + len(y) - same):
+                x, y = (sets[n] if n in sets else sets.setdefault(n, _set(lines[n], size)) for n in (i, k))
+                if _similar(x, y):
                     out.append((ids[i], ids[k]))
                     label[label == label[k]] = label[i]
     return out
 
 
+def _removed(ids: DataFrame, roots: DataFrame) -> DataFrame:
+    """(k, removed) of the documents that lose lines; ids as _ids() gives them."""
+    lines = ids.select("k", F.posexplode("ids").alias("n", "line")).filter("line is not null").select("k", "n", "line.id", "line.h")
+    firsts = lines.groupBy("id", "h").agg(F.min(F.struct("k", "n")).alias("first"), F.count("*").alias("times"))
+    met = (firsts["id"] == roots["node"]) & (firsts["h"] == roots["h"])
+    led = staged(firsts.join(roots, met, "left").filter("times > 1 or root is not null").select(firsts["id"], firsts["h"], "first", "root"), "touched")
+    heads = staged(led.filter("root is not null").groupBy("root").agg(F.min("first").alias("head")), "heads")
+    if heads.count() <= BROADCAST_IDS:
+        led = led.join(F.broadcast(heads), "root", "left")
+    else:  # a root that many lines have is dealt to several tasks
+        salted = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        led = led.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"], "left")
+    kept = led.select(F.col("id").alias("of"), F.col("h").alias("of_h"), F.coalesce("head", "first").alias("head"))
+    gone = lines.join(kept, (lines["id"] == kept["of"]) & (lines["h"] == kept["of_h"])).filter(~F.struct("k", "n").eqNullSafe(F.col("head")))
+    return gone.groupBy("k").agg(F.array_sort(F.collect_set("n")).alias("removed"))
+
+
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, removed): the sorted numbers, from 0, of the lines to take out; documents without such lines are absent.
 
     Edge cases: a null or empty text has no lines; blank lines stay; rows with one key count as one document, and the
     line that stays does so in each of them; a null key comes before all others; an empty table gives none.
     """
-    roots = similar_lines(docs, key, text)
-    lines = _occurrences(docs, key, text).select("k", "n", "id")
-    firsts = lines.groupBy("id").agg(F.min(F.struct("k", "n")).alias("first"), F.count("*").alias("times"))
-    led = staged(firsts.join(roots, firsts["id"] == roots["node"], "left").filter("times > 1 or root is not null").select("id", "first", "root"), "touched")
-    heads = led.filter("root is not null").groupBy("root").agg(F.min("first").alias("head"))
-    kept = led.join(heads, "root", "left").select(F.col("id").alias("of"), F.coalesce("head", "first").alias("head"))
-    met = lines.join(kept, lines["id"] == kept["of"]).filter(~F.struct("k", "n").eqNullSafe(F.col("head")))
-    return met.groupBy("k").agg(F.array_sort(F.collect_set("n")).alias("removed")).withColumnRenamed("k", key)
+    return _removed(staged(_ids(docs, key, text), "line-ids"), similar_lines(docs, key, text)).withColumnRenamed("k", key)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_lines, n_removed, removed_lines) of every row; n_lines counts lines with a word."""
-    gone = removed_lines(docs, key, text).select(F.col(key).alias("gone_key"), "removed")
-    counted = docs.select(F.col(key).alias("k"), F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))).alias("n_lines"))
+    ids = staged(_ids(docs, key, text), "line-ids")
+    gone = _removed(ids, similar_lines(docs, key, text)).withColumnRenamed("k", "gone_key")
+    counted = ids.select("k", F.size(F.filter("ids", lambda x: x.isNotNull())).alias("n_lines"))
     none = F.array().cast("array<int>")
     joined = counted.join(gone, F.col("k").eqNullSafe(F.col("gone_key")), "left")
     return joined.select(F.col("k").alias(key), "n_lines", F.size(F.coalesce("removed", none)).alias("n_removed"), F.coalesce("removed", none).alias("removed_lines"))

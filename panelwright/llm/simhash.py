@@ -251,7 +251,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
             yield pa.record_batch([b.column("k"), pa.array(lines, pa.string())], ["k", "t"])
 
     base = staged(docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(lettered, f"k {kind}, t string"), "lettered")
-    roots = staged(similar_lines(base, "k", "t", shingle), "roots")
+    roots = staged(similar_lines(base, "k", "t", shingle).drop("h"), "roots")
     ids = base.select("k", F.xxhash64("t").alias("id"))
     least = ids.groupBy("id").agg(F.min("k").alias("least")).join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     least = staged(least, "led")
