@@ -3,7 +3,8 @@
 A document fails for itself if it has few words or repeats itself. A host's failure rate is its documents' rate,
 shrunk towards that of all hosts by a beta prior whose two parameters are fitted to the hosts by moments; documents
 of a host whose shrunk rate exceeds the limit are rejected with it. Hosts are counted with partial sums, so a host
-with a third of all documents is no large group, and verdicts join back to rows of a few numbers, never to texts.
+with a third of all documents is no large group. Verdicts join back to rows of a few numbers; where whole documents are
+filtered, the bad hosts are broadcast up to a counted number, and beyond it a host's documents are dealt to many tasks.
 
 Edge cases: a null text has no words and fails; a null host has no verdict of its own; equal rows each count and
 each get a row; one host, or hosts without variance, make the prior as strong as all hosts' documents; an empty
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import let, staged, unused, words
 
 SYMBOLS = "#*$%&|<>"
+BROADCAST_HOSTS, SALTS = 500_000, 64
 
 
 def _repeat_words(w: Column) -> Column:
@@ -110,6 +112,12 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rat
     """The rows of docs that pass both rules, with their own columns."""
     rules, columns = unused(docs, "rules"), docs.columns
     judged = staged(_ruled(docs, text, rules, 50, 50).drop(rules), "judged")
-    bad = host_verdicts(judged.select(F.col(host), F.col(f"{rules}_failed").alias("base_failed")), host, max_rate).filter(~F.col("host_ok")).select(F.col("host").alias(rules))
+    bad = staged(host_verdicts(judged.select(F.col(host), F.col(f"{rules}_failed").alias("base_failed")), host, max_rate).filter(~F.col("host_ok")).select(F.col("host").alias(rules)), "bad-hosts")
     good = judged.filter(~F.col(f"{rules}_failed")).drop(f"{rules}_failed")
-    return good.join(bad, good[host] == bad[rules], "left_anti").select(*columns)
+    if bad.count() <= BROADCAST_HOSTS:
+        return good.join(F.broadcast(bad), good[host] == bad[rules], "left_anti").select(*columns)
+    # Beyond that a host's documents are dealt to SALTS tasks, so that none gets all of a large host.
+    salt = unused(docs, "salt")
+    salted = bad.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = good.withColumn(salt, F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, (dealt[host] == salted[rules]) & (dealt[salt] == salted[salt]), "left_anti").select(*columns)

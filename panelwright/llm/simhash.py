@@ -266,5 +266,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     gone = unused(docs, "gone_key")
     out = kept.filter(F.col(key) > F.col("component_id")).select(F.col(key).alias(gone)).distinct()
     left = docs.join(out, docs[key] == out[gone], "left_anti")
-    twice = kept.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
-    return left if twice.isEmpty() else left.dropDuplicates([key, text])
+    twice = staged(kept.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(gone)).filter(F.col(gone) > 1), "doubled")
+    if twice.isEmpty():
+        return left
+    twice = twice.select(F.col(key).alias(gone))
+    of_many = left[key] == twice[gone]
+    return left.join(twice, of_many, "left_anti").unionByName(left.join(twice, of_many, "left_semi").dropDuplicates([key, text]))

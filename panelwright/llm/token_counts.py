@@ -22,7 +22,7 @@ from .common import staged
 from .tokens import Counts, load, memo
 
 MARGIN = 64  # characters; longer than any added token of the public tokenizers
-BATCH = 64
+TASKS = 10_000  # at most, for the chunks of one round
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", chunk: int = 65_536, overlap: int = 512) -> DataFrame:
@@ -43,7 +43,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
 def _long(docs: DataFrame, tokenizer: str, kind: str, chunk: int, overlap: int) -> DataFrame:
     """Rows of long documents. A row is told from others by key and digest, so equal rows share their work."""
-    keyed = docs.select("k", "t", F.sha2("t", 256).alias("digest"))
+    if not 0 <= overlap < chunk:
+        raise ValueError("an overlap is shorter than its chunk")
+    keyed = staged(docs.select("k", "t", F.sha2("t", 256).alias("digest")), "long-texts")
     done = None
     while True:
         got = staged(_spliced(keyed, tokenizer, kind, chunk, overlap), "long-counts")
@@ -53,7 +55,7 @@ def _long(docs: DataFrame, tokenizer: str, kind: str, chunk: int, overlap: int)
             break
         failed = got.filter("n_tokens is null").select(F.col("k").alias("fk"), F.col("digest").alias("fd"))
         keyed = keyed.join(failed, keyed["k"].eqNullSafe(failed["fk"]) & (keyed["digest"] == failed["fd"]), "left_semi")
-        chunk, overlap = chunk * 4, overlap * 8
+        chunk, overlap = chunk * 8, overlap * 8  # together, so that chunks always advance
     return done.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("k", "n_bytes", "n_tokens")
 
 
@@ -90,7 +92,8 @@ def _spliced(keyed: DataFrame, tokenizer: str, kind: str, chunk: int, overlap: i
             ints = pa.list_(pa.int64())
             yield pa.record_batch([*kept, pa.array(cols["n_bytes"], pa.int64()), pa.array(cols["n"], pa.int64()), *(pa.array(cols[c], ints) for c in ("head", "head_n", "tail", "tail_n"))], ["k", "digest", "part", "parts", *cols])
 
-    chunks = keyed.mapInArrow(cut, f"k {kind}, digest string, part int, parts int, at long, piece string").repartition("digest", "k", "part")
+    parts = keyed.agg(F.sum(F.ceil(F.length("t") / (chunk - overlap)))).first()[0] or 1
+    chunks = keyed.mapInArrow(cut, f"k {kind}, digest string, part int, parts int, at long, piece string").repartition(max(1, min(int(parts), TASKS)), "digest", "k", "part")
     seen = chunks.mapInArrow(encode, f"k {kind}, digest string, part int, parts int, n_bytes long, n long, head array<long>, head_n array<long>, tail array<long>, tail_n array<long>")
     once = seen.groupBy("k", "digest", "part").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("parts", "n_bytes", "n", "head", "head_n", "tail", "tail_n")))
     w = Window.partitionBy("k", "digest").orderBy("part")
@@ -99,4 +102,8 @@ def _spliced(keyed: DataFrame, tokenizer: str, kind: str, chunk: int, overlap: i
     since = F.when(F.col("part") == 0, F.lit(0)).otherwise(F.get("head_n", (F.array_position("head", F.col("from")) - 1).cast("int")))
     own = met.withColumn("own", upto - since)
     whole = F.count("*") == F.count("own")  # a chunk without a common boundary has no count
-    return own.groupBy("k", "digest").agg(F.sum("n_bytes").alias("n_bytes"), F.when(whole, F.sum("own")).alias("n_tokens"), F.first("copies").alias("copies"))
+    counted = own.groupBy("k", "digest").agg(F.sum("n_bytes").alias("n_bytes"), F.when(whole, F.sum("own")).alias("n_tokens"), F.first("copies").alias("copies"))
+    sizes = keyed.select(F.col("k").alias("sk"), F.col("digest").alias("sd"), F.octet_length("t").alias("size")).distinct()
+    told = counted.join(sizes, counted["k"].eqNullSafe(sizes["sk"]) & (counted["digest"] == sizes["sd"]))
+    right = F.when(F.col("n_bytes") == F.col("size"), F.col("n_bytes")).otherwise(F.raise_error(F.lit("chunks do not make up their text")).cast("long"))
+    return told.select("k", "digest", right.alias("n_bytes"), "n_tokens", "copies")

@@ -53,9 +53,13 @@ def test_overlapping_chunks_splice_to_the_whole_count(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = tokens.load(path)
     texts = ["ab c, d  \n e<|endoftext|> x " * 400, "x" * 3000 + " y" * 500, "é" * 4000, " " * 3000 + "a" + "\n" * 2000, None, "a b " * 900]
+    texts += ["x" * 50_000]  # no boundary at all: widened until it is one chunk
     df = spark.createDataFrame([(i % 4, t) for i, t in enumerate([*texts, texts[0]])], "doc_id int, text string")
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(df, path, chunk=700, overlap=90).collect())
-    assert got == Counter((i % 4, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False))) for i, t in enumerate([*texts, texts[0]]))
+    want = Counter((i % 4, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False))) for i, t in enumerate([*texts, texts[0]]))
+    for chunk, overlap in ((700, 90), (1024, 256)):
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(df, path, chunk=chunk, overlap=overlap).collect()) == want
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(df, path, chunk=90, overlap=90)
 
 
 def test_token_counts_of_odd_rows(odd):
