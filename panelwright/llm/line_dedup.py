@@ -23,7 +23,7 @@ from .common import staged, unused
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 10, 4, 0.8
-TILE, BITS, COARSE = 2048, 2048, 256
+TILE, SMALL, BITS, COARSE = 2048, 48, 2048, 256
 BROADCAST_IDS, SALTS = 1_000_000, 32
 BLANK = " \t\n\x0b\x0c\r"
 _PARAMETERS = np.random.default_rng(20240613).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -231,21 +231,56 @@ def _rest(stars: DataFrame, good: DataFrame, lines: DataFrame, size: int = SHING
 
 def _cross(batches, size: int = SHINGLE):
     """Links between the lines of each shard; rows come sorted by shard."""
-    now, rows = None, []
-
-    def links():
-        pairs = _links_across(rows, size) if len({r[1] for r in rows}) > 1 else []
+    joined: dict = {}  # groups that links of this task have joined, each to another one
+
+    def links(part: pa.Table):
+        shard, root, ids = (part.column(c).to_numpy() for c in ("shard", "root", "id"))
+        lines = part.column("line").to_pylist()
+        starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        sizes = np.diff(np.append(starts, len(shard)))
+        pairs = _small(shard, root, ids, lines, np.flatnonzero(np.repeat(sizes, sizes) <= SMALL), joined, size)
+        for start, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            at = slice(start, start + n)
+            pairs += _links_across(list(zip(ids[at].tolist(), root[at].tolist(), lines[at], strict=True)), size)
         return pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
+    held: list = []
     for batch in batches:
-        for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "id", "root", "line")), strict=True):
-            if shard != now:
-                if (out := links()).num_rows:
-                    yield out
-                now, rows = shard, []
-            rows.append(row)
-    if (out := links()).num_rows:
-        yield out
+        if not batch.num_rows:
+            continue
+        shard = batch.column("shard").to_numpy()
+        last = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
+        if last or held and held[-1].column("shard")[-1].as_py() != shard[0]:
+            yield links(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield links(pa.Table.from_batches(held))
+
+
+def _small(shard, root, ids, lines: list[str], rows, joined: dict, size: int) -> list[tuple[int, int]]:
+    """Links of shards of few lines: every two lines of a shard and not of a group, all shards at once."""
+    lengths = np.fromiter((len(lines[i]) for i in rows.tolist()), np.int64, len(rows)) - size + 1
+    packed = [_bits([lines[i] for i in rows[k : k + 2048].tolist()], size)[0] for k in range(0, len(rows), 2048)]
+    bits, s, r, found = np.concatenate(packed) if packed else None, shard[rows], root[rows], []
+    for gap in range(1, SMALL):
+        near = np.flatnonzero((s[gap:] == s[:-gap]) & (r[gap:] != r[:-gap]))
+        if not (s[gap:] == s[:-gap]).any():
+            break
+        found.append(near[_differ(bits[near], bits[near + gap]) <= MOST * (lengths[near] + lengths[near + gap]) + 1e-9] + np.array([[0], [gap]]))
+
+    def led(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    out = []
+    for i, j in np.concatenate(found, axis=1).T.tolist() if found else ():
+        x, y = led(int(r[i])), led(int(r[j]))
+        if x != y and _similar(_set(lines[rows[i]], size), _set(lines[rows[j]], size)):
+            joined[x] = y
+            out.append((int(ids[rows[i]]), int(ids[rows[j]])))
+    return out
 
 
 def _links_across(rows: list, size: int = SHINGLE) -> list[tuple[int, int]]:

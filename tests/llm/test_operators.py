@@ -147,6 +147,61 @@ def test_line_dedup_against_all_pairs(spark, docs):
         assert out[i] == "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in got.get(i, []))
 
 
+def test_shards_of_every_size_and_cut_give_the_same_groups():
+    rng, rows = np.random.default_rng(8), []
+    for shard in range(40):
+        base = list(rng.choice(list("abcdefghij "), 60))
+        for k in range(int(rng.choice([1, 2, 5, 20, 90]))):
+            base[int(rng.integers(60))] = "xyz"[k % 3]
+            rows.append((shard, shard * 1000 + k, shard * 1000 + k - k % 2, "".join(base)))
+    names = ["shard", "id", "root", "line"]
+    table = pa.table([pa.array(c) for c in zip(*rows, strict=True)], names)
+
+    def groups(pairs):
+        lead = {r[1]: r[2] for r in rows}
+        for a, b in pairs:
+            x, y = lead[a], lead[b]
+            lead = {i: x if g == y else g for i, g in lead.items()}
+        return {frozenset(i for i in lead if lead[i] == g) for g in lead.values()}
+
+    sets = {r[1]: line_dedup._set(r[3], 7) for r in rows}
+    want = groups((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and line_dedup._similar(sets[a[1]], sets[b[1]]))
+    for size in (3, 64, 5000):
+        got = [(r["a"], r["b"]) for b in line_dedup._cross(iter(table.to_batches(size))) for r in b.to_pylist()]
+        assert groups(got) == want and len(got) < len(rows)
+
+
+def test_measured_recall_of_bands():
+    rng, hit, n = np.random.default_rng(3), 0, 0
+    while n < 1500:
+        one = list(rng.choice(list("abcdefghijklmnop "), 300))
+        two = list(one)
+        for i in rng.choice(300, int(rng.integers(2, 6)), replace=False):
+            two[i] = "#"
+        pair = ["".join(one), "".join(two)]
+        if line_dedup.jaccard(*pair) >= 0.8:
+            keys = line_dedup.band_keys(pair)
+            hit, n = hit + bool((keys[0] == keys[1]).any()), n + 1
+    assert hit / n > 0.99
+
+
+def test_lines_that_equal_in_one_hash_only_stay(spark):
+    """Two unlike lines under one id, as a collision of the first hash would make."""
+    ids = spark.createDataFrame([(1, [(7, 1), (7, 2)]), (2, [(7, 1), None])], "k long, ids array<struct<id: long, h: int>>")
+    none = spark.createDataFrame([], "node long, h int, root long")
+    assert {r["k"]: r["removed"] for r in line_dedup._removed(ids, none).collect()} == {2: [0]}
+
+
+def test_heads_of_roots_by_broadcast_and_by_salt_agree(spark, docs):
+    some, kept = docs.limit(80), line_dedup.BROADCAST_IDS
+    want = sorted(map(str, line_dedup.report(some).collect()))
+    line_dedup.BROADCAST_IDS = 0
+    try:
+        assert sorted(map(str, line_dedup.report(some).collect())) == want
+    finally:
+        line_dedup.BROADCAST_IDS = kept
+
+
 def test_lines_across_components_join():
     base = list(np.random.default_rng(5).choice(list("abcdefghijklmnopqrstuvwxyz "), 400))
     rows = []
@@ -171,6 +226,15 @@ def test_line_dedup_of_odd_rows(odd):
     assert line_dedup.dedup_lines(odd).columns == odd.columns
 
 
+def test_lines_of_null_keys_repeated_rows_and_short_lines(spark):
+    rows = [(None, "ab\nab\nof the null key"), (1, "ab\n\n \nlong enough to be compared 1"), (1, "ab\n\n \nlong enough to be compared 1"), (2, "of the null key\nlong enough to be compared 2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0), r["n_lines"], tuple(r["removed_lines"])) for r in line_dedup.report(df).collect())
+    assert got == [(0, 3, (1,)), (1, 2, (0,)), (1, 2, (0,)), (2, 2, (0, 1))]
+    empty = line_dedup.dedup_lines(df.limit(0))
+    assert empty.columns == df.columns and empty.isEmpty()
+
+
 # 4
 
 
