@@ -6,19 +6,21 @@ frequent. As a window has to be contained whole, a prefix of one shingle is nece
 documents' shingles are joined with these prefixes alone. A match tells where the window would lie; it has to lie
 inside the document (positional and length bound), and its words are compared one by one.
 
-Windows are broadcast up to a checked number. Beyond it the join is by shuffle on shingles, with narrow rows, and
-candidates go back to their documents to be compared.
+Windows are broadcast up to a counted number. Beyond it they are joined block by block, each block of that size: documents
+are read once more for every block, and neither their shingles nor their words are shuffled, whatever repeats in them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, unused
 
 WINDOW, SHINGLE = 10, 3
-BROADCAST_WINDOWS = 200_000
+BROADCAST_ROWS = 400_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -89,23 +91,24 @@ def _hits(base: DataFrame, plain: DataFrame, sizes: list[int], of: list[str]) ->
     for p in parts[1:]:
         tokens = tokens.unionByName(p)
     tokens = staged(tokens, "shingles")
-    few = tokens.count() <= BROADCAST_WINDOWS * (WINDOW - SHINGLE + 1)
-    hint = F.broadcast if few else (lambda df: df)
-    counts = _tokens(base, sizes).join(hint(tokens.select("h").distinct()), "h", "left_semi").groupBy("h").count()
+    counts = _in_blocks(tokens.select("h").distinct(), lambda block: _tokens(base, sizes).join(block, "h", "left_semi").groupBy("h").count())
     # A window with a shingle that no document has is in none.
     ranked = tokens.join(counts, "h", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "h", "offset", "words")).alias("r")).filter("r.c > 0")
     prefixes = staged(ranked.select("wid", "r.h", "r.offset", "r.words"), "prefixes")
-    if prefixes.isEmpty():
-        return base.limit(0).select(*of, F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("wid"))
     start = F.col("pos") - F.col("offset")
-    if few:
-        met = _tokens(base, sizes, *of, "w").join(F.broadcast(prefixes), "h").filter((start >= 0) & (start + F.size("words") <= F.size("w")))
-        return met.filter(F.slice("w", start + 1, F.size("words")) == F.col("words")).select(*of, start.alias("start"), F.size("words").alias("size"), "wid")
-    met = _tokens(base, sizes, *of).join(prefixes, "h").filter(start >= 0).select(*of, start.alias("start"), "wid", "words").distinct()
-    tried = met.groupBy(*of).agg(F.collect_list(F.struct("start", "wid", "words")).alias("tried")).select(*(F.col(c).alias(f"m_{c}") for c in of), "tried")
-    back = base.dropDuplicates(of).join(tried, _same("", "m_", of))
-    right = F.filter("tried", lambda t: (t["start"] + F.size(t["words"]) <= F.size("w")) & (F.slice("w", t["start"] + 1, F.size(t["words"])) == t["words"]))
-    return back.select(*of, F.explode(right).alias("t")).select(*of, "t.start", F.size("t.words").alias("size"), "t.wid")
+
+    def met(block: DataFrame) -> DataFrame:
+        inside = _tokens(base, sizes, *of, "w").join(block, "h").filter((start >= 0) & (start + F.size("words") <= F.size("w")))
+        return inside.filter(F.slice("w", start + 1, F.size("words")) == F.col("words")).select(*of, start.alias("start"), F.size("words").alias("size"), "wid")
+
+    return _in_blocks(prefixes, met)
+
+
+def _in_blocks(rows: DataFrame, work) -> DataFrame:
+    """work() of all blocks of rows (h and others), each of which is broadcast: one block up to BROADCAST_ROWS, as many as it takes beyond."""
+    n = max(1, -(-rows.count() // BROADCAST_ROWS))
+    blocks = [rows.filter(F.pmod(F.xxhash64("h", *(c for c in rows.columns if c == "wid")), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
+    return reduce(DataFrame.unionByName, [work(F.broadcast(b)) for b in blocks])
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,8 +3,8 @@
 A tree over all 64 bits cannot shard well: the distances of unlike texts lie within a few bits of 32, so nearly every
 query with radius 3 meets both sides of a split, and each level would copy over half of all fingerprints. Split into
 four quarters of 16 bits, two fingerprints within 3 bits agree in one quarter, so in that quarter's own space the
-query radius is 0 and no fingerprint is copied: the shard of a quarter's tree is the value itself, at its full
-depth. Inside a shard the full distance counts. Shards beyond `crowd` fingerprints are split by their distance to two
+query radius is 0: fingerprints are sharded by the equality of a quarter, or, where so many would crowd these shards,
+by that of two of five pieces or three of six. Inside a shard the full distance counts. Shards beyond `crowd` fingerprints are split by their distance to two
 vantage points (the shard's smallest and largest fingerprint) into rings of 4; what lies within 3 of a ring's upper
 bound also goes to the next ring, so each close pair meets in some ring. What is still beyond `crowd` is cut into
 tiles, and every two tiles meet. A task searches its shards with a vantage-point tree each, pruned by the triangle
@@ -15,6 +15,8 @@ Only distinct fingerprints take part, so copies cost nothing beyond their count.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ from .common import staged, unused
 from .components import components, forest
 from .line_dedup import similar_lines
 
-CROWD = 4096
+CROWD, BROADCAST_LEAVES = 4096, 500_000
 LEAF = 512
 
 
@@ -173,14 +175,26 @@ def _search(batches, radius: int):
         yield out
 
 
-def _shards(points: DataFrame, crowd: int) -> DataFrame:
-    """(shard, fp), fp once for each shard that it belongs to. points: distinct fp."""
-    quarters = points.select("fp", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("q")).withColumn("leaf", F.expr("(q << 16) | cast(shiftright(fp, 16 * q) & 65535 as int)"))
-    # At most 4 * 2^16 leaves, whatever the input.
-    full = staged(quarters.groupBy("leaf").agg(F.count("*").alias("n"), F.min("fp").alias("v"), F.max("fp").alias("u")).filter(F.col("n") > crowd), "crowded")
-    if full.isEmpty():
-        return quarters.select(F.xxhash64("leaf").alias("shard"), "fp")
-    met = quarters.join(F.broadcast(full), "leaf", "left")
+def agreeing(pieces: int) -> list[int]:
+    """Masks of the 64 bits cut into so many pieces: fingerprints within 3 bits agree under one of them at least."""
+    cuts = [64 * i // pieces for i in range(pieces + 1)]
+    one = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [m - (1 << 64) if m >> 63 else m for m in map(sum, combinations(one, pieces - 3))]
+
+
+def _shards(points: DataFrame, crowd: int, pieces: int | None = None) -> DataFrame:
+    """(shard, fp), fp once for each shard that it belongs to. points: distinct fp.
+
+    Four pieces give 4 leaves a fingerprint by 16 bits, five give 10 by 25 bits, six give 20 by 32 bits: as many are
+    taken as keep leaves below `crowd` on average.
+    """
+    pieces = pieces or (4 if (n := points.count()) <= crowd << 15 else 5 if n <= crowd << 24 else 6)
+    leaves = points.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(agreeing(pieces))))).alias("leaf"))
+    full = staged(leaves.groupBy("leaf").agg(F.count("*").alias("n"), F.min("fp").alias("v"), F.max("fp").alias("u")).filter(F.col("n") > crowd), "crowded")
+    crowds = full.count()
+    if not crowds:
+        return leaves.select(F.xxhash64("leaf").alias("shard"), "fp")
+    met = leaves.join(F.broadcast(full) if crowds <= BROADCAST_LEAVES else full, "leaf", "left")
     calm = met.filter("n is null").select(F.xxhash64("leaf").alias("shard"), "fp")
 
     def rings(v: str):
@@ -194,11 +208,11 @@ def _shards(points: DataFrame, crowd: int) -> DataFrame:
     return calm.unionByName(meets)
 
 
-def links(points: DataFrame, radius: int = 3, crowd: int = CROWD) -> DataFrame:
+def links(points: DataFrame, radius: int = 3, crowd: int = CROWD, pieces: int | None = None) -> DataFrame:
     """(a, b): links that connect the same fingerprints as all links within radius (3 at most) do."""
     if radius > 3:
-        raise ValueError("four quarters serve radii up to 3")
-    dealt = _shards(points, crowd).repartition("shard").sortWithinPartitions("shard")
+        raise ValueError("leaves serve radii up to 3")
+    dealt = _shards(points, crowd, pieces).repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(lambda batches: _search(batches, radius), "a long, b long")
 
 

@@ -6,7 +6,7 @@ others are revisits of it, which hold headers alone.
 
 Reader: a split is a range of bytes. Its task looks for the gzip magic, takes a place for a record only if it decodes
 to a WARC header, reads that member to its end, checks its CRC, and asks that the file ends there or another member
-follows. It owns the records that start inside its range and reads on beyond the range to end the last one.
+follows; a record that fails these is an error, or passed over where that is asked for. It owns the records that start inside its range and reads on beyond the range to end the last one.
 
 Folders are opened by pyarrow: file, hdfs, s3 and gs paths.
 
@@ -101,19 +101,20 @@ def write_warc(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00
 
 def _parse(data: bytes) -> tuple:
     head, _, block = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    block = block[: int(fields["Content-Length"])]
+    told = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
+    fields = {name.strip().lower(): value.strip() for name, _, value in told}
+    block = block[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     told = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
-    kind = fields["WARC-Type"]
+    kind = fields["warc-type"]
     length = int(told[1]) if told else len(payload)
-    digest = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+    by, _, digest = fields.get("warc-payload-digest", "").rpartition(":")
     if kind == "response":
         length, own = len(payload), base32_sha1(payload)
-        if digest and own != digest:
-            raise ValueError(f"payload of {fields.get('WARC-Record-ID')} does not have its digest")
+        if by.lower() == "sha1" and len(digest) == len(own) and own != digest.upper():
+            raise ValueError(f"payload of {fields.get('warc-record-id')} does not have its digest")
         digest = own
-    return fields.get("WARC-Record-ID"), fields.get("WARC-Target-URI"), kind, digest, fields.get("WARC-Refers-To"), length, payload if kind == "response" else None
+    return fields.get("warc-record-id"), fields.get("warc-target-uri"), kind, digest, fields.get("warc-refers-to"), length, payload if kind == "response" else None
 
 
 class _Bytes:
@@ -149,39 +150,52 @@ class _Bytes:
         return -1
 
 
+class Damaged(ValueError):
+    """A member that begins as a WARC record and does not decode to its end."""
+
+
 def _member(buf: _Bytes, at: int) -> tuple[bytes, int] | None:
-    """The decoded member that starts at a place and where it ends; None if none does."""
+    """The decoded member that starts at a place and where it ends; None if no WARC record begins there."""
+    begun = False
     z, out, place = zlib.decompressobj(31), [], at
     try:
         first = z.decompress(buf.get(at, at + 4096), 64)
         if not first.startswith(b"WARC/"):
             return None
+        begun = True
         out.append(first)
         place, rest = min(at + 4096, buf.size), z.unconsumed_tail
         while not z.eof:
             if not rest:
                 if place >= buf.size:
-                    return None
+                    raise Damaged(f"the member at {at} is cut off")
                 rest = buf.get(place, place + BLOCK)
                 place += len(rest)
             out.append(z.decompress(rest))
             rest = z.unconsumed_tail
-    except zlib.error:
+    except zlib.error as error:
+        if begun:
+            raise Damaged(f"the member at {at} does not decode: {error}") from error
         return None
     end = place - len(z.unused_data)
     if end < buf.size and buf.get(end, end + 3) != MAGIC:
-        return None
+        raise Damaged(f"no member follows the one at {at}")
     return b"".join(out), end
 
 
-def read_range(path: str, size: int, start: int, end: int):
-    """Parsed records of the members that start in [start, end)."""
+def read_range(path: str, size: int, start: int, end: int, damaged: str = "raise"):
+    """Parsed records of the members that start in [start, end); damaged ones raise, or are passed over by "skip"."""
     store, name = _open(path)
     with store.open_input_file(name) as file:
         buf = _Bytes(file, size, start)
         at = buf.find(start, min(end, size))
         while at >= 0:
-            got = _member(buf, at)
+            try:
+                got = _member(buf, at)
+            except Damaged as error:
+                if damaged != "skip":
+                    raise Damaged(f"{path}: {error}") from error
+                got = None
             after = at + 1 if got is None else got[1]
             if got is not None:
                 yield _parse(got[0])
@@ -189,8 +203,11 @@ def read_range(path: str, size: int, start: int, end: int):
             at = buf.find(after, min(end, size))
 
 
-def read_warc(spark: SparkSession, files: DataFrame, split: int = 8 << 20) -> DataFrame:
-    """Records of archives. files: (path, size). payload is null for revisits, content_length is the full payload's."""
+def read_warc(spark: SparkSession, files: DataFrame, split: int = 8 << 20, damaged: str = "raise") -> DataFrame:
+    """Records of archives. files: (path, size). payload is null for revisits, content_length is the full payload's.
+
+    A member that begins as a record but is damaged is an error, so that no record is lost unseen; "skip" leaves it out.
+    """
     ranges = files.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
     n = ranges.count()
 
@@ -200,7 +217,7 @@ def read_warc(spark: SparkSession, files: DataFrame, split: int = 8 << 20) -> Da
         for b in batches:
             for path, size, start in zip(*(b.column(c).to_pylist() for c in ("path", "size", "start")), strict=True):
                 rows, held = [], 0
-                for r in read_range(path, size, start, start + split):
+                for r in read_range(path, size, start, start + split, damaged):
                     rows.append(r)
                     held += len(r[6] or b"") + 500
                     if held > 4 << 20:

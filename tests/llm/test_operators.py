@@ -302,12 +302,12 @@ def test_decontamination_against_brute_force(spark, docs, odd):
                     hit |= set(range(k, k + n))
                     found |= own
         want[(i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit))] += 1
-    for limit in (200_000, 0):
-        decontaminate.BROADCAST_WINDOWS, kept = limit, decontaminate.BROADCAST_WINDOWS
+    for limit in (400_000, 1500):
+        decontaminate.BROADCAST_ROWS, kept = limit, decontaminate.BROADCAST_ROWS
         try:
             got = Counter(tuple(r) for r in decontaminate.find_items(df, frame).collect())
         finally:
-            decontaminate.BROADCAST_WINDOWS = kept
+            decontaminate.BROADCAST_ROWS = kept
         assert got == want
     assert decontaminate.find_items(df, frame.limit(0)).filter("contaminated").isEmpty()
 
@@ -474,6 +474,24 @@ def test_warc_round_trip_at_every_split(spark):
     assert warc.read_warc(spark, empty).isEmpty()
 
 
+def test_damaged_members_are_told(tmp_path):
+    members = [warc.record(i, "u", f"payload {i} ".encode() * 50, warc.base32_sha1(f"payload {i} ".encode() * 50), None, "2024-01-01T00:00:00Z") for i in range(5)]
+    flipped = bytearray(members[2])
+    flipped[len(flipped) // 2] ^= 0xFF
+    for name, data, whole in (("flip", b"".join([*members[:2], bytes(flipped), *members[3:]]), 4), ("cut", b"".join(members)[:-9], 4), ("tail", b"".join(members) + b"xyz", 4)):
+        path = tmp_path / name
+        path.write_bytes(data)
+        with pytest.raises(warc.Damaged):
+            list(warc.read_range(str(path), len(data), 0, len(data)))
+        assert len(list(warc.read_range(str(path), len(data), 0, len(data), "skip"))) == whole
+
+
+def test_headers_in_any_case_and_other_digests():
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    got = warc._parse(b"WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID:<x>\r\nwarc-payload-digest: md5:abc\r\ncontent-length: %d\r\n\r\n%b\r\n\r\n" % (len(block), block))
+    assert got[0] == "<x>" and got[3] == warc.base32_sha1(b"body") and got[6] == b"body"
+
+
 def test_archives_are_plain_gzip(spark):
     import gzip
 
@@ -567,10 +585,23 @@ def test_crowded_shards_give_the_same_groups(spark, crowd):
         assert all(want[a] == want[b] for a, b in pairs)
 
 
+@pytest.mark.parametrize("pieces", [4, 5, 6])
+def test_pieces_of_fingerprints_find_the_same_links(spark, pieces):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 60).tolist()
+    near = [b ^ sum(1 << int(i) for i in rng.choice(63, n, replace=False)) for b in base for n in (1, 3, 4)]
+    points = spark.createDataFrame([(p,) for p in {*base, *near}], "fp long")
+    got = {r["node"]: r["root"] for r in components(simhash.links(points, pieces=pieces)).collect()}
+    want = {r["node"]: r["root"] for r in components(spark.createDataFrame([(a, b) for a in {*base, *near} for b in {*base, *near} if a > b and (a ^ b).bit_count() <= 3], "a long, b long")).collect()}
+    assert got == want
+
+
 def test_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(3, text), (1, text), (2, text), (9, "another text of its own kind"), (9, "another text of its own kind"), (None, text)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in simhash.one_of_each(df).collect()) == [0, 1, 9]
+    nulls = spark.createDataFrame([(None, text), (None, text), (9, "x"), (9, "x"), (9, "y")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0) for r in simhash.one_of_each(nulls).collect()) == [0, 0, 9, 9]
 
 
 def test_one_of_each_takes_near_copies_from_a_similarity_of_08(spark):
