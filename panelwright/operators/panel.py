@@ -67,9 +67,9 @@ def to_percent_units(rates: DataFrame, col: str, limit: float = 0.02) -> DataFra
 
 
 def distress_return(dlret: str, dlstcd: str, exchcd: str) -> Column:
-    """A missing delisting return for performance reasons: -35 % on exchanges 1 and 2, else -55 %."""
-    bad = (F.col(dlstcd) == 500) | F.col(dlstcd).between(520, 584)
-    return F.when(F.col(dlret).isNull() & bad, F.when(F.col(exchcd).isin(1, 2), -0.35).otherwise(-0.55)).otherwise(F.col(dlret))
+    """A missing delisting return for performance reasons (codes 500 and 505 to 584): -35 % on exchanges 1 and 2, -55 % on exchange 3."""
+    bad = (F.col(dlstcd) == 500) | F.col(dlstcd).between(505, 584)
+    return F.when(F.col(dlret).isNull() & bad, F.when(F.col(exchcd).isin(1, 2), -0.35).when(F.col(exchcd) == 3, -0.55)).otherwise(F.col(dlret))
 
 
 def excess_returns(ret: DataFrame, delist: DataFrame, rf: DataFrame, key: str = "permno", month: str = "m", distress_fill: bool = False) -> DataFrame:
@@ -94,7 +94,7 @@ def research_panel(df: DataFrame, cols: list[str], month: str = "signal_yyyymm",
 
 def macro_predictors(df: DataFrame) -> DataFrame:
     """dp, ep, bm, tms, dfy, ntis, tbl and svar of a series of months."""
-    return df.select("yyyymm", (F.ln("d12") - F.ln("index")).alias("dp"), (F.ln("e12") - F.ln("index")).alias("ep"), F.col("bm"), (F.col("lty") - F.col("tbl")).alias("tms"), (F.col("baa") - F.col("aaa")).alias("dfy"), "ntis", "tbl", "svar")
+    return df.select("yyyymm", (F.ln("d12") - F.ln("index")).alias("dp"), (F.ln("e12") - F.ln("index")).alias("ep"), F.ln("bm").alias("bm"), (F.col("lty") - F.col("tbl")).alias("tms"), (F.col("baa") - F.col("aaa")).alias("dfy"), "ntis", "tbl", "svar")
 
 
 def column_plan(df: DataFrame, wanted: list[str], ids: list[str]) -> dict[str, list[str]]:

@@ -1,13 +1,12 @@
-"""Rolling regressions from sums of products, solved in expressions where they have one or three factors."""
+"""Rolling regressions from sums of products, solved in expressions."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_index
+from .links import small
 
 
 def compound(daily: DataFrame, key: str, date: str, ret: str, out: str = "ret") -> DataFrame:
@@ -47,39 +46,41 @@ def rolling_regression(obs: DataFrame, spine: DataFrame, key: str, month: str, d
 
 
 def price_delay(obs: DataFrame, key: str, month: str, date: str, y: str, x: str, lags: int, months_back: tuple, min_obs: int) -> DataFrame:
-    """1 - adjusted R^2 on x alone / adjusted R^2 on x and its lags, in each window; both without a window's first rows.
+    """1 - adjusted R^2 on x alone / adjusted R^2 on x and its lags, in each window; the latter without the window's first rows, whose lags lie outside.
 
-    Sums of products are made by Spark; a few numbers a group go to numpy, which solves them by batches.
+    Rows become sums of products a window; the regression is solved by sweeping one regressor after the other out of them.
     """
     w = Window.partitionBy(key).orderBy(date)
     cols = [y, x, *(f"_l{i}" for i in range(1, lags + 1))]
     lagged = obs.select(key, date, y, x, *(F.lag(x, i).over(w).alias(f"_l{i}") for i in range(1, lags + 1)))
     spread = spread_to_months(lagged, date, *months_back, month)
     order = F.row_number().over(Window.partitionBy(key, month).orderBy(date))
-    used = spread.withColumn("_i", order).filter(F.col("_i") > lags).dropna(subset=cols)
-    sums = used.groupBy(key, month).agg(F.count("*").alias("_n"), *(F.sum(a).alias(f"_s{i}") for i, a in enumerate(cols)), *(F.sum(F.col(a) * F.col(b)).alias(f"_p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i)).filter(F.col("_n") >= min_obs - lags)
-    k = len(cols)
-
-    @F.pandas_udf("double")
-    def solve(n: pd.Series, *s: pd.Series) -> pd.Series:
-        m = np.stack([c.to_numpy(float) for c in s], axis=1)
-        count, mean = n.to_numpy(float), m[:, :k] / n.to_numpy(float)[:, None]
-        cov, at = np.empty((len(m), k, k)), k
-        for i in range(k):
-            for j in range(i, k):
-                cov[:, i, j] = cov[:, j, i] = m[:, at] - count * mean[:, i] * mean[:, j]
-                at += 1
-
-        def adjusted(last: int):
-            a, b = cov[:, 1 : last + 1, 1 : last + 1], cov[:, 1 : last + 1, 0]
-            coef = np.linalg.pinv(a, rcond=1e-12) @ b[:, :, None]
-            r2 = (coef[:, :, 0] * b).sum(axis=1) / np.where(cov[:, 0, 0] > 0, cov[:, 0, 0], np.nan)
-            return 1 - (1 - r2) * (count - 1) / (count - last - 1)
-
-        return pd.Series(1 - adjusted(1) / adjusted(k - 1)).replace([np.inf, -np.inf], np.nan)
-
-    inputs = [*(f"_s{i}" for i in range(k)), *(f"_p{i}_{j}" for i in range(k) for j in range(i, k))]
-    return sums.select(key, month, solve("_n", *inputs).alias("pricedelay"))
+    within = F.col("_i") > lags
+    for c in cols:
+        within = within & F.col(c).isNotNull()
+    k, of = len(cols), lambda e: F.sum(F.when(within, e))
+    sums = spread.withColumn("_i", order).groupBy(key, month).agg(F.count("*").alias("_all"), F.regr_r2(y, x).alias("_r2"), F.count_if(within).alias("_n"), *(of(F.col(a)).alias(f"_s{i}") for i, a in enumerate(cols)), *(of(F.col(a) * F.col(b)).alias(f"_p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i))
+    centred = sums.filter((F.col("_all") >= min_obs) & (F.col("_n") > k)).select(key, month, "_all", "_r2", "_n", *((F.col(f"_p{i}_{j}") - F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("_n")).alias(f"_c{i}_{j}") for i in range(k) for j in range(i, k)))
+    many = swept(centred.withColumn("_total", F.col("_c0_0")), "_c", k)
+    adjusted = lambda r2, n, regressors: 1 - (1 - r2) * (n - 1) / (n - regressors - 1)
+    one, all_ = adjusted(F.col("_r2"), F.col("_all"), 1), adjusted(1 - F.try_divide("_c0_0", "_total"), F.col("_n"), k - 1)
+    return many.select(key, month, (1 - F.try_divide(one, all_)).alias("pricedelay"))
+
+
+def swept(df: DataFrame, stem: str, k: int) -> DataFrame:
+    """Centred sums of products stem{i}_{j}, i <= j < k, with 1 to k - 1 partialled out: stem0_0 is what they leave of 0."""
+    for p in range(k - 1, 0, -1):
+        at = lambda i, j: F.col(f"{stem}{min(i, j)}_{max(i, j)}")
+        rest = {f"{stem}{i}_{j}": at(i, j) - F.coalesce(F.try_divide(at(i, p) * at(j, p), at(p, p)), F.lit(0.0)) for i in range(p) for j in range(i, p)}
+        df = df.select(*(c for c in df.columns if not c.startswith(stem)), *(v.alias(n) for n, v in rest.items()))
+    return df
+
+
+def daily_excess(daily: DataFrame, delist: DataFrame, factors: DataFrame, key: str = "permno", date: str = "date", rf: str = "rf", out: str = "exret") -> DataFrame:
+    """Daily rows with factors and out: the return compounded with the delisting return of the very day, over the rate; a missing return of either kind is 0."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    j = daily.join(delist.select(key, date, "dlret"), [key, date], "left").join(small(factors), date)
+    return j.withColumn(out, (1 + zero("ret")) * (1 + zero("dlret")) - 1 - F.col(rf))
 
 
 def residual_variance(daily: DataFrame, key: str, date: str, y: str, xs: list[str], out: str, periods: int = 3, min_obs: int = 21) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import correlation
 from ..operators import audit, compare, timing, windows
 from ..operators import crosssection as x
-from .operator_queries import _excess
+from .operator_queries import EXCESS_SQL, _excess
 from .shapes import Query
 
 COLUMNS = {"a": "a2", "b": "b2", "c": "c2"}
@@ -56,10 +56,10 @@ ISLANDS = "(SELECT *, sum(CASE WHEN level = pl AND m - pm = 1 THEN 0 ELSE 1 END)
 
 
 def _movement(v):
-    return audit.movement(v("adjusted").filter("(permno + m) % 13 <> 0"), v("adjusted").groupBy("industry", "m").agg(F.round(F.avg("base"), 3).alias("mean")), "industry", "m", "permno", "base", "mean", 2.0)
+    return audit.movement(v("adjusted"), v("adjusted").groupBy("industry", "m").agg(F.round(F.avg("base"), 3).alias("mean")), "industry", "m", "permno", "base", "mean", 2.0)
 
 
-MOVEMENT = """WITH mem AS (SELECT *, lag(m) OVER w = m - 1 AS was, lag(m) OVER w = m - 1 AND abs(base - lag(base) OVER w) > 2.0 AS fresh, lead(m) OVER w = m + 1 AS nxt FROM {adjusted} WHERE (permno + m) % 13 <> 0 WINDOW w AS (PARTITION BY industry, permno ORDER BY m)),
+MOVEMENT = """WITH mem AS (SELECT *, lag(m) OVER w = m - 1 AS was, lag(m) OVER w = m - 1 AND abs(base - lag(base) OVER w) > 2.0 AS fresh, lead(m) OVER w = m + 1 AS nxt FROM {adjusted} WINDOW w AS (PARTITION BY industry, permno ORDER BY m)),
     cells AS (SELECT industry, m, max(CASE WHEN fresh THEN 1 ELSE 0 END) AS refresh, max(CASE WHEN was THEN 0 ELSE 1 END) AS came, max(CASE WHEN nxt THEN 0 ELSE 1 END) AS went FROM mem GROUP BY 1, 2),
     flags AS (SELECT industry, m, refresh, greatest(came, lw) AS churn FROM (SELECT *, CASE WHEN lag(m) OVER b = m - 1 THEN lag(went) OVER b END AS lw FROM cells WINDOW b AS (PARTITION BY industry ORDER BY m)) WHERE lw IS NOT NULL),
     moves AS (SELECT industry, m, CASE WHEN lag(m) OVER b = m - 1 THEN CASE WHEN abs(mean - lag(mean) OVER b) > 2.0 THEN 1 ELSE 0 END END AS moved FROM (SELECT industry, m, round(avg(base), 3) AS mean FROM {adjusted} GROUP BY 1, 2) WINDOW b AS (PARTITION BY industry ORDER BY m))
@@ -131,15 +131,18 @@ def _buckets(v):
 
 Z = f"(SELECT char, avg(x) OVER w AS mx, stddev_pop(x) OVER w AS sx, avg(y) OVER w AS my, stddev_pop(y) OVER w AS sy, x, y FROM {PAIRS} WINDOW w AS (PARTITION BY char, m))"
 
+_MATRIX = ["a", "c", "a2", "c2"]
+MATRIX = "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {k}) + (count(*) OVER (PARTITION BY {k}) - 1) / 2e0 AS r_{k}" for k in _MATRIX) + " FROM {panel_a} p JOIN (SELECT permno, m, a2, c2 FROM {panel_b}) q ON p.permno = q.permno AND p.m = q.m WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in _MATRIX) + ") " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr(r_{a}, r_{b}) AS corr FROM r" for i, a in enumerate(_MATRIX) for b in _MATRIX[i:])
+
 QUERIES = [
-    Query("coverage", lambda v: compare.coverage(v("panel_a"), v("panel_b").filter("m % 5 <> 0"), ["permno", "m"]), "shared left_only right_only share~6", "SELECT count(*) FILTER (q.m IS NOT NULL AND p.m IS NOT NULL) AS shared, count(*) FILTER (q.m IS NULL) AS left_only, count(*) FILTER (p.m IS NULL) AS right_only, count(*) FILTER (q.m IS NOT NULL AND p.m IS NOT NULL) / CAST(count(p.m) AS DOUBLE) AS share FROM {panel_a} p FULL JOIN (SELECT * FROM {panel_b} WHERE m % 5 <> 0) q ON p.permno = q.permno AND p.m = q.m"),
+    Query("coverage", lambda v: compare.coverage(v("panel_a"), v("panel_b"), ["permno", "m"]), "shared left_only right_only share~6", "SELECT count(*) FILTER (q.m IS NOT NULL AND p.m IS NOT NULL) AS shared, count(*) FILTER (q.m IS NULL) AS left_only, count(*) FILTER (p.m IS NULL) AS right_only, count(*) FILTER (q.m IS NOT NULL AND p.m IS NOT NULL) / CAST(count(p.m) AS DOUBLE) AS share FROM {panel_a} p FULL JOIN {panel_b} q ON p.permno = q.permno AND p.m = q.m"),
     Query("spearman_pooled", lambda v: compare.spearman(_pairs(v), ["char"]), "char n rho~6", f"SELECT char, count(*) AS n, corr(rx, ry) AS rho FROM {_ranks('char')} GROUP BY 1"),
     Query("spearman_monthly", lambda v: compare.spearman(_pairs(v), ["char", "m"], 10), "char m n rho~6", f"SELECT * FROM {MONTHLY}"),
     Query("spearman_summary", lambda v: compare.monthly_summary(_pairs(v), "m"), "char months median_rho~6 mean_rho~6 p25_rho~6 p75_rho~6 share_low~6", SUMMARY),
     Query("match_rates", lambda v: compare.match_rates(_pairs(v), ["char"]), "char n abs_1e4~6 rel_1e3~6 abs_1e6~6 exact~6", MATCH),
     Query("differences", lambda v: compare.differences(_pairs(v), ["char"]), "char pearson~6 rmse~5 mean_abs~5 median_abs~5 p95_abs~5 p99_abs~5 max_abs~5", f"SELECT char, corr(x, y) AS pearson, sqrt(avg(pow(x - y, 2))) AS rmse, avg(abs(x - y)) AS mean_abs, median(abs(x - y)) AS median_abs, quantile_cont(abs(x - y), 0.95) AS p95_abs, quantile_cont(abs(x - y), 0.99) AS p99_abs, max(abs(x - y)) AS max_abs FROM {PAIRS} GROUP BY 1"),
     Query("winsorized_corr", lambda v: compare.winsorized_corr(_pairs(v), ["char"]), "char winsor_corr~6", f"SELECT char, corr(least(greatest(x, lx), hx), least(greatest(y, ly), hy)) AS winsor_corr FROM {PAIRS} JOIN (SELECT char, quantile_cont(x, 0.01) AS lx, quantile_cont(x, 0.99) AS hx, quantile_cont(y, 0.01) AS ly, quantile_cont(y, 0.99) AS hy FROM {PAIRS} GROUP BY 1) USING (char) GROUP BY 1"),
-    Query("winsorized_corr_joint", lambda v: compare.winsorized_corr(_pairs(v).filter("char <> 'b'"), ["char"], 0.05, 0.95, True), "char winsor_corr~6", f"SELECT char, corr(least(greatest(x, lx), hx), least(greatest(y, lx), hx)) AS winsor_corr FROM {PAIRS} JOIN (SELECT char, quantile_cont(x, 0.05) AS lx, quantile_cont(x, 0.95) AS hx FROM {PAIRS} GROUP BY 1) USING (char) WHERE char <> 'b' GROUP BY 1"),
+    Query("winsorized_corr_joint", lambda v: compare.winsorized_corr(_pairs(v), ["char"], 0.05, 0.95, True), "char winsor_corr~6", f"SELECT char, CASE WHEN max(b) > min(b) THEN corr(a, b) END AS winsor_corr FROM (SELECT char, least(greatest(x, lx), hx) AS a, least(greatest(y, lx), hx) AS b FROM {PAIRS} JOIN (SELECT char, quantile_cont(x, 0.05) AS lx, quantile_cont(x, 0.95) AS hx FROM {PAIRS} GROUP BY 1) USING (char)) GROUP BY 1"),
     Query("trimmed_corr", lambda v: compare.trimmed_corr(_pairs(v), ["char"], 0.9), "char trimmed_corr~5", f"SELECT char, corr(x, y) AS trimmed_corr FROM {PAIRS} JOIN (SELECT char, quantile_cont(abs(x - y), 0.9) AS q FROM {PAIRS} GROUP BY 1) USING (char) WHERE abs(x - y) <= q + 1e-9 GROUP BY 1"),
     Query("percent_rank_corr", lambda v: compare.percent_rank_corr(_pairs(v), ["char"]), "char percent_rank_corr~6", f"SELECT char, corr(rx, ry) AS percent_rank_corr FROM {_ranks('char')} GROUP BY 1"),
     Query("bucket_agreement", lambda v: compare.bucket_agreement(_pairs(v), ["char", "m"], ["permno"]), "char m n same~6 bottom~6 top~6", f"SELECT char, m, count(*) AS n, avg(CASE WHEN bx = b2 THEN 1e0 ELSE 0 END) AS same, avg(CASE WHEN bx = 1 THEN CASE WHEN b2 = 1 THEN 1e0 ELSE 0 END END) AS bottom, avg(CASE WHEN bx = 10 THEN CASE WHEN b2 = 10 THEN 1e0 ELSE 0 END END) AS top FROM (SELECT char, m, ntile(10) OVER (PARTITION BY char, m ORDER BY x, permno) AS bx, ntile(10) OVER (PARTITION BY char, m ORDER BY y, permno) AS b2 FROM {PAIRS}) GROUP BY 1, 2 HAVING count(*) >= 20"),
@@ -149,9 +152,9 @@ QUERIES = [
     Query("shift_search", _shift, "shift n corr~6", "SELECT s AS shift, count(*) AS n, corr(p.c, q.c2) AS corr FROM {panel_a} p, unnest([-2, -1, 0, 1, 2]) t(s) JOIN {panel_b} q ON q.permno = p.permno AND q.m = p.m + s WHERE p.c IS NOT NULL AND q.c2 IS NOT NULL GROUP BY 1"),
     Query("best_shift", lambda v: compare.best_alignment(_shift(v).withColumn("all", F.lit(1)), "all", "shift", "corr"), "shift corr~6", "SELECT s AS shift, corr(p.c, q.c2) AS corr FROM {panel_a} p, unnest([-2, -1, 0, 1, 2]) t(s) JOIN {panel_b} q ON q.permno = p.permno AND q.m = p.m + s WHERE p.c IS NOT NULL AND q.c2 IS NOT NULL GROUP BY 1 ORDER BY 2 DESC LIMIT 1"),
     Query("scale_search", lambda v: compare.scale_search(compare.pairs(v("panel_a"), v("panel_b"), {"b": "b2"}, ["permno", "m"], "m"), [-1.0, 0.01, 1.0, 100.0]), "scale n match~6", f"SELECT s AS scale, count(*) AS n, avg(CASE WHEN abs(x * s - y) <= 1e-6 * (1 + abs(y)) THEN 1e0 ELSE 0 END) AS match FROM {PAIRS}, unnest([-1e0, 0.01e0, 1e0, 100e0]) t(s) WHERE char = 'b' GROUP BY 1"),
-    Query("agreement_matrix", lambda v: compare.agreement_matrix(v("panel_a").join(v("panel_b").select("permno", "m", "a2", "c2"), ["permno", "m"]), ["a", "c", "a2", "c2"]), "a b corr~6", None),
+    Query("agreement_matrix", lambda v: compare.agreement_matrix(v("panel_a").join(v("panel_b").select("permno", "m", "a2", "c2"), ["permno", "m"]), ["a", "c", "a2", "c2"]), "a b corr~6", MATRIX),
     Query("key_multiplicity", lambda v: compare.key_multiplicity(v("link"), [["gvkey"], ["permno"], ["gvkey", "permno"], ["gvkey", "linkprim"], ["linktype"]]), "keys rows unique_keys duplicate_groups max_multiplicity", " UNION ALL ".join(f"SELECT '{'+'.join(k)}' AS keys, sum(c) AS rows, count(*) AS unique_keys, sum(CASE WHEN c > 1 THEN 1 ELSE 0 END) AS duplicate_groups, max(c) AS max_multiplicity FROM (SELECT count(*) AS c FROM {{link}} GROUP BY {', '.join(k)})" for k in (["gvkey"], ["permno"], ["gvkey", "permno"], ["gvkey", "linkprim"], ["linktype"]))),
-    Query("difference_histogram", lambda v: compare.histogram(_pairs(v), F.col("y") - F.col("x") + 1e-7, 2, ["char"]).filter("char <> 'b'"), "char bin n", f"SELECT char, round(y - x + 1e-7, 2) AS bin, count(*) AS n FROM {PAIRS} WHERE char <> 'b' GROUP BY 1, 2"),
+    Query("difference_histogram", lambda v: compare.histogram(_pairs(v), F.col("y") - F.col("x") + 1e-7, 2, ["char"]), "char bin n", f"SELECT char, round(y - x + 1e-7, 2) AS bin, count(*) AS n FROM {PAIRS} GROUP BY 1, 2"),
     Query("agreement_by_bucket", _buckets, "bucket n rho~6", f"SELECT b AS bucket, count(*) AS n, corr(rx, ry) AS rho FROM (SELECT b, rank() OVER (PARTITION BY b ORDER BY x) + (count(*) OVER (PARTITION BY b, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2e0 AS ry FROM (SELECT *, CAST(floor(m / 24) * 2 AS BIGINT) AS b FROM {PAIRS} WHERE char = 'c')) GROUP BY 1 HAVING count(*) >= 100"),
     Query("cell_dispersion", lambda v: audit.cell_dispersion(v("adjusted"), ["industry", "m"], "base"), "industry m n low~5 high~5 std~5 mean~5", "SELECT industry, m, count(base) AS n, min(base) AS low, max(base) AS high, stddev_samp(base) AS std, avg(base) AS mean FROM {adjusted} GROUP BY 1, 2"),
     Query("constancy", lambda v: audit.constancy(v("adjusted"), ["industry", "m"], "implied", 1e-6), "cells constant_share~6 r2~6", "SELECT count(DISTINCT (industry, m)) AS cells, avg(CASE WHEN first THEN CASE WHEN hi - lo <= 1e-6 THEN 1e0 ELSE 0 END END) AS constant_share, 1 - avg(pow(implied - mean, 2)) / var_pop(implied) AS r2 FROM (SELECT industry, m, implied, count(*) OVER w AS n, max(implied) OVER w AS hi, min(implied) OVER w AS lo, avg(implied) OVER w AS mean, row_number() OVER (PARTITION BY industry, m ORDER BY permno) = 1 AS first FROM {adjusted} WHERE implied IS NOT NULL WINDOW w AS (PARTITION BY industry, m)) WHERE n >= 3"),
@@ -164,7 +167,7 @@ QUERIES = [
     Query("sum_identity", lambda v: audit.sum_identity(v("adjusted"), ["industry", "m"], "base", "adj"), "industry m n residual~5 benchmark~5 members~4 bucket", "SELECT industry, m, count(*) AS n, sum(adj) AS residual, avg(base - adj) AS benchmark, sum(base) / nullif(avg(base - adj), 0) AS members, CASE WHEN abs(sum(adj)) < 1e-6 THEN 'zero' WHEN abs(sum(adj)) < 0.1 THEN 'small' ELSE 'large' END AS bucket FROM {adjusted} GROUP BY 1, 2"),
     Query("null_asymmetry", lambda v: audit.null_asymmetry(v("panel_a").join(v("panel_b").select("permno", "m", "a2"), ["permno", "m"]), "a", "a2"), "shared left_only right_only neither", "SELECT sum(CASE WHEN a IS NOT NULL AND a2 IS NOT NULL THEN 1 ELSE 0 END) AS shared, sum(CASE WHEN a IS NOT NULL AND a2 IS NULL THEN 1 ELSE 0 END) AS left_only, sum(CASE WHEN a IS NULL AND a2 IS NOT NULL THEN 1 ELSE 0 END) AS right_only, sum(CASE WHEN a IS NULL AND a2 IS NULL THEN 1 ELSE 0 END) AS neither FROM {panel_a} p JOIN {panel_b} q ON p.permno = q.permno AND p.m = q.m"),
     Query("coverage_funnel", _funnel, "stage step rows present", "SELECT 'scan' AS stage, 0 AS step, count(*) AS rows, count(che) AS present FROM {fundamentals_year} UNION ALL SELECT 'priced', 1, count(*), count(che) FROM {fundamentals_year} WHERE prcc_f > 1 UNION ALL SELECT 'linked', 2, count(*), count(che) FROM {fundamentals_year} WHERE gvkey IN (SELECT gvkey FROM {link} WHERE linkprim = 'P')"),
-    Query("code_mismatch", lambda v: audit.code_mismatch(v("names").filter("nameendt IS NOT NULL").withColumn("siccd", F.when(F.col("permno") % 9 > 0, F.col("siccd"))), v("names").filter("nameendt IS NULL AND permno % 8 > 0"), ["permno"], "siccd"), "kind n", "SELECT CASE WHEN p.x IS NULL AND q.y IS NULL THEN 'no code' WHEN p.x IS NULL THEN 'right only' WHEN q.y IS NULL THEN 'left only' WHEN p.x = q.y THEN 'same' WHEN floor(p.x / 100e0) = floor(q.y / 100e0) THEN 'same two digits' ELSE 'different' END AS kind, count(*) AS n FROM (SELECT permno, CASE WHEN permno % 9 > 0 THEN siccd END AS x FROM {names} WHERE nameendt IS NOT NULL) p FULL JOIN (SELECT permno, siccd AS y FROM {names} WHERE nameendt IS NULL AND permno % 8 > 0) q ON p.permno = q.permno GROUP BY 1"),
+    Query("code_mismatch", lambda v: audit.code_mismatch(v("names").filter("nameendt IS NOT NULL").withColumn("siccd", F.when(F.col("permno") % 9 > 0, F.col("siccd"))), v("names").filter("nameendt IS NULL"), ["permno"], "siccd"), "kind n", "SELECT CASE WHEN p.x IS NULL AND q.y IS NULL THEN 'no code' WHEN p.x IS NULL THEN 'right only' WHEN q.y IS NULL THEN 'left only' WHEN p.x = q.y THEN 'same' WHEN floor(p.x / 100e0) = floor(q.y / 100e0) THEN 'same two digits' ELSE 'different' END AS kind, count(*) AS n FROM (SELECT permno, CASE WHEN permno % 9 > 0 THEN siccd END AS x FROM {names} WHERE nameendt IS NOT NULL) p FULL JOIN (SELECT permno, siccd AS y FROM {names} WHERE nameendt IS NULL) q ON p.permno = q.permno GROUP BY 1"),
     Query("duplicate_columns", lambda v: audit.duplicate_columns(v("panel_a").join(v("panel_b").select("permno", "m", "c2"), ["permno", "m"]), "c", "c2"), "n close~6 corr~6", "SELECT count(*) AS n, avg(CASE WHEN abs(c - c2) <= 1e-8 + 1e-5 * abs(c2) THEN 1e0 ELSE 0 END) AS close, corr(c, c2) AS corr FROM {panel_a} p JOIN {panel_b} q ON p.permno = q.permno AND p.m = q.m WHERE c IS NOT NULL AND c2 IS NOT NULL"),
     Query("late_starts", lambda v: audit.late_starts(v("fundamentals_year").withColumn("late", F.when(F.col("fyear") > 1998, F.col("che"))), ["che", "sale", "late"], "datadate", "1996-12-31"), "char first", "SELECT * FROM (SELECT 'che' AS char, min(datadate) AS first FROM {fundamentals_year} WHERE che IS NOT NULL UNION ALL SELECT 'sale', min(datadate) FROM {fundamentals_year} WHERE sale IS NOT NULL UNION ALL SELECT 'late', min(datadate) FROM {fundamentals_year} WHERE fyear > 1998 AND che IS NOT NULL) WHERE first > DATE '1996-12-31'"),
     Query("negative_audit", lambda v: audit.negative_audit(v("fundamentals_year"), "gvkey", "capx"), "entities any_negative all_negative rows_negative", "SELECT count(*) AS entities, sum(CASE WHEN a THEN 1 ELSE 0 END) AS any_negative, sum(CASE WHEN e THEN 1 ELSE 0 END) AS all_negative, sum(r) AS rows_negative FROM (SELECT gvkey, bool_or(capx < 0) AS a, bool_and(capx < 0) AS e, sum(CASE WHEN capx < 0 THEN 1 ELSE 0 END) AS r FROM {fundamentals_year} WHERE capx IS NOT NULL GROUP BY 1)"),
@@ -176,8 +179,8 @@ QUERIES = [
     Query("industry_variants", _variants, "variant industry m n mean~4", VARIANTS),
     Query("repriced_book", _repriced, "permno m bm_dec~6 bm_now~6", "SELECT s.permno, s.m, d.f AS bm_dec, d.value * d.f / nullif(s.prc * s.shrout, 0) AS bm_now FROM {security_month} s JOIN (SELECT permno, CAST(floor(m / 12) AS INTEGER) AS y, prc * shrout AS value, 0.5e0 + permno % 10 / 10e0 AS f FROM {security_month} WHERE m % 12 = 11) d ON d.permno = s.permno AND d.y = floor(s.m / 12) - 1"),
     Query("candidate_formulas", _candidates, "formula timing n corr~6 match~6", CANDIDATES),
-    Query("code_crosstab", lambda v: v("panel_a").filter("industry < 3").groupBy("industry").pivot("m", [23940, 23950]).agg(F.count(F.lit(1))).withColumnsRenamed({"23940": "m1", "23950": "m2"}).fillna(0, ["m1", "m2"]), "industry m1 m2", "SELECT industry, count(*) FILTER (m = 23940) AS m1, count(*) FILTER (m = 23950) AS m2 FROM {panel_a} WHERE industry < 3 GROUP BY 1"),
+    Query("code_crosstab", lambda v: v("panel_a").groupBy("industry", "m").agg(F.count(F.lit(1)).alias("n")), "industry m n", "SELECT industry, m, count(*) AS n FROM {panel_a} GROUP BY 1, 2"),
     Query("largest_differences", lambda v: _pairs(v).withColumn("d", F.abs(F.col("x") - F.col("y"))).orderBy(F.desc("d"), "char", "permno", "m").limit(20), "char permno m d~4", f"SELECT char, permno, m, abs(x - y) AS d FROM {PAIRS} ORDER BY d DESC, char, permno, m LIMIT 20"),
     Query("universe_by_year", lambda v: x.group_stat(v("adjusted").withColumn("year", F.floor(F.col("m") / 12).cast("int")), ["year"], "base", "count", "n").groupBy("year", "n").agg(F.countDistinct("permno").alias("entities"), F.countDistinct("industry").alias("industries")), "year n entities industries", "SELECT CAST(floor(m / 12) AS INTEGER) AS year, count(base) AS n, count(DISTINCT permno) AS entities, count(DISTINCT industry) AS industries FROM {adjusted} GROUP BY 1"),
-    Query("outcome_bounds", lambda v: _excess(v).agg(F.min("retadj").alias("low"), F.max("retadj").alias("high"), F.count("retadj").alias("n")), "low~6 high~6 n", None),
+    Query("outcome_bounds", lambda v: _excess(v).agg(F.min("retadj").alias("low"), F.max("retadj").alias("high"), F.count("retadj").alias("n")), "low~6 high~6 n", f"SELECT min(retadj) AS low, max(retadj) AS high, count(retadj) AS n FROM ({EXCESS_SQL})"),
 ]

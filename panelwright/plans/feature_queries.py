@@ -94,13 +94,41 @@ def _betas(v, lags=0):
 
 
 def _excess_daily(v):
-    return v("security_day").join(v("factors_day"), "date").withColumn("y", F.col("ret") - F.col("rf"))
+    return regression.daily_excess(v("stock_day"), v("delist_day"), v("factors_day"), out="y")
 
 
-ROLLED = """SELECT permno, m, sum(c) OVER w AS n, sum(sy) OVER w AS sy, sum(sx) OVER w AS sx, sum(syy) OVER w AS syy, sum(sxx) OVER w AS sxx, sum(sxy) OVER w AS sxy
-    FROM (SELECT permno, year(date) * 12 + month(date) - 1 AS m, count(*) AS c, sum(y) AS sy, sum(mktrf) AS sx, sum(y * y) AS syy, sum(mktrf * mktrf) AS sxx, sum(y * mktrf) AS sxy
-    FROM (SELECT d.permno, d.date, d.ret - f.rf AS y, f.mktrf FROM {security_day} d JOIN {factors_day} f ON d.date = f.date) GROUP BY 1, 2) WINDOW w AS (PARTITION BY permno ORDER BY m ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"""
-RVAR_SQL = f"SELECT permno, m, greatest((syy - sy * sy / n) - pow(sxy - sx * sy / n, 2) / nullif(sxx - sx * sx / n, 0), 0) / (n - 1) AS rvar_capm FROM ({ROLLED}) WHERE n >= 10"
+def sweep_sql(source: str, keep: str, k: int) -> str:
+    """Centred sums of products c{i}_{j} of source with regressors 1 to k - 1 partialled out, one subquery each."""
+    at = lambda i, j: f"c{min(i, j)}_{max(i, j)}"
+    for p in range(k - 1, 0, -1):
+        source = f"(SELECT {keep}, " + ", ".join(f"{at(i, j)} - coalesce({at(i, p)} * {at(j, p)} / nullif({at(p, p)}, 0), 0) AS {at(i, j)}" for i in range(p) for j in range(i, p)) + f" FROM {source})"
+    return source
+
+
+EXCESS_DAY = "(SELECT d.permno, d.date, (1 + coalesce(d.ret, 0)) * (1 + coalesce(x.dlret, 0)) - 1 - f.rf AS y, f.mktrf, f.smb, f.hml FROM {stock_day} d JOIN {factors_day} f ON d.date = f.date LEFT JOIN {delist_day} x ON x.permno = d.permno AND x.date = d.date)"
+
+
+def _residual_sql(factors: list[str], out: str, min_obs: int = 21) -> str:
+    cols, k = ["y", *factors], 1 + len(factors)
+    two = [(i, j) for i in range(k) for j in range(i, k)]
+    monthly = "(SELECT permno, year(date) * 12 + month(date) - 1 AS m, count(*) AS n, " + ", ".join([f"sum({c}) AS s{i}" for i, c in enumerate(cols)] + [f"sum({cols[i]} * {cols[j]}) AS p{i}_{j}" for i, j in two]) + f" FROM {EXCESS_DAY} GROUP BY 1, 2)"
+    names = ["n", *(f"s{i}" for i in range(k)), *(f"p{i}_{j}" for i, j in two)]
+    rolled = f"(SELECT permno, m, {', '.join(f'sum({c}) OVER w AS {c}' for c in names)} FROM {monthly} WINDOW w AS (PARTITION BY permno ORDER BY m ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"
+    centred = f"(SELECT permno, m, n, {', '.join(f'p{i}_{j} - s{i} * s{j} / n AS c{i}_{j}' for i, j in two)} FROM {rolled} WHERE n >= {min_obs})"
+    return f"SELECT permno, m, greatest(c0_0, 0) / (n - 1) AS {out} FROM {sweep_sql(centred, 'permno, m, n', k)}"
+
+
+def _delay_sql(lags: int = 4, min_obs: int = 52) -> str:
+    cols, k = ["y", "x", *(f"l{i}" for i in range(1, lags + 1))], lags + 2
+    two = [(i, j) for i in range(k) for j in range(i, k)]
+    spread = SPREAD.replace("w.*", "w.permno, w.week, w.ret AS y, w.mkt AS x")
+    inside = "(SELECT *, " + ", ".join(f"lag(x, {i}) OVER w AS l{i}" for i in range(1, lags + 1)) + f" FROM ({spread}) WINDOW w AS (PARTITION BY permno, m ORDER BY week))"
+    ok = f"l{lags} IS NOT NULL"
+    sums = ", ".join([f"sum({c}) FILTER ({ok}) AS s{i}" for i, c in enumerate(cols)] + [f"sum({cols[i]} * {cols[j]}) FILTER ({ok}) AS p{i}_{j}" for i, j in two])
+    grouped = f"(SELECT permno, m, count(*) AS n0, regr_r2(y, x) AS r2, count(*) FILTER ({ok}) AS n, {sums} FROM {inside} GROUP BY 1, 2)"
+    centred = f"(SELECT permno, m, n0, r2, n, p0_0 - s0 * s0 / n AS total, {', '.join(f'p{i}_{j} - s{i} * s{j} / n AS c{i}_{j}' for i, j in two)} FROM {grouped} WHERE n0 >= {min_obs})"
+    fit = sweep_sql(centred, "permno, m, n0, r2, n, total", k)
+    return f"SELECT permno, m, n0 AS n_obs, 1 - (1 - (1 - r2) * (n0 - 1) / (n0 - 2)) / nullif(1 - (c0_0 / nullif(total, 0)) * (n - 1) / (n - {k}), 0) AS pricedelay FROM {fit} JOIN (SELECT permno, m FROM {{security_month}}) USING (permno, m)"
 
 
 def _events(v):
@@ -215,9 +243,9 @@ QUERIES = [
     Query("daily_on_next_row", lambda v: m.on_next_row(v("security_month").select("permno", "m"), m.daily_month_features(v("security_day")), ["maxret"]), "permno m maxret~6", f"SELECT s.permno, s.m, d.maxret FROM (SELECT permno, m, lag(m) OVER (PARTITION BY permno ORDER BY m) AS src FROM {{security_month}}) s LEFT JOIN ({DAILY_SQL}) d ON s.permno = d.permno AND s.src = d.m"),
     Query("weekly_compounding", _weekly, "permno week ret~9 mkt~9", WEEKLY_SQL),
     Query("rolling_beta", _betas, "permno m n_obs beta~5 betasq~5 idiovol~5", BETA_SQL),
-    Query("price_delay", lambda v: _betas(v, 4).select("permno", "m", "n_obs", "pricedelay"), "permno m n_obs pricedelay~4", None),
-    Query("residual_variance_one_factor", lambda v: regression.residual_variance(_excess_daily(v), "permno", "date", "y", ["mktrf"], "rvar_capm", min_obs=10), "permno m rvar_capm~7", RVAR_SQL),
-    Query("residual_variance_three_factors", lambda v: regression.residual_variance(_excess_daily(v), "permno", "date", "y", ["mktrf", "smb", "hml"], "rvar_ff3", min_obs=10), "permno m rvar_ff3~7", None),
+    Query("price_delay", lambda v: _betas(v, 4).select("permno", "m", "n_obs", "pricedelay"), "permno m n_obs pricedelay~4", _delay_sql()),
+    Query("residual_variance_one_factor", lambda v: regression.residual_variance(_excess_daily(v), "permno", "date", "y", ["mktrf"], "rvar_capm"), "permno m rvar_capm~7", _residual_sql(["mktrf"], "rvar_capm")),
+    Query("residual_variance_three_factors", lambda v: regression.residual_variance(_excess_daily(v), "permno", "date", "y", ["mktrf", "smb", "hml"], "rvar_ff3"), "permno m rvar_ff3~7", _residual_sql(["mktrf", "smb", "hml"], "rvar_ff3")),
     Query("announcement_features", lambda v: m.announcement_features(_events(v), v("security_day")), "permno rdq ear~6 aeavol~5", EVENT_SQL),
     Query("forecast_revision", _revisions, "permno m re~6", REVISION_SQL),
     Query("book_to_market", _bm, "permno permco datadate book_to_market~7", BM_SQL),

@@ -45,8 +45,8 @@ NET = "(rect{0} + invt{0} + ppent{0} + aco{0} + intan{0} + ao{0} - ap{0} - lco{0
 CAPX = "(CASE WHEN capx IS NULL AND n_row > 1 THEN ppent - ppent_1 ELSE capx END)"
 CONVERTIBLE = "coalesce(dcvt, CASE WHEN pstk IS NULL THEN dcpstk WHEN dcpstk > pstk THEN dcpstk - pstk END)"
 TAX_RATE = "(CASE WHEN fyear < 1979 THEN 0.48e0 WHEN fyear <= 1986 THEN 0.46e0 WHEN fyear = 1987 THEN 0.4e0 WHEN fyear <= 1992 THEN 0.34e0 ELSE 0.35e0 END)"
-#: Alcohol, tobacco and gaming by industry code; further codes of the other classification go to `naics`.
-SIN = "(sic BETWEEN 2100 AND 2199 OR sic BETWEEN 2080 AND 2085)"
+#: Alcohol and tobacco by one classification, gaming by the other, whose codes have trailing zeros or not: fixed values.
+SIN = "(sic BETWEEN 2100 AND 2199 OR sic BETWEEN 2080 AND 2085 OR regexp_replace(trim(cast(naics AS varchar(20))), '[.]0+$', '') IN ('7132', '71312', '713210', '71329', '713290', '72112', '721120'))"
 OPERATING = ratio("revt - cogs - coalesce(xsga, 0) - coalesce(xint, 0)", "ceq_1")
 
 #: name: (expression, rows of history from which it counts)
@@ -181,10 +181,12 @@ def annual_features(fund: DataFrame, names: list[str] | None = None, key: str =
     return evaluate(fund, "annual", key, date, names, keep=[key, date, *keep])
 
 
-def industry_adjusted(fund: DataFrame, by: tuple = ("sic2", "fyear"), key: str = "gvkey", date: str = "datadate") -> DataFrame:
-    """ADJUSTED features and herf. Means are over all rows before young rows are left out."""
+def industry_adjusted(fund: DataFrame, by: tuple = ("sic2", "fyear"), key: str = "gvkey", date: str = "datadate", members: DataFrame | None = None) -> DataFrame:
+    """ADJUSTED features and herf. Means are over all rows before young rows are left out; with members (key, date), such as linked reports, over these alone, while lags are over all rows."""
     raw = {n: (ANNUAL[of][0] if of in ANNUAL else of) for n, (of, _) in ADJUSTED.items()} | {"sales": "sale"}
     f = evaluate(fund, "annual", key, date, [], raw, [key, date, *by])
+    if members is not None:
+        f = f.join(members.select(key, date).distinct(), [key, date], "left_semi")
     less = demean(f, list(by), [f"_{n}" for n in ADJUSTED], out=list(ADJUSTED))
     share = group_stat(less, list(by), "_sales", "sum", "_total").withColumn("_share", F.pow(F.try_divide("_sales", "_total"), F.lit(2)))
     herf = group_stat(share, list(by), "_share", "sum", "herf")

@@ -72,7 +72,7 @@ ASOF = "SELECT s.permno, s.signal_yyyymm, {values} FROM {{security_month}} s LEF
 def _merged(v):
     a = v("panel_a").select("permno", "signal_yyyymm", F.col("industry").alias("sic"), "a")
     b = v("panel_b").select("permno", "signal_yyyymm", (F.col("industry") + 100).alias("sic"), F.col("a2").alias("a"), "b2")
-    d = v("panel_a").filter("m % 3 = 0").select("permno", "signal_yyyymm", "c")
+    d = v("security_month").select("permno", "signal_yyyymm", F.col("vol").alias("c"))
     return panel.merge_features([a, b, d], ["permno", "signal_yyyymm"])
 
 
@@ -94,7 +94,7 @@ def _excess(v):
 EXCESS_SQL = f"""SELECT permno, m, dlret, CASE WHEN ret IS NOT NULL OR dlret IS NOT NULL THEN (1 + coalesce(ret, 0)) * (1 + coalesce(dlret, 0)) - 1 END AS retadj,
     CASE WHEN ret IS NOT NULL OR dlret IS NOT NULL THEN (1 + coalesce(ret, 0)) * (1 + coalesce(dlret, 0)) - 1 END - rf AS excess_return FROM
     (SELECT s.permno, s.m, s.ret, f.rf / CASE WHEN (SELECT median(abs(rf)) FROM {{factors_month}}) > 0.02 THEN 100 ELSE 1 END AS rf,
-    CASE WHEN d.dlret IS NULL AND (d.dlstcd = 500 OR d.dlstcd BETWEEN 520 AND 584) THEN CASE WHEN n.exchcd IN (1, 2) THEN -0.35e0 ELSE -0.55e0 END ELSE d.dlret END AS dlret
+    CASE WHEN d.dlret IS NULL AND d.dlstcd BETWEEN 500 AND 584 AND d.dlstcd NOT IN (501, 502, 503, 504) THEN CASE WHEN n.exchcd IN (1, 2) THEN -0.35e0 WHEN n.exchcd = 3 THEN -0.55e0 END ELSE d.dlret END AS dlret
     FROM {{security_month}} s JOIN {CURRENT} n USING (permno) LEFT JOIN {{delist}} d ON d.permno = s.permno AND d.m = s.m LEFT JOIN {{factors_month}} f ON f.m = s.m)"""
 
 
@@ -102,7 +102,7 @@ def _macro(v):
     return windows.standardize(panel.macro_predictors(v("macro")), ["dp", "ep", "bm", "tms"], "yyyymm", "expanding", 24)
 
 
-MACRO_RAW = "SELECT yyyymm, ln(d12) - ln(index) AS dp, ln(e12) - ln(index) AS ep, bm, lty - tbl AS tms, baa - aaa AS dfy, ntis, tbl, svar FROM {macro}"
+MACRO_RAW = "SELECT yyyymm, ln(d12) - ln(index) AS dp, ln(e12) - ln(index) AS ep, ln(bm) AS bm, lty - tbl AS tms, baa - aaa AS dfy, ntis, tbl, svar FROM {macro}"
 MACRO_SQL = f"SELECT yyyymm, dfy, ntis, {', '.join(f'CASE WHEN count({k}) OVER w >= 24 THEN ({k} - avg({k}) OVER w) / nullif(stddev_samp({k}) OVER w, 0) END AS {k}' for k in ('dp', 'ep', 'bm'))} FROM ({MACRO_RAW}) WINDOW w AS (ORDER BY yyyymm ROWS UNBOUNDED PRECEDING)"
 
 
@@ -172,7 +172,7 @@ QUERIES = [
     Query("expand_june", lambda v: timing.expand_fixed(v("fundamentals_year").select("gvkey", "datadate", "assets"), "gvkey"), "gvkey datadate signal_yyyymm target_yyyymm assets~5", "SELECT gvkey, datadate, assets, CAST(floor(k / 12) * 100 + k % 12 + 1 AS INTEGER) AS signal_yyyymm, CAST(floor((k + 1) / 12) * 100 + (k + 1) % 12 + 1 AS INTEGER) AS target_yyyymm FROM (SELECT *, unnest(range((fyear + 1) * 12 + 5, (fyear + 1) * 12 + 17)) AS k FROM {fundamentals_year}) QUALIFY row_number() OVER (PARTITION BY gvkey, k ORDER BY datadate DESC) = 1"),
     Query("month_universe", lambda v: panel.month_universe([v("panel_a"), v("panel_b"), v("security_month")], ["permno", "signal_yyyymm"]), "permno signal_yyyymm", "SELECT permno, signal_yyyymm FROM {panel_a} UNION SELECT permno, signal_yyyymm FROM {panel_b} UNION SELECT permno, signal_yyyymm FROM {security_month}"),
     Query("traded_months", lambda v: v("panel_a").join(v("panel_b").select("permno", "m"), ["permno", "m"], "left_semi"), "permno m a~6", "SELECT permno, m, a FROM {panel_a} p WHERE EXISTS (SELECT 1 FROM {panel_b} q WHERE q.permno = p.permno AND q.m = p.m)"),
-    Query("merge_features", _merged, "permno signal_yyyymm sic a~6 b2~6 c~6", "SELECT permno, signal_yyyymm, coalesce(p.industry, q.industry + 100) AS sic, coalesce(p.a, q.a2) AS a, q.b2, r.c FROM {panel_a} p FULL JOIN {panel_b} q USING (permno, signal_yyyymm) FULL JOIN (SELECT * FROM {panel_a} WHERE m % 3 = 0) r USING (permno, signal_yyyymm)"),
+    Query("merge_features", _merged, "permno signal_yyyymm sic a~6 b2~6 c~6", "SELECT permno, signal_yyyymm, coalesce(p.industry, q.industry + 100) AS sic, coalesce(p.a, q.a2) AS a, q.b2, r.c FROM {panel_a} p FULL JOIN {panel_b} q USING (permno, signal_yyyymm) FULL JOIN (SELECT permno, signal_yyyymm, vol AS c FROM {security_month}) r USING (permno, signal_yyyymm)"),
     Query("industry_codes", _codes, "permno namedt siccd ff", "SELECT permno, namedt, siccd, (SELECT concat('F', n_nationkey % 12) FROM {nation} WHERE siccd BETWEEN n_nationkey * 100 AND n_nationkey * 100 + 130 ORDER BY n_nationkey DESC LIMIT 1) AS ff FROM {names}"),
     Query("sic2_encodings", _sic2, "permno namedt padded prefix whole", f"SELECT permno, namedt, substr(lpad(CAST({_code} AS VARCHAR), 4, '0'), 1, 2) AS padded, substr(CAST({_code} AS VARCHAR), 1, 2) AS prefix, CAST(floor({_code} / 100e0) AS INTEGER) AS whole FROM {{names}}"),
     Query("group_statistics", lambda v: x.group_stat(x.group_stat(v("fundamentals_year"), ["sic2", "fyear"], ["sale", "che"], "mean"), ["sic2", "fyear"], "sale", "median"), "gvkey fyear sic2 sale_mean~5 che_mean~5 sale_median~5", "SELECT gvkey, fyear, sic2, avg(sale) OVER w AS sale_mean, avg(che) OVER w AS che_mean, median(sale) OVER w AS sale_median FROM {fundamentals_year} WINDOW w AS (PARTITION BY sic2, fyear)"),

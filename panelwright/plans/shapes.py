@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from ..sources.standins import statement, view
 
-#: Beyond this a decimal is the noise of a divisor that should be 0.
-HUGE = 1e9
+#: From here on numbers are rounded to nine digits instead of to decimals.
+LARGE = 1e9
 
 
 @dataclass
 class Query:
     """cols: names, `name~d` to be rounded to d decimals. sql: a statement over views and tables in braces, or None.
 
-    Rounding is moved a little off the ties, which two engines with sums in other orders would break differently.
+    Rounding is moved a little off the ties, which two engines with sums in other orders would break differently. Large
+    numbers keep nine digits.
     """
 
     name: str
@@ -34,7 +35,8 @@ class Query:
             if not d:
                 return F.col(name)
             x = F.col(name).cast("double")
-            return F.when(F.abs(x) < HUGE, F.round(x + 0.37 * 10.0 ** (-int(d) - 3), int(d))).alias(name)
+            unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 8)
+            return F.when(F.abs(x) < LARGE, F.round(x + 0.37 * 10.0 ** (-int(d) - 3), int(d))).otherwise(F.round(x / unit) * unit).alias(name)
 
         return df.select(*map(column, self.cols.split()))
 
@@ -45,6 +47,7 @@ class Query:
         def column(c: str) -> str:
             name, _, d = c.partition("~")
             x = f"CAST({name} AS DOUBLE)"
-            return f"CASE WHEN abs({x}) < {HUGE} THEN round({x} + {0.37 * 10.0 ** (-int(d) - 3)!r}, {d}) END AS {name}" if d else name
+            unit = f"pow(10e0, floor(log10(nullif(abs({x}), 0))) - 8)"
+            return f"CASE WHEN abs({x}) < {LARGE} THEN round({x} + {0.37 * 10.0 ** (-int(d) - 3)!r}, {d}) ELSE round({x} / {unit}) * {unit} END AS {name}" if d else name
 
         return f"SELECT {', '.join(map(column, self.cols.split()))} FROM ({statement(self.sql)}) AS result"

@@ -33,12 +33,15 @@ VIEWS = {
         round(avg(ret), 10) AS ret, round(avg(prc), 6) AS prc, sum(vol) AS vol, max(shrout) AS shrout
         FROM {security_day} GROUP BY permno, last_day(date), year(date), month(date)""",
     "names": """SELECT s_suppkey AS permno, cast('1990-01-01' AS date) AS namedt, cast('1998-06-30' AS date) AS nameendt,
-        n_regionkey % 3 + 1 AS exchcd, 10 + s_suppkey % 3 AS shrcd, 100 * (n_nationkey + 1) + s_suppkey % 100 AS siccd
+        n_regionkey % 4 + 1 AS exchcd, 10 + s_suppkey % 3 AS shrcd, 100 * (n_nationkey + 1) + s_suppkey % 100 AS siccd
         FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
-        UNION ALL SELECT s_suppkey, cast('1998-07-01' AS date), cast(NULL AS date), n_regionkey % 3 + 1, 10 + s_suppkey % 2,
+        UNION ALL SELECT s_suppkey, cast('1998-07-01' AS date), cast(NULL AS date), n_regionkey % 4 + 1, 10 + s_suppkey % 2,
         100 * (n_nationkey + 1) + (s_suppkey + 7) % 100 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
     "delist": """SELECT permno, m, CASE WHEN permno % 2 = 0 THEN NULL ELSE -0.1e0 END AS dlret,
-        CASE WHEN permno % 3 = 0 THEN 560 ELSE 200 END AS dlstcd FROM {security_month} WHERE (permno + m) % 37 = 0""",
+        CASE m % 6 WHEN 0 THEN 560 WHEN 1 THEN 505 WHEN 2 THEN 510 WHEN 3 THEN 501 WHEN 4 THEN 500 ELSE 200 END AS dlstcd
+        FROM {security_month} WHERE (permno + m) % 17 = 0""",
+    "stock_day": """SELECT permno, date, CASE WHEN (permno + day(date)) % 19 = 0 THEN NULL ELSE ret END AS ret FROM {security_day}""",
+    "delist_day": """SELECT permno, date, CASE WHEN permno % 5 = 0 THEN NULL ELSE -0.3e0 END AS dlret FROM {security_day} WHERE (permno * 3 + day(date)) % 23 = 0""",
     "factors_day": """SELECT cast(l_shipdate AS date) AS date, avg(l_discount) - 0.04e0 AS mktrf, avg(l_tax) - 0.03e0 AS smb,
         avg(l_quantity) / 1000 - 0.025e0 AS hml, 0.0001e0 AS rf FROM {lineitem} GROUP BY cast(l_shipdate AS date)""",
     "factors_month": """SELECT year(date) * 12 + month(date) - 1 AS m, avg(mktrf) + 3e0 AS rf FROM {factors_day} GROUP BY year(date) * 12 + month(date) - 1""",
@@ -50,6 +53,7 @@ VIEWS = {
     "fundamentals_year": f"""SELECT gvkey, make_date(cast(t AS int), 12, 31) AS datadate, cast(t AS int) AS fyear,
         CASE WHEN gvkey % 29 = 0 THEN NULL ELSE 100 * (c_nationkey + 1) + gvkey % 50 END AS sic,
         CASE WHEN gvkey % 29 = 0 THEN NULL WHEN c_nationkey < 9 THEN concat('0', cast(c_nationkey + 1 AS varchar(9))) ELSE cast(c_nationkey + 1 AS varchar(9)) END AS sic2,
+        CASE gvkey % 9 WHEN 0 THEN 713210 WHEN 1 THEN 7132 WHEN 2 THEN NULL ELSE 334111 END AS naics,
         {_items("assets prcc_f csho sale revt lt", 3, _FULL)},
         {_items("act che lct dlc txp dp ceq emp ppent ppegt xsga rect invt aco intan ao ap lco lo dltt ebit nopi cogs xad fatb fatl", 11, _GAPS)},
         {_items("dvt xrd xint pstk dcvt dcpstk cshrc dm ob scstkc txfo txfed", 41, _ZEROS)},
