@@ -56,6 +56,24 @@ def winsorize(df: DataFrame, cols: list[str], by: list[str], lower: float | None
     return at.withColumns({c: clipped(c) for c in cols}).drop(*(f"_{k}_{c}" for c in cols for k in "qn"))
 
 
+#: Features of which only the upper tail is drawn in, and those of which both are: fixed values.
+UPPER_TAIL = """betasq mve mvel1 me dy lev baspread depr sp turn dolvol std_dolvol std_turn disp idiovol obklg roavol ill age rd_sale
+    rd_mve rdm retvol rvar_mean zerotrade stdcf tang absacc stdacc cash orgcap salecash salerec saleinv pchsaleinv cashdebt realestate
+    secured""".split()
+BOTH_TAILS = """beta ep fgr5yr mom12m mom1m mom6m mom36m indmom sue agr maxret chfeps bm book_to_market currat pchcurrat quick pchquick
+    pchdepr sgr chempia acc pchsale_pchinvt pchsale_pchrect pchcapx_ia pchgm_pchsale pchsale_pchxsga mve_ia me_ia cfp_ia bm_ia sfe chinv
+    grltnoa cinvest tb cfp cash_flow_to_price lgr egr pricedelay grcapx chmom roic aeavol chcsho chpmia chatoia grGW ear abr rsup spi
+    hire chadv cashpr roaq roe roeq invest chtx pctacc gma operprof operating_profitability op""".split()
+
+
+def winsorize_by_kind(df: DataFrame, by: list[str], tail: float = 0.01) -> DataFrame:
+    """df with the features of either list, whatever their case, drawn in; flags and other columns stay."""
+    columns = lambda names: [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    upper, both = columns(UPPER_TAIL), columns(BOTH_TAILS)
+    out = winsorize(df, upper, by, None, 1 - tail) if upper else df
+    return winsorize(out, both, by, tail, 1 - tail) if both else out
+
+
 def impute_median(df: DataFrame, cols: list[str], levels: list[list[str]], suffix: str | None = None, null_group: bool = True) -> DataFrame:
     """Missing values take the median of the first level that has one; in place, or in new columns with a suffix."""
     out, fills = df, {c: [] for c in cols}

@@ -27,10 +27,12 @@ ANNUAL_WIDE, QUARTER_WIDE = _wide("fundamentals_year", _LAG_COLUMNS, range(1, 3)
 ANNUAL_SQL = f"SELECT gvkey, datadate, fyear, sic2, {_chosen(f.ANNUAL)} FROM ({ANNUAL_WIDE})"
 
 
-def _adjusted_sql() -> str:
+def _adjusted_sql(members: str | None = None) -> str:
     raw = ", ".join(f"{f.ANNUAL[of][0] if of in f.ANNUAL else of} AS r_{n}" for n, (of, _) in f.ADJUSTED.items())
     less = ", ".join(f"CASE WHEN n_row >= {h} THEN r_{n} - avg(r_{n}) OVER w END AS {n}" for n, (_, h) in f.ADJUSTED.items())
     inner = f"SELECT gvkey, datadate, fyear, sic2, n_row, sale, {raw} FROM ({ANNUAL_WIDE})"
+    if members:
+        inner = f"SELECT * FROM ({inner}) WHERE (gvkey, datadate) IN ({members})"
     first = f"SELECT *, {less}, sum(sale) OVER w AS total FROM ({inner}) WINDOW w AS (PARTITION BY sic2, fyear)"
     return f"SELECT *, sum(pow(sale / nullif(total, 0), 2)) OVER (PARTITION BY sic2, fyear) AS herf FROM ({first})"
 

@@ -37,6 +37,18 @@ def monthly_features(df: DataFrame, key: str = "permno", order: str = "m", indus
     return group_stat(f, [industry, order], "mom12m", "mean", "indmom")
 
 
+def lagged_size(df: DataFrame, fill: bool = True, key: str = "permno", date: str = "date") -> DataFrame:
+    """(key, source_date, date, lagged_market_equity, mvel1): log of the value at the entity's row before.
+
+    With fill a missing price or number of shares is the entity's last one. Rows without a positive value do not count as rows.
+    """
+    w = Window.partitionBy(key).orderBy(date)
+    last = lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if fill else F.col(c)
+    value = df.withColumn("_me", F.abs(last("prc")) * last("shrout")).filter("_me > 0")
+    before = value.withColumns({"lagged_market_equity": F.lag("_me").over(w), "source_date": F.lag(date).over(w)}).dropna(subset=["lagged_market_equity"])
+    return before.select(key, "source_date", date, "lagged_market_equity", F.ln("lagged_market_equity").alias("mvel1"))
+
+
 def daily_month_features(daily: DataFrame, key: str = "permno", date: str = "date") -> DataFrame:
     """Each month's largest return, deviations of return, dollar volume and turnover, spread, illiquidity, zero trading."""
     turn, dollars = F.try_divide("vol", "shrout"), F.abs(F.col("prc") * F.col("vol"))

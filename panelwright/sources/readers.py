@@ -56,6 +56,21 @@ def annual_forecasts(df: DataFrame, fpi: str = "1") -> DataFrame:
     return df.filter((F.col("fpi") == fpi) & (F.col("statpers") < F.col("anndats_act")) & (F.col("fpedats") >= F.col("statpers")))
 
 
+def quarterly_forecasts(df: DataFrame) -> DataFrame:
+    """The last median estimate of each (cusip6, fpedats) that was made before the announcement and not after the period."""
+    from ..operators.links import pick_one
+
+    use = df.filter("fpi = '6' AND measure = 'EPS' AND statpers < anndats_act AND fpedats >= statpers").dropna(subset=["medest", "fpedats"])
+    named = use.withColumn("cusip6", F.substring(F.regexp_replace("cusip", " ", ""), 1, 6))
+    return pick_one(named, ["cusip6", "fpedats"], [F.desc("statpers"), "medest"]).select("cusip6", "fpedats", "statpers", "medest", "actual")
+
+
+def with_forecasts(reports: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """Quarterly reports with the forecast of their own quarter's end, where there is one."""
+    f = forecasts.withColumn("datadate", F.col("fpedats"))
+    return reports.join(f, ["cusip6", "datadate"], "left")
+
+
 def adjusted_prices(df: DataFrame) -> DataFrame:
     """Split-adjusted prices, dated by the month end at which they are used."""
     return df.select("permno", F.last_day(F.add_months("date", 1)).alias("merge_date"), F.try_divide(F.abs("prc"), "cfacpr").alias("prc_adj"))
