@@ -26,9 +26,48 @@ def pairs(a: DataFrame, b: DataFrame, columns: dict[str, str], keys: list[str],
     return left.join(right, [*keys, "char"]).dropna(subset=["x", "y"])
 
 
-def spearman(p: DataFrame, by: list[str], min_pairs: int = 2, out: str = "rho") -> DataFrame:
-    """(by, n, rho): correlation of average ranks within each group."""
-    ranked = p.select(*by, average_rank("x", by).alias("rx"), average_rank("y", by).alias("ry"))
+def places(df: DataFrame, by: list[str], col: str) -> DataFrame:
+    """(by, _v, n, below): each different value of a group, its rows, and the rows of the group with smaller values.
+
+    Values are counted first and dealt to buckets by their size (sixteen to a doubling), which are placed one after
+    the other; inside a bucket values are sorted. So a group of any size is spread over many tasks.
+    """
+    v = F.col("_v")
+    bucket = F.when(v == 0, 0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * 16) + 20_000))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("n")).withColumn("_bucket", bucket)
+    start, inside = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket"), Window.partitionBy(*by, "_bucket").orderBy("_v")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_s")).withColumn("_offset", before("_s", start)).drop("_s")
+    placed = counts.withColumn("_below", before("n", inside)).join(offsets, [*by, "_bucket"])
+    return placed.select(*by, "_v", "n", (F.col("_offset") + F.col("_below")).alias("below"))
+
+
+def with_rank(df: DataFrame, col: str, by: list[str], out: str) -> DataFrame:
+    """df with the average rank of its values in groups of any size, which may be NULL in none of col and by."""
+    ranks = places(df, by, col).select(*by, "_v", (F.col("below") + (F.col("n") + 1) / 2).alias("_rank"))
+    joined = df.withColumn("_v", F.col(col).cast("double")).join(ranks, [*by, "_v"]).drop("_v")
+    return joined.select(*(c for c in df.columns if c != out), F.col("_rank").alias(out))
+
+
+def quantiles(df: DataFrame, by: list[str], col: str, qs: dict[str, float]) -> DataFrame:
+    """(by, names of qs): exact quantiles by linear interpolation, for groups of any size."""
+    at = places(df, by, col)
+    sizes = at.groupBy(*by).agg(F.sum("n").alias("_all"))
+    near = at.join(sizes, by)
+    place = {name: (F.col("_all") - 1) * F.lit(q) for name, q in qs.items()}
+    has = lambda x: (F.col("below") <= x) & (x < F.col("below") + F.col("n"))
+    ends = {k: v for name, p in place.items() for k, v in ((f"_l_{name}", F.max(F.when(has(F.floor(p)), F.col("_v")))), (f"_h_{name}", F.max(F.when(has(F.ceil(p)), F.col("_v")))))}
+    got = near.groupBy(*by, "_all").agg(*(v.alias(k) for k, v in ends.items()))
+    mixed = {name: F.col(f"_l_{name}") + (F.col(f"_h_{name}") - F.col(f"_l_{name}")) * (p - F.floor(p)) for name, p in place.items()}
+    return got.select(*by, *(v.alias(k) for k, v in mixed.items()))
+
+
+def spearman(p: DataFrame, by: list[str], min_pairs: int = 2, out: str = "rho", large: bool = False) -> DataFrame:
+    """(by, n, rho): correlation of average ranks within each group; large groups are ranked by counts of values."""
+    if large:
+        ranked = with_rank(with_rank(p.select(*by, "x", "y"), "x", by, "rx"), "y", by, "ry")
+    else:
+        ranked = p.select(*by, average_rank("x", by).alias("rx"), average_rank("y", by).alias("ry"))
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("rx", "ry").alias(out)).filter(F.col("n") >= min_pairs)
 
 
@@ -51,29 +90,29 @@ def match_rates(p: DataFrame, by: list[str]) -> DataFrame:
 def differences(p: DataFrame, by: list[str]) -> DataFrame:
     """Pearson correlation, RMSE and quantiles of the absolute difference."""
     d = F.abs(F.col("x") - F.col("y"))
-    return p.groupBy(*by).agg(correlation("x", "y").alias("pearson"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("mean_abs"), F.percentile(d, F.lit(0.5)).alias("median_abs"), F.percentile(d, F.lit(0.95)).alias("p95_abs"), F.percentile(d, F.lit(0.99)).alias("p99_abs"), F.max(d).alias("max_abs"))
+    means = p.groupBy(*by).agg(correlation("x", "y").alias("pearson"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("mean_abs"), F.max(d).alias("max_abs"))
+    return means.join(quantiles(p.withColumn("_d", d), by, "_d", {"median_abs": 0.5, "p95_abs": 0.95, "p99_abs": 0.99}), by)
 
 
 def winsorized_corr(p: DataFrame, by: list[str], lower: float = 0.01, upper: float = 0.99, joint: bool = False, out: str = "winsor_corr") -> DataFrame:
     """Correlation of values drawn to each side's own quantiles, or to x's for both."""
-    q = F.array(F.lit(lower), F.lit(upper))
-    b = p.groupBy(*by).agg(F.percentile("x", q).alias("qx"), F.percentile("x" if joint else "y", q).alias("qy"))
-    clip = lambda c, k: F.least(F.greatest(F.col(c), F.col(k)[0]), F.col(k)[1])
-    return p.join(b, by).groupBy(*by).agg(correlation(clip("x", "qx"), clip("y", "qy")).alias(out))
+    b = quantiles(p, by, "x", {"_lx": lower, "_hx": upper})
+    b = b.withColumns({"_ly": F.col("_lx"), "_hy": F.col("_hx")}) if joint else b.join(quantiles(p, by, "y", {"_ly": lower, "_hy": upper}), by)
+    clip = lambda c: F.least(F.greatest(F.col(c), F.col(f"_l{c}")), F.col(f"_h{c}"))
+    return p.join(b, by).groupBy(*by).agg(correlation(clip("x"), clip("y")).alias(out))
 
 
 def trimmed_corr(p: DataFrame, by: list[str], keep: float = 0.99, out: str = "trimmed_corr") -> DataFrame:
     """Correlation without the largest differences."""
     d = F.abs(F.col("x") - F.col("y"))
-    b = p.groupBy(*by).agg(F.percentile(d, F.lit(keep)).alias("_q"))
+    b = quantiles(p.withColumn("_d", d), by, "_d", {"_q": keep})
     return p.join(b, by).filter(d <= F.col("_q") + 1e-9).groupBy(*by).agg(correlation("x", "y").alias(out))
 
 
 def percent_rank_corr(p: DataFrame, by: list[str], out: str = "percent_rank_corr") -> DataFrame:
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    r = p.select(*by, (average_rank("x", by) / n).alias("rx"), (average_rank("y", by) / n).alias("ry"))
-    return r.groupBy(*by).agg(correlation("rx", "ry").alias(out))
+    n = p.groupBy(*by).agg(F.count("*").alias("_all"))
+    ranked = with_rank(with_rank(p.select(*by, "x", "y"), "x", by, "rx"), "y", by, "ry").join(n, by)
+    return ranked.groupBy(*by).agg(correlation(F.col("rx") / F.col("_all"), F.col("ry") / F.col("_all")).alias(out))
 
 
 def bucket_agreement(p: DataFrame, by: list[str], ties: list[str], n: int = 10, min_pairs: int = 20) -> DataFrame:
@@ -119,25 +158,11 @@ def best_alignment(p: DataFrame, by: str, candidate: str, value: str) -> DataFra
     return c.groupBy(by).agg(F.min(candidate).alias(candidate), F.first("best").alias(value))
 
 
-def pooled_ranks(df: DataFrame, col: str, values: int = 100_000) -> DataFrame:
-    """(col, rank): the average rank of each value among all rows. Values are dealt by range, about `values` to a task."""
-    counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    k = counts.count() // values + 1
-    bounds = counts.approxQuantile(col, [i / k for i in range(1, k)], 0.2 / k) if k > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(col))) if bounds else F.lit(0)
-    dealt = counts.withColumn("part", part)
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
-    offsets = dealt.groupBy("part").agg(F.sum("n").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("part").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return placed.join(F.broadcast(offsets), "part").select(col, (F.col("offset") + F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
-
-
-def agreement_matrix(df: DataFrame, cols: list[str], values: int = 100_000) -> DataFrame:
+def agreement_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """(a, b, corr) of average ranks for every two columns, in one aggregation over rows that have all."""
     ranked = df.dropna(subset=cols).select(*(F.col(c).cast("double").alias(c) for c in cols))
-    for c, ranks in [(c, pooled_ranks(ranked, c, values)) for c in cols]:
-        ranked = ranked.join(ranks.withColumnRenamed(c, "_v"), F.col(c) == F.col("_v")).withColumn(c, F.col("rank")).drop("_v", "rank")
+    for c in cols:
+        ranked = with_rank(ranked, c, [], c)
     two = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     one = ranked.agg(*(correlation(a, b).alias(f"{a}|{b}") for a, b in two))
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in two))).alias("_kv")).select("_kv.*")

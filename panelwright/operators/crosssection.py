@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .links import small
 from .windows import average_rank
 
 STATS = {"mean": F.avg, "median": F.median, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "std": F.stddev_samp}
@@ -105,7 +104,7 @@ def one_hot(df: DataFrame, col: str, codes: list, prefix: str) -> DataFrame:
 
 def interact(df: DataFrame, macro: DataFrame, on: str, cols: list[str], by: list[str]) -> DataFrame:
     """df with the product of each column and each macro series, in one projection."""
-    joined = df.join(small(macro.select(on, *by)), on, "left")
+    joined = df.join(macro.select(on, *by), on, "left")
     return joined.select(*df.columns, *((F.col(c) * F.col(m)).alias(f"{c}_x_{m}") for m in by for c in cols))
 
 

@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has so few rows (that is counted); else left to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, start: str, end: str, strict_start: bool = False, how: str = "inner") -> DataFrame:
     """Rows of right whose [start, end] holds ts, by equal keys; NULL ends are open, and so is a NULL start if not strict."""
@@ -19,7 +12,7 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, sta
     cond = (F.col(ts) <= F.coalesce(r[end], F.lit("9999-12-31").cast("date"))) & ((F.col(ts) >= r[start]) if strict_start else (r[start].isNull() | (F.col(ts) >= r[start])))
     for c in on:
         cond = cond & (left[c] == r[f"_r_{c}"])
-    return left.join(small(r), cond, how).drop(*(f"_r_{c}" for c in on))
+    return left.join(r, cond, how).drop(*(f"_r_{c}" for c in on))
 
 
 def filter_links(df: DataFrame, types=("L*",), prim="ALL", type_col: str = "linktype", prim_col: str = "linkprim", target: str = "permno") -> DataFrame:
@@ -63,4 +56,4 @@ def range_code(df: DataFrame, ranges: DataFrame, code: str, low: str, high: str,
     Ranges are spread over the codes they hold, so that the lookup is an equi-join.
     """
     spread = ranges.withColumn("_code", F.explode(F.sequence(low, high))).groupBy("_code").agg(F.max_by(label, order).alias(out))
-    return df.join(small(spread), df[code].cast("int") == spread["_code"], "left").drop("_code")
+    return df.join(spread, df[code].cast("int") == spread["_code"], "left").drop("_code")

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import finite
 from .crosssection import impute_median, rank_unit, winsorize
-from .links import small
 
 #: Columns that are never features.
 IDS = {"permno", "permco", "gvkey", "date", "datadate", "signal_yyyymm", "target_yyyymm", "sic", "sic2", "fyear", "exchcd", "shrcd", "industry", "ret", "dlret", "dlstcd", "retadj", "rf", "excess_return"}
@@ -74,7 +73,7 @@ def distress_return(dlret: str, dlstcd: str, exchcd: str) -> Column:
 
 def excess_returns(ret: DataFrame, delist: DataFrame, rf: DataFrame, key: str = "permno", month: str = "m", distress_fill: bool = False) -> DataFrame:
     """ret with dlret, dlstcd, retadj, rf and excess_return; NULL where both returns are missing."""
-    j = ret.join(delist, [key, month], "left").join(small(rf.select(month, "rf")), month, "left")
+    j = ret.join(delist, [key, month], "left").join(rf.select(month, "rf"), month, "left")
     if distress_fill:
         j = j.withColumn("dlret", distress_return("dlret", "dlstcd", "exchcd"))
     both = (1 + F.coalesce("ret", F.lit(0.0))) * (1 + F.coalesce("dlret", F.lit(0.0))) - 1

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_index
-from .links import small
 
 
 def compound(daily: DataFrame, key: str, date: str, ret: str, out: str = "ret") -> DataFrame:
@@ -79,7 +78,7 @@ def swept(df: DataFrame, stem: str, k: int) -> DataFrame:
 def daily_excess(daily: DataFrame, delist: DataFrame, factors: DataFrame, key: str = "permno", date: str = "date", rf: str = "rf", out: str = "exret") -> DataFrame:
     """Daily rows with factors and out: the return compounded with the delisting return of the very day, over the rate; a missing return of either kind is 0."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    j = daily.join(delist.select(key, date, "dlret"), [key, date], "left").join(small(factors), date)
+    j = daily.join(delist.select(key, date, "dlret"), [key, date], "left").join(factors, date)
     return j.withColumn(out, (1 + zero("ret")) * (1 + zero("dlret")) - 1 - F.col(rf))
 
 

@@ -126,7 +126,7 @@ CANDIDATES = """WITH y AS (SELECT gvkey, fyear, datadate, sale / nullif(assets,
 def _buckets(v):
     """Rank agreement by two-year bucket."""
     p = compare.pairs(v("panel_a"), v("panel_b"), {"c": "c2"}, ["permno", "m"], "m").withColumn("bucket", F.floor(F.col("m") / 24) * 2)
-    return compare.spearman(p, ["bucket"], 100)
+    return compare.spearman(p, ["bucket"], 100, large=True)
 
 
 Z = f"(SELECT char, avg(x) OVER w AS mx, stddev_pop(x) OVER w AS sx, avg(y) OVER w AS my, stddev_pop(y) OVER w AS sy, x, y FROM {PAIRS} WINDOW w AS (PARTITION BY char, m))"
@@ -136,7 +136,7 @@ MATRIX = "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {k}) + (count(
 
 QUERIES = [
     Query("coverage", lambda v: compare.coverage(v("panel_a"), v("panel_b"), ["permno", "m"]), "shared left_only right_only share~6", "SELECT count(*) FILTER (q.m IS NOT NULL AND p.m IS NOT NULL) AS shared, count(*) FILTER (q.m IS NULL) AS left_only, count(*) FILTER (p.m IS NULL) AS right_only, count(*) FILTER (q.m IS NOT NULL AND p.m IS NOT NULL) / CAST(count(p.m) AS DOUBLE) AS share FROM {panel_a} p FULL JOIN {panel_b} q ON p.permno = q.permno AND p.m = q.m"),
-    Query("spearman_pooled", lambda v: compare.spearman(_pairs(v), ["char"]), "char n rho~6", f"SELECT char, count(*) AS n, corr(rx, ry) AS rho FROM {_ranks('char')} GROUP BY 1"),
+    Query("spearman_pooled", lambda v: compare.spearman(_pairs(v), ["char"], large=True), "char n rho~6", f"SELECT char, count(*) AS n, corr(rx, ry) AS rho FROM {_ranks('char')} GROUP BY 1"),
     Query("spearman_monthly", lambda v: compare.spearman(_pairs(v), ["char", "m"], 10), "char m n rho~6", f"SELECT * FROM {MONTHLY}"),
     Query("spearman_summary", lambda v: compare.monthly_summary(_pairs(v), "m"), "char months median_rho~6 mean_rho~6 p25_rho~6 p75_rho~6 share_low~6", SUMMARY),
     Query("match_rates", lambda v: compare.match_rates(_pairs(v), ["char"]), "char n abs_1e4~6 rel_1e3~6 abs_1e6~6 exact~6", MATCH),
@@ -148,7 +148,7 @@ QUERIES = [
     Query("bucket_agreement", lambda v: compare.bucket_agreement(_pairs(v), ["char", "m"], ["permno"]), "char m n same~6 bottom~6 top~6", f"SELECT char, m, count(*) AS n, avg(CASE WHEN bx = b2 THEN 1e0 ELSE 0 END) AS same, avg(CASE WHEN bx = 1 THEN CASE WHEN b2 = 1 THEN 1e0 ELSE 0 END END) AS bottom, avg(CASE WHEN bx = 10 THEN CASE WHEN b2 = 10 THEN 1e0 ELSE 0 END END) AS top FROM (SELECT char, m, ntile(10) OVER (PARTITION BY char, m ORDER BY x, permno) AS bx, ntile(10) OVER (PARTITION BY char, m ORDER BY y, permno) AS b2 FROM {PAIRS}) GROUP BY 1, 2 HAVING count(*) >= 20"),
     Query("zscore_agreement", lambda v: compare.zscore_agreement(_pairs(v), ["char"], "m"), "char n z_agree~6", f"SELECT char, count(*) AS n, avg(CASE WHEN abs((x - mx) / sx - (y - my) / sy) <= 0.1 THEN 1e0 ELSE 0 END) AS z_agree FROM {Z} WHERE sx > 0 AND sy > 0 GROUP BY 1"),
     Query("suspicion", _suspicion, "char median_rho~6 abs_1e4~6 score~5 label", f"SELECT char, median_rho, abs_1e4, 60 * (1 - coalesce(median_rho, 0)) + 40 * (1 - coalesce(abs_1e4, 0)) AS score, CASE WHEN n < 20 THEN 'few pairs' WHEN abs_1e4 > 0.95 THEN 'same' WHEN median_rho > 0.99 THEN 'same order' WHEN median_rho > 0.95 THEN 'close' WHEN median_rho < 0 THEN 'sign' ELSE 'differs' END AS label FROM ({SUMMARY}) JOIN ({MATCH}) USING (char)"),
-    Query("status_label", lambda v: compare.status_label(compare.spearman(_pairs(v), ["char"]).withColumn("have", F.col("n") > 0), "rho", "have"), "char n status", f"SELECT char, n, CASE WHEN rho >= 0.95 THEN 'validated' WHEN rho >= 0.8 THEN 'partial' ELSE 'mismatch' END AS status FROM (SELECT char, count(*) AS n, corr(rx, ry) AS rho FROM {_ranks('char')} GROUP BY 1)"),
+    Query("status_label", lambda v: compare.status_label(compare.spearman(_pairs(v), ["char"], large=True).withColumn("have", F.col("n") > 0), "rho", "have"), "char n status", f"SELECT char, n, CASE WHEN rho >= 0.95 THEN 'validated' WHEN rho >= 0.8 THEN 'partial' ELSE 'mismatch' END AS status FROM (SELECT char, count(*) AS n, corr(rx, ry) AS rho FROM {_ranks('char')} GROUP BY 1)"),
     Query("shift_search", _shift, "shift n corr~6", "SELECT s AS shift, count(*) AS n, corr(p.c, q.c2) AS corr FROM {panel_a} p, unnest([-2, -1, 0, 1, 2]) t(s) JOIN {panel_b} q ON q.permno = p.permno AND q.m = p.m + s WHERE p.c IS NOT NULL AND q.c2 IS NOT NULL GROUP BY 1"),
     Query("best_shift", lambda v: compare.best_alignment(_shift(v).withColumn("all", F.lit(1)), "all", "shift", "corr"), "shift corr~6", "SELECT s AS shift, corr(p.c, q.c2) AS corr FROM {panel_a} p, unnest([-2, -1, 0, 1, 2]) t(s) JOIN {panel_b} q ON q.permno = p.permno AND q.m = p.m + s WHERE p.c IS NOT NULL AND q.c2 IS NOT NULL GROUP BY 1 ORDER BY 2 DESC LIMIT 1"),
     Query("scale_search", lambda v: compare.scale_search(compare.pairs(v("panel_a"), v("panel_b"), {"b": "b2"}, ["permno", "m"], "m"), [-1.0, 0.01, 1.0, 100.0]), "scale n match~6", f"SELECT s AS scale, count(*) AS n, avg(CASE WHEN abs(x * s - y) <= 1e-6 * (1 + abs(y)) THEN 1e0 ELSE 0 END) AS match FROM {PAIRS}, unnest([-1e0, 0.01e0, 1e0, 100e0]) t(s) WHERE char = 'b' GROUP BY 1"),

@@ -188,8 +188,51 @@ def test_agreement_matrix_ranks_all_rows_over_many_tasks(spark):
     views, cols = {"panel_a": spark.createDataFrame(p), "panel_b": spark.createDataFrame(q)}, ["a", "c", "a2", "c2"]
     want = p.merge(q, on=["permno", "m"])[cols].rank().corr()
     query = next(x for x in compare_queries.QUERIES if x.name == "agreement_matrix")
-    for got in (query.build(views.__getitem__), compare.agreement_matrix(views["panel_a"].join(views["panel_b"], ["permno", "m"]), cols, values=50)):
+    for got in (query.build(views.__getitem__), compare.agreement_matrix(views["panel_a"].join(views["panel_b"], ["permno", "m"]), cols)):
         rows = got.collect()
         assert len(rows) == 10 and all(r["corr"] == pytest.approx(want.loc[r["a"], r["b"]]) for r in rows)
-    ranks = {r["c"]: r["rank"] for r in compare.pooled_ranks(views["panel_a"], "c", 50).collect()}
+    ranks = {r["c"]: r["rank"] for r in compare.with_rank(views["panel_a"].select("c"), "c", [], "rank").collect()}
     assert ranks == dict(zip(p["c"], p["c"].rank(), strict=True))
+    q = compare.quantiles(views["panel_a"].withColumn("g", F.col("permno") % 3), ["g"], "a", {"low": 0.05, "mid": 0.5, "high": 0.99})
+    for r in q.collect():
+        assert [r["low"], r["mid"], r["high"]] == pytest.approx(p[p["permno"] % 3 == r["g"]]["a"].quantile([0.05, 0.5, 0.99]).tolist())
+
+
+def test_industry_schemes_as_published_text(spark):
+    from panelwright.functions import industry
+
+    text = " 1 Agric  Agriculture\n          0100-0199 Crops\n          0910-0919 Fishing\n\n 2 Food   Food Products\n          0115-0115 Odd\n          2000-2046 Food\n"
+    df = spark.createDataFrame([(110,), (115,), (2046,), (9999,), (None,)], "sic int")
+    assert [r["ffi"] for r in industry.with_scheme(df, text).orderBy(F.col("sic").asc_nulls_last()).collect()] == [1, 2, 2, None, None]
+    assert {len({n for n, *_ in industry.ranges(k)}) for k in (5, 10, 12)} == {4, 9, 11}
+
+
+def test_codes_with_and_without_reports(spark):
+    months = spark.createDataFrame([(1, 200001, 132), (1, 200002, 132)], "permno int, signal_yyyymm int, siccd int")
+    reports = spark.createDataFrame([(1, 200001, 2834, "28")], "permno int, signal_yyyymm int, sic int, sic2 string")
+    got = {m: [(r["sic"], r["sic2"]) for r in links.with_codes(months, reports, m).orderBy("signal_yyyymm").collect()] for m in ("company", "history")}
+    assert got == {"company": [(2834, "28"), (None, None)], "history": [(132, "28"), (132, "01")]}
+    with pytest.raises(ValueError):
+        links.with_codes(months, reports, "other")
+
+
+def test_distress_codes_and_exchanges(spark):
+    rows = [(None, 500, 1), (None, 501, 1), (None, 504, 3), (None, 505, 3), (None, 510, 2), (None, 584, 4), (None, 560, None), (-0.2, 560, 1), (None, 585, 1)]
+    df = spark.createDataFrame(rows, "dlret double, dlstcd int, exchcd int")
+    assert [r[0] for r in df.select(panel.distress_return("dlret", "dlstcd", "exchcd")).collect()] == [-0.35, None, None, -0.55, -0.35, None, None, -0.2, None]
+
+
+def test_daily_excess_compounds_delistings_and_fills_missing_returns(spark):
+    day = date(2020, 1, 2)
+    daily = spark.createDataFrame([(1, day, None), (2, day, 0.1), (3, day, 0.1)], "permno int, date date, ret double")
+    delist = spark.createDataFrame([(1, day, -0.5), (2, day, None)], "permno int, date date, dlret double")
+    factors = spark.createDataFrame([(day, 0.01)], "date date, rf double")
+    got = {r["permno"]: r["exret"] for r in regression.daily_excess(daily, delist, factors).collect()}
+    assert got == pytest.approx({1: -0.51, 2: 0.09, 3: 0.09})
+
+
+def test_published_features_are_kept_under_either_name(spark):
+    from panelwright.plans import profiles
+
+    df = spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "permno int, book_to_market double, mom1m double, own double")
+    assert profiles.allowed(df, ["permno"]).columns == ["permno", "book_to_market", "mom1m"]
