@@ -42,11 +42,14 @@ def places(df: DataFrame, by: list[str], col: str) -> DataFrame:
     return placed.select(*by, "_v", "n", (F.col("_offset") + F.col("_below")).alias("below"))
 
 
-def with_rank(df: DataFrame, col: str, by: list[str], out: str) -> DataFrame:
-    """df with the average rank of its values in groups of any size, which may be NULL in none of col and by."""
-    ranks = places(df, by, col).select(*by, "_v", (F.col("below") + (F.col("n") + 1) / 2).alias("_rank"))
-    joined = df.withColumn("_v", F.col(col).cast("double")).join(ranks, [*by, "_v"]).drop("_v")
-    return joined.select(*(c for c in df.columns if c != out), F.col("_rank").alias(out))
+def with_ranks(df: DataFrame, cols: dict[str, str], by: list[str]) -> DataFrame:
+    """df with the average ranks of columns {name: new name} in groups of any size; neither columns nor by may hold NULL."""
+    out = df
+    for n, (c, new) in enumerate(cols.items()):
+        ranks = places(df, by, c).select(*by, F.col("_v").alias(f"_v{n}"), (F.col("below") + (F.col("n") + 1) / 2).alias(f"_r{n}"))
+        out = out.withColumn(f"_v{n}", F.col(c).cast("double")).join(ranks, [*by, f"_v{n}"])
+    kept = [c for c in df.columns if c not in cols.values()]
+    return out.select(*kept, *(F.col(f"_r{n}").alias(new) for n, new in enumerate(cols.values())))
 
 
 def quantiles(df: DataFrame, by: list[str], col: str, qs: dict[str, float]) -> DataFrame:
@@ -65,7 +68,7 @@ def quantiles(df: DataFrame, by: list[str], col: str, qs: dict[str, float]) -> D
 def spearman(p: DataFrame, by: list[str], min_pairs: int = 2, out: str = "rho", large: bool = False) -> DataFrame:
     """(by, n, rho): correlation of average ranks within each group; large groups are ranked by counts of values."""
     if large:
-        ranked = with_rank(with_rank(p.select(*by, "x", "y"), "x", by, "rx"), "y", by, "ry")
+        ranked = with_ranks(p.select(*by, "x", "y"), {"x": "rx", "y": "ry"}, by)
     else:
         ranked = p.select(*by, average_rank("x", by).alias("rx"), average_rank("y", by).alias("ry"))
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("rx", "ry").alias(out)).filter(F.col("n") >= min_pairs)
@@ -111,7 +114,7 @@ def trimmed_corr(p: DataFrame, by: list[str], keep: float = 0.99, out: str = "tr
 
 def percent_rank_corr(p: DataFrame, by: list[str], out: str = "percent_rank_corr") -> DataFrame:
     n = p.groupBy(*by).agg(F.count("*").alias("_all"))
-    ranked = with_rank(with_rank(p.select(*by, "x", "y"), "x", by, "rx"), "y", by, "ry").join(n, by)
+    ranked = with_ranks(p.select(*by, "x", "y"), {"x": "rx", "y": "ry"}, by).join(n, by)
     return ranked.groupBy(*by).agg(correlation(F.col("rx") / F.col("_all"), F.col("ry") / F.col("_all")).alias(out))
 
 
@@ -161,8 +164,7 @@ def best_alignment(p: DataFrame, by: str, candidate: str, value: str) -> DataFra
 def agreement_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """(a, b, corr) of average ranks for every two columns, in one aggregation over rows that have all."""
     ranked = df.dropna(subset=cols).select(*(F.col(c).cast("double").alias(c) for c in cols))
-    for c in cols:
-        ranked = with_rank(ranked, c, [], c)
+    ranked = with_ranks(ranked, {c: c for c in cols}, [])
     two = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     one = ranked.agg(*(correlation(a, b).alias(f"{a}|{b}") for a, b in two))
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in two))).alias("_kv")).select("_kv.*")

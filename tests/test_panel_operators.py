@@ -191,7 +191,7 @@ def test_agreement_matrix_ranks_all_rows_over_many_tasks(spark):
     for got in (query.build(views.__getitem__), compare.agreement_matrix(views["panel_a"].join(views["panel_b"], ["permno", "m"]), cols)):
         rows = got.collect()
         assert len(rows) == 10 and all(r["corr"] == pytest.approx(want.loc[r["a"], r["b"]]) for r in rows)
-    ranks = {r["c"]: r["rank"] for r in compare.with_rank(views["panel_a"].select("c"), "c", [], "rank").collect()}
+    ranks = {r["c"]: r["rank"] for r in compare.with_ranks(views["panel_a"].select("c"), {"c": "rank"}, []).collect()}
     assert ranks == dict(zip(p["c"], p["c"].rank(), strict=True))
     q = compare.quantiles(views["panel_a"].withColumn("g", F.col("permno") % 3), ["g"], "a", {"low": 0.05, "mid": 0.5, "high": 0.99})
     for r in q.collect():
