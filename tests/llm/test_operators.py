@@ -648,3 +648,94 @@ def test_pipeline_keeps_clean_documents_and_its_decisions(spark):
         if name != "best_fit_packing":
             assert docs.columns == before.columns
     assert seen["quality_rules"] >= seen["line_dedup"] == seen["quality_rules"] >= seen["simhash_near_dedup"] >= seen["decontamination"] > 100
+
+
+def brute_kept(rows):
+    """Positions of (doc_id, text, source) rows that both quality rules keep."""
+    failed = []
+    for _, t, _ in rows:
+        n, _, _, _, repeated = brute_rules(t)
+        failed.append(n < 50 or 100 * repeated > 50 * n)
+    n, f = Counter(s for *_, s in rows if s is not None), Counter(s for (*_, s), bad in zip(rows, failed, strict=True) if bad and s is not None)
+    rates, mean = np.array([f[s] / n[s] for s in n]), (f.total() + 0.5) / (n.total() + 1)
+    between = rates.var() - mean * (1 - mean) * np.mean([1 / n[s] for s in n])
+    strength = max(1.0, min(float(n.total()), mean * (1 - mean) / between - 1 if between > 0 else np.inf))
+    bad = {s for s in n if (f[s] + mean * strength) / (n[s] + strength) > 0.8}
+    return [i for i, (*_, s) in enumerate(rows) if not failed[i] and s not in bad]
+
+
+def brute_near(rows):
+    """Keys of (doc_id, text) rows that have no near copy with a smaller key in their group."""
+    texts = sorted({t for _, t in rows})
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(words, low)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                root[find(i)] = find(j)
+    of, least = {t: find(i) for i, t in enumerate(texts)}, {}
+    for i, t in rows:
+        least[of[t]] = min(i, least.get(of[t], i))
+    gone = {i for i, t in rows if i > least[of[t]]}
+    return {i for i, _ in rows} - gone
+
+
+def test_pipeline_against_brute_force(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    given = [(r["doc_id"], r["text"], f"src{r['doc_id'] % 2}") for r in docs.orderBy("doc_id").limit(50).collect()]
+    item = next(t for t, in spark.read.parquet(f"{sf_dir()}/benchmark.parquet").select("text").collect() if len(item_words(t)) >= 10)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    shared = "A line that several of these documents repeat as it stands or with little changed."
+    near, made = fresh(120), []
+    cut = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    # Cut into lines at other places, so that line dedup leaves them.
+    made += [cut(near, 12), cut([*near[:60], "other", *near[61:]], 17), cut(near, 40).upper()]
+    made += [" ".join(fresh(70)) + f"\n{shared}" + "." * k + "\n" + " ".join(fresh(30)) for k in range(3)]
+    made += [" ".join(fresh(60)) + f" {item} " + " ".join(fresh(20)), None, "", "short text", "same words again " * 40, " ".join(fresh(5000))]
+    # The host that fails takes its one good document with it.
+    rows = given + [(10_000 + i, t, "made" if i % 5 else None) for i, t in enumerate(made)] + [(20_000 + i, f"x{i}", "failing") for i in range(60)] + [(20_060, " ".join(fresh(90)), "failing")]
+    rows += [rows[-1], (10_000, made[0], None)]
+    spark.createDataFrame([(i, t, "en", s, len(t or ""), 5) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, gone_key int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir()}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = [rows[i][:2] for i in brute_kept(rows)]
+    assert 20_060 not in dict(left) and 10_011 in dict(left) and 10_010 not in dict(left)
+    gone = brute_lines(left)
+    left = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ()))) for i, t in left]
+    stay = brute_near(left)
+    # Rows equal in key and text are one document.
+    left = sorted({(i, t) for i, t in left if i in stay})
+    assert any(i == 10_000 for i, _ in left) and not stay & {10_001, 10_002}
+    windows = set()
+    for (t,) in spark.read.parquet(f"{tmp_path}/benchmark.parquet").select("text").collect():
+        w = item_words(t)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(x) for x in windows}
+    left = [(i, t) for i, t in left if not any(tuple(w[k : k + n]) in windows for w in [item_words(t)] for n in sizes for k in range(len(w) - n + 1))]
+    assert 10_006 not in dict(left) and len(left) > 20
+    tok, want = tokens.load(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for i, t in left:
+        ids = np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            want[i, k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert Counter(tuple(map(int, x)) for x in got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False)) == want
+    g = got.sort_values(["sequence_id", "offset"])
+    assert (g.groupby("sequence_id")["length"].cumsum() - g["length"] == g["offset"]).all() and g.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for t in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf_dir()}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
