@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +60,22 @@ def month_universe(dfs: list[DataFrame], keys: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.union(b), [d.select(*keys) for d in dfs]).distinct()
 
 
+#: What a table of months must have so that features can be aligned to it.
+SPINE = ("permno", "permco", "date", "signal_yyyymm", "target_yyyymm", "siccd", "exchcd", "shrcd")
+
+
+def month_spine(stored: list[DataFrame], build: Callable[[], DataFrame], needs: tuple = SPINE, key: str = "permno", month: str = "signal_yyyymm") -> DataFrame:
+    """The needed columns of the first stored table that has them all, or of build()'s; with source_yyyymm, the entity's row before, where it is not told.
+
+    Tables are told apart by their columns alone: none is read to decide, and build() is not called where one serves.
+    """
+    months = next((d for d in stored if set(needs) <= set(d.columns)), None)
+    months = build() if months is None else months
+    if "source_yyyymm" not in months.columns:
+        months = months.withColumn("source_yyyymm", F.lag(month).over(Window.partitionBy(key).orderBy(month)))
+    return months.select(*needs, "source_yyyymm")
+
+
 def to_percent_units(rates: DataFrame, col: str, limit: float = 0.02) -> DataFrame:
     """Rates divided by 100 where their median size shows that they are percentages; one number comes to the driver."""
     mid = rates.agg(F.median(F.abs(col))).first()[0]

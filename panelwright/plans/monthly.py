@@ -94,6 +94,15 @@ def revision_feature(forecasts: DataFrame, prices: DataFrame, key: str = "permno
     return pick_one(v.filter("_n >= 4").withColumn("m", month_index(F.col(at))), [key, "m"], [F.desc(period), F.desc(at)]).select(key, "m", "re")
 
 
+def stated_equity(reports: DataFrame) -> DataFrame:
+    """reports with book: shareholders' equity and deferred taxes less preferred stock, where that is positive.
+
+    Without seq there is no book: it is not made up from common equity or from assets and liabilities.
+    """
+    preferred = F.coalesce("pstkrv", "pstkl", "pstk", F.lit(0.0))
+    return reports.withColumn("book", F.col("seq") + F.coalesce("txditc", F.lit(0.0)) - preferred).filter("book > 0")
+
+
 def book_to_market(reports: DataFrame, december: DataFrame, firm: str = "permco", key: str = "permno", date: str = "datadate", book: str = "book", value: str = "value") -> DataFrame:
     """(key, firm, date, book_to_market): the year's last report over the firm's December value of all its securities.
 

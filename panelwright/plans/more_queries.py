@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import industry
-from ..operators import audit, compare, crosssection, links, timing
+from ..operators import audit, compare, crosssection, links, panel, timing
 from ..sources import readers
 from . import features as f
-from . import monthly, profiles
+from . import monthly, profiles, turnover
 from .compare_queries import MODES
-from .feature_queries import ANNUAL_SQL, _adjusted_sql
+from .feature_queries import ANNUAL_SQL, BM_SQL, _adjusted_sql, _december
 from .operator_queries import LINKED, _links_of, _rank_sql
 from .shapes import Query
 
@@ -131,7 +131,59 @@ PROFILE_SQL = {
     "research": _research_sql(_WIDE),
 }
 
+
+
+def _stated_books(v):
+    y = monthly.stated_equity(v("fundamentals_year")).select("gvkey", "datadate", "book")
+    return monthly.book_to_market(y.join(v("link").filter("linkprim = 'P'").select("gvkey", "permno", "permco").distinct(), "gvkey"), _december(v))
+
+
+STATED_SQL = BM_SQL.replace("y.ceq AS book", "y.seq + coalesce(y.txditc, 0) - coalesce(y.pstkrv, y.pstkl, y.pstk, 0) AS book").replace("ON y.gvkey = l.gvkey)", "ON y.gvkey = l.gvkey AND y.seq + coalesce(y.txditc, 0) - coalesce(y.pstkrv, y.pstkl, y.pstk, 0) > 0)")
+
+
+def _spine(v):
+    """Of two stored tables the second has what a spine needs."""
+    dated = links.interval_join(v("security_month"), v("names"), ["permno"], "date", "namedt", "nameendt")
+    return panel.month_spine([v("panel_a"), dated], lambda: v("security_month"))
+
+
+SPINE_SQL = "SELECT s.permno, s.permco, s.date, s.signal_yyyymm, s.target_yyyymm, n.siccd, n.exchcd, n.shrcd, lag(s.signal_yyyymm) OVER (PARTITION BY s.permno ORDER BY s.m) AS source_yyyymm FROM {security_month} s JOIN {names} n ON s.permno = n.permno AND s.date BETWEEN n.namedt AND coalesce(n.nameendt, DATE '9999-12-31')"
+
+
+def _turnover_search(v):
+    reports = industry.with_scheme(v("fundamentals_year").select("gvkey", "datadate", "fyear", "sic", "sic2", "sale", "assets"), 12)
+    found = turnover.candidates(reports, _links_of(v), "ffi12").persist()
+    return turnover.search(found, timing.expand_fixed(found.select("permno", "datadate", "chato_ia")), "chato_ia")
+
+
+def _turnover_sql() -> str:
+    names = turnover.CANDIDATES
+    scheme = f"(SELECT sic, (SELECT number FROM (VALUES {', '.join(f'({n}, {low}, {high}, {i})' for i, (n, _, low, high) in enumerate(industry.ranges(12)))}) r(number, low, high, ord) WHERE sic BETWEEN low AND high ORDER BY ord DESC LIMIT 1) AS ffi12 FROM (SELECT DISTINCT sic FROM {{fundamentals_year}}))"
+    less = lambda c, over, name: f"{c} - avg({c}) OVER {over} AS {name}"
+    return f"""WITH c0 AS (SELECT gvkey, datadate, fyear, sic2, ffi12, sale, assets, sale / nullif((assets + lag(assets) OVER w) / 2, 0) AS ato, lag(sale) OVER w / nullif((lag(assets) OVER w + lag(assets, 2) OVER w) / 2, 0) AS bef, row_number() OVER w AS n
+        FROM {{fundamentals_year}} y LEFT JOIN {scheme} k USING (sic) WINDOW w AS (PARTITION BY gvkey ORDER BY datadate)),
+    c1 AS (SELECT *, ato - bef AS chato, CASE WHEN n > 2 THEN ato - bef END AS masked, ato - lag(ato) OVER w AS change, (ato - lag(ato) OVER w) / nullif(lag(ato) OVER w, 0) AS pct FROM c0 WINDOW w AS (PARTITION BY gvkey ORDER BY datadate)),
+    c2 AS (SELECT *, {', '.join(less(c, 'g', f'{c}_ia') for c in ('chato', 'masked', 'ato', 'change', 'pct'))}, {', '.join(less(c, 'f', f'{c}_scheme') for c in ('chato', 'change'))} FROM c1
+        WINDOW g AS (PARTITION BY fyear, sic2), f AS (PARTITION BY ffi12, year(datadate) * 12 + month(datadate))),
+    c3 AS (SELECT c2.*, l.permno FROM c2 JOIN (SELECT DISTINCT gvkey, datadate, permno FROM ({LINKED})) l USING (gvkey, datadate) QUALIFY row_number() OVER (PARTITION BY permno, datadate ORDER BY gvkey) = 1),
+    c4 AS (SELECT *, sale / nullif((assets + lag(assets) OVER (PARTITION BY permno ORDER BY datadate)) / 2, 0) AS o FROM c3),
+    c5 AS (SELECT *, o - lag(o) OVER (PARTITION BY permno ORDER BY datadate) AS own, row_number() OVER (PARTITION BY gvkey ORDER BY permno, datadate) AS k FROM c4),
+    c6 AS (SELECT *, {less('own', '(PARTITION BY fyear, sic2)', 'own_ia')} FROM c5),
+    c7 AS (SELECT permno, year(datadate) * 12 + month(datadate) - 1 AS told, {', '.join(f'round(CASE WHEN k > {first} THEN {c} END, 9) AS {c}' for c, first in names.items())} FROM c6),
+    june AS (SELECT *, 'june' AS timing FROM (SELECT *, unnest(range(CAST(floor(told / 12) AS BIGINT) * 12 + 17, CAST(floor(told / 12) AS BIGINT) * 12 + 29)) AS s FROM c7) QUALIFY row_number() OVER (PARTITION BY permno, s ORDER BY told DESC) = 1),
+    follow AS (SELECT *, unnest(range(told + 4, coalesce(nx + 4, told + 16))) AS s, 'next_report' AS timing FROM (SELECT *, lead(told) OVER (PARTITION BY permno ORDER BY told) AS nx FROM c7)),
+    two AS (SELECT timing, permno, s, {', '.join(names)} FROM june UNION ALL SELECT timing, permno, s, {', '.join(names)} FROM follow),
+    p AS ({' UNION ALL '.join(f"SELECT '{c}' AS candidate, b.timing, b.{c} AS x, j.chato_ia AS y FROM two b JOIN june j ON j.permno = b.permno AND j.s = b.s WHERE b.{c} IS NOT NULL AND j.chato_ia IS NOT NULL" for c in names)}),
+    q AS (SELECT candidate, timing, quantile_cont(x, 0.01) AS lx, quantile_cont(x, 0.99) AS hx, quantile_cont(y, 0.01) AS ly, quantile_cont(y, 0.99) AS hy FROM p GROUP BY 1, 2),
+    r AS (SELECT *, rank() OVER (PARTITION BY candidate, timing ORDER BY x) + (count(*) OVER (PARTITION BY candidate, timing, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY candidate, timing ORDER BY y) + (count(*) OVER (PARTITION BY candidate, timing, y) - 1) / 2e0 AS ry FROM p)
+    SELECT candidate, timing, count(*) AS n, corr(rx, ry) AS rho, corr(x, y) AS pearson, median(abs(x - y)) AS median_abs, avg(abs(x - y)) AS mean_abs, quantile_cont(abs(x - y), 0.95) AS p95_abs, corr(least(greatest(x, lx), hx), least(greatest(y, ly), hy)) AS winsor_corr
+    FROM r JOIN q USING (candidate, timing) GROUP BY 1, 2"""
+
+
 QUERIES = [
+    Query("stated_book_to_market", _stated_books, "permno permco datadate book_to_market~7", STATED_SQL),
+    Query("month_spine", _spine, "permno permco date signal_yyyymm target_yyyymm siccd exchcd shrcd source_yyyymm", SPINE_SQL),
+    Query("turnover_search", _turnover_search, "candidate timing n rho~5 pearson~5 median_abs~6 mean_abs~6 p95_abs~6 winsor_corr~5", _turnover_sql()),
     Query("industry_schemes", _schemes, "sic ffi5 ffi10 ffi12", _scheme_sql()),
     Query("codes_of_company", lambda v: links.with_codes(_months(v), _live_codes(v)), "permno signal_yyyymm sic sic2", f"SELECT permno, signal_yyyymm, c.sic, c.sic2 FROM {MONTHS} m LEFT JOIN {LIVE_CODES} c USING (permno, signal_yyyymm)"),
     Query("codes_of_history", lambda v: links.with_codes(_months(v), _live_codes(v), "history"), "permno signal_yyyymm sic sic2", f"SELECT permno, signal_yyyymm, m.siccd AS sic, coalesce(c.sic2, substr(lpad(CAST(m.siccd AS VARCHAR), 4, '0'), 1, 2)) AS sic2 FROM {MONTHS} m LEFT JOIN {LIVE_CODES} c USING (permno, signal_yyyymm)"),

@@ -57,7 +57,8 @@ VIEWS = {
         {_items("assets prcc_f csho sale revt lt", 3, _FULL)},
         {_items("act che lct dlc txp dp ceq emp ppent ppegt xsga rect invt aco intan ao ap lco lo dltt ebit nopi cogs xad fatb fatl", 11, _GAPS)},
         {_items("dvt xrd xint pstk dcvt dcpstk cshrc dm ob scstkc txfo txfed", 41, _ZEROS)},
-        {_items("ib ni oancf capx txt txdi", 61, _SIGNED)}
+        {_items("ib ni oancf capx txt txdi", 61, _SIGNED)},
+        {_items("seq pstkrv pstkl", 71, _GAPS)}, {_items("txditc", 81, _ZEROS)}
         FROM {{company_year}} JOIN {{customer}} ON gvkey = c_custkey""",
     "company_quarter": """SELECT o_custkey AS gvkey, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS t, sum(o_totalprice) / 100000 AS base
         FROM {orders} GROUP BY o_custkey, year(o_orderdate) * 4 + quarter(o_orderdate) - 1""",
