@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -60,6 +61,19 @@ def month_universe(dfs: list[DataFrame], keys: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.union(b), [d.select(*keys) for d in dfs]).distinct()
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the checkpoint folder: for a plan that many others are built on.
+
+    The folder is that of spark.checkpoint.dir; where none is set, a temporary one serves a master that is this machine alone.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
+    return df.checkpoint()
+
+
 #: What a table of months must have so that features can be aligned to it.
 SPINE = ("permno", "permco", "date", "signal_yyyymm", "target_yyyymm", "siccd", "exchcd", "shrcd")
 

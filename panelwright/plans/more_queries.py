@@ -152,7 +152,7 @@ SPINE_SQL = "SELECT s.permno, s.permco, s.date, s.signal_yyyymm, s.target_yyyymm
 
 def _turnover_search(v):
     reports = industry.with_scheme(v("fundamentals_year").select("gvkey", "datadate", "fyear", "sic", "sic2", "sale", "assets"), 12)
-    found = turnover.candidates(reports, _links_of(v), "ffi12").persist()
+    found = panel.cut_lineage(turnover.candidates(reports, _links_of(v), "ffi12"))
     return turnover.search(found, timing.expand_fixed(found.select("permno", "datadate", "chato_ia")), "chato_ia")
 
 

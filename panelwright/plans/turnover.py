@@ -9,6 +9,7 @@ from ..functions.scalar import ratio
 from ..operators import compare, timing
 from ..operators.crosssection import demean
 from ..operators.links import pick_one
+from ..operators.panel import cut_lineage
 
 #: Definitions, and of how many of a company's first linked reports their values are left out.
 CANDIDATES = {"chato": 2, "chato_ia": 2, "masked_ia": 2, "ato": 0, "ato_ia": 0, "change": 1, "change_ia": 2, "pct": 1, "pct_ia": 1, "chato_scheme": 2, "change_scheme": 2, "own": 2, "own_ia": 2}
@@ -44,11 +45,11 @@ def candidates(reports: DataFrame, linked: DataFrame, scheme: str, key: str = "g
 def search(found: DataFrame, target: DataFrame, value: str, key: str = "permno", date: str = "datadate", decimals: int = 9) -> DataFrame:
     """How each candidate agrees with target (key, signal_yyyymm, value), live from June on or from four months after a report until the next.
 
-    The months that both have are kept for the statistics, which read them several times.
+    The months that both have are written once for the statistics, which read them several times.
     """
     live = {"june": timing.expand_fixed(found, key, date), "next_report": timing.until_next_report(found, key, date)}
     both = live["june"].withColumn("timing", F.lit("june")).unionByName(live["next_report"].withColumn("timing", F.lit("next_report")))
-    met = both.join(target.select(key, "signal_yyyymm", F.round(value, decimals).alias("y")), [key, "signal_yyyymm"]).filter("y IS NOT NULL").persist()
+    met = cut_lineage(both.join(target.select(key, "signal_yyyymm", F.round(value, decimals).alias("y")), [key, "signal_yyyymm"]).filter("y IS NOT NULL"))
     p = met.select("timing", "y", F.explode(F.array(*(F.struct(F.lit(c).alias("candidate"), F.round(c, decimals).alias("x")) for c in CANDIDATES))).alias("_c")).select("timing", "y", "_c.*").dropna(subset=["x"])
     by = ["candidate", "timing"]
     return compare.spearman(p, by, 3, large=True).join(compare.differences(p, by), by).join(compare.winsorized_corr(p, by), by)
