@@ -236,3 +236,29 @@ def test_published_features_are_kept_under_either_name(spark):
 
     df = spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "permno int, book_to_market double, mom1m double, own double")
     assert profiles.allowed(df, ["permno"]).columns == ["permno", "book_to_market", "mom1m"]
+
+
+def test_month_spine_takes_the_first_table_that_has_all_columns(spark):
+    from panelwright.operators import panel
+
+    needs = ("permno", "signal_yyyymm", "sic")
+    short = spark.createDataFrame([(1, 199001)], "permno int, signal_yyyymm int")
+    whole = spark.createDataFrame([(1, 199003, 10, "x"), (1, 199001, 10, "y"), (2, 199002, None, "z")], "permno int, signal_yyyymm int, sic int, other string")
+    told = whole.selectExpr("permno", "signal_yyyymm", "sic", "7 AS source_yyyymm")
+
+    def never():
+        raise AssertionError("built although a stored table serves")
+
+    got = sorted(map(tuple, panel.month_spine([short, whole, told], never, needs).collect()))
+    assert got == [(1, 199001, 10, None), (1, 199003, 10, 199001), (2, 199002, None, None)]
+    assert {r["source_yyyymm"] for r in panel.month_spine([told], never, needs).collect()} == {7}
+    assert sorted(map(tuple, panel.month_spine([short], lambda: whole, needs).collect())) == got
+    assert panel.month_spine([], lambda: whole.limit(0), needs).isEmpty()
+
+
+def test_stated_equity_is_not_made_up(spark):
+    from panelwright.plans import monthly
+
+    rows = [(1, 10.0, None, None, None, None), (2, None, 5.0, None, None, None), (3, 10.0, 1.0, 2.0, 3.0, 4.0), (4, 10.0, 1.0, None, 3.0, 4.0), (5, 10.0, None, None, None, 4.0), (6, 2.0, None, None, None, 2.0)]
+    df = spark.createDataFrame(rows, "k int, seq double, txditc double, pstkrv double, pstkl double, pstk double")
+    assert {r["k"]: r["book"] for r in monthly.stated_equity(df).collect()} == {1: 10.0, 3: 9.0, 4: 8.0, 5: 6.0}
