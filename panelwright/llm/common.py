@@ -80,3 +80,24 @@ def slices(texts: pa.Array, size: int = 4_000_000):
         upto = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
         yield start, upto - start
         start = upto
+
+
+#: Groups that are broadcast at most, and rows from which a group may count as large.
+MOST_GROUPS, LARGE_GROUP = 100_000, 256
+
+
+def large_limit(rows: DataFrame) -> int:
+    """Rows beyond which a group of rows is large: no table has more than MOST_GROUPS such groups."""
+    return max(LARGE_GROUP, -(-rows.count() // MOST_GROUPS))
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, limit: int, least: int = 2) -> DataFrame:
+    """rows with the columns of groups (one row for each `on`), null where no group of `least` rows or more has theirs.
+
+    Groups of more than `limit` rows, of which large_limit() bounds the number, are broadcast, so that their rows stay
+    where they are; the other rows meet theirs in a join whose keys have `limit` rows at most.
+    """
+    new = [c for c in groups.columns if c not in on]
+    large = F.broadcast(groups.filter(F.col(size) > limit))
+    others = groups.filter((F.col(size) <= limit) & (F.col(size) >= least))
+    return rows.join(large, on).select(*rows.columns, *new).unionByName(rows.join(large, on, "left_anti").join(others, on, "left").select(*rows.columns, *new))

@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_fm, toxicity
+from . import exact_dedup, quality_fm, toxicity
 from .common import scratch, table
 from .decontaminate import find_items
+from .filter_audit import audit
 from .line_dedup import report
 from .packing import pack, pieces
 from .quality_rules import quality_rules
@@ -16,6 +17,7 @@ from .simhash import groups
 from .token_counts import count_tokens
 from .url_filter import judge
 from .warc import read_warc, with_revisits, write_warc
+from .whitening import whiten
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +74,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_line_dedup, op4_quality_rules, op5_decontamination, op6_quality_fm, op7_warc, op8_best_two_fit, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_line_dedup, op4_quality_rules, op5_decontamination, op6_quality_fm, op7_warc, op8_best_two_fit, op9_toxicity, op10_simhash, op11_whitening, op12_filter_audit, op13_exact_dedup)}

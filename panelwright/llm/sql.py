@@ -1,6 +1,7 @@
 """DuckDB SQL for the operators' queries that SQL can express.
 
-The others need a tokenizer (1, 8), a fitted model (6, 9), a hash that the engine lacks (10) or MinHash candidates (3):
+The others need a tokenizer (1, 8), a fitted model (6, 9), a hash that the engine lacks (10), MinHash candidates (3) or
+eigenvectors (11):
 tests hold them against brute force or held-out rows.
 """
 
@@ -42,5 +43,25 @@ b AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >>
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < largest THEN largest END AS refers_to FROM p JOIN g ON p.h = g.h JOIN b ON p.h = b.h"""
 
 
+OP12 = r"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id AS of, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM t LEFT JOIN l ON doc_id = of),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+k AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o, concat(chr(64 + a.i), chr(64 + b.i), chr(64 + c.i), chr(64 + d.i), chr(64 + e.i)) AS filter_order FROM k a, k b, k c, k d, k e
+    WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT part, filter_order, o, fails, n, good, toxic, coalesce(list_position([fails[o[1]], fails[o[2]], fails[o[3]], fails[o[4]], fails[o[5]]], true), 6) AS gone FROM m, o),
+r AS (SELECT part, filter_order, i AS step, o[i] AS f, sum(CASE WHEN gone > i THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = i THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone < i AND fails[o[i]] THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails[o[i]] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN gone = i THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = i THEN toxic ELSE 0 END) AS toxic_lost
+    FROM s, k GROUP BY part, filter_order, o, i)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+
+OP13 = r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(g.t) AS text_sha256 FROM t JOIN g ON t.t = g.t"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2, "op4_quality_rules": OP4, "op5_decontamination": OP5, "op7_warc": OP7}
+    return {"op2_url_filter": OP2, "op4_quality_rules": OP4, "op5_decontamination": OP5, "op7_warc": OP7, "op12_filter_audit": OP12, "op13_exact_dedup": OP13}
