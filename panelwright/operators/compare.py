@@ -26,19 +26,50 @@ def pairs(a: DataFrame, b: DataFrame, columns: dict[str, str], keys: list[str],
     return left.join(right, [*keys, "char"]).dropna(subset=["x", "y"])
 
 
-def places(df: DataFrame, by: list[str], col: str) -> DataFrame:
+#: Different values between two splitters of a group on average, and splitters of a group at most.
+DEPTH, SPLITTERS = 4096, 1000
+
+
+def splitters(counts: DataFrame, by: list[str], depth: int = DEPTH) -> DataFrame:
+    """(by, _cuts): sorted values that cut each group's different values into about equal parts.
+
+    A value is taken by its hash, so that every computation takes the same ones; groups of few values have none.
+    """
+    sizes = counts.groupBy(*by).agg(F.count("*").alias("_d"))
+    share = F.least(F.lit(1.0) / depth, F.lit(float(SPLITTERS)) / F.col("_d"))
+    drawn = F.pmod(F.xxhash64(*by, "_v"), F.lit(1 << 40)) < share * (1 << 40)
+    return _met(counts, sizes, by).groupBy(*by).agg(F.sort_array(F.collect_list(F.when(drawn, F.col("_v")))).alias("_cuts"))
+
+
+def _met(rows: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+    """rows with their group's statistics; where the group is the whole table, they are one row."""
+    if by:
+        return rows.join(stats, by)
+    return rows.withColumn("_one", F.lit(0)).join(F.broadcast(stats.withColumn("_one", F.lit(0))), "_one").drop("_one")
+
+
+def places(df: DataFrame, by: list[str], col: str, depth: int = DEPTH) -> DataFrame:
     """(by, _v, n, below): each different value of a group, its rows, and the rows of the group with smaller values.
 
-    Values are counted first and dealt to buckets by their size (sixteen to a doubling), which are placed one after
-    the other; inside a bucket values are sorted. So a group of any size is spread over many tasks.
+    Values are counted first and dealt to ranges between splitters, which are sampled from the group's own values, so
+    that ranges are about equally deep, however narrow the column; ranges are placed by their counted rows, and inside one
+    values are sorted. So a group of any size is spread over many tasks. Infinities are values like others, NaN comes last.
     """
-    v = F.col("_v")
-    bucket = F.when(v == 0, 0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * 16) + 20_000))
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("n")).withColumn("_bucket", bucket)
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    cuts, v = F.col("_cuts"), F.col("_v")
+
+    def halved(at, _):  # a step of binary search: how many splitters are less
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        less = (at["lo"] < at["hi"]) & (F.get(cuts, mid) < v)
+        return F.struct(F.when(less, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(less | (at["lo"] >= at["hi"]), at["hi"]).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(cuts).cast("long"))))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halved)["lo"]
+    dealt = _met(counts, splitters(counts, by, depth), by).withColumn("_bucket", F.when(F.size(cuts) == 0, 0).otherwise(found)).drop("_cuts")
     start, inside = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket"), Window.partitionBy(*by, "_bucket").orderBy("_v")
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.groupBy(*by, "_bucket").agg(F.sum("n").alias("_s")).withColumn("_offset", before("_s", start)).drop("_s")
-    placed = counts.withColumn("_below", before("n", inside)).join(offsets, [*by, "_bucket"])
+    offsets = dealt.groupBy(*by, "_bucket").agg(F.sum("n").alias("_s")).withColumn("_offset", before("_s", start)).drop("_s")
+    placed = dealt.withColumn("_below", before("n", inside)).join(offsets, [*by, "_bucket"])
     return placed.select(*by, "_v", "n", (F.col("_offset") + F.col("_below")).alias("below"))
 
 
@@ -56,12 +87,13 @@ def quantiles(df: DataFrame, by: list[str], col: str, qs: dict[str, float]) -> D
     """(by, names of qs): exact quantiles by linear interpolation, for groups of any size."""
     at = places(df, by, col)
     sizes = at.groupBy(*by).agg(F.sum("n").alias("_all"))
-    near = at.join(sizes, by)
+    near = _met(at, sizes, by)
     place = {name: (F.col("_all") - 1) * F.lit(q) for name, q in qs.items()}
     has = lambda x: (F.col("below") <= x) & (x < F.col("below") + F.col("n"))
     ends = {k: v for name, p in place.items() for k, v in ((f"_l_{name}", F.max(F.when(has(F.floor(p)), F.col("_v")))), (f"_h_{name}", F.max(F.when(has(F.ceil(p)), F.col("_v")))))}
     got = near.groupBy(*by, "_all").agg(*(v.alias(k) for k, v in ends.items()))
-    mixed = {name: F.col(f"_l_{name}") + (F.col(f"_h_{name}") - F.col(f"_l_{name}")) * (p - F.floor(p)) for name, p in place.items()}
+    # equal ends need no mean, which infinite ones have none of
+    mixed = {name: F.when(F.col(f"_l_{name}") == F.col(f"_h_{name}"), F.col(f"_l_{name}")).otherwise(F.col(f"_l_{name}") + (F.col(f"_h_{name}") - F.col(f"_l_{name}")) * (p - F.floor(p))) for name, p in place.items()}
     return got.select(*by, *(v.alias(k) for k, v in mixed.items()))
 
 

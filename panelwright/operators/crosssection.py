@@ -6,10 +6,10 @@ group is one row, where a window would gather it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-from .windows import average_rank
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 STATS = {"mean": F.avg, "median": F.median, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "std": F.stddev_samp}
 
@@ -38,21 +38,101 @@ def demean(df: DataFrame, by: list[str], value: str | list[str], stat: str = "me
     return stats.withColumns({o: F.col(v) - F.col(m) for v, o, m in zip(values, outs, marks, strict=True)}).drop(*marks)
 
 
-def winsorize(df: DataFrame, cols: list[str], by: list[str], lower: float | None = 0.01, upper: float | None = 0.99, min_obs: int = 1) -> DataFrame:
-    """Values drawn to their cross-section's exact quantiles, by linear interpolation; a None bound leaves that side."""
-    bounds = [b for b in (lower, upper) if b is not None]
-    q = df.groupBy(*by).agg(*(x for c in cols for x in (F.percentile(c, F.array(*map(F.lit, bounds))).alias(f"_q_{c}"), F.count(c).alias(f"_n_{c}"))))
-    at = back(df, q, by)
+def in_long_form(df: DataFrame, cols: list[str], by: list[str], steps: list[Callable[[DataFrame], DataFrame]], carried: list[str] = ()) -> DataFrame:
+    """df with cols replaced by what the steps make of them, all columns at once and for one exchange, by cross-section.
+
+    A row becomes one narrow row for each column: by and carried columns, _c (the column's place in cols) and _v, which
+    steps replace by windows over (by, _c); one aggregation makes rows of them again. Steps need no further exchange as
+    long as their groups are parts of a cross-section, and hold no buffer of values: windows spill.
+    """
+    if not cols:
+        return df
+    rest = [c for c in df.columns if c not in cols and c not in by]
+    keys = [*by, *(c for c in carried if c not in by)]
+    dealt = df.repartition(*by).withColumn("_row", F.monotonically_increasing_id())
+    whole = F.struct(*rest) if rest else F.struct(F.lit(0).alias("_none"))
+    each = F.array(*(F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"), (F.when(F.lit(i == 0), whole)).alias("_rest")) for i, c in enumerate(cols)))
+    long = dealt.select("_row", *keys, F.explode(each).alias("_e")).select("_row", *keys, "_e.*")
+    for step in steps:
+        long = step(long)
+    wide = long.groupBy(*by, "_row").agg(F.first("_rest", ignorenulls=True).alias("_rest"), F.array_sort(F.collect_list(F.struct("_c", "_v"))).alias("_vs"))
+    place = {c: i for i, c in enumerate(cols)}
+    return wide.select(*(F.col("_vs")[place[c]]["_v"].alias(c) if c in place else F.col(c) if c in by else F.col(f"_rest.{c}").alias(c) for c in df.columns))
+
+
+def with_quantiles(long: DataFrame, by: list[str], qs: dict[str, float]) -> DataFrame:
+    """Rows in long form with exact quantiles, by linear interpolation, of each column's values over by, and _n, their number."""
+    group = Window.partitionBy(*by, "_c")
+    order = group.orderBy(F.col("_v").asc_nulls_last())
+    placed = long.select("*", (F.row_number().over(order) - 1).alias("_place"), F.count("_v").over(group).alias("_n"))
+    at = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in qs.items()}
+    met = lambda x: F.max(F.when((F.col("_place") == x) & F.col("_v").isNotNull(), F.col("_v"))).over(group)
+    ends = placed.select("*", *(met(f(x)).alias(f"_{k}_{name}") for name, x in at.items() for k, f in (("l", F.floor), ("h", F.ceil))))
+    mixed = {name: F.when(F.col(f"_l_{name}") == F.col(f"_h_{name}"), F.col(f"_l_{name}")).otherwise(F.col(f"_l_{name}") + (F.col(f"_h_{name}") - F.col(f"_l_{name}")) * (x - F.floor(x))) for name, x in at.items()}
+    return ends.select(*long.columns, "_n", *(v.alias(name) for name, v in mixed.items()))
+
+
+def drawn_in(by: list[str], lower: float | list | None, upper: float | list | None, min_obs: int = 1) -> Callable:
+    """A step that draws values to their quantiles. Lists have a bound, or None, for each column."""
+
+    def step(long: DataFrame) -> DataFrame:
+        tails = {"_lower": lower, "_upper": upper}
+        qs = {f"{k}{q}".replace(".", "_"): q for k, v in tails.items() for q in {x for x in (v if isinstance(v, list) else [v]) if x is not None}}
+        out = with_quantiles(long, by, qs)
+
+        def bound(k: str):
+            v = tails[k]
+            name = lambda q: F.col(f"{k}{q}".replace(".", "_"))
+            if not isinstance(v, list):
+                return None if v is None else name(v)
+            own = F.lit(None).cast("double")
+            for q in {x for x in v if x is not None}:
+                own = F.when(F.col("_c").isin([i for i, x in enumerate(v) if x == q]), name(q)).otherwise(own)
+            return own
+
+        low, high, value = bound("_lower"), bound("_upper"), F.col("_v")
+        for f, end in ((F.greatest, low), (F.least, high)):
+            if end is not None:
+                value = f(value, F.coalesce(end, value))
+        drawn = F.when(F.col("_v").isNotNull() & (F.col("_n") >= min_obs), value).otherwise(F.col("_v"))
+        return out.select(*(drawn.alias("_v") if c == "_v" else F.col(c) for c in long.columns))
+
+    return step
+
+
+def filled_in(levels: list[list[str]], null_group: bool = True) -> Callable:
+    """A step that gives missing values the median of the first level that has one; all medians are of the values before it."""
+
+    def step(long: DataFrame) -> DataFrame:
+        out, medians = long, []
+        for i, by in enumerate(levels):
+            out = with_quantiles(out, by, {f"_median{i}": 0.5}).drop("_n")
+            known = F.lit(True)
+            for c in by if not null_group else ():
+                known = known & F.col(c).isNotNull()
+            medians.append(F.when(known, F.col(f"_median{i}")))
+        return out.select(*(F.coalesce("_v", *medians).alias("_v") if c == "_v" else F.col(c) for c in long.columns))
+
+    return step
+
+
+def ranked_in(by: list[str], fill: float | None = 0.0) -> Callable:
+    """A step that makes average ranks on [-1, 1] of values; a single one is 0, a missing one `fill`."""
+
+    def step(long: DataFrame) -> DataFrame:
+        group = Window.partitionBy(*by, "_c")
+        ties = Window.partitionBy(*by, "_c", "_v")
+        rank, n = F.rank().over(group.orderBy(F.col("_v").asc_nulls_last())), F.count("_v").over(group)
+        placed = long.select("*", (rank + (F.count(F.lit(1)).over(ties) - 1) / 2).alias("_rank"), n.alias("_n"))
+        unit = F.when(F.col("_v").isNull(), F.lit(fill).cast("double")).when(F.col("_n") > 1, 2 * (F.col("_rank") - 1) / (F.col("_n") - 1) - 1).otherwise(0.0)
+        return placed.select(*(unit.alias("_v") if c == "_v" else F.col(c) for c in long.columns))
+
+    return step
 
-    def clipped(c: str) -> Column:
-        v = F.col(c)
-        if lower is not None:
-            v = F.greatest(v, F.col(f"_q_{c}")[0])
-        if upper is not None:
-            v = F.least(v, F.col(f"_q_{c}")[len(bounds) - 1])
-        return F.when(F.col(c).isNotNull() & (F.col(f"_n_{c}") >= min_obs), v).otherwise(F.col(c))
 
-    return at.withColumns({c: clipped(c) for c in cols}).drop(*(f"_{k}_{c}" for c in cols for k in "qn"))
+def winsorize(df: DataFrame, cols: list[str], by: list[str], lower: float | None = 0.01, upper: float | None = 0.99, min_obs: int = 1) -> DataFrame:
+    """Values drawn to their cross-section's exact quantiles, by linear interpolation; a None bound leaves that side."""
+    return in_long_form(df, cols, by, [drawn_in(by, lower, upper, min_obs)])
 
 
 #: Features of which only the upper tail is drawn in, and those of which both are: fixed values.
@@ -67,34 +147,30 @@ BOTH_TAILS = """beta ep fgr5yr mom12m mom1m mom6m mom36m indmom sue agr maxret c
 
 def winsorize_by_kind(df: DataFrame, by: list[str], tail: float = 0.01) -> DataFrame:
     """df with the features of either list, whatever their case, drawn in; flags and other columns stay."""
-    columns = lambda names: [c for c in df.columns if c.lower() in {n.lower() for n in names}]
-    upper, both = columns(UPPER_TAIL), columns(BOTH_TAILS)
-    out = winsorize(df, upper, by, None, 1 - tail) if upper else df
-    return winsorize(out, both, by, tail, 1 - tail) if both else out
+    either = {n.lower() for n in UPPER_TAIL}, {n.lower() for n in BOTH_TAILS}
+    cols = [c for c in df.columns if c.lower() in either[0] | either[1]]
+    lower = [tail if c.lower() in either[1] else None for c in cols]
+    return in_long_form(df, cols, by, [drawn_in(by, lower, 1 - tail)])
 
 
 def impute_median(df: DataFrame, cols: list[str], levels: list[list[str]], suffix: str | None = None, null_group: bool = True) -> DataFrame:
     """Missing values take the median of the first level that has one; in place, or in new columns with a suffix."""
-    out, fills = df, {c: [] for c in cols}
-    for n, by in enumerate(levels):
-        source = df if null_group else df.dropna(subset=by)
-        out = back(out, source.groupBy(*by).agg(*(F.median(c).alias(f"_m{n}_{c}") for c in cols)), by)
-        for c in cols:
-            fills[c].append(f"_m{n}_{c}")
-    filled = out.withColumns({c + (suffix or ""): F.coalesce(c, *fills[c]) for c in cols})
-    return filled.drop(*(m for ms in fills.values() for m in ms))
+    by = [c for c in levels[0] if all(c in level for level in levels)]
+    carried = sorted({c for level in levels for c in level} - {*by})
+    new = [c + (suffix or "") for c in cols]
+    copied = df.withColumns(dict(zip(new, map(F.col, cols), strict=True))) if suffix else df
+    return in_long_form(copied, new, by, [filled_in(levels, null_group)], carried)
 
 
 def rank_unit(df: DataFrame, cols: list[str], by: list[str], fill: float | None = 0.0) -> DataFrame:
     """Average ranks of each cross-section on [-1, 1]; a single value is 0, a missing one `fill`."""
-    from pyspark.sql import Window
+    return in_long_form(df, cols, by, [ranked_in(by, fill)])
 
-    def unit(c: str) -> Column:
-        n = F.count(c).over(Window.partitionBy(*by))
-        r = F.when(n > 1, 2 * (average_rank(c, by) - 1) / F.greatest(n - 1, F.lit(1)) - 1).when(F.col(c).isNotNull(), 0.0)
-        return r if fill is None else F.coalesce(r, F.lit(fill))
 
-    return df.select(*(unit(c).alias(c) if c in cols else F.col(c) for c in df.columns))
+def standardized(df: DataFrame, cols: list[str], by: list[str], levels: list[list[str]], lower: float = 0.01, upper: float = 0.99) -> DataFrame:
+    """Winsorized, imputed by the medians of levels, which are parts of cross-sections, and ranked: one pass for all columns."""
+    carried = sorted({c for level in levels for c in level} - {*by})
+    return in_long_form(df, cols, by, [drawn_in(by, lower, upper), filled_in(levels), ranked_in(by)], carried)
 
 
 def one_hot(df: DataFrame, col: str, codes: list, prefix: str) -> DataFrame:

@@ -39,15 +39,16 @@ def primary_links(df: DataFrame, keys: list[str], prim: str = "linkprim", target
 def with_codes(months: DataFrame, reports: DataFrame, mode: str = "company", key: str = "permno", month: str = "signal_yyyymm", own: str = "siccd") -> DataFrame:
     """months with sic and sic2. reports: (key, month, sic, sic2) of the companies' reports that are live in a month.
 
-    "company": both from the report. "history": sic is the month's own code, and sic2 the report's, or where there is none the own code's.
+    "company": both from the report, but for a sic2 that months have. "history": sic is the month's own code, and sic2 the report's, or where there is none the own code's.
     """
     if mode not in ("company", "history"):
         raise ValueError(f"no mode {mode}")
     r = reports.select(key, month, F.col("sic").alias("_sic"), F.col("sic2").alias("_sic2")).distinct()
-    j = months.drop("sic", "sic2").join(r, [key, month], "left")
+    kept = F.col("sic2") if mode == "company" and "sic2" in months.columns else None
+    j = (months.drop("sic") if kept is not None else months.drop("sic", "sic2")).join(r, [key, month], "left")
     two = F.substring(F.lpad(F.col(own).cast("int").cast("string"), 4, "0"), 1, 2)
-    sic, sic2 = (F.col("_sic"), F.col("_sic2")) if mode == "company" else (F.col(own), F.coalesce("_sic2", two))
-    return j.select(*(c for c in j.columns if c not in ("_sic", "_sic2", own)), sic.alias("sic"), sic2.alias("sic2"))
+    sic, sic2 = (F.col("_sic"), F.col("_sic2") if kept is None else kept) if mode == "company" else (F.col(own), F.coalesce("_sic2", two))
+    return j.select(*(c for c in j.columns if c not in ("_sic", "_sic2", "sic2", own)), sic.alias("sic"), sic2.alias("sic2"))
 
 
 def range_code(df: DataFrame, ranges: DataFrame, code: str, low: str, high: str, label: str, order: str, out: str) -> DataFrame:

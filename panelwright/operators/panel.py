@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import finite
-from .crosssection import impute_median, rank_unit, winsorize
+from .crosssection import standardized
 
 #: Columns that are never features.
 IDS = {"permno", "permco", "gvkey", "date", "datadate", "signal_yyyymm", "target_yyyymm", "sic", "sic2", "fyear", "exchcd", "shrcd", "industry", "ret", "dlret", "dlstcd", "retadj", "rf", "excess_return"}
@@ -46,15 +46,22 @@ def require(df: DataFrame, names: list[str], aliases: dict | None = None) -> Dat
     return df.dropna(subset=found)
 
 
-def merge_features(dfs: list[DataFrame], keys: list[str], meta: tuple = ("sic",)) -> DataFrame:
-    """One row a key with all frames' columns; of a column in several frames, and of meta, the first frame's value counts.
+def merge_features(dfs: list[DataFrame], keys: list[str]) -> DataFrame:
+    """One row a key with all frames' columns; of a column in several frames the first frame's value counts.
 
-    A union and one aggregation, whatever the number of frames.
+    A union and one aggregation, whatever the number of frames: a frame's columns go as one value. Of a frame's several
+    rows of a key one counts.
     """
-    tagged = [d.withColumn("_p", F.lit(i)) for i, d in enumerate(dfs)]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    cols = [c for c in union.columns if c not in (*keys, "_p")]
-    return union.groupBy(*keys).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_p"))).alias(c) for c in cols))
+    own = [[c for c in d.columns if c not in keys] for d in dfs]
+    packed = [d.select(*keys, F.struct(*cols).alias(f"_f{i}")) for i, (d, cols) in enumerate(zip(dfs, own, strict=True)) if cols]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
+    frames = [c for c in union.columns if c not in keys]
+    whole = union.groupBy(*keys).agg(*(F.first(c, ignorenulls=True).alias(c) for c in frames))
+    at: dict[str, list] = {}
+    for i, cols in enumerate(own):
+        for c in cols:
+            at.setdefault(c, []).append(F.col(f"_f{i}.{c}"))
+    return whole.select(*keys, *((F.coalesce(*cs) if len(cs) > 1 else cs[0]).alias(c) for c, cs in at.items()))
 
 
 def month_universe(dfs: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -119,7 +126,7 @@ def with_outcomes(signals: DataFrame, returns: DataFrame, key: str = "permno", m
 def research_panel(df: DataFrame, cols: list[str], month: str = "signal_yyyymm", industry: str = "industry", target: str = "target_yyyymm", start: int | None = None, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
     """Window, finite values, winsorized by month, imputed by industry and month, then by month, ranked to [-1, 1]."""
     clean = within(df, target, start).withColumns({c: finite(c) for c in cols})
-    return rank_unit(impute_median(winsorize(clean, cols, [month], lower, upper), cols, [[month, industry], [month]]), cols, [month])
+    return standardized(clean, cols, [month], [[month, industry], [month]], lower, upper)
 
 
 def macro_predictors(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,14 +59,21 @@ def streak(col: str, key: str, order: str, most: int = 8) -> Column:
 def perpetual_inventory(df: DataFrame, col: str, key: str, order: str, out: str, first: float = 0.25, keep: float = 0.85) -> DataFrame:
     """Stock of past flows: the first flow over `first`, later keep * stock + flow; a NULL flow leaves stock and row without.
 
-    stock_i = keep^i (x_0 / first + sum over later j of x_j keep^-j), with i the number of flows so far: a running sum.
-    The powers stay finite for 4,000 flows of one entity.
+    Flows are numbered and cut into blocks of so many that keep ** block is about 1e-200. In a block the stock is keep^i
+    times a running sum of x_j keep^-j, whose powers stay finite; to it comes what the block before ended with, carried on.
+    What lies further back weighs less than a double shows. So histories of any length take two windows.
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(col).over(w) - 1
-    counted = df.withColumn("_n", n)
-    part = F.when(F.col("_n") == 0, F.col(col) / first).otherwise(F.col(col) * F.pow(F.lit(1 / keep), F.col("_n").cast("double")))
-    return counted.withColumn(out, F.when(F.col(col).isNotNull(), F.sum(part).over(w) * F.pow(F.lit(keep), F.col("_n").cast("double")))).drop("_n")
+    block = max(1, int(200 / -math.log10(keep))) if 0 < keep < 1 else 1 << 40
+    whole = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = df.withColumn("_n", F.count(col).over(whole) - 1)
+    placed = counted.withColumn("_block", F.floor(F.col("_n") / block)).withColumn("_i", (F.col("_n") % block).cast("double"))
+    part = F.when(F.col("_n") == 0, F.col(col) / first).otherwise(F.col(col)) * F.pow(F.lit(1 / keep), F.col("_i"))
+    inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumn("_local", F.when(F.col(col).isNotNull(), F.sum(part).over(inside) * F.pow(F.lit(keep), F.col("_i"))))
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.when(F.col("_i") == block - 1, F.col("_local"))
+    carried = F.coalesce(F.last(end, ignorenulls=True).over(before), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_i") + 1)
+    return local.withColumn(out, F.col("_local") + carried).drop("_n", "_block", "_i", "_local")
 
 
 def standardize(df: DataFrame, cols: list[str], order: str, mode: str = "expanding", min_periods: int = 60, by: str | None = None) -> DataFrame:

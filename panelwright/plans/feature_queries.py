@@ -37,10 +37,11 @@ def _adjusted_sql(members: str | None = None) -> str:
     return f"SELECT *, sum(pow(sale / nullif(total, 0), 2)) OVER (PARTITION BY sic2, fyear) AS herf FROM ({first})"
 
 
-def _scores_sql() -> str:
+def _scores_sql(members: str | None = None) -> str:
+    only = f" WHERE (gvkey, datadate) IN ({members})" if members else ""
     raw = ", ".join(f"{e} AS r_{n}" for n, e in f.SCORES.items())
     above = ", ".join(f"CASE WHEN r_{n} > median(r_{n}) OVER w THEN 1 ELSE 0 END AS {n}" for n in f.SCORES)
-    return f"SELECT gvkey, datadate, fyear, sic2, {above}, CASE WHEN oancf > ni THEN 1 ELSE 0 END AS m3 FROM (SELECT gvkey, datadate, fyear, sic2, oancf, ni, {raw} FROM ({ANNUAL_WIDE})) WINDOW w AS (PARTITION BY fyear, sic2)"
+    return f"SELECT gvkey, datadate, fyear, sic2, {above}, CASE WHEN oancf > ni THEN 1 ELSE 0 END AS m3 FROM (SELECT gvkey, datadate, fyear, sic2, oancf, ni, {raw} FROM ({ANNUAL_WIDE})){only} WINDOW w AS (PARTITION BY fyear, sic2)"
 
 
 def _quarterly_sql() -> str:
@@ -54,7 +55,7 @@ def _quarterly_sql() -> str:
     return f"SELECT *, {low('roavol', 'd7', 'm7')}, {low('sgrvol', 'd8', 'm8')} FROM ({third})"
 
 
-MONTHLY_SQL = """SELECT *, avg(mom12m) OVER (PARTITION BY industry, m) AS indmom FROM (SELECT permno, m, industry, ret,
+_MONTHLY = """SELECT *, avg(mom12m) OVER (PARTITION BY industry, m) AS indmom FROM (SELECT permno, m, industry, ret,
     CASE WHEN lag(abs(prc) * shrout) OVER w > 0 THEN ln(lag(abs(prc) * shrout) OVER w) END AS mvel1, lag(ret) OVER w AS mom1m,
     CASE WHEN count(ret) OVER w2_6 = 5 THEN product(1 + ret) OVER w2_6 - 1 END AS mom6m,
     CASE WHEN count(ret) OVER w2_12 = 11 THEN product(1 + ret) OVER w2_12 - 1 END AS mom12m,
@@ -64,8 +65,9 @@ MONTHLY_SQL = """SELECT *, avg(mom12m) OVER (PARTITION BY industry, m) AS indmom
     lag(ret, 11) OVER w AS seas1a,
     CASE WHEN lag(vol, 2) OVER w * abs(lag(prc, 2) OVER w) > 0 THEN ln(lag(vol, 2) OVER w * abs(lag(prc, 2) OVER w)) END AS dolvol,
     avg(vol) OVER w1_3 / nullif(shrout, 0) AS turn
-    FROM (SELECT s.*, CAST(n.siccd / 100 AS BIGINT) AS industry_x, n.siccd % 10 AS industry FROM {security_month} s JOIN {names} n ON s.permno = n.permno AND n.nameendt IS NULL WHERE ret IS NOT NULL)
+    FROM (SOURCE)
     WINDOW w AS (PARTITION BY permno ORDER BY m), """ + ", ".join(f"w{a}_{b} AS (PARTITION BY permno ORDER BY m ROWS BETWEEN {b} PRECEDING AND {a} PRECEDING)" for a, b in ((1, 3), (1, 6), (7, 12), (2, 6), (2, 12), (13, 36), (13, 60))) + ")"
+MONTHLY_SQL = _MONTHLY.replace("SOURCE", "SELECT s.*, n.siccd % 10 AS industry FROM {security_month} s JOIN {names} n ON s.permno = n.permno AND n.nameendt IS NULL WHERE ret IS NOT NULL")
 
 DAILY_SQL = """SELECT *, (zeros + (1 / nullif(turns, 0)) / 480000) * 21 / ndays AS zerotrade FROM (SELECT permno, year(date) * 12 + month(date) - 1 AS m,
     max(ret) AS maxret, stddev_samp(ret) AS rvar_mean, avg((askhi - bidlo) / nullif((askhi + bidlo) / 2, 0)) AS baspread,
@@ -85,7 +87,7 @@ def _weekly(v):
 
 
 WEEKLY_SQL = """SELECT permno, week, ret, avg(ret) OVER (PARTITION BY week) AS mkt FROM (SELECT permno, date + CAST(4 - (isodow(date) - 1) AS INTEGER) AS week,
-    exp(sum(ln(1 + ret))) - 1 AS ret FROM {security_day} GROUP BY 1, 2)"""
+    product(1 + ret) - 1 AS ret FROM {security_day} GROUP BY 1, 2)"""
 SPREAD = """SELECT w.*, unnest(range(CASE WHEN day(week) = 1 THEN year(week) * 12 + month(week) ELSE year(week) * 12 + month(week) + 1 END, year(week) * 12 + month(week) + 36)) AS m FROM (""" + WEEKLY_SQL + ") w WHERE ret IS NOT NULL"
 BETA_SQL = f"""SELECT permno, m, n_obs, sxy / nullif(sxx, 0) AS beta, pow(sxy / nullif(sxx, 0), 2) AS betasq, sqrt(greatest(syy - sxy * sxy / nullif(sxx, 0), 0) / (n_obs - 1)) AS idiovol
     FROM (SELECT permno, m, count(*) AS n_obs, regr_sxy(ret, mkt) AS sxy, regr_sxx(ret, mkt) AS sxx, regr_syy(ret, mkt) AS syy FROM ({SPREAD}) GROUP BY 1, 2) JOIN (SELECT permno, m FROM {{security_month}}) USING (permno, m) WHERE n_obs >= 52"""
@@ -143,11 +145,13 @@ _BACK30 = "CASE WHEN isodow(rdq) > 5 THEN rdq + CAST(8 - isodow(rdq) AS INTEGER)
 EVENT_SQL = f"""SELECT a.permno, a.rdq, a.ear, (a.v1 - b.v0) / nullif(b.v0, 0) AS aeavol FROM
     (SELECT e.permno, e.rdq, sum(d.ret) AS ear, avg(d.vol) AS v1 FROM ev e JOIN {{security_day}} d ON d.permno = e.permno AND d.date BETWEEN e.lo1 AND e.hi1 GROUP BY 1, 2) a
     LEFT JOIN (SELECT e.permno, e.rdq, avg(d.vol) AS v0 FROM ev e JOIN {{security_day}} d ON d.permno = e.permno AND d.date BETWEEN e.lo30 AND e.hi10 GROUP BY 1, 2) b ON a.permno = b.permno AND a.rdq = b.rdq"""
-EVENT_SQL = EVENT_SQL.replace(" ev e", f""" (SELECT permno, rdq,
+_EVENTS = f""" (SELECT permno, rdq,
     CASE isodow(rdq) WHEN 1 THEN rdq - 3 WHEN 7 THEN rdq - 2 WHEN 6 THEN rdq - 1 ELSE rdq - 1 END AS lo1,
     CASE isodow(rdq) WHEN 5 THEN rdq + 3 WHEN 6 THEN rdq + 2 WHEN 7 THEN rdq + 1 ELSE rdq + 1 END AS hi1,
     ({_BACK30}) - 42 AS lo30, ({_BACK30}) - 14 AS hi10
-    FROM (SELECT DISTINCT l.permno, q.rdq FROM {{fundamentals_quarter}} q JOIN {{link}} l ON q.gvkey = l.gvkey AND l.linkprim = 'P' WHERE q.rdq IS NOT NULL)) e""")
+    FROM (SELECT DISTINCT l.permno, q.rdq FROM {{fundamentals_quarter}} q JOIN {{link}} l ON q.gvkey = l.gvkey AND l.linkprim = 'P' WHERE q.rdq IS NOT NULL)) e"""
+_EVENT = EVENT_SQL
+EVENT_SQL = _EVENT.replace(" ev e", _EVENTS)
 
 REVISION_SQL = """SELECT permno, m, re FROM (SELECT permno, year(statpers) * 12 + month(statpers) - 1 AS m, statpers, fpedats, n,
     CASE WHEN n = 4 THEN avg(r) OVER p3 WHEN n = 5 THEN avg(r) OVER p4 WHEN n = 6 THEN avg(r) OVER p5 WHEN n >= 7 THEN avg(r) OVER p6 END AS re
@@ -195,8 +199,7 @@ BM_IA_SQL = f"""SELECT permno, signal_yyyymm, book_to_market, book_to_market - a
 
 
 def _op_profit(v):
-    e = f.OPERATING.replace("ceq_1", "ceq")
-    return v("fundamentals_year").filter("ceq > 0 AND (cogs IS NOT NULL OR xsga IS NOT NULL OR xint IS NOT NULL)").select("gvkey", "datadate", F.expr(e.replace(" cogs ", " coalesce(cogs, 0) ")).alias("operating_profitability")).dropna()
+    return f.operating_profitability(v("fundamentals_year"))
 
 
 def _ms(v):
@@ -204,6 +207,10 @@ def _ms(v):
     return f.mohanram_score(a, q)
 
 
+def _ms_sql(members: str | None = None) -> str:
+    return MS_SQL.replace(_scores_sql(), _scores_sql(members))
+
+
 MS_SQL = f"""SELECT a.gvkey, a.datadate, a.fyear, m1 + m2 + m3 + m4 + m5 + m6 + m7 + m8 AS ms FROM ({_scores_sql()}) a LEFT JOIN
     (SELECT gvkey, fyearq, max_by(m7, fqtr) AS m7, max_by(m8, fqtr) AS m8 FROM ({_quarterly_sql()}) GROUP BY 1, 2) q ON a.gvkey = q.gvkey AND a.fyear = q.fyearq"""
 

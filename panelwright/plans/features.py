@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.crosssection import demean, group_stat
+from ..operators.crosssection import back, demean, group_stat
 from ..operators.windows import lagged, perpetual_inventory, rolling_std, streak
 
 
@@ -197,16 +197,50 @@ def annual_scores(fund: DataFrame, by: tuple = ("fyear", "sic2"), key: str = "gv
     """m1 to m6: 1 above the industry's median of the year; m3 compares cash flow and income."""
     f = evaluate(fund, "annual", key, date, [], {**SCORES, "m3": "oancf > ni"}, [key, date, *by])
     f = group_stat(f, list(by), [f"_{m}" for m in SCORES], "median", [f"_md_{m}" for m in SCORES])
-    above = {m: F.coalesce(F.col(f"_{m}") > F.col(f"_md_{m}"), F.lit(False)).cast("int") for m in SCORES} | {"m3": F.coalesce("_m3", F.lit(False)).cast("int")}
+    above = _above()
     return f.select(key, date, *by, *(above[m].alias(m) for m in sorted(above)))
 
 
+def _above() -> dict:
+    """m1 to m6 of rows with the scores, and their medians as _md_ columns."""
+    return {m: F.coalesce(F.col(f"_{m}") > F.col(f"_md_{m}"), F.lit(False)).cast("int") for m in SCORES} | {"m3": F.coalesce("_m3", F.lit(False)).cast("int")}
+
+
+def annual_panel(fund: DataFrame, names: list[str], scores: bool = False, members: DataFrame | None = None, by: tuple = ("fyear", "sic2"), key: str = "gvkey", date: str = "datadate") -> DataFrame:
+    """(key, date, by, names) of features of ANNUAL, of ADJUSTED, herf and orgcap, and with scores m1 to m6, in one pass.
+
+    One projection over one pass of lags gives all that names need; means, medians and sums of industries are one
+    aggregation of it, over the members (key, date) where these are given, as in industry_adjusted(). orgcap needs fund's cpi.
+    """
+    adjusted, plain = [n for n in names if n in ADJUSTED], [n for n in names if n in ANNUAL]
+    extra = {n: (ANNUAL[of][0] if of in ANNUAL else of) for n, (of, _) in ADJUSTED.items() if n in adjusted}
+    extra |= {"sales": "sale"} if "herf" in names else {}
+    extra |= {**SCORES, "m3": "oancf > ni"} if scores else {}
+    if "orgcap" in names:
+        fund = perpetual_inventory(fund.withColumn("flow", F.try_divide("xsga", "cpi")), "flow", key, date, "stock")
+        extra["orgcap"] = ratio("stock", MEAN_AT)
+    f = evaluate(fund, "annual", key, date, plain, extra, [key, date, *by])
+    if members is not None:
+        f = f.join(members.select(key, date).distinct(), [key, date], "left_semi")
+    stats = [F.avg(f"_{n}").alias(f"_mean_{n}") for n in adjusted]
+    stats += [F.try_divide(F.sum(F.col("_sales") * F.col("_sales")), F.sum("_sales") * F.sum("_sales")).alias("herf")] if "herf" in names else []
+    stats += [F.median(f"_{m}").alias(f"_md_{m}") for m in SCORES] if scores else []
+    at = back(f, f.groupBy(*by).agg(*stats), list(by)) if stats else f
+    made = {n: F.when(F.col("n_row") >= ADJUSTED[n][1], F.col(f"_{n}") - F.col(f"_mean_{n}")) for n in adjusted} | ({"orgcap": F.when(F.col("n_row") > 1, F.col("_orgcap"))} if "orgcap" in names else {})
+    above = _above() if scores else {}
+    return at.select(key, date, *by, *(made.get(n, F.col(n)).alias(n) for n in names), *(above[m].alias(m) for m in sorted(above)))
+
+
+def operating_profitability(fund: DataFrame, key: str = "gvkey", date: str = "datadate") -> DataFrame:
+    """(key, date, operating_profitability): earnings before tax over the same year's equity, of reports with equity and one cost at least."""
+    told = fund.filter("ceq > 0 AND (cogs IS NOT NULL OR xsga IS NOT NULL OR xint IS NOT NULL)")
+    earned = F.col("revt") - sum((F.coalesce(c, F.lit(0.0)) for c in ("cogs", "xsga", "xint")), F.lit(0.0))
+    return told.select(key, date, F.try_divide(earned, "ceq").alias("operating_profitability")).dropna(subset=["operating_profitability"])
+
+
 def organisation_capital(fund: DataFrame, deflator, key: str = "gvkey", date: str = "datadate") -> DataFrame:
     """Stock of deflated overheads over mean assets; none for the first row."""
-    f = lagged(fund.withColumn("_flow", F.try_divide("xsga", deflator)), ["assets"], [1], key, date)
-    s = perpetual_inventory(f, "_flow", key, date, "_stock")
-    n = F.row_number().over(Window.partitionBy(key).orderBy(date))
-    return s.select(key, date, F.when(n > 1, F.try_divide("_stock", (F.col("assets") + F.col("assets_1")) / 2)).alias("orgcap"))
+    return annual_panel(fund.withColumn("cpi", F.col(deflator)), ["orgcap"], key=key, date=date).select(key, date, "orgcap")
 
 
 def quarterly_features(fund: DataFrame, key: str = "gvkey", date: str = "datadate", by: tuple = ("fyearq", "fqtr", "sic2"), keep: tuple = ("rdq",)) -> DataFrame:
@@ -219,8 +253,8 @@ def quarterly_features(fund: DataFrame, key: str = "gvkey", date: str = "datadat
     return f.select(key, date, *keep, *by, *QUARTERLY, "stdacc", "stdcf", "roavol", "sgrvol", "nincr", below("roavol", "_md7").alias("m7"), below("sgrvol", "_md8").alias("m8")) if base else f
 
 
-def mohanram_score(annual: DataFrame, quarterly: DataFrame, key: str = "gvkey", date: str = "datadate") -> DataFrame:
+def mohanram_score(annual: DataFrame, quarterly: DataFrame, key: str = "gvkey", date: str = "datadate", keep: list[str] = ()) -> DataFrame:
     """ms: m1 to m6 and, from a fiscal year's last quarter, m7 and m8; NULL if any is missing."""
     last = quarterly.groupBy(key, F.col("fyearq").alias("fyear")).agg(F.max_by("m7", "fqtr").alias("m7"), F.max_by("m8", "fqtr").alias("m8"))
     total = sum((F.col(f"m{i}") for i in range(2, 9)), F.col("m1"))
-    return annual.join(last, [key, "fyear"], "left").select(key, date, "fyear", total.alias("ms"))
+    return annual.join(last, [key, "fyear"], "left").select(key, date, "fyear", *keep, total.alias("ms"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_index
-from ..operators.crosssection import group_stat
+from ..operators.crosssection import demean, group_stat
 from ..operators.links import pick_one
 from ..operators.timing import event_window, expand_fixed
 from ..operators.windows import compound_lags
@@ -103,8 +103,8 @@ def stated_equity(reports: DataFrame) -> DataFrame:
     return reports.withColumn("book", F.col("seq") + F.coalesce("txditc", F.lit(0.0)) - preferred).filter("book > 0")
 
 
-def book_to_market(reports: DataFrame, december: DataFrame, firm: str = "permco", key: str = "permno", date: str = "datadate", book: str = "book", value: str = "value") -> DataFrame:
-    """(key, firm, date, book_to_market): the year's last report over the firm's December value of all its securities.
+def book_to_market(reports: DataFrame, december: DataFrame, firm: str = "permco", key: str = "permno", date: str = "datadate", book: str = "book", value: str = "value", keep: tuple = ()) -> DataFrame:
+    """(key, firm, date, book_to_market, keep): the year's last report over the firm's December value of all its securities.
 
     december: (key, firm, year, value) of securities. The firm's largest security carries the ratio.
     """
@@ -112,11 +112,9 @@ def book_to_market(reports: DataFrame, december: DataFrame, firm: str = "permco"
     whole = december.groupBy(firm, "year").agg(F.sum(value).alias("_value"))
     ratio = F.try_divide(F.col(book) * 1000, "_value")
     j = last.join(whole, [firm, "year"]).withColumn("book_to_market", ratio).filter("book_to_market > 0").join(december.select(key, "year", F.col(value).alias("_own")), [key, "year"], "left")
-    return pick_one(j, [key, date], [F.desc_nulls_last("_own"), "gvkey"]).select(key, firm, date, "book_to_market")
+    return pick_one(j, [key, date], [F.desc_nulls_last("_own"), "gvkey"]).select(key, firm, date, "book_to_market", *keep)
 
 
 def june_demeaned(reports: DataFrame, value: str, industry: str, stat: str = "mean", key: str = "permno") -> DataFrame:
     """A June-timed feature less its industry's mean of each month."""
-    from ..operators.crosssection import demean
-
     return demean(expand_fixed(reports, key), [industry, "signal_yyyymm"], value, stat, f"{value}_ia")

@@ -8,23 +8,23 @@ from ..functions import industry
 from ..operators import audit, compare, crosssection, links, panel, timing
 from ..sources import readers
 from . import features as f
-from . import monthly, profiles, turnover
+from . import monthly, turnover
 from .compare_queries import MODES
 from .feature_queries import ANNUAL_SQL, BM_SQL, _adjusted_sql, _december
-from .operator_queries import LINKED, _links_of, _rank_sql
+from .operator_queries import LINKED, _links_of
 from .shapes import Query
 
 
 def _schemes(v):
     codes = v("part").select((F.col("p_partkey") * 7 % 9000).alias("sic")).distinct()
-    for scheme in (5, 10, 12):
+    for scheme in sorted(industry.SCHEMES):
         codes = industry.with_scheme(codes, scheme)
     return codes
 
 
 def _scheme_sql() -> str:
     one = lambda k: f"(SELECT number FROM (VALUES {', '.join(f'({n}, {low}, {high}, {i})' for i, (n, _, low, high) in enumerate(industry.ranges(k)))}) r(number, low, high, ord) WHERE sic BETWEEN low AND high ORDER BY ord DESC LIMIT 1) AS ffi{k}"
-    return f"SELECT sic, {', '.join(map(one, (5, 10, 12)))} FROM (SELECT DISTINCT p_partkey * 7 % 9000 AS sic FROM {{part}})"
+    return f"SELECT sic, {', '.join(map(one, sorted(industry.SCHEMES)))} FROM (SELECT DISTINCT p_partkey * 7 % 9000 AS sic FROM {{part}})"
 
 
 def _live_codes(v):
@@ -97,41 +97,6 @@ def _tails_sql(columns: str, source: str) -> str:
 
 FEATURES = "SELECT permno, signal_yyyymm, target_yyyymm, industry, a AS bm, b AS mvel1, c FROM {panel_a}"
 
-_LINK_SQL = """SELECT y.gvkey, y.datadate, l.permno FROM {{fundamentals_year}} y JOIN {{link}} l ON y.gvkey = l.gvkey AND l.permno IS NOT NULL AND {rule} AND (l.linkdt IS NULL OR y.datadate >= l.linkdt) AND y.datadate <= coalesce(l.linkenddt, DATE '9999-12-31')
-    QUALIFY row_number() OVER (PARTITION BY y.gvkey, y.datadate ORDER BY CASE l.linkprim WHEN 'P' THEN 0 WHEN 'C' THEN 1 ELSE 2 END, l.permno, l.linkdt NULLS FIRST) = 1"""
-_CHOSEN = ["mvel1", "mom1m", "bm", "agr", "chempia"]
-
-
-def _profile_sql(rule: str, start: str, shares: str, after: bool) -> str:
-    linked = _LINK_SQL.format(rule=rule)
-    held = f"(SELECT s.*, CAST(floor(n.siccd / 100e0) AS INTEGER) AS industry FROM {{security_month}} s JOIN {{names}} n ON s.permno = n.permno AND s.date >= n.namedt AND s.date <= coalesce(n.nameendt, DATE '9999-12-31') WHERE s.date >= DATE '{start}' AND exchcd IN (1, 2, 3) AND {shares} AND ret IS NOT NULL)"
-    prices = f"(SELECT permno, m, signal_yyyymm, target_yyyymm, industry, CASE WHEN lag(abs(prc) * shrout) OVER w > 0 THEN ln(lag(abs(prc) * shrout) OVER w) END AS mvel1, lag(ret) OVER w AS mom1m FROM {held} WINDOW w AS (PARTITION BY permno ORDER BY m))"
-    adjusted = _adjusted_sql(f"SELECT gvkey, datadate FROM ({linked})" if after else None)
-    reports = f"(SELECT l.permno, a.gvkey, a.datadate, a.bm, a.agr, i.chempia FROM ({ANNUAL_SQL}) a JOIN ({adjusted}) i ON a.gvkey = i.gvkey AND a.datadate = i.datadate JOIN ({linked}) l ON a.gvkey = l.gvkey AND a.datadate = l.datadate)"
-    live = f"(SELECT * FROM (SELECT *, unnest(range(year(datadate) * 12 + month(datadate) + 6, year(datadate) * 12 + month(datadate) + 19)) AS k FROM {reports}) QUALIFY row_number() OVER (PARTITION BY permno, k ORDER BY datadate DESC, gvkey) = 1)"
-    return f"SELECT p.permno, p.signal_yyyymm, p.target_yyyymm, p.industry, mvel1, mom1m, bm, agr, chempia FROM {prices} p LEFT JOIN {live} l ON l.permno = p.permno AND l.k = p.m"
-
-
-def _tails(source: str, both: list[str], upper: list[str]) -> str:
-    q = ", ".join([f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}" for c in both] + [f"quantile_cont({c}, 0.99) AS hi_{c}" for c in upper])
-    drawn = ", ".join([f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, lo_{c}), hi_{c}) END AS {c}" for c in both] + [f"CASE WHEN {c} IS NOT NULL THEN least({c}, hi_{c}) END AS {c}" for c in upper])
-    return f"SELECT permno, signal_yyyymm, target_yyyymm, industry, {drawn} FROM ({source}) JOIN (SELECT signal_yyyymm, {q} FROM ({source}) GROUP BY 1) USING (signal_yyyymm)"
-
-
-def _research_sql(source: str) -> str:
-    by = lambda *k: f"OVER (PARTITION BY {', '.join(('signal_yyyymm', *k))})"
-    filled = f"SELECT permno, signal_yyyymm, target_yyyymm, industry, {', '.join(f'coalesce({c}, median({c}) {by('industry')}, median({c}) {by()}) AS {c}' for c in _CHOSEN)} FROM ({_tails(source, _CHOSEN, [])})"
-    return f"SELECT permno, signal_yyyymm, target_yyyymm, industry, {', '.join(f'{_rank_sql(c, 'signal_yyyymm')} AS {c}' for c in _CHOSEN)} FROM ({filled})"
-
-
-_WIDE = _profile_sql("l.linktype IN ('LU', 'LC', 'LD', 'LF', 'LN', 'LO', 'LS', 'LX')", "1975-01-01", "shrcd IN (10, 11)", False)
-PROFILE_SQL = {
-    "green": _tails(_WIDE, ["mom1m", "bm", "agr", "chempia"], ["mvel1"]),
-    "datashare": _profile_sql("l.linktype LIKE 'L%' AND l.linkprim IN ('P', 'C')", "1957-01-01", "1 = 1", True),
-    "research": _research_sql(_WIDE),
-}
-
-
 
 def _stated_books(v):
     y = monthly.stated_equity(v("fundamentals_year")).select("gvkey", "datadate", "book")
@@ -184,7 +149,7 @@ QUERIES = [
     Query("stated_book_to_market", _stated_books, "permno permco datadate book_to_market~7", STATED_SQL),
     Query("month_spine", _spine, "permno permco date signal_yyyymm target_yyyymm siccd exchcd shrcd source_yyyymm", SPINE_SQL),
     Query("turnover_search", _turnover_search, "candidate timing n rho~5 pearson~5 median_abs~6 mean_abs~6 p95_abs~6 winsor_corr~5", _turnover_sql()),
-    Query("industry_schemes", _schemes, "sic ffi5 ffi10 ffi12", _scheme_sql()),
+    Query("industry_schemes", _schemes, "sic ffi5 ffi10 ffi12 ffi38", _scheme_sql()),
     Query("codes_of_company", lambda v: links.with_codes(_months(v), _live_codes(v)), "permno signal_yyyymm sic sic2", f"SELECT permno, signal_yyyymm, c.sic, c.sic2 FROM {MONTHS} m LEFT JOIN {LIVE_CODES} c USING (permno, signal_yyyymm)"),
     Query("codes_of_history", lambda v: links.with_codes(_months(v), _live_codes(v), "history"), "permno signal_yyyymm sic sic2", f"SELECT permno, signal_yyyymm, m.siccd AS sic, coalesce(c.sic2, substr(lpad(CAST(m.siccd AS VARCHAR), 4, '0'), 1, 2)) AS sic2 FROM {MONTHS} m LEFT JOIN {LIVE_CODES} c USING (permno, signal_yyyymm)"),
     Query("industry_adjusted_linked", lambda v: f.industry_adjusted(v("fundamentals_year"), members=_links_of(v)), "gvkey fyear sic2 " + " ".join(f"{n}~5" for n in [*f.ADJUSTED, "herf"]), _adjusted_sql(f"SELECT gvkey, datadate FROM ({LINKED})")),
@@ -196,5 +161,4 @@ QUERIES = [
     Query("expand_by_name", lambda v: timing.expand(v("fundamentals_year").select("gvkey", "datadate", "assets"), "rolling", key="gvkey"), "gvkey datadate signal_yyyymm assets~5", "SELECT gvkey, datadate, assets, CAST(floor(k / 12) * 100 + k % 12 + 1 AS INTEGER) AS signal_yyyymm FROM (SELECT *, unnest(range(year(datadate) * 12 + month(datadate) + 6, year(datadate) * 12 + month(datadate) + 19)) AS k FROM {fundamentals_year}) QUALIFY row_number() OVER (PARTITION BY gvkey, k ORDER BY datadate DESC) = 1"),
     Query("annual_scan", lambda v: readers.annual_fundamentals(v("fundamentals_year"), "1993-01-01", "1997-12-31"), "gvkey datadate prcc_f~5", "SELECT gvkey, datadate, abs(prcc_f) AS prcc_f FROM {fundamentals_year} WHERE assets IS NOT NULL AND prcc_f IS NOT NULL AND ni IS NOT NULL AND datadate BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'"),
     Query("quarterly_scan", lambda v: readers.quarterly_fundamentals(v("fundamentals_quarter"), "1994-01-01"), "gvkey datadate ibq~5", "SELECT gvkey, datadate, ibq FROM {fundamentals_quarter} WHERE ibq IS NOT NULL AND datadate >= DATE '1994-01-01'"),
-    *(Query(f"profile_{name}", lambda v, p=name: profiles.build(profiles.PROFILES[p], v("fundamentals_year"), v("link"), v("names"), v("security_month"), ["bm", "agr"], ["chempia"], ["mvel1", "mom1m"]), "permno signal_yyyymm target_yyyymm industry mvel1~6 mom1m~6 bm~5 agr~5 chempia~5", sql) for name, sql in PROFILE_SQL.items()),
 ]

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import links, panel
+from ..functions.industry import with_scheme
+from ..operators import panel
 from ..operators.crosssection import winsorize_by_kind
-from ..operators.timing import expand_rolling
-from .features import ADJUSTED, ANNUAL, annual_features, industry_adjusted
-from .monthly import monthly_features
+from .planner import Inputs, every_name, features
 
 #: The features of the published panel: fixed values.
 PUBLISHED = """convind rd_sale rd_mve realestate dy dolvol saleinv mom1m secured depr beta betasq sp mvel1 ill lev salecash roic cashpr ep
@@ -23,17 +23,22 @@ PUBLISHED = """convind rd_sale rd_mve realestate dy dolvol saleinv mom1m secured
 
 @dataclass(frozen=True)
 class Profile:
-    """links: codes of link types, a trailing * for a prefix. after: industry means over linked reports alone. published: keep PUBLISHED features only."""
+    """links: codes of link types, a trailing * for a prefix. codes: "company" or "history". after: industry means over
+    linked reports alone. published: the names are PUBLISHED. scheme: of the industries that missing values are filled in by.
+    """
 
     start: str
     links: tuple = ("LU", "LC", "LD", "LF", "LN", "LO", "LS", "LX")
     primary: object = "ALL"
     shares: object = (10, 11)
     exchanges: object = (1, 2, 3)
+    codes: str = "company"
     after: bool = False
     winsorized: bool = False
     ranked: bool = False
+    ranked_from: int = 195701
     published: bool = False
+    scheme: int = 49
 
 
 #: Fixed values of the three profiles.
@@ -50,25 +55,21 @@ def allowed(df: DataFrame, ids: list[str], names: list[str] = PUBLISHED) -> Data
     return panel.trim(df, [c for c in df.columns if c in names or other.get(c) in names], ids)
 
 
-def build(profile: Profile, fund: DataFrame, link: DataFrame, names: DataFrame, months: DataFrame, annual: list[str], adjusted: list[str], monthly: list[str]) -> DataFrame:
-    """permno, signal_yyyymm, target_yyyymm, industry and the chosen features of every month of the universe.
+def numbers(df: DataFrame, names: list[str]) -> list[str]:
+    return [c for c in names if isinstance(df.schema[c].dataType, T.NumericType)]
+
+
+def build(profile: Profile, tables: Callable[[str], DataFrame], names: list[str] | None = None, scheme_text: str | None = None) -> DataFrame:
+    """permno, signal_yyyymm, target_yyyymm, sic and the features of every month of the universe.
 
-    fund: annual reports; months: monthly rows with prices; names and link: intervals of codes and of links.
+    tables: as of planner.Inputs. names: PUBLISHED for a published profile, otherwise all that have a builder. scheme_text:
+    the ranges of the profile's industry scheme as it is published, where the library has not got them.
     """
-    if unknown := [*({*annual} - {*ANNUAL}), *({*adjusted} - {*ADJUSTED})]:
-        raise ValueError(f"no feature {unknown}")
-    held = links.interval_join(months, names, ["permno"], "date", "namedt", "nameendt")
-    held = panel.in_codes(panel.in_codes(panel.within(held, "date", F.lit(profile.start).cast("date")), "exchcd", profile.exchanges), "shrcd", profile.shares)
-    universe = held.withColumn("industry", F.floor(F.col("siccd") / 100).cast("int"))
-    use = links.filter_links(link, profile.links, profile.primary)
-    linked = links.primary_links(links.interval_join(fund.select("gvkey", "datadate"), use, ["gvkey"], "datadate", "linkdt", "linkenddt"), ["gvkey", "datadate"]).select("gvkey", "datadate", "permno")
-    means = industry_adjusted(fund, members=linked if profile.after else None).select("gvkey", "datadate", *adjusted)
-    reports = annual_features(fund, annual).select("gvkey", "datadate", *annual).join(means, ["gvkey", "datadate"]).join(linked, ["gvkey", "datadate"])
-    ids = ["permno", "signal_yyyymm", "target_yyyymm", "industry"]
-    live = expand_rolling(reports, ties=("gvkey",)).select("permno", "signal_yyyymm", *annual, *adjusted)
-    out = monthly_features(universe).select(*ids, *monthly).join(live, ["permno", "signal_yyyymm"], "left")
-    if profile.published:
-        out = allowed(out, ids)
+    names = names or (PUBLISHED if profile.published else every_name())
+    out = features(Inputs(profile, tables), names)
     if profile.winsorized:
         out = winsorize_by_kind(out, ["signal_yyyymm"])
-    return panel.research_panel(out, [*monthly, *annual, *adjusted]) if profile.ranked else out
+    if not profile.ranked:
+        return out
+    coded = with_scheme(out, scheme_text or profile.scheme, "sic", "industry")
+    return panel.research_panel(coded, numbers(out, names), start=profile.ranked_from).drop("industry")
