@@ -63,6 +63,22 @@ def unused(df: DataFrame, stem: str) -> str:
     return name
 
 
+def identity(key: str, text: str) -> dict[str, Column]:
+    """What tells a row from others of its key: (k, th, tl), its key, its text's hash and length, which is -1 for a null text.
+
+    Rows that agree in all three are equal in key and text, and count as one document.
+    """
+    return {"k": F.col(key), "th": F.xxhash64(text), "tl": F.coalesce(F.length(text), F.lit(-1))}
+
+
+def by_identity(docs: DataFrame, rows: DataFrame, key: str, text: str) -> tuple[DataFrame, Column, list[str]]:
+    """rows (k, th, tl and others) under names that docs does not have, the condition that a row of docs is one of them, and the three names."""
+    names = [unused(docs, f"of_{c}") for c in ("k", "th", "tl")]
+    renamed = rows.select(*(F.col(c).alias(n) for c, n in zip(("k", "th", "tl"), names, strict=True)), *(c for c in rows.columns if c not in ("k", "th", "tl")))
+    own = identity(key, text)
+    return renamed, own["k"].eqNullSafe(renamed[names[0]]) & (own["th"] == renamed[names[1]]) & (own["tl"] == renamed[names[2]]), names
+
+
 def words(text: Column) -> Column:
     """Runs of what is not a space or control white space (0x09-0x0D); null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), "")
@@ -91,8 +107,8 @@ def large_limit(rows: DataFrame) -> int:
     return max(LARGE_GROUP, -(-rows.count() // MOST_GROUPS))
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, limit: int, least: int = 2) -> DataFrame:
-    """rows with the columns of groups (one row for each `on`), null where no group of `least` rows or more has theirs.
+def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, limit: int, least: int = 2, how: str = "left") -> DataFrame:
+    """rows with the columns of groups (one row for each `on`), null where no group of `least` rows or more has theirs; how="inner" leaves those out.
 
     Groups of more than `limit` rows, of which large_limit() bounds the number, are broadcast, so that their rows stay
     where they are; the other rows meet theirs in a join whose keys have `limit` rows at most.
@@ -100,4 +116,4 @@ def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, li
     new = [c for c in groups.columns if c not in on]
     large = F.broadcast(groups.filter(F.col(size) > limit))
     others = groups.filter((F.col(size) <= limit) & (F.col(size) >= least))
-    return rows.join(large, on).select(*rows.columns, *new).unionByName(rows.join(large, on, "left_anti").join(others, on, "left").select(*rows.columns, *new))
+    return rows.join(large, on).select(*rows.columns, *new).unionByName(rows.join(large, on, "left_anti").join(others, on, how).select(*rows.columns, *new))

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, unused
+from .common import by_identity, identity, staged
 
 WINDOW, SHINGLE = 10, 3
 BROADCAST_ROWS = 400_000
@@ -53,10 +53,16 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """(key, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs.
 
     Edge cases: a null or empty text has no words and is clean; an item without words has no windows; an item with a
-    null key makes words hit but has no name to list; equal rows, which share their work, each get a row; no
-    items, or no documents, give no hits; other columns are ignored. Without items the digest is that of an empty text.
+    null key makes words hit but has no name to list; equal rows, which share their work, each get a row, and unlike
+    texts of one key each their own; no items, or no documents, give no hits; other columns are ignored. Without items
+    the digest is that of an empty text.
     """
-    base = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.coalesce(F.length(text), F.lit(-1)).alias("tl"), item_words(F.col(text)).alias("w"))
+    return _judged(docs, items, key, text, item, item_text).drop("th", "tl").withColumnRenamed("k", key)
+
+
+def _judged(docs: DataFrame, items: DataFrame, key: str, text: str, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(k, th, tl) and what find_items() tells of every row."""
+    base = docs.select(*(c.alias(n) for n, c in identity(key, text).items()), item_words(F.col(text)).alias("w"))
     of = ["k", "th", "tl"]
     named = staged(windows(items, item, item_text), "windows")
     plain = named.select("wid", "words").distinct()
@@ -74,7 +80,7 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     told = told.select(*(F.col(c).alias(f"t_{c}") for c in of), "n_hit", "items")
     joined = counted.join(told, _same("", "t_", of), "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select(F.col("k").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+    return joined.select(*of, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
 def _same(left: str, right: str, of: list[str]) -> Column:
@@ -112,7 +118,10 @@ def _in_blocks(rows: DataFrame, work) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs in which no window of an item lies."""
-    bad = find_items(docs, items, key, text).filter("contaminated")
-    gone = unused(docs, "gone_key")
-    return docs.join(bad.select(F.col(key).alias(gone)).distinct(), docs[key].eqNullSafe(F.col(gone)), "left_anti")
+    """The rows of docs in which no window of an item lies.
+
+    Rows go by key and text: a clean text stays whatever another one of its key holds. Null keys and texts, equal rows
+    and empty tables are as in find_items(); all columns are kept.
+    """
+    bad, is_bad, _ = by_identity(docs, _judged(docs, items, key, text).filter("contaminated").select("k", "th", "tl").distinct(), key, text)
+    return docs.join(bad, is_bad, "left_anti")

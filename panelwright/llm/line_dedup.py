@@ -9,22 +9,26 @@ a key that a third of all lines have is a row a batch. Every such pair's similar
 shingle sets. Where a key's lines are then not one component, those outside its largest one are compared with all
 others inside tasks, tile by tile, which return as many links as join components: no link between candidates is lost, and none is made
 that joins nothing.
-Of each component the line of the smallest (key, line number) stays, in that place; all others go.
+Of each component the line of the smallest (key, line number) stays, in that place; all others go. A row is known by its
+key and its text: unlike texts of one key are documents of their own.
+Lines meet what is known of them by their id; ids of very many lines are broadcast, of which large_limit() bounds the number.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, unused
+from .common import by_identity, identity, large_limit, staged, unused, with_groups
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 10, 4, 0.8
 TILE, SMALL, BITS, COARSE = 2048, 48, 2048, 256
-BROADCAST_IDS, SALTS = 1_000_000, 32
+BROADCAST_IDS = 1_000_000
 BLANK = " \t\n\x0b\x0c\r"
 _PARAMETERS = np.random.default_rng(20240613).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -65,14 +69,53 @@ def band_keys(lines: list[str], size: int = SHINGLE) -> np.ndarray:
     return keys
 
 
-def _band_rows(batches, shingle: int = SHINGLE):
+class _Letters(dict):
+    """A character for each word, by 20 bits of its hash."""
+
+    def __missing__(self, word: str) -> str:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = c = chr(0x10000 + (xxhash.xxh64_intdigest(word.encode(), 11) & 0xFFFFF))
+        return c
+
+
+_letters = _Letters()
+
+
+@dataclass(frozen=True)
+class Units:
+    """What shingles are made of: `size` characters, or words, which are then what single spaces part.
+
+    Candidates are found by letters, one for each word: as equal words have equal letters, similar lines are candidates
+    none the less. Lines are compared by the words themselves.
+    """
+
+    size: int = SHINGLE
+    words: bool = False
+
+    def letters(self, lines: list[str]) -> list[str]:
+        return ["".join(map(_letters.__getitem__, x.split(" "))) if x else "" for x in lines] if self.words else lines
+
+    def shingles(self, line: str) -> set:
+        if not self.words:
+            return _set(line, self.size)
+        w = line.split(" ")
+        return {tuple(w[i : i + self.size]) for i in range(max(1, len(w) - self.size + 1))}
+
+
+CHARACTERS = Units()
+
+
+def _band_rows(batches, units: Units = CHARACTERS):
     """(key, head, id): the band keys of different lines; head is the first line of the key among some lines at a time."""
     import xxhash
 
     seen: set = set()  # saves work and rows for equal lines; what it forgets only costs them
 
     def rows(lines, ids):
-        keys, ids = band_keys(lines, shingle).ravel().view(np.int64), np.repeat(np.array(ids, np.uint64).view(np.int64), BANDS)
+        keys, ids = band_keys(lines, units.size).ravel().view(np.int64), np.repeat(np.array(ids, np.uint64).view(np.int64), BANDS)
         order = np.lexsort([ids, keys])
         keys, ids = keys[order], ids[order]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -83,13 +126,15 @@ def _band_rows(batches, shingle: int = SHINGLE):
     for b in batches:
         for t in b.column("t"):
             for line in t.as_py().split("\n"):
-                if len(line) >= shingle and line.strip(BLANK):
+                if len(line) >= units.size and line.strip(BLANK):
                     i = xxhash.xxh64_intdigest(line.encode(), 42)
                     if i not in seen:
                         seen.add(i)
-                        lines.append(line)
-                        ids.append(i)
-                        size += len(line)
+                        (spelled,) = units.letters([line])
+                        if len(spelled) >= units.size:
+                            lines.append(spelled)
+                            ids.append(i)
+                            size += len(spelled)
             if size > 2_000_000:
                 yield rows(lines, ids)
                 lines, ids, size = [], [], 0
@@ -150,7 +195,7 @@ def _similar(x: set, y: set) -> bool:
 MOST = (1 - SIMILARITY) / (1 + SIMILARITY)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, size: int = SHINGLE) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, units: Units = CHARACTERS) -> DataFrame:
     """(a, b) of the pairs whose lines are similar. What passes as sets of hashed shingles is compared exactly."""
 
     def alike(batches):
@@ -160,12 +205,13 @@ def _verified(pairs: DataFrame, lines: DataFrame, size: int = SHINGLE) -> DataFr
                 ids, at = np.unique(np.concatenate([b.column("a").to_numpy(), b.column("b").to_numpy()]), return_index=True)
                 i, j = (np.searchsorted(ids, b.column(c).to_numpy()) for c in ("a", "b"))
                 texts = pa.concat_arrays([b.column("s"), b.column("t")]).take(pa.array(at)).to_pylist()
-                lengths = np.fromiter(map(len, texts), np.int64, len(texts)) - size + 1
-                bits, _ = _bits(texts, size)
+                spelled = units.letters(texts)
+                lengths = np.fromiter(map(len, spelled), np.int64, len(texts)) - units.size + 1
+                bits, _ = _bits(spelled, units.size)
                 ok = _differ(bits[i], bits[j]) <= MOST * (lengths[i] + lengths[j]) + 1e-9
                 sets: dict = {}
                 for n in np.flatnonzero(ok).tolist():
-                    x, y = (sets[k] if k in sets else sets.setdefault(k, _set(texts[k], size)) for k in (i[n], j[n]))
+                    x, y = (sets[k] if k in sets else sets.setdefault(k, units.shingles(texts[k])) for k in (i[n], j[n]))
                     ok[n] = _similar(x, y)
                 mask = pa.array(ok)
                 yield pa.record_batch([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
@@ -181,14 +227,15 @@ def _lines(text: str) -> Column:
 
 
 def _ids(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, ids): of each row the ids and second hashes of its lines, null for those without a word."""
-    return docs.select(F.col(key).alias("k"), F.transform(_lines(text), lambda x: F.when(x.rlike("[^ \\t-\\r]"), F.struct(F.xxhash64(x).alias("id"), F.hash(x).alias("h")))).alias("ids"))
+    """(k, th, tl, ids): of each row its identity, and the ids and second hashes of its lines, null for those without a word."""
+    lines = F.transform(_lines(text), lambda x: F.when(x.rlike("[^ \\t-\\r]"), F.struct(F.xxhash64(x).alias("id"), F.hash(x).alias("h"))))
+    return docs.select(*(c.alias(n) for n, c in identity(key, text).items()), lines.alias("ids"))
 
 
-def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(node, h, root): the component of every line id that is similar to another by shingles of `size` characters, and the line's second hash."""
+def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", units: Units = CHARACTERS) -> DataFrame:
+    """(node, h, root): the component of every line id that is similar to another by shingles of units, and the line's second hash."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    banded = texts.mapInArrow(lambda batches: _band_rows(batches, size), "key long, head long, id long")
+    banded = texts.mapInArrow(lambda batches: _band_rows(batches, units), "key long, head long, id long")
     dealt = banded.repartition(F.when(F.col("id") == F.col("head"), F.col("key")).otherwise(F.xxhash64("key", "id"))).sortWithinPartitions("key", "id")
     stars = staged(dealt.mapInArrow(_stars, "key long, head long, id long"), "stars")
     first = staged(stars.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "first")
@@ -197,12 +244,12 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     every = docs.select(F.explode(_lines(text)).alias("line")).select(F.xxhash64("line").alias("id"), F.hash("line").alias("h"), "line")
     # Should two lines have one id, the one with the smaller second hash stands for it.
     lines = staged(every.join(few(ids), "id", "left_semi").groupBy("id").agg(F.min_by("line", "h").alias("line"), F.min("h").alias("h")), "lines")
-    good = _verified(first, lines, size)
-    roots = components(good.unionByName(staged(_rest(stars, good, lines, size), "rest")))
+    good = _verified(first, lines, units)
+    roots = components(good.unionByName(staged(_rest(stars, good, lines, units), "rest")))
     return roots.join(lines.select(F.col("id").alias("node"), "h"), "node")
 
 
-def _rest(stars: DataFrame, good: DataFrame, lines: DataFrame, size: int = SHINGLE) -> DataFrame:
+def _rest(stars: DataFrame, good: DataFrame, lines: DataFrame, units: Units = CHARACTERS) -> DataFrame:
     """Links between lines of one key that are not known to be joined: that do not lead to one line in two steps.
 
     Of a key's lines those outside its largest group are dealt to `others` tiles, the largest group to `mains`; every
@@ -226,10 +273,10 @@ def _rest(stars: DataFrame, good: DataFrame, lines: DataFrame, size: int = SHING
     with_mains = F.transform(upto("mains"), lambda i: meet(0, i, F.col("tile")))
     among = F.transform(F.filter(upto("others"), lambda j: j != F.col("tile")), lambda j: meet(1, F.least("tile", j), F.greatest("tile", j)))
     dealt = met.withColumn("tile", tile).select(F.explode(F.when(inside, with_others).otherwise(F.concat(with_mains, among))).alias("shard"), "id", "root", "line")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _cross(batches, size), "a long, b long")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _cross(batches, units), "a long, b long")
 
 
-def _cross(batches, size: int = SHINGLE):
+def _cross(batches, units: Units = CHARACTERS):
     """Links between the lines of each shard; rows come sorted by shard."""
     joined: dict = {}  # groups that links of this task have joined, each to another one
 
@@ -238,10 +285,10 @@ def _cross(batches, size: int = SHINGLE):
         lines = part.column("line").to_pylist()
         starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
         sizes = np.diff(np.append(starts, len(shard)))
-        pairs = _small(shard, root, ids, lines, np.flatnonzero(np.repeat(sizes, sizes) <= SMALL), joined, size)
+        pairs = _small(shard, root, ids, lines, np.flatnonzero(np.repeat(sizes, sizes) <= SMALL), joined, units)
         for start, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
             at = slice(start, start + n)
-            pairs += _links_across(list(zip(ids[at].tolist(), root[at].tolist(), lines[at], strict=True)), size)
+            pairs += _links_across(list(zip(ids[at].tolist(), root[at].tolist(), lines[at], strict=True)), units)
         return pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
     held: list = []
@@ -258,10 +305,11 @@ def _cross(batches, size: int = SHINGLE):
         yield links(pa.Table.from_batches(held))
 
 
-def _small(shard, root, ids, lines: list[str], rows, joined: dict, size: int) -> list[tuple[int, int]]:
+def _small(shard, root, ids, lines: list[str], rows, joined: dict, units: Units) -> list[tuple[int, int]]:
     """Links of shards of few lines: every two lines of a shard and not of a group, all shards at once."""
-    lengths = np.fromiter((len(lines[i]) for i in rows.tolist()), np.int64, len(rows)) - size + 1
-    packed = [_bits([lines[i] for i in rows[k : k + 2048].tolist()], size)[0] for k in range(0, len(rows), 2048)]
+    spelled = units.letters([lines[i] for i in rows.tolist()])
+    lengths = np.fromiter(map(len, spelled), np.int64, len(rows)) - units.size + 1
+    packed = [_bits(spelled[k : k + 2048], units.size)[0] for k in range(0, len(rows), 2048)]
     bits, s, r, found = np.concatenate(packed) if packed else None, shard[rows], root[rows], []
     for gap in range(1, SMALL):
         near = np.flatnonzero((s[gap:] == s[:-gap]) & (r[gap:] != r[:-gap]))
@@ -277,13 +325,13 @@ def _small(shard, root, ids, lines: list[str], rows, joined: dict, size: int) ->
     out = []
     for i, j in np.concatenate(found, axis=1).T.tolist() if found else ():
         x, y = led(int(r[i])), led(int(r[j]))
-        if x != y and _similar(_set(lines[rows[i]], size), _set(lines[rows[j]], size)):
+        if x != y and _similar(units.shingles(lines[rows[i]]), units.shingles(lines[rows[j]])):
             joined[x] = y
             out.append((int(ids[rows[i]]), int(ids[rows[j]])))
     return out
 
 
-def _links_across(rows: list, size: int = SHINGLE) -> list[tuple[int, int]]:
+def _links_across(rows: list, units: Units = CHARACTERS) -> list[tuple[int, int]]:
     """Similar lines that join components. rows: (id, root, line).
 
     Lines of the largest group need no comparison among themselves. Sets of hashed shingles are compared first; what
@@ -293,8 +341,9 @@ def _links_across(rows: list, size: int = SHINGLE) -> list[tuple[int, int]]:
     largest = np.bincount(label).argmax()
     order = np.argsort(label == largest, kind="stable")  # the largest group last
     ids, lines, label = [rows[i][0] for i in order], [rows[i][2] for i in order], label[order]
-    sizes = np.array([len(x) - size + 1 for x in lines])
-    packed, coarse = _bits(lines, size)
+    spelled = units.letters(lines)
+    sizes = np.array([len(x) - units.size + 1 for x in spelled])
+    packed, coarse = _bits(spelled, units.size)
     out, sets = [], {}
     for i in range(int((label != largest).sum())):
         j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
@@ -303,53 +352,58 @@ def _links_across(rows: list, size: int = SHINGLE) -> list[tuple[int, int]]:
             j = j[_differ(packed[j], packed[i]) <= MOST * (sizes[i] + sizes[j]) + 1e-9]
         for k in j.tolist():
             if label[k] != label[i]:
-                x, y = (sets[n] if n in sets else sets.setdefault(n, _set(lines[n], size)) for n in (i, k))
+                x, y = (sets[n] if n in sets else sets.setdefault(n, units.shingles(lines[n])) for n in (i, k))
                 if _similar(x, y):
                     out.append((ids[i], ids[k]))
                     label[label == label[k]] = label[i]
     return out
 
 
+ROW = ["k", "th", "tl"]
+
+
 def _removed(ids: DataFrame, roots: DataFrame) -> DataFrame:
-    """(k, removed) of the documents that lose lines; ids as _ids() gives them."""
-    lines = ids.select("k", F.posexplode("ids").alias("n", "line")).filter("line is not null").select("k", "n", "line.id", "line.h")
-    firsts = lines.groupBy("id", "h").agg(F.min(F.struct("k", "n")).alias("first"), F.count("*").alias("times"))
+    """(k, th, tl, removed) of the documents that lose lines; ids as _ids() gives them."""
+    lines = ids.select(*ROW, F.posexplode("ids").alias("n", "line")).filter("line is not null").select(*ROW, "n", "line.id", "line.h")
+    place = F.struct("k", "n", "th", "tl")  # of two texts of one key and number the smaller hash comes first
+    firsts = lines.groupBy("id", "h").agg(F.min(place).alias("first"), F.count("*").alias("times"))
     met = (firsts["id"] == roots["node"]) & (firsts["h"] == roots["h"])
-    led = staged(firsts.join(roots, met, "left").filter("times > 1 or root is not null").select(firsts["id"], firsts["h"], "first", "root"), "touched")
-    heads = staged(led.filter("root is not null").groupBy("root").agg(F.min("first").alias("head")), "heads")
-    if heads.count() <= BROADCAST_IDS:
-        led = led.join(F.broadcast(heads), "root", "left")
-    else:  # a root that many lines have is dealt to several tasks
-        salted = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        led = led.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"], "left")
-    kept = led.select(F.col("id").alias("of"), F.col("h").alias("of_h"), F.coalesce("head", "first").alias("head"))
-    gone = lines.join(kept, (lines["id"] == kept["of"]) & (lines["h"] == kept["of_h"])).filter(~F.struct("k", "n").eqNullSafe(F.col("head")))
-    return gone.groupBy("k").agg(F.array_sort(F.collect_set("n")).alias("removed"))
+    led = staged(firsts.join(roots, met, "left").filter("times > 1 or root is not null").select(firsts["id"], firsts["h"], "first", "root", "times"), "touched")
+    heads = staged(led.filter("root is not null").groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("members")), "heads")
+    rooted = with_groups(led.filter("root is not null"), heads, ["root"], "members", large_limit(led), least=1).select("id", "h", "head", "times")
+    kept = rooted.unionByName(led.filter("root is null").select("id", "h", F.col("first").alias("head"), "times"))
+    gone = with_groups(lines, kept, ["id", "h"], "times", large_limit(lines), least=1, how="inner").filter(~place.eqNullSafe(F.col("head")))
+    return gone.groupBy(*ROW).agg(F.array_sort(F.collect_set("n")).alias("removed"))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, removed): the sorted numbers, from 0, of the lines to take out; documents without such lines are absent.
+    """(k, th, tl, removed): the identity of a row and the sorted numbers, from 0, of the lines to take out; documents without such lines are absent.
 
-    Edge cases: a null or empty text has no lines; blank lines stay; rows with one key count as one document, and the
-    line that stays does so in each of them; a null key comes before all others; an empty table gives none.
+    Edge cases: a null or empty text has no lines; blank lines stay; rows that equal in key and text count as one document,
+    and the line that stays does so in each of them; unlike texts of one key are documents of their own, of which the one
+    with the smaller hash comes first where line numbers tie; a null key comes before all others; an empty table gives none.
     """
-    return _removed(staged(_ids(docs, key, text), "line-ids"), similar_lines(docs, key, text)).withColumnRenamed("k", key)
+    return _removed(staged(_ids(docs, key, text), "line-ids"), similar_lines(docs, key, text))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_lines, n_removed, removed_lines) of every row; n_lines counts lines with a word."""
+    """(key, n_lines, n_removed, removed_lines) of every row; n_lines counts lines with a word. Edge cases are those of removed_lines()."""
     ids = staged(_ids(docs, key, text), "line-ids")
-    gone = _removed(ids, similar_lines(docs, key, text)).withColumnRenamed("k", "gone_key")
-    counted = ids.select("k", F.size(F.filter("ids", lambda x: x.isNotNull())).alias("n_lines"))
+    gone = _removed(ids, similar_lines(docs, key, text)).select(*(F.col(c).alias(f"gone_{c}") for c in ROW), "removed")
+    counted = ids.select(*ROW, F.size(F.filter("ids", lambda x: x.isNotNull())).alias("n_lines"))
     none = F.array().cast("array<int>")
-    joined = counted.join(gone, F.col("k").eqNullSafe(F.col("gone_key")), "left")
+    joined = counted.join(gone, F.col("k").eqNullSafe(F.col("gone_k")) & (F.col("th") == F.col("gone_th")) & (F.col("tl") == F.col("gone_tl")), "left")
     return joined.select(F.col("k").alias(key), "n_lines", F.size(F.coalesce("removed", none)).alias("n_removed"), F.coalesce("removed", none).alias("removed_lines"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """docs without their repeated lines; length, where docs has it, is counted anew for texts that change."""
-    gone, lines = unused(docs, "gone_key"), unused(docs, "gone_lines")
-    joined = docs.join(removed_lines(docs, key, text).select(F.col(key).alias(gone), F.col("removed").alias(lines)), docs[key].eqNullSafe(F.col(gone)), "left").drop(gone)
+    """docs without their repeated lines; length, where docs has it, is counted anew for texts that change.
+
+    Each row loses the lines of its own text, whatever other texts its key has; edge cases are those of removed_lines().
+    """
+    lines = unused(docs, "gone_lines")
+    gone, is_gone, names = by_identity(docs, removed_lines(docs, key, text).withColumnRenamed("removed", lines), key, text)
+    joined = docs.join(gone, is_gone, "left").drop(*names)
     at = joined.columns.index(text)
 
     def cut(batches):

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, unused
+from .common import by_identity, identity, large_limit, staged, with_groups
 from .components import components, forest
-from .line_dedup import similar_lines
+from .line_dedup import Units, similar_lines
 
 CROWD, BROADCAST_LEAVES = 4096, 500_000
 LEAF = 512
@@ -224,65 +224,61 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     several rows joins nothing by itself; an empty table gives an empty result; other columns are ignored.
     """
     base = staged(fingerprints(docs, key, text, shingle), "fingerprints")
-    distinct = base.groupBy("fp").agg(F.min(key).alias("least"))
+    distinct = base.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("rows"))
     roots = staged(components(links(distinct.select("fp"), radius)), "roots")
-    led = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    led = staged(led, "led")
-    linked = led.join(roots.select("root").distinct(), "root", "left_semi")
-    heads = linked.groupBy("root").agg(F.min("least").alias("head"))
-    ids = led.join(heads, "root", "left").select(F.col("fp").alias("of"), F.coalesce("head", "least").alias("component_id"))
-    return base.join(ids, base["fp"] == ids["of"]).select(base[key], base["fp"], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = _headed(distinct, "fp", roots, "component_id")
+    return with_groups(base, ids, ["fp"], "rows", large_limit(base), least=1).select(key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-class _Letters(dict):
-    """A character for each word, by 20 bits of its hash."""
-
-    def __missing__(self, word: bytes) -> str:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = c = chr(0x10000 + (xxhash.xxh64_intdigest(word, 11) & 0xFFFFF))
-        return c
-
-
-_letters = _Letters()
+def _headed(distinct: DataFrame, node: str, roots: DataFrame, head: str) -> DataFrame:
+    """(node, head, rows) of every node: the smallest `least` of its component. distinct: (node, least, rows); roots: (node, root) of linked ones."""
+    led = staged(distinct.join(roots.withColumnRenamed("node", "linked"), F.col(node) == F.col("linked"), "left").select(node, "least", "rows", F.coalesce("root", node).alias("root")), "led")
+    # An unlinked node is a component of its own, so components of two nodes and more are those with a head.
+    heads = led.groupBy("root").agg(F.min("least").alias("head"), F.count("*").alias("nodes"))
+    return staged(with_groups(led, heads, ["root"], "nodes", large_limit(led)).select(node, F.coalesce("head", "least").alias(head), "rows"), "headed")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """(key, component_id) of every row: component_id is the smallest key that links reach. Texts are linked whose word shingles have a Jaccard similarity of 0.8 or more.
 
     Texts at 0.8 differ in some ten of 64 SimHash bits, and often more, for which no number of blocks is selective:
-    candidates share a MinHash band instead, and all that could join components are compared shingle by shingle. With a
-    character for each word a text is a line, so line dedup's bands and comparisons serve. Two different words have one
-    character with a probability of 2^-20.
+    candidates share a MinHash band instead, and all that could join components are compared shingle by shingle, by the
+    words themselves. A text's words are a line, so line dedup's bands and comparisons serve. Edge cases are those of groups(), but that texts without words are linked to
+    none but each other.
     """
+    return _near(docs, key, text, shingle).select(F.col("k").alias(key), F.col("head.k").alias("component_id"))
+
+
+def _near(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(k, th, tl, head) of every row: head is the smallest (k, th, tl) of its component, rows without key last."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def lettered(batches):
-        for b in batches:
-            lines = ["".join(map(_letters.__getitem__, t.as_py().lower().split())) for t in b.column("t").cast(pa.large_binary())]
-            yield pa.record_batch([b.column("k"), pa.array(lines, pa.string())], ["k", "t"])
+    def spaced(batches):
+        for b in batches:  # of bytes: A-Z alone is lower-cased, and 0x09-0x0D and the space split
+            lines = [b" ".join(t.as_py().lower().split()).decode() for t in b.column("t").cast(pa.large_binary())]
+            yield pa.record_batch([*b.columns[:3], pa.array(lines, pa.string())], ["k", "th", "tl", "t"])
 
-    base = staged(docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(lettered, f"k {kind}, t string"), "lettered")
-    roots = staged(similar_lines(base, "k", "t", shingle).drop("h"), "roots")
-    ids = base.select("k", F.xxhash64("t").alias("id"))
-    least = ids.groupBy("id").agg(F.min("k").alias("least")).join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    least = staged(least, "led")
-    heads = least.groupBy("root").agg(F.min("least").alias("head"))
-    led = least.join(heads, "root").select(F.col("id").alias("of"), F.col("head").alias("component_id"))
-    return ids.join(led, F.col("id") == F.col("of")).select(F.col("k").alias(key), "component_id")
+    own = identity(key, text)
+    rows = docs.select(*(c.alias(n) for n, c in own.items()), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    base = staged(rows.mapInArrow(spaced, f"k {kind}, th long, tl int, t string"), "spaced")
+    roots = staged(similar_lines(base, "k", "t", Units(shingle, words=True)).drop("h"), "roots")
+    ids = base.select("k", "th", "tl", F.xxhash64("t").alias("id"))
+    place = F.when(F.col("k").isNotNull(), F.struct("k", "th", "tl"))
+    distinct = ids.groupBy("id").agg(F.min(place).alias("least"), F.count("*").alias("rows"))
+    return with_groups(ids, _headed(distinct, "id", roots, "head"), ["id"], "rows", large_limit(ids), least=1).select("k", "th", "tl", "head")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """docs without the rows whose group of near copies has a smaller key; of rows equal in key and text one stays, null keys all do."""
-    kept = staged(near_copies(docs, key, text, shingle), "near_copies")
-    gone = unused(docs, "gone_key")
-    out = kept.filter(F.col(key) > F.col("component_id")).select(F.col(key).alias(gone)).distinct()
-    left = docs.join(out, docs[key] == out[gone], "left_anti")
-    twice = staged(kept.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(gone)).filter(F.col(gone) > 1), "doubled")
+    """docs with one row of each group of near copies: that with the smallest key.
+
+    Rows go by key and text: of unlike texts of one key each belongs to its own group. Of near copies of one key that
+    with the smaller hash stays, of rows equal in both one does. Rows without key all stay, and make no others go.
+    """
+    near = staged(_near(docs, key, text, shingle), "near_copies").filter("k is not null")
+    gone, is_gone, _ = by_identity(docs, near.filter(F.struct("k", "th", "tl") != F.col("head")).select("k", "th", "tl").distinct(), key, text)
+    left = docs.join(gone, is_gone, "left_anti")
+    twice = staged(near.groupBy("k", "th", "tl").count().filter("count > 1").select("k", "th", "tl"), "doubled")
     if twice.isEmpty():
         return left
-    twice = twice.select(F.col(key).alias(gone))
-    of_many = left[key] == twice[gone]
-    return left.join(twice, of_many, "left_anti").unionByName(left.join(twice, of_many, "left_semi").dropDuplicates([key, text]))
+    twice, is_twice, _ = by_identity(docs, twice, key, text)
+    return left.join(twice, is_twice, "left_anti").unionByName(left.join(twice, is_twice, "left_semi").dropDuplicates([key, text]))

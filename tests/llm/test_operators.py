@@ -129,6 +129,52 @@ def brute_lines(rows):
     return dict(gone)
 
 
+def row_hash(spark, texts):
+    """What orders unlike texts of one key."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return {texts[r["i"]]: r["h"] for r in df.select("i", F.xxhash64("t").alias("h")).collect()}
+
+
+def brute_lines_by_row(rows, hashes):
+    """Of each (key, text) row the lines it loses: a line stays in the row of the smallest key, number and hash that has one like it."""
+    lines = sorted(((i is not None, i or 0), n, hashes[t], x, t) for i, t in {*rows} for n, x in lines_of(t))
+    sets, heads, gone = {x: line_dedup._set(x, line_dedup.SHINGLE) for *_, x, _ in lines}, [], defaultdict(list)
+    group = {x: {x} for x in sets}
+    for x in sets:
+        for y in sets:
+            same = len(sets[x] & sets[y])
+            if x != y and same and same >= 0.8 * (len(sets[x]) + len(sets[y]) - same) and group[x] is not group[y]:
+                group[x] |= group[y]
+                for z in group[y]:
+                    group[z] = group[x]
+    for i, n, h, x, t in lines:
+        if any(g is group[x] for g in heads):
+            gone[i, t].append(n)
+        else:
+            heads.append(group[x])
+    return gone
+
+
+def test_lines_of_unlike_texts_of_one_key(spark):
+    """Rows that share a key lose what others repeat, and nothing that they alone have."""
+    shared = "shared line of text here"
+    rows = [(0, shared), (1, "first own line\nunique second line kept?"), (1, f"other own line\n{shared}"), (1, f"other own line\n{shared}"), (None, f"of a null key\n{shared}"), (None, "of another null key\nfirst own line"), (2, "first own line\n\nab\nab"), (2, "first own line\nown to the second text"), (2, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = brute_lines_by_row(rows, row_hash(spark, [t for _, t in rows]))
+    key = lambda i, t: ((i is not None, i or 0), t)
+    want = Counter((i, "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone[key(i, t)]) if gone[key(i, t)] else t) for i, t in rows)
+    assert Counter((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(df).collect()) == want
+    assert any("unique second line kept?" in (t or "") for _, t in want)
+    told = Counter((r["doc_id"], r["n_lines"], tuple(r["removed_lines"])) for r in line_dedup.report(df).collect())
+    assert told == Counter((i, len(lines_of(t)), tuple(gone[key(i, t)])) for i, t in rows)
+
+
+def test_a_line_that_a_third_of_all_rows_have(spark):
+    rows = [(i, ("the line that so many rows have\n" if i % 3 == 0 else "") + f"own line {i} {i * 7919 % 1000003}") for i in range(1500)]
+    got = {r["doc_id"]: list(r["removed_lines"]) for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert {i: v for i, v in got.items() if i % 3 == 0} == {i: [0] if i else [] for i in range(0, 1500, 3)}
+
+
 def test_line_dedup_against_all_pairs(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.limit(60).collect()]
     # variants that are like the original, some of them unlike each other
@@ -187,19 +233,16 @@ def test_measured_recall_of_bands():
 
 def test_lines_that_equal_in_one_hash_only_stay(spark):
     """Two unlike lines under one id, as a collision of the first hash would make."""
-    ids = spark.createDataFrame([(1, [(7, 1), (7, 2)]), (2, [(7, 1), None])], "k long, ids array<struct<id: long, h: int>>")
+    ids = spark.createDataFrame([(1, 0, 0, [(7, 1), (7, 2)]), (2, 0, 0, [(7, 1), None])], "k long, th long, tl int, ids array<struct<id: long, h: int>>")
     none = spark.createDataFrame([], "node long, h int, root long")
     assert {r["k"]: r["removed"] for r in line_dedup._removed(ids, none).collect()} == {2: [0]}
 
 
-def test_heads_of_roots_by_broadcast_and_by_salt_agree(spark, docs):
-    some, kept = docs.limit(80), line_dedup.BROADCAST_IDS
+def test_large_groups_by_broadcast_and_by_join_agree(spark, docs, monkeypatch):
+    some = docs.limit(80)
     want = sorted(map(str, line_dedup.report(some).collect()))
-    line_dedup.BROADCAST_IDS = 0
-    try:
-        assert sorted(map(str, line_dedup.report(some).collect())) == want
-    finally:
-        line_dedup.BROADCAST_IDS = kept
+    monkeypatch.setattr("panelwright.llm.common.LARGE_GROUP", 1)
+    assert sorted(map(str, line_dedup.report(some).collect())) == want
 
 
 def test_lines_across_components_join():
@@ -602,6 +645,16 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] or 0) for r in simhash.one_of_each(df).collect()) == [0, 1, 9]
     nulls = spark.createDataFrame([(None, text), (None, text), (9, "x"), (9, "x"), (9, "y")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in simhash.one_of_each(nulls).collect()) == [0, 0, 9, 9]
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text), (5, text), (5, other), (5, other), (6, other), (7, text + " end"), (8, other), (8, text), (8, "of its own")]
+    mixed = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, of_k int, th int")
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(mixed).collect()) == [(1, text), (5, other), (8, "of its own")]
+    assert simhash.one_of_each(mixed).columns == mixed.columns
+    both = spark.createDataFrame([(3, text), (3, text + " end"), (3, text.upper())], "doc_id long, text string")
+    assert simhash.one_of_each(both).count() == 1
+    hot = spark.createDataFrame([(i, text if i % 3 == 0 else f"{i} " * 5 + f"tail {i}") for i in range(1200)], "doc_id long, text string").repartition(5)
+    assert simhash.one_of_each(hot).filter("doc_id % 3 = 0").collect()[0]["doc_id"] == 0 and simhash.one_of_each(hot).count() == 801
+    assert {r["component_id"] for r in simhash.groups(hot).filter("doc_id % 3 = 0").collect()} == {0}
 
 
 def test_one_of_each_takes_near_copies_from_a_similarity_of_08(spark):
@@ -664,8 +717,8 @@ def brute_kept(rows):
     return [i for i, (*_, s) in enumerate(rows) if not failed[i] and s not in bad]
 
 
-def brute_near(rows):
-    """Keys of (doc_id, text) rows that have no near copy with a smaller key in their group."""
+def brute_near(rows, hashes):
+    """(doc_id, text) rows, each once, that come first in their group of near copies, by key and hash."""
     texts = sorted({t for _, t in rows})
     low = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in texts]
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(words, low)]
@@ -680,11 +733,10 @@ def brute_near(rows):
         for j in range(i):
             if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
                 root[find(i)] = find(j)
-    of, least = {t: find(i) for i, t in enumerate(texts)}, {}
+    of, first = {t: find(i) for i, t in enumerate(texts)}, {}
     for i, t in rows:
-        least[of[t]] = min(i, least.get(of[t], i))
-    gone = {i for i, t in rows if i > least[of[t]]}
-    return {i for i, _ in rows} - gone
+        first[of[t]] = min((i, hashes[t], t), first.get(of[t], (i, hashes[t], t)))
+    return {(i, t) for i, _, t in first.values()}
 
 
 def test_pipeline_against_brute_force(spark, docs, tmp_path):
@@ -704,24 +756,25 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
     # The host that fails takes its one good document with it.
     rows = given + [(10_000 + i, t, "made" if i % 5 else None) for i, t in enumerate(made)] + [(20_000 + i, f"x{i}", "failing") for i in range(60)] + [(20_060, " ".join(fresh(90)), "failing")]
     rows += [rows[-1], (10_000, made[0], None)]
+    # Unlike texts of one key: one repeats lines, one is clean, one holds a benchmark passage.
+    rows += [(30_000, " ".join(fresh(80)) + f"\n{shared}", None), (30_000, " ".join(fresh(70)), None), (30_000, " ".join(fresh(60)) + f" {item}", None)]
     spark.createDataFrame([(i, t, "en", s, len(t or ""), 5) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, gone_key int").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf_dir()}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     left = [rows[i][:2] for i in brute_kept(rows)]
     assert 20_060 not in dict(left) and 10_011 in dict(left) and 10_010 not in dict(left)
-    gone = brute_lines(left)
-    left = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ()))) for i, t in left]
-    stay = brute_near(left)
+    gone = brute_lines_by_row(left, row_hash(spark, [t for _, t in left]))
+    left = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[(True, i), t])) for i, t in left]
     # Rows equal in key and text are one document.
-    left = sorted({(i, t) for i, t in left if i in stay})
-    assert any(i == 10_000 for i, _ in left) and not stay & {10_001, 10_002}
+    left = sorted(brute_near(left, row_hash(spark, [t for _, t in left])))
+    assert any(i == 10_000 for i, _ in left) and not {i for i, _ in left} & {10_001, 10_002}
     windows = set()
     for (t,) in spark.read.parquet(f"{tmp_path}/benchmark.parquet").select("text").collect():
         w = item_words(t)
         windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
     sizes = {len(x) for x in windows}
     left = [(i, t) for i, t in left if not any(tuple(w[k : k + n]) in windows for w in [item_words(t)] for n in sizes for k in range(len(w) - n + 1))]
-    assert 10_006 not in dict(left) and len(left) > 20
+    assert 10_006 not in dict(left) and len(left) > 20 and sum(i == 30_000 for i, _ in left) == 2
     tok, want = tokens.load(public_tokenizers.path("word_bpe_49k.json")), Counter()
     for i, t in left:
         ids = np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4")
