@@ -685,7 +685,7 @@ def test_components_of_paths_and_stars(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_on_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{sf_dir()}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.queries()[name](spark, str(tmp_path)).count() == 0
 

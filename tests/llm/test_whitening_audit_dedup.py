@@ -10,7 +10,6 @@ import numpy as np
 import pytest
 from conftest import sf_dir
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelwright.llm import exact_dedup, filter_audit, queries, whitening
 from panelwright.llm.common import large_limit, with_groups
@@ -279,11 +278,3 @@ def test_groups_by_broadcast_and_by_join_agree(spark):
         got = with_groups(rows, groups, ["g"], "n", limit)
         assert got.count() == 1000
         assert {(r["id"], r["n"], r["least"]) for r in got.collect()} == {(r["id"], *((r["n"], r["least"]) if r["n"] > 1 else (None, None))) for r in rows.join(groups, "g").collect()}
-
-
-@pytest.mark.parametrize("name", ["op11_whitening", "op12_filter_audit", "op13_exact_dedup"])
-def test_new_queries_on_empty_tables(spark, tmp_path, name):
-    forms = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "embeddings": "vec_id long, embedding array<float>, label int"}
-    for table, form in forms.items():
-        spark.createDataFrame([], T._parse_datatype_string(form)).write.parquet(f"{tmp_path}/{table}.parquet")
-    assert queries.queries()[name](spark, str(tmp_path)).isEmpty()
