@@ -193,6 +193,48 @@ def best_alignment(p: DataFrame, by: str, candidate: str, value: str) -> DataFra
     return c.groupBy(by).agg(F.min(candidate).alias(candidate), F.first("best").alias(value))
 
 
+def compare_panels(a: DataFrame, b: DataFrame, columns: dict[str, str], key: str = "permno", alignments: tuple = ("signal_yyyymm", "target_yyyymm"), month: str = "month", min_pairs: int = 50, low: float = 0.5, every: bool = False) -> DataFrame:
+    """How each column pair {a's: b's} agrees, under that alignment of a's months to b's under which it does best.
+
+    (char, alignment, keys and entities of either and both, n, pooled_rho, median, mean and share of low monthly rank
+    correlations, match rates, pearson, rmse.) Both panels become long, a's once for each alignment, within b's months;
+    one aggregation by key pairs them and tells what only one has, one by entity and one by column sum all that needs no
+    rank. The best alignment is that of the highest median; of a tie, or without any, the first. every: all alignments.
+    """
+    span = b.agg(F.min(month).alias("_from"), F.max(month).alias("_to"))
+    cell = lambda c, name, at, **more: F.struct(F.lit(name).alias("char"), F.lit(at[0]).alias("alignment"), F.lit(at[1]).alias("_order"), *(v.alias(k) for k, v in more.items()))
+    none, order = F.lit(None).cast("double"), list(zip(alignments, range(len(alignments)), strict=True))
+    left = _met(a, span, []).select(key, F.explode(F.array(*(cell(c, c, at, _m=F.col(at[0]), x=F.col(c).cast("double"), y=none) for at in order for c in columns))).alias("_c"), "_from", "_to").select(key, "_c.*", "_from", "_to").filter(F.col("x").isNotNull() & F.col("_m").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
+    right = b.select(key, F.explode(F.array(*(cell(d, c, at, _m=F.col(month), x=none, y=F.col(d).cast("double")) for at in order for c, d in columns.items()))).alias("_c")).select(key, "_c.*").filter(F.col("y").isNotNull())
+    by = ["char", "alignment", "_order"]
+    met = left.unionByName(right).groupBy(*by, key, "_m").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    both, d = F.col("x").isNotNull() & F.col("y").isNotNull(), F.abs(F.col("x") - F.col("y"))
+    if_both = lambda c: F.sum(F.when(both, c.cast("double")))
+    sums = {"_both": F.count_if(both), "_a": F.count("x"), "_b": F.count("y"), "_sd": if_both(d * d), "_abs": if_both(d <= 1e-4), "_round": if_both(F.round("x", 4) == F.round("y", 4)), "_rel": if_both(d <= 1e-3 * (1 + F.abs("y")))}
+    entity = met.groupBy(*by, key).agg(*(v.alias(k) for k, v in sums.items()))
+    n = lambda c: F.sum(c).alias(c)
+    has = lambda c: F.count_if(F.col(c) > 0)
+    whole = entity.groupBy(*by).agg(*map(n, sums), has("_a").alias("entities_a"), has("_b").alias("entities_b"), has("_both").alias("entities_both"))
+    share = lambda c: F.try_divide(c, "_both")
+    told = whole.select(*by, F.col("_a").alias("keys_a"), F.col("_b").alias("keys_b"), F.col("_both").alias("n"), (F.col("_b") - F.col("_both")).alias("only_b"), (F.col("_a") - F.col("_both")).alias("only_a"), "entities_a", "entities_b", "entities_both", share("_abs").alias("abs_1e4"), share("_round").alias("round_4"), share("_rel").alias("rel_1e3"), F.sqrt(share("_sd")).alias("rmse"))
+    pairs_ = met.filter(both)
+    pooled = spearman(pairs_, by, 2, "pooled_rho", large=True).drop("n")
+    pearson = pairs_.groupBy(*by).agg(correlation("x", "y").alias("pearson"))
+    monthly = spearman(pairs_, [*by, "_m"], min_pairs).dropna(subset=["rho"]).groupBy(*by).agg(F.count("*").alias("months"), F.median("rho").alias("median_rho"), F.avg("rho").alias("mean_rho"), F.avg((F.col("rho") < low).cast("double")).alias("share_low"))
+    out = told.join(pooled, by, "left").join(pearson, by, "left").join(monthly, by, "left").withColumn("months", F.coalesce("months", F.lit(0)))
+    if every:
+        return out.drop("_order")
+    rest = [c for c in out.columns if c not in ("char", "_order")]
+    best = out.groupBy("char").agg(F.max_by(F.struct(*rest), F.struct(F.col("median_rho").isNotNull(), F.col("median_rho"), -F.col("_order"))).alias("_best"))
+    return best.select("char", "_best.*")
+
+
+def ranked_last_nulls(stats: DataFrame, value: str, name: str = "char", out: str = "place") -> DataFrame:
+    """stats of columns in order of agreement: the best first, those without a value last, by name where they tie."""
+    w = Window.orderBy(F.col(value).desc_nulls_last(), name)
+    return stats.withColumn(out, F.row_number().over(w)).orderBy(out)
+
+
 def agreement_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """(a, b, corr) of average ranks for every two columns, in one aggregation over rows that have all."""
     ranked = df.dropna(subset=cols).select(*(F.col(c).cast("double").alias(c) for c in cols))

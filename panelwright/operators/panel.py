@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import finite
+from ..storage import staged
 from .crosssection import standardized
 
 #: Columns that are never features.
@@ -69,16 +69,8 @@ def month_universe(dfs: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the checkpoint folder: for a plan that many others are built on.
-
-    The folder is that of spark.checkpoint.dir; where none is set, a temporary one serves a master that is this machine alone.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
-    return df.checkpoint()
+    """df, computed once and kept in the shared folder: for a plan that many others are built on."""
+    return staged(df, "cut")
 
 
 #: What a table of months must have so that features can be aligned to it.
@@ -145,16 +137,38 @@ def trim(df: DataFrame, wanted: list[str], ids: list[str]) -> DataFrame:
 
 
 def write_panel(df: DataFrame, path: str, month: str = "target_yyyymm", key: str = "permno") -> None:
-    """Ranges of months, sorted within, so that readers skip files; written by month."""
-    df.repartitionByRange(month, key).sortWithinPartitions(month, key).write.mode("overwrite").parquet(path)
+    """A table of months: those that df has are replaced, all others stay.
+
+    Rows are dealt by ranges of months and entities, sorted within, so that a month is a few files, whose footers let
+    readers of some entities skip.
+    """
+    dealt = df.repartitionByRange(month, key).sortWithinPartitions(month, key)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
+
+
+def read_panel(spark: SparkSession, path: str, months: tuple[int, int] | None = None, month: str = "target_yyyymm") -> DataFrame:
+    """A table of write_panel(), of the months from the first to the last named: the folders of others are not read."""
+    df = spark.read.parquet(path)
+    return df if months is None else df.filter(F.col(month).between(*months))
 
 
 def write_feature(df: DataFrame, value: str, path: str, month: str = "signal_yyyymm") -> None:
-    """Rows with a finite value, partitioned by month."""
-    df.withColumn(value, finite(value)).dropna(subset=[value]).write.mode("overwrite").partitionBy(month).parquet(path)
+    """Rows with a finite value, partitioned by month; months that df has are replaced."""
+    told = df.withColumn(value, finite(value)).dropna(subset=[value])
+    told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "permno", month: str = "signal_yyyymm") -> None:
+    """A table of the catalogue in buckets of entities: tables of as many buckets are joined and summed by entity without an exchange."""
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key, month).saveAsTable(table)
 
 
 def degenerate(df: DataFrame, col: str, value: float = -1.0, tol: float = 1e-8) -> bool:
     """Whether all values of a column are about the same one."""
-    r = df.agg(F.max(F.abs(F.col(col) - value)).alias("d"), F.count(col).alias("n")).first()
-    return bool(r["n"]) and r["d"] <= tol
+    return bool(degenerate_columns(df, [col], value, tol).first()["degenerate"])
+
+
+def degenerate_columns(df: DataFrame, cols: list[str], value: float = -1.0, tol: float = 1e-8) -> DataFrame:
+    """(char, n, degenerate) of each column, in one pass: whether it has values and all are about the same one."""
+    one = df.agg(*(F.struct(F.lit(c).alias("char"), F.count(c).alias("n"), F.coalesce(F.max(F.abs(F.col(c).cast("double") - value)) <= tol, F.lit(False)).alias("degenerate")).alias(c) for c in cols))
+    return one.select(F.inline(F.array(*cols)))

@@ -102,23 +102,28 @@ def swept(df: DataFrame, stem: str, k: int) -> DataFrame:
 
 
 def daily_excess(daily: DataFrame, delist: DataFrame, factors: DataFrame, key: str = "permno", date: str = "date", rf: str = "rf", out: str = "exret") -> DataFrame:
-    """Daily rows with factors and out: the return compounded with the delisting return of the very day, over the rate; a missing return of either kind is 0."""
+    """Daily rows with factors, where the day has any, and out: the return compounded with the delisting return of the very day, over the rate; a missing return of either kind is 0."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    j = daily.join(delist.select(key, date, "dlret"), [key, date], "left").join(factors, date)
+    j = daily.join(delist.select(key, date, "dlret"), [key, date], "left").join(factors, date, "left")
     return j.withColumn(out, (1 + zero("ret")) * (1 + zero("dlret")) - 1 - F.col(rf))
 
 
 def residual_variance(daily: DataFrame, key: str, date: str, y: str, xs: list[str], out: str, periods: int = 3, min_obs: int = 21) -> DataFrame:
     """(key, m, out): variance of the residuals of y on one or three factors over a month and the observed ones before.
 
+    A month is observed if it has a row; rows without y or a factor do not count.
     Days become a month's sums of products, months are added up over rows, and the normal equations are solved in
     place by determinants.
     """
     cols = [y, *xs]
     k = len(cols)
     names = [f"s{i}" for i in range(k)] + [f"p{i}{j}" for i in range(k) for j in range(i, k)]
-    sums = [F.sum(c) for c in cols] + [F.sum(F.col(cols[i]) * F.col(cols[j])) for i in range(k) for j in range(i, k)]
-    monthly = daily.dropna(subset=cols).groupBy(key, month_index(F.col(date)).alias("m")).agg(F.count("*").alias("n"), *(s.alias(a) for s, a in zip(sums, names, strict=True)))
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    of = lambda e: F.coalesce(F.sum(F.when(whole, e)), F.lit(0.0))
+    sums = [of(F.col(c)) for c in cols] + [of(F.col(cols[i]) * F.col(cols[j])) for i in range(k) for j in range(i, k)]
+    monthly = daily.groupBy(key, month_index(F.col(date)).alias("m")).agg(F.count_if(whole).alias("n"), *(s.alias(a) for s, a in zip(sums, names, strict=True)))
     w = Window.partitionBy(key).orderBy("m").rowsBetween(-(periods - 1), 0)
     rolled = monthly.select(key, "m", *(F.sum(c).over(w).alias(c) for c in ("n", *names)))
     c = {(i, j): F.col(f"p{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") for i in range(k) for j in range(i, k)}

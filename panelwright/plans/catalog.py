@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compare_queries, feature_queries, more_queries, operator_queries, profile_queries
+from . import compare_queries, feature_queries, more_queries, operator_queries, profile_queries, storage_queries
 
-ALL = [*operator_queries.QUERIES, *feature_queries.QUERIES, *compare_queries.QUERIES, *more_queries.QUERIES, *profile_queries.QUERIES]
+ALL = [*operator_queries.QUERIES, *feature_queries.QUERIES, *compare_queries.QUERIES, *more_queries.QUERIES, *profile_queries.QUERIES, *storage_queries.QUERIES]
 
 
 def queries() -> dict:

@@ -83,11 +83,11 @@ def _industry_month(v):
 
 
 def _weekly(v):
-    return regression.with_market(regression.compound(v("security_day"), "permno", "date", "ret"))
+    return regression.with_market(regression.compound(v("stock_day"), "permno", "date", "ret"))
 
 
 WEEKLY_SQL = """SELECT permno, week, ret, avg(ret) OVER (PARTITION BY week) AS mkt FROM (SELECT permno, date + CAST(4 - (isodow(date) - 1) AS INTEGER) AS week,
-    product(1 + ret) - 1 AS ret FROM {security_day} GROUP BY 1, 2)"""
+    product(1 + ret) - 1 AS ret FROM {stock_day} GROUP BY 1, 2)"""
 SPREAD = """SELECT w.*, unnest(range(CASE WHEN day(week) = 1 THEN year(week) * 12 + month(week) ELSE year(week) * 12 + month(week) + 1 END, year(week) * 12 + month(week) + 36)) AS m FROM (""" + WEEKLY_SQL + ") w WHERE ret IS NOT NULL"
 BETA_SQL = f"""SELECT permno, m, n_obs, sxy / nullif(sxx, 0) AS beta, pow(sxy / nullif(sxx, 0), 2) AS betasq, sqrt(greatest(syy - sxy * sxy / nullif(sxx, 0), 0) / (n_obs - 1)) AS idiovol
     FROM (SELECT permno, m, count(*) AS n_obs, regr_sxy(ret, mkt) AS sxy, regr_sxx(ret, mkt) AS sxx, regr_syy(ret, mkt) AS syy FROM ({SPREAD}) GROUP BY 1, 2) JOIN (SELECT permno, m FROM {{security_month}}) USING (permno, m) WHERE n_obs >= 52"""
@@ -109,13 +109,14 @@ def sweep_sql(source: str, keep: str, k: int) -> str:
     return source
 
 
-EXCESS_DAY = "(SELECT d.permno, d.date, (1 + coalesce(d.ret, 0)) * (1 + coalesce(x.dlret, 0)) - 1 - f.rf AS y, f.mktrf, f.smb, f.hml FROM {stock_day} d JOIN {factors_day} f ON d.date = f.date LEFT JOIN {delist_day} x ON x.permno = d.permno AND x.date = d.date)"
+EXCESS_DAY = "(SELECT d.permno, d.date, (1 + coalesce(d.ret, 0)) * (1 + coalesce(x.dlret, 0)) - 1 - f.rf AS y, f.mktrf, f.smb, f.hml FROM {stock_day} d LEFT JOIN {factors_day} f ON d.date = f.date LEFT JOIN {delist_day} x ON x.permno = d.permno AND x.date = d.date)"
 
 
 def _residual_sql(factors: list[str], out: str, min_obs: int = 21) -> str:
     cols, k = ["y", *factors], 1 + len(factors)
     two = [(i, j) for i in range(k) for j in range(i, k)]
-    monthly = "(SELECT permno, year(date) * 12 + month(date) - 1 AS m, count(*) AS n, " + ", ".join([f"sum({c}) AS s{i}" for i, c in enumerate(cols)] + [f"sum({cols[i]} * {cols[j]}) AS p{i}_{j}" for i, j in two]) + f" FROM {EXCESS_DAY} GROUP BY 1, 2)"
+    ok = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    monthly = "(SELECT permno, year(date) * 12 + month(date) - 1 AS m, count(*) FILTER ({ok}) AS n, ".replace("{ok}", ok) + ", ".join([f"coalesce(sum({c}) FILTER ({ok}), 0) AS s{i}" for i, c in enumerate(cols)] + [f"coalesce(sum({cols[i]} * {cols[j]}) FILTER ({ok}), 0) AS p{i}_{j}" for i, j in two]) + f" FROM {EXCESS_DAY} GROUP BY 1, 2)"
     names = ["n", *(f"s{i}" for i in range(k)), *(f"p{i}_{j}" for i, j in two)]
     rolled = f"(SELECT permno, m, {', '.join(f'sum({c}) OVER w AS {c}' for c in names)} FROM {monthly} WINDOW w AS (PARTITION BY permno ORDER BY m ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"
     centred = f"(SELECT permno, m, n, {', '.join(f'p{i}_{j} - s{i} * s{j} / n AS c{i}_{j}' for i, j in two)} FROM {rolled} WHERE n >= {min_obs})"
@@ -155,14 +156,17 @@ EVENT_SQL = _EVENT.replace(" ev e", _EVENTS)
 
 REVISION_SQL = """SELECT permno, m, re FROM (SELECT permno, year(statpers) * 12 + month(statpers) - 1 AS m, statpers, fpedats, n,
     CASE WHEN n = 4 THEN avg(r) OVER p3 WHEN n = 5 THEN avg(r) OVER p4 WHEN n = 6 THEN avg(r) OVER p5 WHEN n >= 7 THEN avg(r) OVER p6 END AS re
-    FROM (SELECT *, row_number() OVER (PARTITION BY permno, fpedats ORDER BY statpers) AS n FROM (SELECT f.permno, f.statpers, f.fpedats,
-    (f.meanest - lag(f.meanest) OVER (PARTITION BY f.permno, f.fpedats ORDER BY f.statpers)) / s.prc AS r, s.prc FROM {forecasts} f JOIN {security_month} s ON f.permno = s.permno AND f.statpers = s.date) WHERE r IS NOT NULL AND prc > 0)
+    FROM (SELECT *, row_number() OVER (PARTITION BY permno, fpedats ORDER BY statpers) AS n FROM (SELECT s.permno, f.statpers, f.fpedats,
+    (f.meanest - lag(f.meanest) OVER (PARTITION BY s.permno, f.fpedats ORDER BY f.statpers)) / s.prc AS r, s.prc FROM (SELECT * FROM {estimates} QUALIFY row_number() OVER (PARTITION BY ticker, cusip, statpers ORDER BY fpedats DESC, meanest) = 1) f
+    JOIN (SELECT s.permno, substr(n.ncusip, 1, 6) AS code, last_day(last_day(s.date) + INTERVAL 1 MONTH) AS merge_date, abs(s.prc) / (1 + s.permno % 3) AS prc FROM {security_month} s JOIN {names} n ON s.permno = n.permno AND s.date BETWEEN n.namedt AND coalesce(n.nameendt, DATE '9999-12-31')) s
+    ON substr(f.cusip, 1, 6) = s.code AND last_day(f.statpers) = s.merge_date) WHERE r IS NOT NULL AND prc > 0)
     WINDOW """ + ", ".join(f"p{k} AS (PARTITION BY permno ORDER BY fpedats, statpers ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)" for k in (3, 4, 5, 6)) + """)
     WHERE n >= 4 QUALIFY row_number() OVER (PARTITION BY permno, m ORDER BY fpedats DESC, statpers DESC) = 1"""
 
 
 def _revisions(v):
-    return m.revision_feature(v("forecasts"), v("security_month").select("permno", F.col("date").alias("statpers"), F.col("prc").alias("prc_adj")))
+    months = v("security_month").select("permno", "date", "prc", (1 + F.col("permno") % 3).alias("cfacpr"))
+    return m.revision_feature(m.latest_periods(v("estimates")), m.dated_prices(months, v("names")))
 
 
 def _december(v):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_index
 from ..operators.crosssection import demean, group_stat
-from ..operators.links import pick_one
+from ..operators.links import interval_join, pick_one
 from ..operators.timing import event_window, expand_fixed
 from ..operators.windows import compound_lags
 
@@ -82,9 +82,27 @@ def announcement_features(events: DataFrame, daily: DataFrame, key: str = "permn
     return around.join(before, [key, event], "left").select(key, event, "ear", F.try_divide(F.col("_v1") - F.col("_v0"), "_v0").alias("aeavol"))
 
 
-def revision_feature(forecasts: DataFrame, prices: DataFrame, key: str = "permno", period: str = "fpedats", at: str = "statpers") -> DataFrame:
-    """(key, month index, re): mean of the entity's last 3 to 6 revisions over price, by the period's count of revisions."""
-    j = forecasts.join(prices, [key, at])
+def dated_prices(months: DataFrame, names: DataFrame, key: str = "permno", date: str = "date", code: str = "ncusip") -> DataFrame:
+    """(key, cusip6, merge_date, prc_adj): split-adjusted prices by the outside code that the entity had at the price's date.
+
+    A code that changes hands belongs, in each month, to whom the dated names give it. merge_date is the end of the month after.
+    """
+    held = interval_join(months, names.select(key, code, "namedt", "nameendt"), [key], date, "namedt", "nameendt")
+    return held.select(key, F.substring(code, 1, 6).alias("cusip6"), F.last_day(F.add_months(F.last_day(date), 1)).alias("merge_date"), F.try_divide(F.abs("prc"), "cfacpr").alias("prc_adj"))
+
+
+def latest_periods(forecasts: DataFrame) -> DataFrame:
+    """Of the estimates that one statement has of a security, that of the furthest period; with cusip6 and merge_date, its month's end."""
+    one = pick_one(forecasts.dropna(subset=["meanest", "fpedats"]), ["ticker", "cusip", "statpers"], [F.desc("fpedats"), "meanest"])
+    return one.withColumns({"cusip6": F.substring("cusip", 1, 6), "merge_date": F.last_day("statpers")})
+
+
+def revision_feature(forecasts: DataFrame, prices: DataFrame, key: str = "permno", period: str = "fpedats", at: str = "statpers", on: tuple = ("cusip6", "merge_date")) -> DataFrame:
+    """(key, month index, re): mean of the entity's last 3 to 6 revisions over price, by the period's count of revisions.
+
+    forecasts meet prices by `on`: the outside code and the month, so an estimate goes to who has the code then.
+    """
+    j = forecasts.join(prices, list(on))
     one = Window.partitionBy(key, period).orderBy(at)
     r = j.withColumn("_last", F.lag("meanest").over(one)).filter(F.col("_last").isNotNull() & (F.col("prc_adj") > 0)).withColumn("_r", (F.col("meanest") - F.col("_last")) / F.col("prc_adj"))
     n = F.row_number().over(one)

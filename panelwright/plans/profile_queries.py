@@ -66,7 +66,7 @@ def _panel_sql(rules: profiles.Profile, names: list[str]) -> str:
         "events": _in_window(of["events"], f"SELECT t.permno, t.datadate, e.ear, e.aeavol FROM (SELECT DISTINCT permno, datadate, rdq FROM qf) t JOIN ({q._EVENT.replace(' ev e', q._EVENTS.replace(q._EVENTS[q._EVENTS.index('(SELECT DISTINCT') : q._EVENTS.rindex(') e')], '(SELECT DISTINCT permno, rdq FROM qf)'))}) e ON e.permno = t.permno AND e.rdq = t.rdq"),
         "monthly": f"SELECT permno, m AS k, {', '.join('CASE WHEN industry IS NOT NULL THEN indmom END AS indmom' if n == 'indmom' else n for n in of['monthly'])} FROM ({q._MONTHLY.replace('SOURCE', 'SELECT *, sic2 AS industry FROM u WHERE ret IS NOT NULL')})",
         "daily": f"SELECT x.permno, x.m AS k, {', '.join(of['daily'])} FROM (SELECT permno, m, lag(m) OVER (PARTITION BY permno ORDER BY m) AS src FROM u) x JOIN ({q.DAILY_SQL}) d ON d.permno = x.permno AND d.m = x.src",
-        "regression": f"SELECT permno, m AS k, beta, betasq, idiovol, pricedelay FROM ({q.BETA_SQL}) b LEFT JOIN (SELECT permno, m, pricedelay FROM ({q._delay_sql()})) d USING (permno, m)",
+        "regression": f"SELECT permno, m AS k, beta, betasq, idiovol, pricedelay FROM ({q.BETA_SQL.replace('stock_day', 'security_day')}) b LEFT JOIN (SELECT permno, m, pricedelay FROM ({q._delay_sql().replace('stock_day', 'security_day')})) d USING (permno, m)",
         "december": "SELECT permno, permco, year(date) AS year, abs(prc) * shrout AS value FROM u WHERE m % 12 = 11",
         "bm": f"SELECT permno, datadate, sic, book_to_market FROM (SELECT b.*, b.book * 1000 / nullif(f.v, 0) AS book_to_market, d.value AS own FROM (SELECT * FROM ({books}) WHERE book > 0 QUALIFY row_number() OVER (PARTITION BY gvkey, year(datadate) ORDER BY datadate DESC) = 1) b JOIN (SELECT permco, year, sum(value) AS v FROM december GROUP BY 1, 2) f ON b.permco = f.permco AND year(b.datadate) = f.year LEFT JOIN december d ON b.permno = d.permno AND year(b.datadate) = d.year) WHERE book_to_market > 0 QUALIFY row_number() OVER (PARTITION BY permno, datadate ORDER BY own DESC NULLS LAST, gvkey) = 1",
         "june": f"SELECT permno, k, book_to_market, book_to_market - avg(book_to_market) OVER (PARTITION BY floor(sic / 100), k) AS bm_ia FROM (SELECT *, {june} FROM bm) QUALIFY row_number() OVER (PARTITION BY permno, k ORDER BY datadate DESC) = 1",

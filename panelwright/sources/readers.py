@@ -44,6 +44,11 @@ def annual_fundamentals(df: DataFrame, start=None, end=None) -> DataFrame:
     return df if end is None else df.filter(F.col("datadate") <= F.lit(end))
 
 
+def with_company(df: DataFrame, company: DataFrame, columns: tuple = ("sic",), key: str = "gvkey") -> DataFrame:
+    """Reports with columns of the company's own table, NULL where it has none; they take the place of columns of these names."""
+    return df.drop(*columns).join(company.select(key, *columns).dropDuplicates([key]), key, "left")
+
+
 def quarterly_fundamentals(df: DataFrame, start: str = "1975-01-01") -> DataFrame:
     out = df.dropna(subset=["ibq"]).filter(F.col("datadate") >= F.lit(start).cast("date"))
     if "cusip" in df.columns:

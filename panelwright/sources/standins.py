@@ -33,17 +33,19 @@ VIEWS = {
         round(avg(ret) + 3e-12, 10) AS ret, round(avg(prc) + 3e-8, 6) AS prc, sum(vol) AS vol, max(shrout) AS shrout
         FROM {security_day} GROUP BY permno, last_day(date), year(date), month(date)""",
     "names": """SELECT s_suppkey AS permno, cast('1990-01-01' AS date) AS namedt, cast('1998-06-30' AS date) AS nameendt,
-        n_regionkey % 4 + 1 AS exchcd, 10 + s_suppkey % 3 AS shrcd, 100 * (n_nationkey + 1) + s_suppkey % 100 AS siccd
-        FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+        n_regionkey % 4 + 1 AS exchcd, 10 + s_suppkey % 3 AS shrcd, 100 * (n_nationkey + 1) + s_suppkey % 100 AS siccd,
+        concat('C', lpad(cast(s_suppkey AS varchar(9)), 5, '0'), '10') AS ncusip FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
         UNION ALL SELECT s_suppkey, cast('1998-07-01' AS date), cast(NULL AS date), n_regionkey % 4 + 1, 10 + s_suppkey % 2,
-        100 * (n_nationkey + 1) + (s_suppkey + 7) % 100 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
+        100 * (n_nationkey + 1) + (s_suppkey + 7) % 100, concat('C', lpad(cast(CASE s_suppkey % 4 WHEN 0 THEN s_suppkey + 50000 WHEN 1 THEN s_suppkey - 1 ELSE s_suppkey END AS varchar(9)), 5, '0'), '10')
+        FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
     "delist": """SELECT permno, m, CASE WHEN permno % 2 = 0 THEN NULL ELSE -0.1e0 END AS dlret,
         CASE m % 6 WHEN 0 THEN 560 WHEN 1 THEN 505 WHEN 2 THEN 510 WHEN 3 THEN 501 WHEN 4 THEN 500 ELSE 200 END AS dlstcd
         FROM {security_month} WHERE (permno + m) % 17 = 0""",
-    "stock_day": """SELECT permno, date, CASE WHEN (permno + day(date)) % 19 = 0 THEN NULL ELSE ret END AS ret FROM {security_day}""",
+    "stock_day": """SELECT permno, date, CASE WHEN (permno + day(date)) % 19 = 0 THEN NULL WHEN permno % 11 = 3 AND month(date) = 5 AND day(date) = 11 THEN -1e0 ELSE ret END AS ret FROM {security_day}""",
     "delist_day": """SELECT permno, date, CASE WHEN permno % 5 = 0 THEN NULL ELSE -0.3e0 END AS dlret FROM {security_day} WHERE (permno * 3 + day(date)) % 23 = 0""",
     "factors_day": """SELECT cast(l_shipdate AS date) AS date, avg(l_discount) - 0.04e0 AS mktrf, avg(l_tax) - 0.03e0 AS smb,
-        avg(l_quantity) / 1000 - 0.025e0 AS hml, 0.0001e0 AS rf FROM {lineitem} GROUP BY cast(l_shipdate AS date)""",
+        avg(l_quantity) / 1000 - 0.025e0 AS hml, 0.0001e0 AS rf FROM {lineitem}
+        WHERE year(l_shipdate) * 100 + month(l_shipdate) NOT IN (199705, 199706) AND day(l_shipdate) <> 17 GROUP BY cast(l_shipdate AS date)""",
     "factors_month": """SELECT year(date) * 12 + month(date) - 1 AS m, avg(mktrf) + 3e0 AS rf FROM {factors_day} GROUP BY year(date) * 12 + month(date) - 1""",
     "macro": """SELECT year(date) * 100 + month(date) AS yyyymm, avg(prc) AS index, avg(bidlo) / 20 AS d12, avg(askhi) / 18 AS e12,
         avg(ret) + 0.5e0 AS bm, avg(ret) AS tbl, avg(ret) * 2 AS aaa, avg(ret) * 3 + 0.01e0 AS baa, avg(ret) + 0.02e0 AS lty,
@@ -60,6 +62,7 @@ VIEWS = {
         {_items("ib ni oancf capx txt txdi", 61, _SIGNED)},
         {_items("seq pstkrv pstkl", 71, _GAPS)}, {_items("txditc", 81, _ZEROS)}
         FROM {{company_year}} JOIN {{customer}} ON gvkey = c_custkey""",
+    "company": """SELECT c_custkey AS gvkey, 100 * (c_nationkey + 1) + c_custkey % 37 AS sic FROM {customer} WHERE c_custkey % 6 <> 0""",
     "company_quarter": """SELECT o_custkey AS gvkey, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS t, sum(o_totalprice) / 100000 AS base
         FROM {orders} GROUP BY o_custkey, year(o_orderdate) * 4 + quarter(o_orderdate) - 1""",
     "fundamentals_quarter": f"""SELECT gvkey, last_day(make_date(cast(floor(t / 4e0) AS int), cast(t % 4 * 3 + 3 AS int), 1)) AS datadate,
@@ -79,6 +82,9 @@ VIEWS = {
     "forecasts": """SELECT o_custkey % (SELECT count(*) FROM {supplier}) AS permno, last_day(cast(o_orderdate AS date)) AS statpers,
         make_date(cast(year(o_orderdate) AS int), 12, 31) AS fpedats, avg(o_totalprice) / 10000 AS meanest
         FROM {orders} GROUP BY o_custkey % (SELECT count(*) FROM {supplier}), last_day(cast(o_orderdate AS date)), make_date(cast(year(o_orderdate) AS int), 12, 31)""",
+    "estimates": """SELECT concat('T', cast(permno AS varchar(9))) AS ticker, concat('C', lpad(cast(permno AS varchar(9)), 5, '0'), '10') AS cusip, fpedats, statpers, meanest FROM {forecasts}
+        UNION ALL SELECT concat('T', cast(permno AS varchar(9))), concat('C', lpad(cast(permno AS varchar(9)), 5, '0'), '10'), make_date(cast(year(fpedats) + 1 AS int), 12, 31), statpers, meanest * 1.1e0
+        FROM {forecasts} WHERE month(statpers) = 12 AND permno % 3 = 0""",
     "panel_a": """SELECT s.permno, s.m, s.signal_yyyymm, s.target_yyyymm, n.siccd % 10 AS industry,
         CASE WHEN (s.permno + s.m) % 23 = 0 THEN NULL ELSE s.ret END AS a, s.prc / 1000 AS b, s.vol / 100 AS c
         FROM {security_month} s JOIN {names} n ON s.permno = n.permno AND n.nameendt IS NULL""",
