@@ -68,7 +68,7 @@ def with_quantiles(long: DataFrame, by: list[str], qs: dict[str, float]) -> Data
     at = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in qs.items()}
     met = lambda x: F.max(F.when((F.col("_place") == x) & F.col("_v").isNotNull(), F.col("_v"))).over(group)
     ends = placed.select("*", *(met(f(x)).alias(f"_{k}_{name}") for name, x in at.items() for k, f in (("l", F.floor), ("h", F.ceil))))
-    mixed = {name: F.when(F.col(f"_l_{name}") == F.col(f"_h_{name}"), F.col(f"_l_{name}")).otherwise(F.col(f"_l_{name}") + (F.col(f"_h_{name}") - F.col(f"_l_{name}")) * (x - F.floor(x))) for name, x in at.items()}
+    mixed = {name: F.when(F.col(f"_l_{name}") == F.col(f"_h_{name}"), F.col(f"_l_{name}")).otherwise(F.col(f"_l_{name}") * (1 - (x - F.floor(x))) + F.col(f"_h_{name}") * (x - F.floor(x))) for name, x in at.items()}
     return ends.select(*long.columns, "_n", *(v.alias(name) for name, v in mixed.items()))
 
 

@@ -14,16 +14,16 @@ from . import planner, profiles
 from .operator_queries import _rank_sql
 from .shapes import Query
 
-#: Imputation by a scheme that the library has.
-RULES = {k: replace(p, scheme=38) for k, p in profiles.PROFILES.items()}
+#: Imputation by a scheme that the library has; ranks of eight decimals, as two engines add up in other orders.
+DIGITS = 8
+RULES = {k: replace(p, scheme=38, digits=DIGITS) for k, p in profiles.PROFILES.items()}
 INTEGERS = {"divi", "divo", "rd", "convind", "securedind", "sin", "age", "ps", "nincr", "ms", "herf"} - {"herf"}
 LOOSE = {"pricedelay": 3, "ill": 8, "beta": 4, "betasq": 4}
 TEXT = ("sic2",)
 
 
 def _names(name: str) -> list[str]:
-    """All names; ear's sums tie but for their rounding, so two engines rank them differently."""
-    return profiles.PUBLISHED if profiles.PROFILES[name].published else [n for n in planner.every_name() if n != "ear" or not profiles.PROFILES[name].ranked]
+    return profiles.PUBLISHED if profiles.PROFILES[name].published else planner.every_name()
 
 
 def _tables(v):
@@ -97,7 +97,8 @@ def _sql(name: str) -> str:
     ranges = ", ".join(f"({n}, {low}, {high}, {i})" for i, (n, _, low, high) in enumerate(industry.ranges(rules.scheme)))
     numbers = [n for n in names if n not in TEXT]
     by = lambda *k: f"OVER (PARTITION BY {', '.join(('signal_yyyymm', *k))})"
-    coded = f"coded AS (SELECT panel.*, (SELECT number FROM (VALUES {ranges}) r(number, low, high, ord) WHERE panel.sic BETWEEN low AND high ORDER BY ord DESC LIMIT 1) AS industry FROM panel WHERE target_yyyymm >= {rules.ranked_from})"
+    shown = ", ".join(f"round({n} + {0.37 * 10.0 ** (-DIGITS - 3)!r}, {DIGITS}) AS {n}" for n in numbers)
+    coded = f"coded AS (SELECT {ids}, sic2, {shown}, (SELECT number FROM (VALUES {ranges}) r(number, low, high, ord) WHERE panel.sic BETWEEN low AND high ORDER BY ord DESC LIMIT 1) AS industry FROM panel WHERE target_yyyymm >= {rules.ranked_from})"
     drawn = f"drawn AS ({_drawn(numbers, ([], numbers), 'coded', f'{ids}, industry, sic2')})"
     filled = f"filled AS (SELECT {ids}, sic2, {', '.join(f'coalesce({c}, median({c}) {by('industry')}, median({c}) {by()}) AS {c}' for c in numbers)} FROM drawn)"
     return f"{sql}, {coded}, {drawn}, {filled} SELECT {ids}, sic2, {', '.join(f'{_rank_sql(c, 'signal_yyyymm')} AS {c}' for c in numbers)} FROM filled"

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.industry import with_scheme
@@ -25,6 +26,7 @@ PUBLISHED = """convind rd_sale rd_mve realestate dy dolvol saleinv mom1m secured
 class Profile:
     """links: codes of link types, a trailing * for a prefix. codes: "company" or "history". after: industry means over
     linked reports alone. published: the names are PUBLISHED. scheme: of the industries that missing values are filled in by.
+    digits: decimals that features have when they are ranked, so that those which differ by the order of a sum alone tie.
     """
 
     start: str
@@ -39,6 +41,7 @@ class Profile:
     ranked_from: int = 195701
     published: bool = False
     scheme: int = 49
+    digits: int | None = None
 
 
 #: Fixed values of the three profiles.
@@ -71,5 +74,8 @@ def build(profile: Profile, tables: Callable[[str], DataFrame], names: list[str]
         out = winsorize_by_kind(out, ["signal_yyyymm"])
     if not profile.ranked:
         return out
+    ranked = numbers(out, names)
+    if profile.digits is not None:  # a little off the ties of rounding
+        out = out.withColumns({c: F.round(F.col(c) + 0.37 * 10.0 ** (-profile.digits - 3), profile.digits) for c in ranked})
     coded = with_scheme(out, scheme_text or profile.scheme, "sic", "industry")
-    return panel.research_panel(coded, numbers(out, names), start=profile.ranked_from).drop("industry")
+    return panel.research_panel(coded, ranked, start=profile.ranked_from).drop("industry")
