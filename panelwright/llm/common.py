@@ -2,59 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop_scratch, scratch, shared_dir, staged  # noqa: F401 - for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share, or that of setCheckpointDir().
-
-    Where neither is set, a temporary folder serves a master that is this machine alone; elsewhere it is an error.
-    """
-    kept = spark.conf.get("spark.checkpoint.dir", None)
-    if kept:
-        return kept.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/panelwright-{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that df does not have."""
     taken, name = {c.lower() for c in df.columns}, stem

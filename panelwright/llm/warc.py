@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import large_limit, staged, with_groups
 
 MAGIC = b"\x1f\x8b\x08"
 BROADCAST_ROWS = 500_000
@@ -63,10 +63,12 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", payl
     """(id, url, payload, refers_to): refers_to is the largest id with the same payload, null for that id itself."""
     base = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     digested = base.select("id", F.sha1("payload").alias("digest"))
-    shared = staged(digested.groupBy("digest").agg(F.max("id").alias("largest"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("shared"), "largest"), "shared")
+    shared = staged(digested.groupBy("digest").agg(F.max("id").alias("largest"), F.count("*").alias("n")).filter("n > 1"), "shared")
+    of = base.withColumn("digest", F.sha1("payload"))
     if shared.count() <= BROADCAST_ROWS:
-        shared = F.broadcast(shared)
-    joined = base.withColumn("digest", F.sha1("payload")).join(shared, F.col("digest") == F.col("shared"), "left")
+        joined = of.join(F.broadcast(shared.drop("n")), "digest", "left")
+    else:  # payloads that very many records share are broadcast, whose number is bounded; others meet theirs in a join
+        joined = with_groups(of, shared, ["digest"], "n", large_limit(base))
     return joined.select("id", "url", "payload", F.when(F.col("id") < F.col("largest"), F.col("largest")).alias("refers_to"))
 
 
@@ -121,7 +123,7 @@ class _Bytes:
     """A file's bytes from a place on, read by blocks and let go behind."""
 
     def __init__(self, file, size: int, at: int):
-        self.file, self.size, self.at, self.data = file, size, at, b""
+        self.file, self.size, self.at, self.data = file, size, at, bytearray()
         file.seek(at)
 
     def upto(self, place: int) -> None:
@@ -130,12 +132,21 @@ class _Bytes:
 
     def get(self, start: int, end: int) -> bytes:
         self.upto(end)
-        return self.data[start - self.at : end - self.at]
+        return bytes(self.data[start - self.at : end - self.at])
 
     def drop(self, place: int) -> None:
-        self.data = self.data[place - self.at :]
+        del self.data[: place - self.at]
         self.at = place
 
+    def padded(self, place: int) -> bool:
+        """Whether there are only zeros from a place to the file's end, as tapes and some tools leave them."""
+        while place < self.size:
+            some = self.get(place, min(self.size, place + BLOCK))
+            if some.strip(b"\0"):
+                return False
+            place += len(some)
+        return True
+
     def find(self, start: int, end: int) -> int:
         """The next magic that starts in [start, end), or -1."""
         while start < end:
@@ -178,7 +189,7 @@ def _member(buf: _Bytes, at: int) -> tuple[bytes, int] | None:
             raise Damaged(f"the member at {at} does not decode: {error}") from error
         return None
     end = place - len(z.unused_data)
-    if end < buf.size and buf.get(end, end + 3) != MAGIC:
+    if end < buf.size and buf.get(end, end + 3) != MAGIC and not buf.padded(end):
         raise Damaged(f"no member follows the one at {at}")
     return b"".join(out), end
 
