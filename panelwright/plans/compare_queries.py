@@ -131,8 +131,8 @@ def _buckets(v):
 
 Z = f"(SELECT char, avg(x) OVER w AS mx, stddev_pop(x) OVER w AS sx, avg(y) OVER w AS my, stddev_pop(y) OVER w AS sy, x, y FROM {PAIRS} WINDOW w AS (PARTITION BY char, m))"
 
-_MATRIX = ["a", "c", "a2", "c2"]
-MATRIX = "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {k}) + (count(*) OVER (PARTITION BY {k}) - 1) / 2e0 AS r_{k}" for k in _MATRIX) + " FROM {panel_a} p JOIN (SELECT permno, m, a2, c2 FROM {panel_b}) q ON p.permno = q.permno AND p.m = q.m WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in _MATRIX) + ") " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr(r_{a}, r_{b}) AS corr FROM r" for i, a in enumerate(_MATRIX) for b in _MATRIX[i:])
+_MATRIX = ["a", "b", "c", "a2", "b2", "c2"]
+MATRIX = "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {k}) + (count(*) OVER (PARTITION BY {k}) - 1) / 2e0 AS r_{k}" for k in _MATRIX) + " FROM {panel_a} p JOIN (SELECT permno, m, a2, b2, c2 FROM {panel_b}) q ON p.permno = q.permno AND p.m = q.m WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in _MATRIX) + ") " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr(r_{a}, r_{b}) AS corr FROM r" for i, a in enumerate(_MATRIX) for b in _MATRIX[i:])
 
 QUERIES = [
     Query("coverage", lambda v: compare.coverage(v("panel_a"), v("panel_b"), ["permno", "m"]), "shared left_only right_only share~6", "SELECT count(*) FILTER (q.m IS NOT NULL AND p.m IS NOT NULL) AS shared, count(*) FILTER (q.m IS NULL) AS left_only, count(*) FILTER (p.m IS NULL) AS right_only, count(*) FILTER (q.m IS NOT NULL AND p.m IS NOT NULL) / CAST(count(p.m) AS DOUBLE) AS share FROM {panel_a} p FULL JOIN {panel_b} q ON p.permno = q.permno AND p.m = q.m"),
@@ -152,7 +152,7 @@ QUERIES = [
     Query("shift_search", _shift, "shift n corr~6", "SELECT s AS shift, count(*) AS n, corr(p.c, q.c2) AS corr FROM {panel_a} p, unnest([-2, -1, 0, 1, 2]) t(s) JOIN {panel_b} q ON q.permno = p.permno AND q.m = p.m + s WHERE p.c IS NOT NULL AND q.c2 IS NOT NULL GROUP BY 1"),
     Query("best_shift", lambda v: compare.best_alignment(_shift(v).withColumn("all", F.lit(1)), "all", "shift", "corr"), "shift corr~6", "SELECT s AS shift, corr(p.c, q.c2) AS corr FROM {panel_a} p, unnest([-2, -1, 0, 1, 2]) t(s) JOIN {panel_b} q ON q.permno = p.permno AND q.m = p.m + s WHERE p.c IS NOT NULL AND q.c2 IS NOT NULL GROUP BY 1 ORDER BY 2 DESC LIMIT 1"),
     Query("scale_search", lambda v: compare.scale_search(compare.pairs(v("panel_a"), v("panel_b"), {"b": "b2"}, ["permno", "m"], "m"), [-1.0, 0.01, 1.0, 100.0]), "scale n match~6", f"SELECT s AS scale, count(*) AS n, avg(CASE WHEN abs(x * s - y) <= 1e-6 * (1 + abs(y)) THEN 1e0 ELSE 0 END) AS match FROM {PAIRS}, unnest([-1e0, 0.01e0, 1e0, 100e0]) t(s) WHERE char = 'b' GROUP BY 1"),
-    Query("agreement_matrix", lambda v: compare.agreement_matrix(v("panel_a").join(v("panel_b").select("permno", "m", "a2", "c2"), ["permno", "m"]), ["a", "c", "a2", "c2"]), "a b corr~6", MATRIX),
+    Query("agreement_matrix", lambda v: compare.agreement_matrix(v("panel_a").join(v("panel_b").select("permno", "m", "a2", "b2", "c2"), ["permno", "m"]), _MATRIX), "a b corr~6", MATRIX),
     Query("key_multiplicity", lambda v: compare.key_multiplicity(v("link"), [["gvkey"], ["permno"], ["gvkey", "permno"], ["gvkey", "linkprim"], ["linktype"]]), "keys rows unique_keys duplicate_groups max_multiplicity", " UNION ALL ".join(f"SELECT '{'+'.join(k)}' AS keys, sum(c) AS rows, count(*) AS unique_keys, sum(CASE WHEN c > 1 THEN 1 ELSE 0 END) AS duplicate_groups, max(c) AS max_multiplicity FROM (SELECT count(*) AS c FROM {{link}} GROUP BY {', '.join(k)})" for k in (["gvkey"], ["permno"], ["gvkey", "permno"], ["gvkey", "linkprim"], ["linktype"]))),
     Query("difference_histogram", lambda v: compare.histogram(_pairs(v), F.col("y") - F.col("x") + 1e-7, 2, ["char"]), "char bin n", f"SELECT char, round(y - x + 1e-7, 2) AS bin, count(*) AS n FROM {PAIRS} GROUP BY 1, 2"),
     Query("agreement_by_bucket", _buckets, "bucket n rho~6", f"SELECT b AS bucket, count(*) AS n, corr(rx, ry) AS rho FROM (SELECT b, rank() OVER (PARTITION BY b ORDER BY x) + (count(*) OVER (PARTITION BY b, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2e0 AS ry FROM (SELECT *, CAST(floor(m / 24) * 2 AS BIGINT) AS b FROM {PAIRS} WHERE char = 'c')) GROUP BY 1 HAVING count(*) >= 100"),

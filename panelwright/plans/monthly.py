@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import month_index
+from ..functions.calendar import add_business_days, month_index
 from ..operators.crosssection import demean, group_stat
 from ..operators.links import interval_join, pick_one
 from ..operators.timing import event_window, expand_fixed
@@ -76,10 +76,12 @@ def on_next_row(months: DataFrame, sources: DataFrame, cols: list[str], key: str
 
 
 def announcement_features(events: DataFrame, daily: DataFrame, key: str = "permno", event: str = "rdq", date: str = "date") -> DataFrame:
-    """(key, event, ear, aeavol): summed return around an event; mean volume then against the weeks before."""
-    around = event_window(events, daily, key, event, date, -1, 1, [F.coalesce(F.sum("ret"), F.lit(0.0)).alias("ear"), F.avg("vol").alias("_v1")])
-    before = event_window(events, daily, key, event, date, -30, -10, [F.avg("vol").alias("_v0")])
-    return around.join(before, [key, event], "left").select(key, event, "ear", F.try_divide(F.col("_v1") - F.col("_v0"), "_v0").alias("aeavol"))
+    """(key, event, ear, aeavol): summed return around an event; mean volume then against the weeks before. Days meet their events once for both."""
+    inside = lambda lo, hi: F.col(date).between(add_business_days(event, lo), add_business_days(event, hi))
+    near, before = inside(-1, 1), inside(-30, -10)
+    sums = [F.count_if(near).alias("_days"), F.coalesce(F.sum(F.when(near, F.col("ret"))), F.lit(0.0)).alias("ear"), F.avg(F.when(near, F.col("vol"))).alias("_v1"), F.avg(F.when(before, F.col("vol"))).alias("_v0")]
+    met = event_window(events, daily, key, event, date, -30, 1, sums).filter("_days > 0")
+    return met.select(key, event, "ear", F.try_divide(F.col("_v1") - F.col("_v0"), "_v0").alias("aeavol"))
 
 
 def dated_prices(months: DataFrame, names: DataFrame, key: str = "permno", date: str = "date", code: str = "ncusip") -> DataFrame:

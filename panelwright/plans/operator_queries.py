@@ -25,7 +25,7 @@ def _ranges(v):
 def _momentum(v):
     """Momentum and its industry's mean, winsorized and ranked by month, with next month's return."""
     f = monthly.monthly_features(_industry_month(v)).select("permno", "signal_yyyymm", "target_yyyymm", "mom12m", "indmom", "mom1m").dropna(subset=["mom12m"])
-    ranked = x.rank_unit(x.winsorize(f, ["mom12m", "indmom", "mom1m"], ["signal_yyyymm"]), ["mom12m", "indmom", "mom1m"], ["signal_yyyymm"])
+    ranked = x.standardized(f, ["mom12m", "indmom", "mom1m"], ["signal_yyyymm"], [])
     return panel.with_outcomes(ranked, v("security_month").select("permno", F.col("signal_yyyymm").alias("target_yyyymm"), "ret"))
 
 
