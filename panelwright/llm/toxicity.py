@@ -1,6 +1,11 @@
-"""Toxicity by class-conditional Kneser-Ney models of the characters of words.
+"""Toxicity by class-conditional Kneser-Ney models of words and of the characters of words.
 
-Two models, of toxic and of ordinary documents, give each character of a word (and its end) a probability after the
+Models of words give each word a probability by its count in a class's training texts, discounted; what the discount
+frees, in proportion to the number of different words of the class, goes to the words of both classes by their
+counts together, a word that neither has met counting as half an occurrence. So a rare word's ratio is near that of any
+unknown one, whose ending and stem the characters tell.
+
+Two further models, of toxic and of ordinary documents, give each character of a word (and its end) a probability after the
 characters before it, four at most. Longest runs, and those from a word's beginning, have their counts in each
 class's training texts; a shorter run has the number of different characters that the class has seen before it, its
 continuation count. Counts are discounted, and what the discount frees of a context, in proportion to the number of different
@@ -13,8 +18,8 @@ ratio of the two weights of backing off. A word's log-likelihood ratio is the su
 different word of a batch is looked up once, in the models as arrays if their rows are at most `broadcast`, else in a
 join of the different words' runs with the table, after which documents meet their words' ratios chunk by chunk.
 
-A document's evidence is its log-likelihood ratio divided by its length in characters, the same in its most toxic
-window of words, and of its few most toxic words. A logistic regression over these, fitted to a bounded sample of
+A document's evidence, by either kind of model, is its log-likelihood ratio divided by its length in characters or words,
+the same in its most toxic window of words, and of its few most toxic words. A logistic regression over these, fitted to a bounded sample of
 training rows that are kept out of the counts, makes the score.
 
 Edge cases: null and empty texts are scored by the evidence of no word; equal rows each count and each get a row;
@@ -42,7 +47,7 @@ SAMPLE, SHARE, DISCOUNT = 2_000, 5, 0.75
 ORDER, BITS, SHARED = 5, 12, 2
 BROADCAST_LABELS, BROADCAST_RUNS, CHUNK = 2_000_000, 4_000_000, 1024
 TOP, WINDOW = 4, 8
-EVIDENCE = 2 + TOP
+KINDS, EVIDENCE = 2, 2 + TOP
 START, END = 1, 2
 _LETTERS = kinds()
 _LETTERS[_LETTERS == DIGIT], _LETTERS[_LETTERS == SIGN] = LETTER, SPACE
@@ -83,7 +88,7 @@ def characters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counted(batches):
-    """(run, n0, n1): how often each class has each longest run, summed over some texts at a time."""
+    """(word, run, n0, n1): how often each class has each longest run, and each word by its hash, summed over some texts at a time."""
     for batch in batches:
         texts, toxic = batch.column("t"), batch.column("y").to_numpy()
         for first, some in slices(texts, 16_000_000):
@@ -92,8 +97,11 @@ def _counted(batches):
             n = len(words.hashes)
             run, _, word = characters(words.strings())
             u, back = np.unique(run, return_inverse=True)
-            by_class = [np.bincount(back, np.bincount(words.which[y == c], minlength=n)[word], len(u)).astype(np.int64) for c in (False, True)]
-            yield pa.record_batch([pa.array(u), *map(pa.array, by_class)], ["run", "n0", "n1"])
+            times = [np.bincount(words.which[y == c], minlength=n) for c in (False, True)]
+            of_runs = [np.bincount(back, t[word], len(u)) for t in times]
+            counts = [pa.array(np.concatenate([a, b]).astype(np.int64)) for a, b in zip(of_runs, times, strict=True)]
+            run = np.concatenate([u, words.hashes.view(np.int64)])
+            yield pa.record_batch([pa.array(np.arange(len(run)) >= len(u)), pa.array(run), *counts], ["word", "run", "n0", "n1"])
 
 
 def _levels(counts: DataFrame) -> dict[int, DataFrame]:
@@ -131,8 +139,31 @@ def models(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     return staged(rows.groupBy("run").agg(F.max("lr").alias("lr"), F.max("bw").alias("bw")), "models")
 
 
+def word_models(counts: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, float]:
+    """(run, lr): log(toxic / ordinary probability) of words by their hashes, from (run, n0, n1), run once; and that of any other word."""
+    n = counts.agg(*(f(c).alias(f"{k}{i}") for i, c in enumerate(("n0", "n1")) for k, f in (("a", F.sum), ("m", lambda c: F.count_if(F.col(c) > 0)))), F.count("*").alias("v")).first()
+    a, m = [n["a0"] or 0, n["a1"] or 0], [n["m0"] or 0, n["m1"] or 0]
+    every = a[0] + a[1] + 0.5 * (n["v"] + 1)
+    shared = (F.col("n0") + F.col("n1") + 0.5) / every
+    p = lambda c: (F.greatest(F.col(f"n{c}") - discount, F.lit(0.0)) + discount * m[c] * shared) / a[c] if a[c] else shared
+    free = [discount * m[c] / a[c] if a[c] else 1.0 for c in (0, 1)]
+    return staged(counts.select("run", F.ln(p(1) / p(0)).alias("lr")), "words"), float(np.log(free[1] / free[0]))
+
+
+class WordRatios:
+    """The models of words as an array over their hashes."""
+
+    def __init__(self, run: np.ndarray, lr: np.ndarray, unknown: float):
+        self.rows = Rows()
+        self.rows.add(run.view(np.uint64))
+        self.lr = np.append(lr, unknown)
+
+    def of(self, hashes_: np.ndarray) -> np.ndarray:
+        return self.lr[self.rows.of(hashes_)]
+
+
 class Ratios:
-    """Both models as arrays over runs."""
+    """The models of characters as arrays over runs."""
 
     def __init__(self, run: np.ndarray, lr: np.ndarray, bw: np.ndarray):
         self.rows = Rows()
@@ -206,37 +237,44 @@ class Calibration:
 
 @dataclass
 class Fitted:
-    table: DataFrame  # run, lr, bw
+    table: DataFrame  # run, lr, bw of characters
+    words: DataFrame  # run, lr of words
+    unknown: float  # lr of other words
     calibration: Calibration | None
     broadcast: int
 
     def evidence(self, rows: DataFrame, key: str, kind: str) -> DataFrame:
         """(key, x): the evidence of every row of rows (key, t)."""
-        few = self.table.limit(self.broadcast + 1).count() <= self.broadcast
-        return _by_arrays(rows, self.table, key, kind) if few else _by_join(rows, self.table, key, kind)
+        few = sum(t.limit(self.broadcast + 1).count() for t in (self.table, self.words)) <= self.broadcast
+        return (_by_arrays if few else _by_join)(rows, self, key, kind)
 
 
-def _rows_of(key: pa.Array, x: np.ndarray, name: str) -> pa.RecordBatch:
-    return pa.record_batch([key, pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), EVIDENCE).cast(pa.list_(pa.float64()))], [name, "x"])
+def _rows_of(key: pa.Array, words: Words, ratio: np.ndarray, whole: np.ndarray, name: str) -> pa.RecordBatch:
+    """The evidence by characters, per character, and by words, per word."""
+    x = np.hstack([evidence(words, ratio, words.b1 - words.a1 + 1), evidence(words, whole, np.ones(len(whole), np.int64))])
+    return pa.record_batch([key, pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), KINDS * EVIDENCE).cast(pa.list_(pa.float64()))], [name, "x"])
 
 
-def _by_arrays(rows: DataFrame, table: DataFrame, key: str, kind: str) -> DataFrame:
+def _by_arrays(rows: DataFrame, fitted: Fitted, key: str, kind: str) -> DataFrame:
+    table, told, unknown = fitted.table, fitted.words.select("run", F.col("lr").cast("float")).toArrow(), fitted.unknown
     got = table.select("run", F.col("lr").cast("float"), F.col("bw").cast("float")).toArrow()
     column = lambda c: got.column(c).to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast((column("run"), column("lr"), column("bw")))  # at most 16 bytes times `broadcast`
+    # at most 16 bytes times `broadcast`
+    shared = rows.sparkSession.sparkContext.broadcast(((column("run"), column("lr"), column("bw")), (told.column("run").to_numpy(), told.column("lr").to_numpy(), unknown)))
 
     def work(batches):
-        ratios = Ratios(*shared.value)
+        ratios, whole = Ratios(*shared.value[0]), WordRatios(*shared.value[1])
         for b in batches:
             for first, some in slices(b.column("t")):
                 words = Words(b.column("t").slice(first, some))
-                yield _rows_of(b.column(key).slice(first, some), evidence(words, ratios.of(words.strings()), words.b1 - words.a1 + 1), key)
+                yield _rows_of(b.column(key).slice(first, some), words, ratios.of(words.strings()), whole.of(words.hashes), key)
 
     return rows.mapInArrow(work, f"`{key}` {kind}, x array<double>")
 
 
-def _by_join(rows: DataFrame, table: DataFrame, key: str, kind: str) -> DataFrame:
+def _by_join(rows: DataFrame, fitted: Fitted, key: str, kind: str) -> DataFrame:
     """As _by_arrays(), for models of any size."""
+    table, unknown = fitted.table, fitted.unknown
 
     def told(batches):
         for b in batches:
@@ -261,13 +299,15 @@ def _by_join(rows: DataFrame, table: DataFrame, key: str, kind: str) -> DataFram
     # From the longest run down: the first one known ends the sum, and each that is not adds its context's weight.
     known = F.aggregate(F.reverse(F.array_sort("steps")), F.struct(F.lit(0.0).alias("r"), F.lit(False).alias("done")), lambda a, s: F.struct(F.when(a["done"], a["r"]).otherwise(a["r"] + F.coalesce(s["lr"], s["bw"], F.lit(0.0))).alias("r"), (a["done"] | s["lr"].isNotNull()).alias("done")))
     ratio = met.groupBy("h", "place").agg(F.collect_list(F.struct("k", "lr", "bw")).alias("steps")).groupBy("h").agg(F.sum(known["r"]).alias("r"))
-    in_chunk = dealt.select("chunk", "t").mapInArrow(_chunk_words, "chunk int, h long").distinct().join(ratio, "h").select("chunk", "h", "r")
+    ratio = ratio.join(fitted.words.select(F.col("run").alias("h"), F.col("lr").alias("w")), "h", "left").withColumn("w", F.coalesce("w", F.lit(unknown)))
+    in_chunk = dealt.select("chunk", "t").mapInArrow(_chunk_words, "chunk int, h long").distinct().join(ratio, "h").select("chunk", "h", "r", "w")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         words, known = Words(left.column("t").combine_chunks() if left.num_rows else pa.array([], pa.string())), Rows()
         known.add(right.column("h").to_numpy().view(np.uint64))
-        r = np.append(right.column("r").to_numpy(), 0.0)[known.of(words.hashes)]
-        return pa.Table.from_batches([_rows_of(left.column(key).combine_chunks(), evidence(words, r, words.b1 - words.a1 + 1), key)])
+        at = known.of(words.hashes)
+        r, w = np.append(right.column("r").to_numpy(), 0.0)[at], np.append(right.column("w").to_numpy(), unknown)[at]
+        return pa.Table.from_batches([_rows_of(left.column(key).combine_chunks(), words, r, w, key)])
 
     return dealt.groupBy("chunk").cogroup(in_chunk.groupBy("chunk")).applyInArrow(meet, f"`{key}` {kind}, x array<double>")
 
@@ -291,11 +331,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rest = own.join(F.broadcast(chosen.select("of")), "of", "left_anti")
     hint = F.broadcast if own.count() <= BROADCAST_LABELS else (lambda df: df)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    counts = rows.join(hint(rest), F.col("k") == F.col("of")).select("t", "y").mapInArrow(_counted, "run long, n0 long, n1 long")
-    fitted = Fitted(models(counts), None, broadcast)
+    counts = rows.join(hint(rest), F.col("k") == F.col("of")).select("t", "y").mapInArrow(_counted, "word boolean, run long, n0 long, n1 long")
+    counts = staged(counts.groupBy("word", "run").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "counts")
+    whole, unknown = word_models(counts.filter("word").drop("word"))
+    fitted = Fitted(models(counts.filter("not word").drop("word")), whole, unknown, None, broadcast)
     held = rows.join(F.broadcast(chosen), F.col("k") == F.col("of")).select("t", F.concat_ws(" ", F.xxhash64("of", "t"), "y").alias("of"))
     got = fitted.evidence(held, "of", "string").select("of", F.substring_index("of", " ", -1).cast("int").alias("y"), "x").toArrow().sort_by("of")
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, EVIDENCE)
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, KINDS * EVIDENCE)
     fitted.calibration = Calibration(x, got.column("y").to_numpy().astype(float))
     return fitted
 
@@ -307,6 +349,6 @@ def score(docs: DataFrame, fitted: Fitted, key: str = "doc_id", text: str = "tex
 
     def scored(batches):
         for b in batches:
-            yield pa.record_batch([b.column("k"), pa.array(calibration.scores(b.column("x").flatten().to_numpy().reshape(-1, EVIDENCE)))], ["k", "score"])
+            yield pa.record_batch([b.column("k"), pa.array(calibration.scores(b.column("x").flatten().to_numpy().reshape(-1, KINDS * EVIDENCE)))], ["k", "score"])
 
     return fitted.evidence(rows, "k", kind).mapInArrow(scored, f"k {kind}, score double").withColumnRenamed("k", key)

@@ -449,6 +449,19 @@ def test_toxicity_is_kneser_ney(spark):
         assert got == pytest.approx([brute_ratio(counted, w) for w in words])
 
 
+def test_word_models_are_discounted_to_shared_counts(spark):
+    texts, df, labels = labelled_texts(spark)
+    fitted = toxicity.fit(df, labels, sample=0)
+    counts = [Counter(w for i, t in enumerate(texts) if i % 2 == c for w in t.split()) for c in (0, 1)]
+    both = counts[0] + counts[1]
+    every, lose = both.total() + 0.5 * (len(both) + 1), toxicity.DISCOUNT
+    p = lambda c, w: (max(counts[c][w] - lose, 0) + lose * len(counts[c]) * (both[w] + 0.5) / every) / counts[c].total()
+    rows, asked = fitted.words.toPandas(), [*both, "villain", "x"]
+    words = toxicity.Words(pa.array([" ".join(asked)]))
+    got = toxicity.WordRatios(rows["run"].to_numpy(), rows["lr"].to_numpy(), fitted.unknown).of(words.hashes)
+    assert dict(zip(words.strings(), got.tolist(), strict=True)) == pytest.approx({w: np.log(p(1, w) / p(0, w)) for w in asked})
+
+
 def test_toxicity_by_arrays_and_by_join_agree(spark):
     texts, df, labels = labelled_texts(spark)
     odd = df.unionByName(spark.createDataFrame([(90, None), (91, ""), (92, "Vile, VILEST 12 34-planet: " * 5), (92, "x"), (None, "vile")], "doc_id long, text string"))
