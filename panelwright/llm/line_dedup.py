@@ -370,9 +370,10 @@ def _removed(ids: DataFrame, roots: DataFrame) -> DataFrame:
     met = (firsts["id"] == roots["node"]) & (firsts["h"] == roots["h"])
     led = staged(firsts.join(roots, met, "left").filter("times > 1 or root is not null").select(firsts["id"], firsts["h"], "first", "root", "times"), "touched")
     heads = staged(led.filter("root is not null").groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("members")), "heads")
-    rooted = with_groups(led.filter("root is not null"), heads, ["root"], "members", large_limit(led), least=1).select("id", "h", "head", "times")
-    kept = rooted.unionByName(led.filter("root is null").select("id", "h", F.col("first").alias("head"), "times"))
-    gone = with_groups(lines, kept, ["id", "h"], "times", large_limit(lines), least=1, how="inner").filter(~place.eqNullSafe(F.col("head")))
+    limit = large_limit(lines)
+    rooted = with_groups(led.filter("root is not null"), heads, ["root"], "members", limit, least=1, how="inner").select("id", "h", "head", "times")
+    kept = staged(rooted.unionByName(led.filter("root is null").select("id", "h", F.col("first").alias("head"), "times")), "places")
+    gone = with_groups(lines, kept, ["id", "h"], "times", limit, least=1, how="inner").filter(~place.eqNullSafe(F.col("head")))
     return gone.groupBy(*ROW).agg(F.array_sort(F.collect_set("n")).alias("removed"))
 
 
