@@ -183,14 +183,14 @@ def test_correlation_of_a_constant_is_null(spark):
 
 def test_agreement_matrix_ranks_all_rows_over_many_tasks(spark):
     rng = np.random.default_rng(7)
-    p = pd.DataFrame({"permno": range(900), "m": [23980 + i % 20 for i in range(900)], "a": np.round(rng.normal(size=900), 1), "c": rng.normal(size=900)}).assign(b=0.0)
-    q = p[["permno", "m"]].assign(a2=p["a"] + np.round(rng.normal(size=900), 2), c2=-p["c"] + rng.normal(size=900))
-    views, cols = {"panel_a": spark.createDataFrame(p), "panel_b": spark.createDataFrame(q)}, ["a", "c", "a2", "c2"]
+    p = pd.DataFrame({"permno": range(900), "m": [23980 + i % 20 for i in range(900)], "a": np.round(rng.normal(size=900), 1), "c": rng.normal(size=900)}).assign(b=np.round(rng.uniform(1000, 1040, 900), 1))
+    q = p[["permno", "m"]].assign(a2=p["a"] + np.round(rng.normal(size=900), 2), b2=p["b"] + rng.normal(size=900), c2=-p["c"] + rng.normal(size=900))
+    views, cols = {"panel_a": spark.createDataFrame(p), "panel_b": spark.createDataFrame(q)}, ["a", "b", "c", "a2", "b2", "c2"]
     want = p.merge(q, on=["permno", "m"])[cols].rank().corr()
     query = next(x for x in compare_queries.QUERIES if x.name == "agreement_matrix")
     for got in (query.build(views.__getitem__), compare.agreement_matrix(views["panel_a"].join(views["panel_b"], ["permno", "m"]), cols)):
         rows = got.collect()
-        assert len(rows) == 10 and all(r["corr"] == pytest.approx(want.loc[r["a"], r["b"]]) for r in rows)
+        assert len(rows) == 21 and all(r["corr"] == pytest.approx(want.loc[r["a"], r["b"]]) for r in rows)
     ranks = {r["c"]: r["rank"] for r in compare.with_ranks(views["panel_a"].select("c"), {"c": "rank"}, []).collect()}
     assert ranks == dict(zip(p["c"], p["c"].rank(), strict=True))
     q = compare.quantiles(views["panel_a"].withColumn("g", F.col("permno") % 3), ["g"], "a", {"low": 0.05, "mid": 0.5, "high": 0.99})
