@@ -91,7 +91,7 @@ def _counted(batches):
     """(word, run, n0, n1): how often each class has each longest run, and each word by its hash, summed over some texts at a time."""
     for batch in batches:
         texts, toxic = batch.column("t"), batch.column("y").to_numpy()
-        for first, some in slices(texts, 16_000_000):
+        for first, some in slices(texts, 6_000_000):
             words = Words(texts.slice(first, some))
             y = np.repeat(toxic[first : first + some], np.diff(words.upto)) == 1
             n = len(words.hashes)
