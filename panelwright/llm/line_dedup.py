@@ -88,8 +88,8 @@ _letters = _Letters()
 class Units:
     """What shingles are made of: `size` characters, or words, which are then what single spaces part.
 
-    Candidates are found by letters, one for each word: as equal words have equal letters, similar lines are candidates
-    none the less. Lines are compared by the words themselves.
+    Words are first compared by letters, one for each word: as equal words have equal letters, similar lines pass
+    none the less. What passes is compared by the words themselves.
     """
 
     size: int = SHINGLE
@@ -108,14 +108,14 @@ class Units:
 CHARACTERS = Units()
 
 
-def _band_rows(batches, units: Units = CHARACTERS):
+def _band_rows(batches):
     """(key, head, id): the band keys of different lines; head is the first line of the key among some lines at a time."""
     import xxhash
 
     seen: set = set()  # saves work and rows for equal lines; what it forgets only costs them
 
     def rows(lines, ids):
-        keys, ids = band_keys(lines, units.size).ravel().view(np.int64), np.repeat(np.array(ids, np.uint64).view(np.int64), BANDS)
+        keys, ids = band_keys(lines).ravel().view(np.int64), np.repeat(np.array(ids, np.uint64).view(np.int64), BANDS)
         order = np.lexsort([ids, keys])
         keys, ids = keys[order], ids[order]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -126,15 +126,13 @@ def _band_rows(batches, units: Units = CHARACTERS):
     for b in batches:
         for t in b.column("t"):
             for line in t.as_py().split("\n"):
-                if len(line) >= units.size and line.strip(BLANK):
+                if len(line) >= SHINGLE and line.strip(BLANK):
                     i = xxhash.xxh64_intdigest(line.encode(), 42)
                     if i not in seen:
                         seen.add(i)
-                        (spelled,) = units.letters([line])
-                        if len(spelled) >= units.size:
-                            lines.append(spelled)
-                            ids.append(i)
-                            size += len(spelled)
+                        lines.append(line)
+                        ids.append(i)
+                        size += len(line)
             if size > 2_000_000:
                 yield rows(lines, ids)
                 lines, ids, size = [], [], 0
@@ -198,10 +196,12 @@ MOST = (1 - SIMILARITY) / (1 + SIMILARITY)
 def _verified(pairs: DataFrame, lines: DataFrame, units: Units = CHARACTERS) -> DataFrame:
     """(a, b) of the pairs whose lines are similar. What passes as sets of hashed shingles is compared exactly."""
 
+    step = 128 if units.words else 2048  # whole texts have large sets
+
     def alike(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                b = whole.slice(start, 2048)
+            for start in range(0, whole.num_rows, step):
+                b = whole.slice(start, step)
                 ids, at = np.unique(np.concatenate([b.column("a").to_numpy(), b.column("b").to_numpy()]), return_index=True)
                 i, j = (np.searchsorted(ids, b.column(c).to_numpy()) for c in ("a", "b"))
                 texts = pa.concat_arrays([b.column("s"), b.column("t")]).take(pa.array(at)).to_pylist()
@@ -232,12 +232,16 @@ def _ids(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(*(c.alias(n) for n, c in identity(key, text).items()), lines.alias("ids"))
 
 
-def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", units: Units = CHARACTERS) -> DataFrame:
-    """(node, h, root): the component of every line id that is similar to another by shingles of units, and the line's second hash."""
+def similar_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, h, root): the component of every line id that is similar to another, and the line's second hash."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    banded = texts.mapInArrow(lambda batches: _band_rows(batches, units), "key long, head long, id long")
+    banded = texts.mapInArrow(_band_rows, "key long, head long, id long")
     dealt = banded.repartition(F.when(F.col("id") == F.col("head"), F.col("key")).otherwise(F.xxhash64("key", "id"))).sortWithinPartitions("key", "id")
-    stars = staged(dealt.mapInArrow(_stars, "key long, head long, id long"), "stars")
+    return similar_among(staged(dealt.mapInArrow(_stars, "key long, head long, id long"), "stars"), docs, text)
+
+
+def similar_among(stars: DataFrame, docs: DataFrame, text: str = "text", units: Units = CHARACTERS) -> DataFrame:
+    """(node, h, root) as of similar_lines(), by shingles of units. Candidates share a key of stars (key, head, id), in which every id of a key but its head has a row."""
     first = staged(stars.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "first")
     ids = staged(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     few = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda df: df)
@@ -384,13 +388,13 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     and the line that stays does so in each of them; unlike texts of one key are documents of their own, of which the one
     with the smaller hash comes first where line numbers tie; a null key comes before all others; an empty table gives none.
     """
-    return _removed(staged(_ids(docs, key, text), "line-ids"), similar_lines(docs, key, text))
+    return _removed(staged(_ids(docs, key, text), "line-ids"), similar_lines(docs, text))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_lines, n_removed, removed_lines) of every row; n_lines counts lines with a word. Edge cases are those of removed_lines()."""
     ids = staged(_ids(docs, key, text), "line-ids")
-    gone = _removed(ids, similar_lines(docs, key, text)).select(*(F.col(c).alias(f"gone_{c}") for c in ROW), "removed")
+    gone = _removed(ids, similar_lines(docs, text)).select(*(F.col(c).alias(f"gone_{c}") for c in ROW), "removed")
     counted = ids.select(*ROW, F.size(F.filter("ids", lambda x: x.isNotNull())).alias("n_lines"))
     none = F.array().cast("array<int>")
     joined = counted.join(gone, F.col("k").eqNullSafe(F.col("gone_k")) & (F.col("th") == F.col("gone_th")) & (F.col("tl") == F.col("gone_tl")), "left")

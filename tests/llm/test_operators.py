@@ -712,6 +712,80 @@ def test_one_of_each_takes_near_copies_from_a_similarity_of_08(spark):
     assert all(a in stay for a, _ in pairs) and all((b in stay) == (s < 0.8) for (_, b), s in pairs.items())
 
 
+def near_pairs(n, shared, apart, rng):
+    """Sets of hashes, each two with `shared` in common and `apart` of their own."""
+    out = []
+    for _ in range(n):
+        h = rng.integers(0, 2**63, shared + 2 * apart).tolist()
+        out += [set(h[: shared + apart]), set(h[:shared] + h[shared + apart :])]
+    return out
+
+
+def test_near_copies_go_by_majorities_of_xxh64_bits():
+    text = " ".join(f"w{i % 300}" for i in range(700))
+    w = text.split()
+    h = {xxhash.xxh64_intdigest(" ".join(w[k : k + 5]), 42) for k in range(len(w) - 4)}
+    assert simhash._shingle_hashes(text, 5) == h and simhash._shingle_hashes("one two", 5) == {xxhash.xxh64_intdigest("one two", 42)}
+    sets = [h, {5}, set(range(1, 256)), set(range(1, 512))]
+    got = simhash.majorities(sets)
+    for s, m in zip(sets, got, strict=True):
+        for n in range(simhash.BITS // 64):
+            mixed = [int(x) for x in simhash._mixed(np.array(sorted(s), np.uint64), n)]
+            want = sorted(2 * sum(v >> b & 1 for v in mixed) - len(s) for b in range(64))
+            assert sorted(m[64 * n : 64 * n + 64].tolist()) == want
+    shards, fp = simhash.near_shards(sets)
+    assert [len(s) for s in shards] == [12, 1, 12, 12] and fp.shape == (4, 4)
+    for m, s in zip(got, shards, strict=True):
+        assert len(s) == 1 or min(abs(m[x // 2]) for x in s) >= np.sort(np.abs(m))[-12] and all((m[x // 2] > 0) == x % 2 for x in s)
+
+
+def test_pairs_at_08_meet_in_a_shard_within_the_distance():
+    rng, missed, total = np.random.default_rng(3), 0, 0
+    for shared, apart in ((160, 20), (40, 5), (8, 1)):
+        shards, fp = simhash.near_shards(near_pairs(1000, shared, apart, rng))
+        near = np.bitwise_count(fp[::2] ^ fp[1::2]).sum(axis=1) <= simhash.NEAR
+        near &= np.bitwise_count(fp[::2, 0] ^ fp[1::2, 0]) <= simhash.NEAR_64
+        missed += sum(not (ok and set(a) & set(b)) for a, b, ok in zip(shards[::2], shards[1::2], near, strict=True))
+        total += 1000
+    assert missed <= 0.002 * total
+
+
+def test_near_groups_are_those_of_all_links():
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 2**64, (6, 4), np.uint64)[rng.integers(0, 6, 700)]
+    for _ in range(10):
+        fp ^= np.uint64(1) << rng.integers(0, 64, fp.shape, np.uint64)
+    fp = np.concatenate([fp, rng.integers(0, 2**64, (50, 4), np.uint64)])[rng.permutation(750)]
+    label = np.arange(len(fp))
+    near = (np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2) <= simhash.NEAR) & (np.bitwise_count(fp[:, None, 0] ^ fp[None, :, 0]) <= simhash.NEAR_64)
+    while not np.array_equal(new := np.where(near, label[None], len(fp)).min(axis=1), label):
+        label = new
+    assert np.array_equal(simhash.near_groups(fp), label) and 50 < len(set(label.tolist())) < 700
+
+
+@pytest.mark.parametrize("crowd", [3, simhash.SHARD])
+def test_near_candidates_share_a_key(spark, crowd):
+    rng, texts = np.random.default_rng(6), []
+    for n, copies in ((200, 2), (90, 2), (120, 12), (12, 3)):
+        for _ in range(5):
+            one = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+            for _ in range(copies):
+                two = list(one)
+                two[int(rng.integers(0, n))] = f"v{rng.integers(0, 10**6)}"
+                texts.append(" ".join(two))
+    texts += ["a a a a a", "a a a a a a", "b", "b c", ""]
+    rows = simhash.near_candidates(spark.createDataFrame([(t,) for t in [*texts, *texts]], "t string").repartition(3), crowd=crowd).collect()
+    of = defaultdict(set)
+    for r in rows:
+        of[r["key"]] |= {r["head"], r["id"]}
+    ids = [xxhash.xxh64_intdigest(t, 42) - (1 << 64) * (xxhash.xxh64_intdigest(t, 42) >> 63) for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if texts[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    met = {(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if any(ids[i] in k and ids[j] in k for k in of.values())}
+    assert len(alike) > 100 and {(ids[i], ids[j]) for i, j in alike} <= met
+    assert all(r["head"] < r["id"] for r in rows) and len(met) < 3 * len(alike)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(500, 500), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
