@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import correlation
+from ..functions.scalar import correlation, rounded
 from .crosssection import back, modal
 
 
@@ -40,7 +40,7 @@ def modal_benchmark(df: DataFrame, industry: str, month: str, implied: str, digi
 def off_mode_matches(df: DataFrame, industry: str, month: str, implied: str, digits: int = 6) -> DataFrame:
     """(off, matched): rows off their cell's mode, and those at another industry's mode of the same month."""
     m = modal(df, [industry, month], implied, digits).select(industry, month, "mode")
-    off = back(df.dropna(subset=[implied]), m, [industry, month], "inner").withColumn("_v", F.round(implied, digits)).filter(F.col("_v") != F.col("mode"))
+    off = back(df.dropna(subset=[implied]), m, [industry, month], "inner").withColumn("_v", rounded(implied, digits)).filter(F.col("_v") != F.col("mode"))
     other = m.select(F.col(month).alias("_mm"), F.col("mode").alias("_other")).distinct()
     j = off.join(other, (F.col(month) == F.col("_mm")) & (F.col("_v") == F.col("_other")), "left")
     return j.agg(F.count("*").alias("off"), F.count("_other").alias("matched"))

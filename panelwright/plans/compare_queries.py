@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import correlation
+from ..functions.scalar import correlation, rounded
 from ..operators import audit, compare, timing, windows
 from ..operators import crosssection as x
 from .operator_queries import EXCESS_SQL, _excess
@@ -174,7 +174,7 @@ QUERIES = [
     Query("inventory", lambda v: audit.inventory(v("panel_a"), "permno", "m"), "rows entities periods first last", "SELECT count(*) AS rows, count(DISTINCT permno) AS entities, count(DISTINCT m) AS periods, min(m) AS first, max(m) AS last FROM {panel_a}"),
     Query("score_decomposition", _scores, "component n differ over under false_zero", SCORES),
     Query("industry_staircase", lambda v: audit.staircase(v("adjusted").groupBy("industry", "m").agg(F.round(F.avg("base"), 3).alias("mean")), "m", "industry", "mean"), "industry m mean~3 place", "SELECT industry, m, mean, row_number() OVER (PARTITION BY m ORDER BY mean, industry) AS place FROM (SELECT industry, m, round(avg(base), 3) AS mean FROM {adjusted} GROUP BY 1, 2)"),
-    Query("recovered_means", lambda v: v("adjusted").groupBy("m").agg(F.countDistinct(F.round("implied", 2)).alias("means"), F.countDistinct("industry").alias("industries")), "m means industries", "SELECT m, count(DISTINCT round(implied, 2)) AS means, count(DISTINCT industry) AS industries FROM {adjusted} GROUP BY 1"),
+    Query("recovered_means", lambda v: v("adjusted").groupBy("m").agg(F.countDistinct(rounded("implied", 2)).alias("means"), F.countDistinct("industry").alias("industries")), "m means industries", "SELECT m, count(DISTINCT round(implied, 2)) AS means, count(DISTINCT industry) AS industries FROM {adjusted} GROUP BY 1"),
     Query("value_clusters", lambda v: windows.gap_clusters(v("panel_a"), ["m"], "c", 1.0, 2), "m cluster size low~4 high~4", "SELECT m, cluster, count(*) AS size, min(c) AS low, max(c) AS high FROM (SELECT m, c, sum(cut) OVER (PARTITION BY m ORDER BY c ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT m, c, CASE WHEN c - lag(c) OVER (PARTITION BY m ORDER BY c) > 1.0 THEN 1 ELSE 0 END AS cut FROM {panel_a} WHERE c IS NOT NULL)) GROUP BY 1, 2 HAVING count(*) >= 2"),
     Query("industry_variants", _variants, "variant industry m n mean~4", VARIANTS),
     Query("repriced_book", _repriced, "permno m bm_dec~6 bm_now~6", "SELECT s.permno, s.m, d.f AS bm_dec, d.value * d.f / nullif(s.prc * s.shrout, 0) AS bm_now FROM {security_month} s JOIN (SELECT permno, CAST(floor(m / 12) AS INTEGER) AS y, prc * shrout AS value, 0.5e0 + permno % 10 / 10e0 AS f FROM {security_month} WHERE m % 12 = 11) d ON d.permno = s.permno AND d.y = floor(s.m / 12) - 1"),
