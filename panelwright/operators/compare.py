@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import correlation
+from ..storage import staged
 from .windows import average_rank
 
 
@@ -54,8 +55,10 @@ def places(df: DataFrame, by: list[str], col: str, depth: int = DEPTH) -> DataFr
     Values are counted first and dealt to ranges between splitters, which are sampled from the group's own values, so
     that ranges are about equally deep, however narrow the column; ranges are placed by their counted rows, and inside one
     values are sorted. So a group of any size is spread over many tasks. Infinities are values like others, NaN comes last.
+    Counts are kept in the shared folder: of a mean computed twice the last digit may differ, and with it a value's range.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    counts = staged(counts, "counts")
     cuts, v = F.col("_cuts"), F.col("_v")
 
     def halved(at, _):  # a step of binary search: how many splitters are less
@@ -74,8 +77,11 @@ def places(df: DataFrame, by: list[str], col: str, depth: int = DEPTH) -> DataFr
 
 
 def with_ranks(df: DataFrame, cols: dict[str, str], by: list[str]) -> DataFrame:
-    """df with the average ranks of columns {name: new name} in groups of any size; neither columns nor by may hold NULL."""
-    out = df
+    """df with the average ranks of columns {name: new name} in groups of any size; neither columns nor by may hold NULL.
+
+    Rows find their ranks by value, so df is computed once: rows whose value came out otherwise a second time would be lost.
+    """
+    out = df = staged(df, "ranked")
     for n, (c, new) in enumerate(cols.items()):
         ranks = places(df, by, c).select(*by, F.col("_v").alias(f"_v{n}"), (F.col("below") + (F.col("n") + 1) / 2).alias(f"_r{n}"))
         out = out.withColumn(f"_v{n}", F.col(c).cast("double")).join(ranks, [*by, f"_v{n}"])

@@ -1,8 +1,12 @@
 """Where results of large tables parted from their SQL."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import rounded
+from panelwright.operators import compare
 from panelwright.plans import catalog
 
 
@@ -23,3 +27,10 @@ def test_recovered_means_of_ties(spark):
     got = query("recovered_means").build(lambda name: spark.createDataFrame(rows, "m int, industry int, implied double")).collect()
     want = duckdb.sql("SELECT m, count(DISTINCT round(implied, 2)) AS means, count(DISTINCT industry) AS industries FROM (VALUES (1, 1, 1.0e0), (1, 2, 1.005e0), (1, 3, 1.02e0), (2, 1, NULL)) t(m, industry, implied) GROUP BY 1").fetchall()
     assert sorted(map(tuple, got)) == sorted(want) == [(1, 2, 3), (2, 0, 1)]
+
+
+def test_ranks_keep_rows_whose_values_a_second_computation_moves(spark):
+    drawn = F.udf(lambda i: i + random.SystemRandom().random() / 2, "double")  # as a mean whose last digit hangs on the order of its sum
+    df = spark.range(500).select(drawn("id").alias("x"), F.col("id").cast("double").alias("y"))
+    got = compare.spearman(df, [], 2, large=True).collect()
+    assert [(r["n"], round(r["rho"], 9)) for r in got] == [(500, 1.0)]
