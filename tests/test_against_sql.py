@@ -1,12 +1,15 @@
 """Where results of large tables parted from their SQL."""
 
+import os
 import random
+import time
+from datetime import date
 
 import duckdb
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import rounded
-from panelwright.operators import compare
+from panelwright.operators import compare, crosssection, panel, timing
 from panelwright.plans import catalog
 
 
@@ -34,3 +37,43 @@ def test_ranks_keep_rows_whose_values_a_second_computation_moves(spark):
     df = spark.range(500).select(drawn("id").alias("x"), F.col("id").cast("double").alias("y"))
     got = compare.spearman(df, [], 2, large=True).collect()
     assert [(r["n"], round(r["rho"], 9)) for r in got] == [(500, 1.0)]
+
+
+def test_many_columns_are_drawn_in_as_few_are(spark, monkeypatch):
+    names = ["betasq", "lev", "bm", "acc", "ep"]
+    rows = [(None if i % 40 == 7 else 200001 + i % 2, i, *(None if (i + k) % 9 == 0 or k == 4 and i % 2 else float("inf") if i == 30 + k else ((i * 37 + k * 11) % 101 - 50) / 7 for k in range(5))) for i in range(300)]
+    df = spark.createDataFrame(rows, "m int, id int, " + ", ".join(f"{n} double" for n in names))
+    few = crosssection.winsorize_by_kind(df, ["m"], 0.05)
+    want = sorted(map(tuple, few.collect()), key=lambda r: r[1])
+    monkeypatch.setattr(crosssection, "BATCH", 2)
+    many = crosssection.winsorize_by_kind(df, ["m"], 0.05)
+    many.write.format("noop").mode("overwrite").save()
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert many.columns == few.columns and "Generate" not in plan and "Window" not in plan
+    assert sorted(map(tuple, many.collect()), key=lambda r: r[1]) == want
+
+
+def test_a_tables_shuffle_goes_with_its_writing(spark):
+    def kept():
+        return sum(f.startswith("shuffle_") for at in [spark.conf.get("spark.local.dir")] for _, _, files in os.walk(at) for f in files)
+
+    before = kept()
+    panel.cut_lineage(spark.range(2000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10
+    while kept() > before and time.time() < until:
+        time.sleep(0.1)
+    assert kept() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_reports_are_picked_before_they_are_spread(spark):
+    rows = [(1, date(y, 12, 31), g, float(g + y)) for y in (2000, 2001, 2003) for g in range(20)] + [(2, date(2000, 12, 31), 5, 1.0), (2, date(2000, 12, 10), 4, 2.0), (None, date(2000, 12, 31), 1, 1.0)]
+    df = spark.createDataFrame(rows, "permno int, datadate date, gvkey int, x double")
+    for got, first, months in ((timing.expand_rolling(df, ties=("gvkey",)), 7, 13), (timing.expand_fixed(df, ties=("gvkey",)), 6, 12)):
+        want = {}
+        for p, d, g, x in sorted((r for r in rows if r[0]), key=lambda r: (r[1], -r[2])):
+            for m in range(d.year * 12 + 11 + first, d.year * 12 + 11 + first + months):
+                want[p, m // 12 * 100 + m % 12 + 1] = (g, x)
+        assert {(r["permno"], r["signal_yyyymm"]): (r["gvkey"], r["x"]) for r in got.collect()} == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("Generate") < plan.index("Window")  # windows are below, on reports
