@@ -77,3 +77,19 @@ def test_reports_are_picked_before_they_are_spread(spark):
         assert {(r["permno"], r["signal_yyyymm"]): (r["gvkey"], r["x"]) for r in got.collect()} == want
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert plan.index("Generate") < plan.index("Window")  # windows are below, on reports
+
+
+def test_many_columns_are_standardized_as_few_are(spark, monkeypatch):
+    names = [f"x{k}" for k in range(5)]
+    rows = [(i, 200001 + i % 2, None if i % 7 == 0 else i % 3, *(None if (i + k) % 9 == 0 or k == 4 and i % 2 else ((i * 37 + k * 11) % 101 - 50) / 7 for k in range(5))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, m int, industry int, " + ", ".join(f"{n} double" for n in names))
+    few = crosssection.standardized(df, names, ["m"], [["m", "industry"], ["m"]], 0.05, 0.95)
+    bounds = [None, 0.05, None, 0.1, None]
+    less = crosssection.in_long_form(df, names, ["m"], [crosssection.drawn_in(["m"], bounds, 0.9)])
+    want, drawn = sorted(map(tuple, few.collect())), sorted(map(tuple, less.collect()))
+    monkeypatch.setattr(crosssection, "BATCH", 2)
+    many = crosssection.standardized(df, names, ["m"], [["m", "industry"], ["m"]], 0.05, 0.95)
+    many.write.format("noop").mode("overwrite").save()
+    assert many.columns == few.columns and "Window" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, many.collect())) == want
+    assert sorted(map(tuple, crosssection.in_long_form(df, names, ["m"], [crosssection.drawn_in(["m"], bounds, 0.9)]).collect())) == drawn
